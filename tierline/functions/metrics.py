@@ -7,9 +7,16 @@ the reference values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
+# Exact means: values are quantised to 6 decimals (half-up) and summed as
+# DECIMAL, so the mean does not depend on partitioning or summation order.
+# A double sum does, and the reference rounds means of cent amounts, whose
+# exact value is often a half-way case (x.xx5): with doubles the rounded KPI
+# could flip between runs of the same job on a cluster.
+EXACT_TYPE = "decimal(38,6)"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -80,3 +87,23 @@ def z_score(x: Column | str, mean: Column | str, stddev: Column | str) -> Column
 def pass_fail(condition: Column) -> Column:
     """CASE WHEN condition THEN 'PASS' ELSE 'FAIL' END."""
     return F.when(condition, F.lit("PASS")).otherwise(F.lit("FAIL"))
+
+
+def exact_mean(c: Column | str, window: WindowSpec | None = None) -> Column:
+    """AVG(c) as decimal(38,6): exact sum of 6-decimal values / count,
+    rounded half-up; NULL when no value.  ``window`` makes it AVG() OVER."""
+    x = _col(c).cast(EXACT_TYPE)
+    total, n = F.sum(x), F.count(x)
+    if window is not None:
+        total, n = total.over(window), n.over(window)
+    return F.try_divide(total, n)
+
+
+def mean_value(c: Column | str, window: WindowSpec | None = None) -> Column:
+    """The exact mean as a double."""
+    return exact_mean(c, window).cast("double")
+
+
+def mean_round(c: Column | str, digits: int, window: WindowSpec | None = None) -> Column:
+    """ROUND(AVG(c), digits) as a double, half-up on the exact mean."""
+    return F.round(exact_mean(c, window), digits).cast("double")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import z_score
+from tierline.functions.metrics import mean_value, z_score
 
 
 def null_counts(columns: Mapping[str, str | int | None], total: str = "total_rows") -> list[Column]:
@@ -67,7 +67,7 @@ def zscore_outliers(
     row's group.  Statistics are one row per group (partial aggregation),
     joined back on the group key — no cross join."""
     stats = df.groupBy(*group_by).agg(
-        F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std")
+        mean_value(value).alias("_mean"), F.stddev_samp(value).alias("_std")
     )
     d, s = df.alias("_d"), stats.alias("_s")
     on = reduce(lambda a, b: a & b, [F.col(f"_d.{k}").eqNullSafe(F.col(f"_s.{k}")) for k in group_by])

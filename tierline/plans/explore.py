@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierline.functions.metrics import mean_round, mean_value
 from tierline.operators.quality import null_profile, stack
 from tierline.operators.ranking import CNT, POS, add_positions
 from tierline.sources.readers import RawSources
@@ -63,8 +64,8 @@ def _moments(c: str) -> list:
     return [
         F.min(c).alias("min_payment"),
         F.max(c).alias("max_payment"),
-        F.avg(c).alias("avg_payment"),
-        F.stddev_samp(c).alias("stddev_payment"),
+        mean_value(c).alias("avg_payment"),
+        F.round(F.stddev_samp(c), 6).alias("stddev_payment"),
     ]
 
 
@@ -101,7 +102,7 @@ def explore_top_states(raw_inpatient: DataFrame, k: int = 20) -> DataFrame:
         .agg(
             F.count_distinct("provider_id").alias("provider_count"),
             F.sum("total_discharges").alias("total_discharges"),
-            F.round(F.avg("average_total_payments"), 2).alias("avg_payment"),
+            mean_round("average_total_payments", 2).alias("avg_payment"),
         )
         .orderBy(F.col("total_discharges").desc_nulls_last(), F.col("provider_state").asc_nulls_first())
         .limit(k)
@@ -113,8 +114,8 @@ def explore_top_drgs(raw_inpatient: DataFrame, k: int = 20) -> DataFrame:
         raw_inpatient.groupBy("drg_definition")
         .agg(
             F.sum("total_discharges").alias("total_discharges"),
-            F.round(F.avg("average_total_payments"), 2).alias("avg_payment"),
-            F.round(F.avg("average_covered_charges"), 2).alias("avg_covered_charges"),
+            mean_round("average_total_payments", 2).alias("avg_payment"),
+            mean_round("average_covered_charges", 2).alias("avg_covered_charges"),
         )
         .orderBy(F.col("total_discharges").desc_nulls_last(), F.col("drg_definition").asc_nulls_first())
         .limit(k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import ratio, weighted_blend
+from tierline.functions.metrics import mean_round, ratio, weighted_blend
 
 
 def fact_healthcare_metrics(
@@ -85,7 +85,7 @@ def fact_verification(fact: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("row_count"),
             F.count_distinct("provider_id").alias("providers"),
             F.count_distinct("state_code").alias("states"),
-            F.round(F.avg("avg_inpatient_payment"), 2).alias("overall_avg_inpatient_cost"),
+            mean_round("avg_inpatient_payment", 2).alias("overall_avg_inpatient_cost"),
         )
         .orderBy("year")
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import ratio, weighted_blend
+from tierline.functions.metrics import mean_round, ratio, weighted_blend
 
 
 def int_provider_inpatient_summary(stg_inpatient: DataFrame) -> DataFrame:
@@ -20,9 +20,9 @@ def int_provider_inpatient_summary(stg_inpatient: DataFrame) -> DataFrame:
     ).agg(
         F.count_distinct("drg_code").alias("distinct_drg_count"),
         F.sum("total_discharges").alias("total_discharges"),
-        F.round(F.avg("avg_covered_charges"), 2).alias("avg_covered_charges"),
-        F.round(F.avg("avg_total_payments"), 2).alias("avg_total_payments"),
-        F.round(F.avg("avg_medicare_payments"), 2).alias("avg_medicare_payments"),
+        mean_round("avg_covered_charges", 2).alias("avg_covered_charges"),
+        mean_round("avg_total_payments", 2).alias("avg_total_payments"),
+        mean_round("avg_medicare_payments", 2).alias("avg_medicare_payments"),
         F.round(ratio(F.avg("avg_medicare_payments"), F.avg("avg_covered_charges")), 4).alias(
             "medicare_payment_ratio"
         ),
@@ -35,8 +35,8 @@ def int_provider_outpatient_summary(stg_outpatient: DataFrame) -> DataFrame:
     ).agg(
         F.count_distinct("apc").alias("distinct_apc_count"),
         F.sum("outpatient_services").alias("total_outpatient_services"),
-        F.round(F.avg("avg_submitted_charges"), 2).alias("avg_submitted_charges"),
-        F.round(F.avg("avg_total_payments"), 2).alias("avg_total_payments"),
+        mean_round("avg_submitted_charges", 2).alias("avg_submitted_charges"),
+        mean_round("avg_total_payments", 2).alias("avg_total_payments"),
     )
 
 
@@ -45,8 +45,8 @@ def int_physician_summary(stg_physicians: DataFrame) -> DataFrame:
         F.count_distinct("npi").alias("distinct_physicians"),
         F.sum("line_service_count").alias("total_services"),
         F.sum("beneficiary_count").alias("total_beneficiaries"),
-        F.round(F.avg("avg_medicare_payment"), 2).alias("avg_medicare_payment"),
-        F.round(F.avg("avg_submitted_charge"), 2).alias("avg_submitted_charge"),
+        mean_round("avg_medicare_payment", 2).alias("avg_medicare_payment"),
+        mean_round("avg_submitted_charge", 2).alias("avg_submitted_charge"),
         F.round(ratio(F.avg("avg_medicare_payment"), F.avg("avg_submitted_charge")), 4).alias(
             "payment_to_charge_ratio"
         ),
@@ -59,13 +59,13 @@ def int_state_metrics(stg_inpatient: DataFrame, stg_outpatient: DataFrame) -> Da
     inp = stg_inpatient.groupBy(F.col("provider_state").alias("state"), "data_year").agg(
         F.count_distinct("provider_id").alias("inpatient_provider_count"),
         F.sum("total_discharges").alias("total_inpatient_discharges"),
-        F.round(F.avg("avg_total_payments"), 2).alias("avg_inpatient_payment"),
-        F.round(F.avg("avg_covered_charges"), 2).alias("avg_covered_charges"),
+        mean_round("avg_total_payments", 2).alias("avg_inpatient_payment"),
+        mean_round("avg_covered_charges", 2).alias("avg_covered_charges"),
     )
     out = stg_outpatient.groupBy(F.col("provider_state").alias("state"), "data_year").agg(
         F.count_distinct("provider_id").alias("outpatient_provider_count"),
         F.sum("outpatient_services").alias("total_outpatient_services"),
-        F.round(F.avg("avg_total_payments"), 2).alias("avg_outpatient_payment"),
+        mean_round("avg_total_payments", 2).alias("avg_outpatient_payment"),
     )
     i, o = inp.alias("i"), out.alias("o")
     joined = i.join(

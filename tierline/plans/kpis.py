@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import pct_change
+from tierline.functions.metrics import mean_round, pct_change
 
 
 def _avg(c: str, digits: int, name: str):
-    return F.round(F.avg(c), digits).alias(name)
+    return mean_round(c, digits).alias(name)
 
 
 def kpi_cost_by_state(fact: DataFrame, year: int) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import pct_change, ratio, trend_label
+from tierline.functions.metrics import mean_round, pct_change, ratio, trend_label
 from tierline.operators.ranking import percent_rank_of, with_rank_stats
 from tierline.plans.kpis import yearly_state_cost
 
 
 def _avg(c: str, digits: int, name: str):
-    return F.round(F.avg(c), digits).alias(name)
+    return mean_round(c, digits).alias(name)
 
 
 def vw_cost_by_state(fact: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import ratio
+from tierline.functions.metrics import mean_round, mean_value, ratio
 from tierline.operators.ranking import cume_dist_of, percent_rank_of, with_ntiles, with_rank_stats
 from tierline.plans.kpis import yearly_state_cost
 
@@ -87,7 +87,7 @@ def win_rolling_avg(fact: DataFrame) -> DataFrame:
         "census_region",
         "year",
         "avg_cost",
-        F.round(F.avg("avg_cost").over(w.rowsBetween(-1, Window.currentRow)), 2).alias("rolling_2yr_avg_cost"),
+        mean_round("avg_cost", 2, w.rowsBetween(-1, Window.currentRow)).alias("rolling_2yr_avg_cost"),
         F.sum("total_discharges")
         .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         .alias("cumulative_discharges"),
@@ -147,7 +147,7 @@ def win_percentiles(fact: DataFrame, year: int, k: int = 50) -> DataFrame:
 def win_vs_group_avg(fact: DataFrame, year: int) -> DataFrame:
     """Provider cost against the state-year mean (AVG OVER PARTITION BY)."""
     rows = fact.filter(F.col("year") == year)
-    means = rows.groupBy("state_code", "year").agg(F.avg("avg_inpatient_payment").alias("state_mean"))
+    means = rows.groupBy("state_code", "year").agg(mean_value("avg_inpatient_payment").alias("state_mean"))
     r, m = rows.alias("r"), means.alias("m")
     joined = r.join(
         m, F.col("r.state_code").eqNullSafe(F.col("m.state_code")) & (F.col("r.year") == F.col("m.year"))
