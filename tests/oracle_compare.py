@@ -48,7 +48,7 @@ def rows_multiset(columns: list[str], rows, digits: int) -> Counter:
     return Counter(tuple(_norm(r[i], digits) for i in order) for r in rows)
 
 
-def compare(spark, con, key: str, fn, sql: str, sf_dir: str, digits: int = 12) -> dict:
+def compare(spark, con, key: str, fn, sql: str, sf_dir: str, digits: int = 17) -> dict:
     sdf = fn(spark, sf_dir)
     s_cols = sdf.columns
     s_rows = [tuple(r) for r in sdf.collect()]
