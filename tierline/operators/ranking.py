@@ -170,11 +170,11 @@ def cume_dist_of(le: Column | str = LE, cnt: Column | str = CNT) -> Column:
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
     """One row of PERCENTILE_DISC values: the smallest x with cume_dist >= p.
 
-    NULLs are ignored; the row also carries ``_cnt`` (non-null rows).
-    Distributed (range sort), never gathering the column into one task.
+    NULLs are ignored.  Distributed (range sort on value plus a row id, so a
+    hot value is split too), never gathering the column into one task.
     """
-    vals = df.select(value).filter(F.col(value).isNotNull())
-    positioned = add_positions(vals, [F.col(value).asc()])
+    vals = df.filter(F.col(value).isNotNull()).select(value, F.monotonically_increasing_id().alias("_row"))
+    positioned = add_positions(vals, [F.col(value).asc(), F.col("_row").asc()])
     picks = [
         F.min(
             F.when(F.col(POS) == F.greatest(F.lit(1), F.ceil(F.col(CNT) * F.lit(p))), F.col(value))

@@ -73,8 +73,12 @@ def explore_distribution(raw_inpatient: DataFrame, value: str = "average_total_p
     """min / max / mean / sample stddev and exact quartiles (PERCENTILE_DISC:
     the smallest value whose cumulative share reaches p) in one aggregate
     over the range-sorted, numbered values."""
-    vals = raw_inpatient.select(value).filter(F.col(value).isNotNull())
-    positioned = add_positions(vals, [F.col(value).asc()])
+    # The row id is only a tie-breaker for the range sort, so a value held
+    # by a third of the rows is still split across range partitions.
+    vals = raw_inpatient.filter(F.col(value).isNotNull()).select(
+        value, F.monotonically_increasing_id().alias("_row")
+    )
+    positioned = add_positions(vals, [F.col(value).asc(), F.col("_row").asc()])
     picks = [
         F.min(F.when(F.col(POS) == F.greatest(F.lit(1), F.ceil(F.col(CNT) * F.lit(p))), F.col(value))).alias(name)
         for name, p in QUARTILES.items()
