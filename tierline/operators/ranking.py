@@ -88,9 +88,11 @@ def add_positions(
             ).alias("_before"),
             F.sum("_bn").over(group).alias(CNT),
         )
-        .checkpoint(eager=True)
+        .persist()
     )
     # Size check before broadcasting: blocks <= range partitions + groups.
+    # (Cached, not checkpointed: it is a deterministic function of the
+    # checkpointed ranges, so a lost block is recomputed identically.)
     small = blocks.limit(max_broadcast_blocks + 1).count() <= max_broadcast_blocks
     right = F.broadcast(blocks) if small else blocks
     l, r = local.alias("_l"), right.alias("_r")

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierline.operators.quality import stack
-from tierline.plans.warehouse import MODEL_ORDER, Warehouse
+from tierline.plans.warehouse import MODEL_LEVELS, MODEL_ORDER, Warehouse
 from tierline.session import scratch_path
 from tierline.sources.sinks import write_table
 
 
-def materialise(wh: Warehouse, out_dir: str | None = None, fmt: str = "parquet") -> Warehouse:
+def materialise(
+    wh: Warehouse, out_dir: str | None = None, fmt: str = "parquet", concurrent: bool = True
+) -> Warehouse:
     """Write every model in dependency order and rebind it to the stored
     table, so each layer reads the previous layer's table, like CTAS files
     run in order.  ``out_dir`` defaults to a fresh folder under the shared
-    checkpoint location (a refresh never overwrites a table being read)."""
+    checkpoint location (a refresh never overwrites a table being read).
+
+    With ``concurrent`` the independent models of one build level are
+    submitted as parallel Spark jobs (small dimensions no longer wait behind
+    the large staging writes); levels still run in order.
+    """
     base = (out_dir or scratch_path(wh.spark, "warehouse")).rstrip("/")
     built = Warehouse(wh.spark, wh.raw, wh.params, wh.state_names, wh.state_regions)
-    for name in MODEL_ORDER:
-        built.stored[name] = write_table(built.model(name), f"{base}/{name}", fmt)
+
+    def write(name: str) -> tuple[str, DataFrame]:
+        return name, write_table(built.model(name), f"{base}/{name}", fmt)
+
+    for level in MODEL_LEVELS:
+        if concurrent and len(level) > 1:
+            for name in level:  # resolve the memoised plans before fanning out
+                built.model(name)
+            with ThreadPoolExecutor(max_workers=len(level)) as pool:
+                done = list(pool.map(write, level))
+        else:
+            done = [write(n) for n in level]
+        built.stored.update(done)
     return built
 
 

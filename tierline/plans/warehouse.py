@@ -56,6 +56,24 @@ MODEL_ORDER = (
 )
 
 
+# Build levels: every model depends only on models of earlier levels, so the
+# models of one level can be written concurrently.
+MODEL_LEVELS = (
+    ("stg_inpatient_charges", "stg_outpatient_charges", "stg_physicians"),
+    (
+        "int_provider_inpatient_summary",
+        "int_provider_outpatient_summary",
+        "int_physician_summary",
+        "int_state_metrics",
+        "dim_provider",
+        "dim_region",
+        "dim_date",
+    ),
+    ("int_provider_combined",),
+    ("fact_healthcare_metrics",),
+)
+
+
 @dataclass
 class Warehouse:
     spark: SparkSession
