@@ -81,11 +81,17 @@ def test_tile_sizes_differ_by_at_most_one(spark):
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1 and sum(sizes) == 1003
 
 
-def test_no_single_partition_exchange(spark):
+def test_rows_never_meet_in_one_partition(spark):
+    """The only single-partition exchange is over the block table (one row
+    per range partition), never over the data rows."""
     df = spark.createDataFrame(_data(200, 5), SCHEMA)
     out = with_ntiles(df, {"t": 4}, [F.col("v").asc_nulls_first(), F.col("id").asc()])
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    out.collect()
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert singles, "expected the block table's global prefix sum"
+    for i in singles:
+        assert "HashAggregate(keys=[_pid" in lines[i + 1], lines[i : i + 2]
 
 
 def test_exact_quantiles_are_percentile_disc(spark):
