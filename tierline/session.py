@@ -23,6 +23,9 @@ SCALE_DEFAULTS: dict[str, str] = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # checkpoint files of collected plans are removed, so a long-lived
+    # session does not fill the shared folder
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
