@@ -107,3 +107,22 @@ def test_exact_quantiles_are_percentile_disc(spark):
         return vals[max(1, math.ceil(p * n)) - 1]
 
     assert (got["p25"], got["p50"], got["p75"]) == (disc(0.25), disc(0.5), disc(0.75))
+
+
+@pytest.mark.parametrize("rows", CASES)
+@pytest.mark.parametrize("k", [1, 7, 1000])
+def test_top_k_rank_stats_match_plain_window(spark, rows, k):
+    from tierline.operators.ranking import top_k_with_rank_stats
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = top_k_with_rank_stats(df, "v", k, [F.col("id").asc()]).select(
+        "id", percent_rank_of().alias("pr"), cume_dist_of().alias("cd")
+    )
+    wv = Window.orderBy(F.col("v").asc_nulls_first())
+    want = (
+        df.select("id", "v", F.percent_rank().over(wv).alias("pr"), F.cume_dist().over(wv).alias("cd"))
+        .orderBy(F.col("v").desc_nulls_last(), F.col("id").asc())
+        .limit(k)
+        .select("id", "pr", "cd")
+    )
+    assert sorted(got.collect()) == sorted(want.collect())

@@ -184,3 +184,48 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataF
         for name, p in probs.items()
     ]
     return positioned.agg(*picks)
+
+
+
+def top_k_with_rank_stats(
+    df: DataFrame,
+    value: str,
+    k: int,
+    tie_breakers: Sequence[Column] = (),
+) -> DataFrame:
+    """The ``k`` rows with the largest ``value`` (NULLs last, then
+    ``tie_breakers``) with ``_rank``, ``_le`` and ``_cnt`` of the *ascending*
+    order over all rows (NULLs first) — PERCENT_RANK / CUME_DIST of a top-k
+    report without ranking every row.
+
+    A top row's statistics depend only on the rows at or above its value, and
+    every such row is itself in the top k.  So: one top-k pass (per-task top
+    k, no sort of the data), three scalars (threshold, row and NULL counts),
+    one count per distinct value >= threshold (at most k values; the filter
+    reaches the scan), and a broadcast join of that bounded table.
+    """
+    v = F.col(value)
+    top = df.orderBy(v.desc_nulls_last(), *tie_breakers).limit(k)
+    threshold = top.agg(F.min(value)).first()[0]
+    n, nulls = df.agg(F.count(F.lit(1)), F.count_if(v.isNull())).first()
+    dtype = df.schema[value].dataType.simpleString()
+    if threshold is None:  # no non-null value among the top rows
+        counts = df.sparkSession.createDataFrame([], f"`{value}` {dtype}, _ge bigint, _gt bigint")
+    else:
+        above = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = (
+            df.filter(v >= F.lit(threshold))
+            .groupBy(value)
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .select(value, F.sum("_n").over(above).alias("_ge"), "_n")
+            .select(value, "_ge", (F.col("_ge") - F.col("_n")).alias("_gt"))
+        )
+    t, c = top.alias("_top"), F.broadcast(counts).alias("_c")
+    is_null = F.col(f"_top.`{value}`").isNull()
+    total = F.lit(n).cast("bigint")
+    return t.join(c, F.col(f"_top.`{value}`") == F.col(f"_c.`{value}`"), "left").select(
+        *[F.col(f"_top.`{col}`") for col in df.columns],
+        F.when(is_null, F.lit(1).cast("bigint")).otherwise(total - F.col("_c._ge") + 1).alias(RANK),
+        F.when(is_null, F.lit(nulls).cast("bigint")).otherwise(total - F.col("_c._gt")).alias(LE),
+        total.alias(CNT),
+    )

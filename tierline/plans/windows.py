@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.functions.metrics import mean_round, mean_value, ratio
-from tierline.operators.ranking import cume_dist_of, percent_rank_of, with_ntiles, with_rank_stats
+from tierline.operators.ranking import cume_dist_of, percent_rank_of, top_k_with_rank_stats, with_ntiles
 from tierline.plans.kpis import yearly_state_cost
 
 QUARTILE_LABELS = (
@@ -124,23 +124,22 @@ def win_ntile(fact: DataFrame, year: int, quartiles: int = 4, deciles: int = 10)
 
 
 def win_percentiles(fact: DataFrame, year: int, k: int = 50) -> DataFrame:
+    """Top-k by cost with PERCENT_RANK / CUME_DIST over the whole year.
+
+    Only the top rows are reported, so only they are ranked: their ranks
+    depend on the rows at or above them, which are all in the top k.
+    """
     base = fact.filter(F.col("year") == year).select("provider_id", "provider_name", "state_code", "avg_inpatient_payment")
-    ranked = with_rank_stats(
-        base,
-        "avg_inpatient_payment",
-        [F.col("avg_inpatient_payment").asc_nulls_first(), F.col("provider_id").asc_nulls_first()],
-    )
-    return (
-        ranked.orderBy(F.col("avg_inpatient_payment").desc_nulls_last(), F.col("provider_id").asc_nulls_first())
-        .limit(k)
-        .select(
-            "provider_id",
-            "provider_name",
-            "state_code",
-            F.round("avg_inpatient_payment", 2).alias("avg_cost"),
-            F.round(percent_rank_of() * 100, 1).alias("cost_percentile"),
-            F.round(cume_dist_of() * 100, 1).alias("cumulative_dist_pct"),
-        )
+    ranked = top_k_with_rank_stats(base, "avg_inpatient_payment", k, [F.col("provider_id").asc_nulls_first()])
+    return ranked.orderBy(
+        F.col("avg_inpatient_payment").desc_nulls_last(), F.col("provider_id").asc_nulls_first()
+    ).select(
+        "provider_id",
+        "provider_name",
+        "state_code",
+        F.round("avg_inpatient_payment", 2).alias("avg_cost"),
+        F.round(percent_rank_of() * 100, 1).alias("cost_percentile"),
+        F.round(cume_dist_of() * 100, 1).alias("cumulative_dist_pct"),
     )
 
 
