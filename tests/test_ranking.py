@@ -126,3 +126,34 @@ def test_top_k_rank_stats_match_plain_window(spark, rows, k):
         .select("id", "pr", "cd")
     )
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def _disc(vals, p):
+    import math
+
+    vals = sorted(vals)
+    return vals[max(1, math.ceil(p * len(vals))) - 1] if vals else None
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.4])
+def test_exact_quantiles_by_selection(spark, hot):
+    rnd = random.Random(7)
+    rows = [(i, "a", (3.5 if rnd.random() < hot else float(rnd.randint(0, 5000)) / 7) if rnd.random() > 0.05 else None)
+            for i in range(30000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    probs = {"p0": 0.0, "p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p999": 0.999, "p1": 1.0}
+    got = exact_quantiles(df, "v", probs).first()
+    vals = [v for _, _, v in rows if v is not None]
+    assert {k: got[k] for k in probs} == {k: _disc(vals, p) for k, p in probs.items()}
+
+
+def test_exact_quantiles_sort_fallback_and_empty(spark):
+    from tierline.operators.ranking import _quantile_by_sort
+
+    rows = _data(700, 13)
+    df = spark.createDataFrame(rows, SCHEMA).filter(F.col("v").isNotNull()).select("v")
+    vals = [v for _, _, v in rows if v is not None]
+    for p in (0.1, 0.5, 0.9):
+        assert _quantile_by_sort(df, "v", p).first()[0] == _disc(vals, p)
+    empty = spark.createDataFrame([(1, "a", None)], SCHEMA)
+    assert tuple(exact_quantiles(empty, "v", {"p50": 0.5}).first()) == (None,)

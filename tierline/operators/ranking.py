@@ -25,7 +25,9 @@ it is already distributed by that key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,23 +171,64 @@ def cume_dist_of(le: Column | str = LE, cnt: Column | str = CNT) -> Column:
     return a / n
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
-    """One row of PERCENTILE_DISC values: the smallest x with cume_dist >= p.
-
-    NULLs are ignored.  Distributed (range sort on value plus a row id, so a
-    hot value is split too), never gathering the column into one task.
-    """
-    vals = df.filter(F.col(value).isNotNull()).select(value, F.monotonically_increasing_id().alias("_row"))
-    positioned = add_positions(vals, [F.col(value).asc(), F.col("_row").asc()])
-    picks = [
-        F.min(
-            F.when(F.col(POS) == F.greatest(F.lit(1), F.ceil(F.col(CNT) * F.lit(p))), F.col(value))
-        ).alias(name)
-        for name, p in probs.items()
-    ]
-    return positioned.agg(*picks)
+def _quantile_by_sort(vals: DataFrame, value: str, p: float) -> DataFrame:
+    """PERCENTILE_DISC(p) by numbering every value (distributed range sort)."""
+    keyed = vals.select(value, F.monotonically_increasing_id().alias("_row"))
+    positioned = add_positions(keyed, [F.col(value).asc(), F.col("_row").asc()])
+    target = F.greatest(F.lit(1), F.ceil(F.col(CNT) * F.lit(p)))
+    return positioned.agg(F.min(F.when(F.col(POS) == target, F.col(value))).alias(value))
 
 
+def exact_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], rows_per_bracket: int = 1_000_000
+) -> DataFrame:
+    """One row of PERCENTILE_DISC values: the smallest x whose cumulative
+    share of the non-NULL values reaches p.
+
+    Selection, not sorting: ``percentile_approx`` (rank error <= n/accuracy,
+    accuracy scaled so a bracket of +-2 errors holds about
+    ``rows_per_bracket`` rows) brackets each quantile; one aggregate counts
+    the rows below and up to each bracket; only the bracket's *distinct*
+    values are ranked (a hot value is one row there).  Three passes over the
+    data and no shuffle of it.  If a bracket misses its target (it cannot
+    with the sketch's guarantee) that quantile falls back to the
+    distributed sort.
+    """
+    v = F.col(value)
+    vals = df.filter(v.isNotNull()).select(value)
+    n = vals.count()
+    dtype = df.schema[value].dataType.simpleString()
+    if n == 0:
+        return df.sparkSession.createDataFrame([tuple(None for _ in probs)], ", ".join(f"`{k}` {dtype}" for k in probs))
+    accuracy = int(min(2**31 - 1, max(10_000, math.ceil(4 * n / rows_per_bracket))))
+    margin = 2.0 / accuracy
+    bounds = {k: (max(0.0, p - margin), min(1.0, p + margin)) for k, p in probs.items()}
+    levels = sorted({b for pair in bounds.values() for b in pair})
+    approx = dict(zip(levels, vals.agg(F.percentile_approx(value, levels, accuracy)).first()[0]))
+    counts = vals.agg(
+        *[F.count_if(v < F.lit(approx[lo])).alias(f"{k}_below") for k, (lo, _) in bounds.items()],
+        *[F.count_if(v <= F.lit(approx[hi])).alias(f"{k}_upto") for k, (_, hi) in bounds.items()],
+    ).first()
+    picks = []
+    for k, p in probs.items():
+        target = max(1, math.ceil(p * n))
+        lo, hi = approx[bounds[k][0]], approx[bounds[k][1]]
+        below, upto = counts[f"{k}_below"], counts[f"{k}_upto"]
+        if not below < target <= upto:
+            pick = _quantile_by_sort(vals, value, p)
+        else:
+            upward = Window.orderBy(v.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            pick = (
+                vals.filter((v >= F.lit(lo)) & (v <= F.lit(hi)))
+                .groupBy(value)
+                .agg(F.count(F.lit(1)).alias("_n"))
+                .select(value, (F.lit(below) + F.sum("_n").over(upward)).alias("_cum"))
+                .filter(F.col("_cum") >= target)
+                .agg(F.min(value).alias(value))
+            )
+        picks.append(pick.select(F.lit(k).alias("_q"), F.col(value).alias("_v")))
+    stacked = reduce(DataFrame.unionByName, picks)
+    return stacked.agg(*[F.max(F.when(F.col("_q") == k, F.col("_v"))).alias(k) for k in probs])
 
 def top_k_with_rank_stats(
     df: DataFrame,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tierline.functions.metrics import mean_round, mean_value
 from tierline.operators.quality import null_profile, stack
-from tierline.operators.ranking import CNT, POS, add_positions
+from tierline.operators.ranking import exact_quantiles
 from tierline.sources.readers import RawSources
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -71,19 +71,14 @@ def _moments(c: str) -> list:
 
 def explore_distribution(raw_inpatient: DataFrame, value: str = "average_total_payments") -> DataFrame:
     """min / max / mean / sample stddev and exact quartiles (PERCENTILE_DISC:
-    the smallest value whose cumulative share reaches p) in one aggregate
-    over the range-sorted, numbered values."""
-    # The row id is only a tie-breaker for the range sort, so a value held
-    # by a third of the rows is still split across range partitions.
-    vals = raw_inpatient.filter(F.col(value).isNotNull()).select(
-        value, F.monotonically_increasing_id().alias("_row")
-    )
-    positioned = add_positions(vals, [F.col(value).asc(), F.col("_row").asc()])
-    picks = [
-        F.min(F.when(F.col(POS) == F.greatest(F.lit(1), F.ceil(F.col(CNT) * F.lit(p))), F.col(value))).alias(name)
-        for name, p in QUARTILES.items()
-    ]
-    return positioned.agg(*_moments(value), *picks)
+    the smallest value whose cumulative share reaches p).  The quartiles
+    come from the selection in ``exact_quantiles`` (no sort of the column);
+    the two one-row results are stacked and folded into one row."""
+    moments = raw_inpatient.agg(*_moments(value))
+    quartiles = exact_quantiles(raw_inpatient, value, QUARTILES)
+    cols = moments.columns + list(QUARTILES)
+    stacked = moments.unionByName(quartiles, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in cols])
 
 
 def explore_distribution_approx(
