@@ -231,3 +231,19 @@ def test_zscore_outliers(spark):
     spike = _fact(spark, [(f"p{i}", "S", 2015, 100.0) for i in range(20)] + [("x", "S", 2015, 10000.0)])
     got = quality.dq_outliers_zscore(spike, 2015, 3.0).collect()
     assert [r.provider_id for r in got] == ["x"] and got[0].z_score > 3
+
+
+def test_materialise_into_catalog_and_query_by_name(spark, wh, tmp_path):
+    from tierline.plans.pipeline import register_tables
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS fixture_wh LOCATION '{tmp_path / 'db'}'")
+    built = materialise(wh, database="fixture_wh")
+    assert spark.table("fixture_wh.fact_healthcare_metrics").count() == 9
+    assert built.fact.count() == 9
+    rebuilt = materialise(wh, database="fixture_wh")  # full refresh replaces the tables
+    assert rebuilt.fact.count() == 9
+    register_tables(rebuilt, prefix="fx_")
+    got = spark.sql(
+        "SELECT census_region, COUNT(*) AS n FROM fx_fact_healthcare_metrics GROUP BY census_region"
+    ).collect()
+    assert sum(r.n for r in got) == 9

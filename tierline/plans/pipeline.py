@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from tierline.operators.quality import stack
 from tierline.plans.warehouse import MODEL_LEVELS, MODEL_ORDER, Warehouse
 from tierline.session import scratch_path
-from tierline.sources.sinks import write_table
+from tierline.sources.sinks import save_as_table, write_table
 
 
 def materialise(
-    wh: Warehouse, out_dir: str | None = None, fmt: str = "parquet", concurrent: bool = True
+    wh: Warehouse,
+    out_dir: str | None = None,
+    fmt: str = "parquet",
+    concurrent: bool = True,
+    database: str | None = None,
 ) -> Warehouse:
     """Write every model in dependency order and rebind it to the stored
     table, so each layer reads the previous layer's table, like CTAS files
@@ -24,11 +28,20 @@ def materialise(
     With ``concurrent`` the independent models of one build level are
     submitted as parallel Spark jobs (small dimensions no longer wait behind
     the large staging writes); levels still run in order.
+
+    With ``database`` the models become catalog tables ``database.<model>``
+    (``saveAsTable``) instead of folders.  Each level reads the tables of the
+    previous levels only, so no table is overwritten while it is read; as with
+    any replaced table, handles from an earlier build are stale afterwards —
+    use the returned warehouse.
     """
-    base = (out_dir or scratch_path(wh.spark, "warehouse")).rstrip("/")
     built = Warehouse(wh.spark, wh.raw, wh.params, wh.state_names, wh.state_regions)
+    if database is None:
+        base = (out_dir or scratch_path(wh.spark, "warehouse")).rstrip("/")
 
     def write(name: str) -> tuple[str, DataFrame]:
+        if database is not None:
+            return name, save_as_table(built.model(name), f"{database}.{name}", fmt)
         return name, write_table(built.model(name), f"{base}/{name}", fmt)
 
     for level in MODEL_LEVELS:
@@ -48,3 +61,13 @@ def table_row_counts(wh: Warehouse) -> DataFrame:
     return stack(
         [wh.model(n).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for n in MODEL_ORDER]
     )
+
+
+def register_tables(wh: Warehouse, prefix: str = "") -> list[str]:
+    """Publish every model as a temporary view named after it, so the
+    warehouse can be queried with ``spark.sql`` by table name."""
+    names = []
+    for name in MODEL_ORDER:
+        wh.model(name).createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names

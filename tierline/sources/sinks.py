@@ -17,3 +17,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     return df.sparkSession.read.format(fmt).load(path)
+
+
+def save_as_table(df: DataFrame, table: str, fmt: str = "parquet") -> DataFrame:
+    """CREATE OR REPLACE TABLE ``table`` AS ``df`` in the session catalog and
+    return the stored table."""
+    df.write.mode("overwrite").format(fmt).saveAsTable(table)
+    return df.sparkSession.read.table(table)
