@@ -47,8 +47,9 @@ def _half_up_div(num: str, den: str) -> str:
 
 def _mean_units(x: str, over: str = "") -> str:
     """Exact mean in 1e-6 units, as tierline.functions.metrics.exact_mean:
-    values quantised to 6 decimals half-up, summed exactly, divided half-up."""
-    units = f"CAST(SUM(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,6))){over} * 1000000 AS HUGEINT)"
+    values quantised to micro-units floor(x * 1e6 + 0.5), summed exactly,
+    divided half-up."""
+    units = f"CAST(SUM(CAST(floor(CAST({x} AS DOUBLE) * 1000000.0 + 0.5) AS BIGINT)){over} AS HUGEINT)"
     n = f"COUNT({x}){over}"
     return f"(CASE WHEN {n} > 0 THEN {_half_up_div(units, n)} END)"
 

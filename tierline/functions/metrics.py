@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-# Exact means: values are quantised to 6 decimals (half-up) and summed as
-# DECIMAL, so the mean does not depend on partitioning or summation order.
+# Exact means: values are quantised to 6 decimals and summed exactly, so
+# the mean does not depend on partitioning or summation order.
 # A double sum does, and the reference rounds means of cent amounts, whose
 # exact value is often a half-way case (x.xx5): with doubles the rounded KPI
 # could flip between runs of the same job on a cluster.
@@ -89,14 +89,29 @@ def pass_fail(condition: Column) -> Column:
     return F.when(condition, F.lit("PASS")).otherwise(F.lit("FAIL"))
 
 
+_MICRO = 1_000_000
+_SPLIT_BITS = 24
+
+
 def exact_mean(c: Column | str, window: WindowSpec | None = None) -> Column:
-    """AVG(c) as decimal(38,6): exact sum of 6-decimal values / count,
-    rounded half-up; NULL when no value.  ``window`` makes it AVG() OVER."""
-    x = _col(c).cast(EXACT_TYPE)
-    total, n = F.sum(x), F.count(x)
+    """AVG(c) as decimal(38,6), independent of summation order.
+
+    Per row only double and long arithmetic: the value becomes integer
+    micro-units ``floor(x * 1e6 + 0.5)``, split into high and low 24-bit
+    halves that are summed as longs (no overflow even for a group holding a
+    third of 10^12 rows).  Per group the halves are recombined as an exact
+    decimal and divided half-up at 6 decimals.  NULL when no value.
+    ``window`` makes it AVG() OVER.
+    """
+    units = F.floor(_col(c).cast("double") * F.lit(float(_MICRO)) + F.lit(0.5))
+    high = F.shiftright(units, _SPLIT_BITS)
+    low = units - F.shiftleft(high, _SPLIT_BITS)
+    s_high, s_low, n = F.sum(high), F.sum(low), F.count(units)
     if window is not None:
-        total, n = total.over(window), n.over(window)
-    return F.try_divide(total, n)
+        s_high, s_low, n = s_high.over(window), s_low.over(window), n.over(window)
+    total_units = s_high.cast("decimal(38,0)") * F.lit(1 << _SPLIT_BITS) + s_low
+    total = (total_units * F.lit(1 / _MICRO).cast("decimal(7,6)")).cast(EXACT_TYPE)
+    return F.try_divide(total, n).cast(EXACT_TYPE)
 
 
 def mean_value(c: Column | str, window: WindowSpec | None = None) -> Column:
