@@ -9,7 +9,7 @@ Usage: ``BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py``
   forced with a ``noop`` write so the whole result is computed, nothing
   collected.
 
-Each timing is the median of ``BENCH_RUNS`` warm runs (default 3) after one
+Each timing is the median of ``BENCH_RUNS`` warm runs (default 5) after one
 warm-up.  Prints one JSON line.
 """
 
@@ -45,7 +45,7 @@ def _median_time(fn, runs: int) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = build_session(
         f"local[{cpus}]",
         app_name="tierline-bench",

@@ -157,3 +157,21 @@ def test_exact_quantiles_sort_fallback_and_empty(spark):
         assert _quantile_by_sort(df, "v", p).first()[0] == _disc(vals, p)
     empty = spark.createDataFrame([(1, "a", None)], SCHEMA)
     assert tuple(exact_quantiles(empty, "v", {"p50": 0.5}).first()) == (None,)
+
+
+def test_exact_quantiles_large_bracket_path(spark, monkeypatch):
+    # heavy ties make every bracket hold hundreds of rows > rows_per_bracket,
+    # forcing the distributed ranking of the bracket
+    import tierline.operators.ranking as R
+
+    calls = []
+    real = R._kth_by_sort
+    monkeypatch.setattr(R, "_kth_by_sort", lambda *a: calls.append(a[2]) or real(*a))
+    rnd = random.Random(3)
+    rows = [(i, "a", float(rnd.randint(0, 50))) for i in range(40000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    got = R.exact_quantiles(df, "v", probs, rows_per_bracket=2).first()
+    vals = [v for _, _, v in rows]
+    assert len(calls) == 3
+    assert {k: got[k] for k in probs} == {k: _disc(vals, p) for k, p in probs.items()}

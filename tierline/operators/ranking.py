@@ -40,6 +40,7 @@ RANK = "_rank"
 LE = "_le"
 
 DEFAULT_MAX_BROADCAST_BLOCKS = 200_000
+MAX_SKETCH_ACCURACY = 100_000
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
@@ -171,8 +172,17 @@ def cume_dist_of(le: Column | str = LE, cnt: Column | str = CNT) -> Column:
     return a / n
 
 
+def _kth_by_sort(vals: DataFrame, value: str, k: int | Column) -> DataFrame:
+    """The k-th smallest value (1-based) by numbering every value (distributed
+    range sort on value plus a row id, so a hot value is split)."""
+    keyed = vals.select(value, F.monotonically_increasing_id().alias("_row"))
+    positioned = add_positions(keyed, [F.col(value).asc(), F.col("_row").asc()])
+    kk = k if isinstance(k, Column) else F.lit(k)
+    return positioned.agg(F.min(F.when(F.col(POS) == kk, F.col(value))).alias(value))
+
+
 def _quantile_by_sort(vals: DataFrame, value: str, p: float) -> DataFrame:
-    """PERCENTILE_DISC(p) by numbering every value (distributed range sort)."""
+    """PERCENTILE_DISC(p) by numbering every value."""
     keyed = vals.select(value, F.monotonically_increasing_id().alias("_row"))
     positioned = add_positions(keyed, [F.col(value).asc(), F.col("_row").asc()])
     target = F.greatest(F.lit(1), F.ceil(F.col(CNT) * F.lit(p)))
@@ -188,45 +198,71 @@ def exact_quantiles(
     Selection, not sorting: ``percentile_approx`` (rank error <= n/accuracy,
     accuracy scaled so a bracket of +-2 errors holds about
     ``rows_per_bracket`` rows) brackets each quantile; one aggregate counts
-    the rows below and up to each bracket; only the bracket's *distinct*
-    values are ranked (a hot value is one row there).  Three passes over the
-    data and no shuffle of it.  If a bracket misses its target (it cannot
+    the rows below and up to each bracket; only the brackets' *distinct*
+    values are ranked, all brackets in one pass (a hot value is one row
+    there).  A handful of passes over the data and no shuffle of its rows.  If a bracket misses its target (it cannot
     with the sketch's guarantee) that quantile falls back to the
     distributed sort.
     """
     v = F.col(value)
     vals = df.filter(v.isNotNull()).select(value)
-    n = vals.count()
     dtype = df.schema[value].dataType.simpleString()
+    # passes 1-2: the size, then the sketch (its accuracy is chosen from n)
+    n = vals.count()
     if n == 0:
         return df.sparkSession.createDataFrame([tuple(None for _ in probs)], ", ".join(f"`{k}` {dtype}" for k in probs))
-    accuracy = int(min(2**31 - 1, max(10_000, math.ceil(4 * n / rows_per_bracket))))
+    # Sketch buffers grow with the accuracy and all meet in the final merge,
+    # so it is capped; a bracket that is then larger than rows_per_bracket
+    # is ranked with the distributed sort (of the bracket only).
+    accuracy = int(min(MAX_SKETCH_ACCURACY, max(10_000, math.ceil(4 * n / rows_per_bracket))))
     margin = 2.0 / accuracy
     bounds = {k: (max(0.0, p - margin), min(1.0, p + margin)) for k, p in probs.items()}
     levels = sorted({b for pair in bounds.values() for b in pair})
     approx = dict(zip(levels, vals.agg(F.percentile_approx(value, levels, accuracy)).first()[0]))
+    lo = {k: approx[a] for k, (a, _) in bounds.items()}
+    hi = {k: approx[b] for k, (_, b) in bounds.items()}
+    # pass 3: exact counts below / up to every bracket
     counts = vals.agg(
-        *[F.count_if(v < F.lit(approx[lo])).alias(f"{k}_below") for k, (lo, _) in bounds.items()],
-        *[F.count_if(v <= F.lit(approx[hi])).alias(f"{k}_upto") for k, (_, hi) in bounds.items()],
+        *[F.count_if(v < F.lit(lo[k])).alias(f"{k}_below") for k in probs],
+        *[F.count_if(v <= F.lit(hi[k])).alias(f"{k}_upto") for k in probs],
     ).first()
+    target = {k: max(1, math.ceil(p * n)) for k, p in probs.items()}
+    below = {k: counts[f"{k}_below"] for k in probs}
+    upto = {k: counts[f"{k}_upto"] for k in probs}
+    valid = [k for k in probs if below[k] < target[k] <= upto[k]]
+    good = [k for k in valid if upto[k] - below[k] <= rows_per_bracket]
     picks = []
-    for k, p in probs.items():
-        target = max(1, math.ceil(p * n))
-        lo, hi = approx[bounds[k][0]], approx[bounds[k][1]]
-        below, upto = counts[f"{k}_below"], counts[f"{k}_upto"]
-        if not below < target <= upto:
-            pick = _quantile_by_sort(vals, value, p)
+    for k in probs:
+        if k not in valid:  # cannot happen with the sketch's guarantee; stay exact anyway
+            pick = _quantile_by_sort(vals, value, probs[k])
+        elif k not in good:  # large bracket: rank only its rows, distributed
+            bracket = vals.filter((v >= F.lit(lo[k])) & (v <= F.lit(hi[k])))
+            pick = _kth_by_sort(bracket, value, target[k] - below[k])
         else:
-            upward = Window.orderBy(v.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            pick = (
-                vals.filter((v >= F.lit(lo)) & (v <= F.lit(hi)))
-                .groupBy(value)
-                .agg(F.count(F.lit(1)).alias("_n"))
-                .select(value, (F.lit(below) + F.sum("_n").over(upward)).alias("_cum"))
-                .filter(F.col("_cum") >= target)
-                .agg(F.min(value).alias(value))
-            )
+            continue
         picks.append(pick.select(F.lit(k).alias("_q"), F.col(value).alias("_v")))
+    if good:
+        # pass 4: every bracket at once -- rows tagged with the brackets they
+        # fall in, collapsed per (bracket, value), prefix-summed per bracket
+        inside = {k: (v >= F.lit(lo[k])) & (v <= F.lit(hi[k])) for k in good}
+        tagged = vals.filter(reduce(lambda a, b: a | b, inside.values())).select(
+            value, F.explode(F.array(*[F.when(inside[k], F.lit(k)) for k in good])).alias("_q")
+        )
+        per_value = tagged.filter(F.col("_q").isNotNull()).groupBy("_q", value).agg(F.count(F.lit(1)).alias("_n"))
+        upward = Window.partitionBy("_q").orderBy(F.col(value).asc()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+
+        def by_bracket(values: dict) -> Column:
+            out = F.lit(None)
+            for k in good:
+                out = F.when(F.col("_q") == k, F.lit(values[k])).otherwise(out)
+            return out
+
+        reached = per_value.select(
+            "_q", value, (by_bracket(below) + F.sum("_n").over(upward)).alias("_cum")
+        ).filter(F.col("_cum") >= by_bracket(target))
+        picks.append(reached.groupBy("_q").agg(F.min(value).alias("_v")))
     stacked = reduce(DataFrame.unionByName, picks)
     return stacked.agg(*[F.max(F.when(F.col("_q") == k, F.col("_v"))).alias(k) for k in probs])
 
