@@ -2,8 +2,10 @@
 
 Usage: ``BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py``
 
-* ``pipeline_materialise`` — raw tables -> 12 stored models (staging,
-  intermediate, dimensions, fact), the way the reference is run;
+* ``raw_extract`` — the driver's tables mapped onto the raw source layout
+  and stored once (the raw layer is stored tables in the original system);
+* ``pipeline_materialise`` — stored raw tables -> 12 stored models
+  (staging, intermediate, dimensions, fact), the way the reference is run;
 * every other registered query — executed against the stored warehouse
   (exploration / staging keys read the raw sources, as in the reference),
   forced with a ``noop`` write so the whole result is computed, nothing
@@ -24,8 +26,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tierline.plans.pipeline import materialise  # noqa: E402
+from tierline.plans.warehouse import Warehouse  # noqa: E402
 from tierline.queries import MODEL_QUERIES, testdata_warehouse  # noqa: E402
-from tierline.session import build_session  # noqa: E402
+from tierline.session import build_session, scratch_path  # noqa: E402
+from tierline.sources.testdata import materialise_raw  # noqa: E402
 
 
 def _run(df) -> None:
@@ -56,9 +60,16 @@ def main() -> None:
 
     timings: dict[str, float] = {}
     built = {}
+    adapter = testdata_warehouse(spark, sf_dir)
+
+    def extract():
+        built["raw"] = materialise_raw(adapter.raw, scratch_path(spark, "raw"))
+
+    timings["raw_extract"] = _median_time(extract, runs)
+    stored_raw = Warehouse(spark, built["raw"], adapter.params, adapter.state_names, adapter.state_regions)
 
     def build():
-        built["wh"] = materialise(testdata_warehouse(spark, sf_dir))
+        built["wh"] = materialise(stored_raw)
 
     timings["pipeline_materialise"] = _median_time(build, runs)
     wh = built["wh"]

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierline.sources.readers import RawSources
+from tierline.sources.sinks import write_table
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -197,6 +198,20 @@ def raw_sources(spark: SparkSession, sf_dir: str, profile: TestdataProfile = PRO
     )
 
 
+def materialise_raw(raw: RawSources, out_dir: str) -> RawSources:
+    """Store every raw table (the adapter's output) once and return the
+    stored tables — the raw layer as the original system sees it: tables on
+    storage, not joins recomputed by every reader."""
+    def store(kind: str, tables: dict) -> dict:
+        return {y: write_table(df, f"{out_dir.rstrip('/')}/{kind}_{y}") for y, df in tables.items()}
+
+    return RawSources(
+        inpatient=store("inpatient_charges", dict(raw.inpatient)),
+        outpatient=store("outpatient_charges", dict(raw.outpatient)),
+        physicians=store("physicians_and_other_supplier", dict(raw.physicians)),
+    )
+
+
 def region_lookups(spark: SparkSession, sf_dir: str, profile: TestdataProfile = PROFILE) -> tuple[DataFrame, DataFrame]:
     """(name lookup, region lookup) derived from nation ⋈ region.
 
