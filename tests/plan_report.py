@@ -27,6 +27,27 @@ PATTERNS = {
 }
 
 
+NOTES = """
+## Reading the table
+
+- `SinglePartition` exchanges carry only bounded rows: the partial results of
+  a global aggregate (one row per task; counts, null profiles, health
+  checks), the ranking block table (one row per range partition), and the
+  quantile brackets' distinct values (at most `rows_per_bracket` per
+  bracket).  No data row passes through one.
+- `rangepartitioning` before a final `ORDER BY` sorts an aggregated result;
+  in `win_ntile` / `vw_provider_details` it is the distributed ranking's
+  range sort over the data (bounds sampled on value + tie-breaker).
+- Broadcast joins: fixed-size value maps, the ranking block table (size
+  checked), the top-k tie counts (at most k rows), per-year statistics, and
+  dimensions AQE measured as small at this scale; at 100 TB `dim_provider`
+  and the adapter's supplier / part joins become sort-merge joins.
+- `WindowGroupLimit` (QUALIFY rank <= 5, latest row per provider) cuts each
+  map task to the top rows per group before the shuffle.
+- Reports on the stored fact push `year = ...` into the Parquet scan.
+"""
+
+
 def final_plan(df) -> str:
     df.write.format("noop").mode("overwrite").save()
     qe = df._jdf.queryExecution()
@@ -64,6 +85,7 @@ def main(argv: list[str]) -> None:
         s = summarise(final_plan(df))
         pushed = "<br>".join(p.replace("|", "/") for p in s["pushed"]) or "—"
         print(f"| {key} | {fmt(s['exchange'])} | {fmt(s['join'])} | {fmt(s['window'])} | {fmt(s['topk'])} | {pushed} |")
+    print(NOTES)
     spark.stop()
 
 
