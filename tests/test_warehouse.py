@@ -247,3 +247,25 @@ def test_materialise_into_catalog_and_query_by_name(spark, wh, tmp_path):
         "SELECT census_region, COUNT(*) AS n FROM fx_fact_healthcare_metrics GROUP BY census_region"
     ).collect()
     assert sum(r.n for r in got) == 9
+
+
+def test_cli_over_raw_parquet(spark, tmp_path, capsys):
+    from tests.fixtures import INPATIENT_2014, INPATIENT_2015, OUTPATIENT_2015, PHYSICIANS_2014
+    from tierline.__main__ import main
+    from tierline.sources.schemas import INPATIENT, OUTPATIENT, PHYSICIANS
+
+    tables = {
+        "inpatient_charges:2015": (INPATIENT_2015, INPATIENT),
+        "inpatient_charges:2014": (INPATIENT_2014, INPATIENT),
+        "outpatient_charges:2015": (OUTPATIENT_2015, OUTPATIENT),
+        "physicians_and_other_supplier:2014": (PHYSICIANS_2014, PHYSICIANS),
+    }
+    args = []
+    for key, (rows, schema) in tables.items():
+        path = str(tmp_path / key.replace(":", "_"))
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        args += ["--raw", f"{key}={path}"]
+    main(args + ["--out", str(tmp_path / "wh"), "--report", "dq_duplicates_fact", "--report", "dim_region"])
+    out = capsys.readouterr().out
+    assert "== dq_duplicates_fact" in out and "10002" in out
+    assert "Washington DC" in out
