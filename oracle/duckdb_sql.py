@@ -768,6 +768,9 @@ GROUP BY provider_id, year HAVING COUNT(*) > 1 ORDER BY row_count DESC"""
     "dq_duplicates_region": with_models(
         "SELECT state_code, COUNT(*) AS row_count FROM dim_region GROUP BY state_code HAVING COUNT(*) > 1"
     ),
+    "dq_duplicates_order_lines": """
+SELECT l_orderkey, l_linenumber, COUNT(*) AS row_count FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""",
     "dq_orphans_provider": with_models(
         """
 SELECT f.provider_id, f.year, f.state_code

@@ -67,6 +67,11 @@ def dq_duplicates_region(dim_region: DataFrame) -> DataFrame:
     return duplicate_keys(dim_region, ["state_code"])
 
 
+def dq_duplicates_keys(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The same uniqueness check on any table and key."""
+    return duplicate_keys(table.select(*keys), keys).orderBy(F.col("row_count").desc(), *keys)
+
+
 def dq_orphans_provider(fact: DataFrame, dim_provider: DataFrame) -> DataFrame:
     return orphans(fact, dim_provider, "provider_id", "provider_id").select("provider_id", "year", "state_code")
 

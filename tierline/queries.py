@@ -144,7 +144,15 @@ def _over_testdata(fn: Callable[[Warehouse], DataFrame]) -> Query:
     return run
 
 
+def _order_line_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uniqueness check on the raw order lines' natural key, which the
+    driver tables do repeat (the warehouse keys never repeat there)."""
+    lines = testdata.read_tables(spark, sf_dir)["lineitem"]
+    return quality.dq_duplicates_keys(lines, ["l_orderkey", "l_linenumber"])
+
+
 QUERIES: dict[str, Query] = {key: _over_testdata(fn) for key, fn in MODEL_QUERIES.items()}
+QUERIES["dq_duplicates_order_lines"] = _order_line_duplicates
 
 FLAGSHIP = "kpi_cost_by_state"
 
