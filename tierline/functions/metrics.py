@@ -101,7 +101,8 @@ def exact_mean(c: Column | str, window: WindowSpec | None = None) -> Column:
     halves that are summed as longs (no overflow even for a group holding a
     third of 10^12 rows).  Per group the halves are recombined as an exact
     decimal and divided half-up at 6 decimals.  NULL when no value.
-    ``window`` makes it AVG() OVER.
+    ``window`` makes it AVG() OVER.  Exact while |x| * 1e6 stays below 2^53
+    (|x| < 9e9), far above any charge or payment amount.
     """
     units = F.floor(_col(c).cast("double") * F.lit(float(_MICRO)) + F.lit(0.5))
     high = F.shiftright(units, _SPLIT_BITS)

@@ -21,6 +21,10 @@ task (``Exchange SinglePartition``).  Here the work is spread instead:
 
 Use the plain partitioned window when the PARTITION BY key has many values:
 it is already distributed by that key.
+
+Two cheaper exact operators avoid ranking every row when the output allows:
+``top_k_with_rank_stats`` (PERCENT_RANK / CUME_DIST of a top-k report) and
+``exact_quantiles`` (PERCENTILE_DISC by selection inside sketch brackets).
 """
 
 from __future__ import annotations
