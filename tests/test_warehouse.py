@@ -269,3 +269,16 @@ def test_cli_over_raw_parquet(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "== dq_duplicates_fact" in out and "10002" in out
     assert "Washington DC" in out
+
+
+def test_yoy_view_trend_labels(spark):
+    rows = []
+    for state, (prev, cur) in {"A": (100.0, 103.0), "B": (100.0, 97.0), "C": (100.0, 103.01),
+                               "D": (0.0, 5.0), "E": (100.0, 96.0)}.items():
+        rows += [(f"{state}1", state, 2014, prev), (f"{state}1", state, 2015, cur)]
+    f = _fact(spark, rows)
+    got = {r.state_code: (r.cost_trend, r.pct_change) for r in views.vw_yoy_change(f, 2015, 2014).collect()}
+    assert got == {
+        "A": ("Stable", 3.0), "B": ("Stable", -3.0), "C": ("Increasing", 3.01),
+        "D": ("Stable", None), "E": ("Decreasing", -4.0),
+    }
