@@ -32,12 +32,14 @@ NOTES = """
 
 - `SinglePartition` exchanges carry only bounded rows: the partial results of
   a global aggregate (one row per task; counts, null profiles, health
-  checks), the ranking block table (one row per range partition), and the
+  checks), the ranking block table (one row per range partition), the
   quantile brackets' distinct values (at most `rows_per_bracket` per
-  bracket).  No data row passes through one.
+  bracket), and inputs the ranking counted at <= 10^6 rows (plain window in
+  one task; larger inputs take the distributed range sort).  No unbounded
+  set of data rows passes through one.
 - `rangepartitioning` before a final `ORDER BY` sorts an aggregated result;
-  in `win_ntile` / `vw_provider_details` it is the distributed ranking's
-  range sort over the data (bounds sampled on value + tie-breaker).
+  above 10^6 rows the ranking adds its own range sort over the data (bounds
+  sampled on value + tie-breaker).
 - Broadcast joins: fixed-size value maps, the ranking block table (size
   checked), the top-k tie counts (at most k rows), per-year statistics, and
   dimensions AQE measured as small at this scale; at 100 TB `dim_provider`

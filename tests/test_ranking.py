@@ -20,6 +20,23 @@ from tierline.operators.ranking import (
 SCHEMA = "id bigint, g string, v double"
 
 
+@pytest.fixture(params=["distributed", "single-task"])
+def path(request, monkeypatch):
+    """Run a test through both numbering paths of add_positions."""
+    import tierline.operators.ranking as R
+
+    if request.param == "distributed":
+        monkeypatch.setattr(R, "SINGLE_TASK_MAX_ROWS", -1)
+    return request.param
+
+
+@pytest.fixture
+def distributed(monkeypatch):
+    import tierline.operators.ranking as R
+
+    monkeypatch.setattr(R, "SINGLE_TASK_MAX_ROWS", -1)
+
+
 def _data(n: int, seed: int, null_share: float = 0.15, hot_share: float = 0.0, groups=("a", "b", None)):
     rnd = random.Random(seed)
     rows = []
@@ -60,7 +77,7 @@ def _naive(df, partition):
 
 @pytest.mark.parametrize("rows", CASES)
 @pytest.mark.parametrize("partition", [[], ["g"]], ids=["global", "by-group"])
-def test_matches_plain_window(spark, rows, partition):
+def test_matches_plain_window(spark, rows, partition, path):
     df = spark.createDataFrame(rows, SCHEMA)
     order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
     tiles = with_ntiles(df, {"q4": 4, "q10": 10}, order, partition).select("id", "q4", "q10")
@@ -74,14 +91,14 @@ def test_matches_plain_window(spark, rows, partition):
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
 
 
-def test_tile_sizes_differ_by_at_most_one(spark):
+def test_tile_sizes_differ_by_at_most_one(spark, path):
     df = spark.createDataFrame(_data(1003, 9, null_share=0.0), SCHEMA)
     tiled = with_ntiles(df, {"t": 10}, [F.col("v").asc(), F.col("id").asc()])
     sizes = [r[1] for r in tiled.groupBy("t").count().collect()]
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1 and sum(sizes) == 1003
 
 
-def test_rows_never_meet_in_one_partition(spark):
+def test_rows_never_meet_in_one_partition(spark, distributed):
     """The only single-partition exchange is over the block table (one row
     per range partition), never over the data rows."""
     df = spark.createDataFrame(_data(200, 5), SCHEMA)
@@ -147,7 +164,7 @@ def test_exact_quantiles_by_selection(spark, hot):
     assert {k: got[k] for k in probs} == {k: _disc(vals, p) for k, p in probs.items()}
 
 
-def test_exact_quantiles_sort_fallback_and_empty(spark):
+def test_exact_quantiles_sort_fallback_and_empty(spark, path):
     from tierline.operators.ranking import _quantile_by_sort
 
     rows = _data(700, 13)
@@ -159,7 +176,7 @@ def test_exact_quantiles_sort_fallback_and_empty(spark):
     assert tuple(exact_quantiles(empty, "v", {"p50": 0.5}).first()) == (None,)
 
 
-def test_exact_quantiles_large_bracket_path(spark, monkeypatch):
+def test_exact_quantiles_large_bracket_path(spark, monkeypatch, path):
     # heavy ties make every bracket hold hundreds of rows > rows_per_bracket,
     # forcing the distributed ranking of the bracket
     import tierline.operators.ranking as R

@@ -48,7 +48,10 @@ def test_hot_provider_summary_matches_brute_force(spark):
     assert got["HOT"].avg_covered_charges == float(exact.quantize(Decimal("0.01"), ROUND_HALF_UP))
 
 
-def test_hot_value_is_split_across_range_partitions(spark):
+def test_hot_value_is_split_across_range_partitions(spark, monkeypatch):
+    import tierline.operators.ranking as R
+
+    monkeypatch.setattr(R, "SINGLE_TASK_MAX_ROWS", -1)
     df = spark.range(0, 60000).select(
         F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise((F.col("id") % 997).cast("double")).alias("v"),
         F.col("id"),
