@@ -6,7 +6,6 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from tierline.functions.metrics import mean_round
