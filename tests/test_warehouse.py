@@ -282,3 +282,12 @@ def test_yoy_view_trend_labels(spark):
         "A": ("Stable", 3.0), "B": ("Stable", -3.0), "C": ("Increasing", 3.01),
         "D": ("Stable", None), "E": ("Decreasing", -4.0),
     }
+
+
+def test_materialise_raw_round_trip(wh, tmp_path):
+    from tierline.sources.testdata import materialise_raw
+
+    stored = materialise_raw(wh.raw, str(tmp_path / "raw"))
+    assert {y: df.count() for y, df in stored.inpatient.items()} == {2015: 14, 2014: 2}
+    assert stored.outpatient[2015].count() == 5 and stored.physicians[2014].count() == 6
+    assert stored.inpatient[2015].columns == wh.raw.inpatient[2015].columns

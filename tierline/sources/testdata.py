@@ -26,6 +26,7 @@ small side to broadcast at run time from measured sizes).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -201,14 +202,28 @@ def raw_sources(spark: SparkSession, sf_dir: str, profile: TestdataProfile = PRO
 def materialise_raw(raw: RawSources, out_dir: str) -> RawSources:
     """Store every raw table (the adapter's output) once and return the
     stored tables — the raw layer as the original system sees it: tables on
-    storage, not joins recomputed by every reader."""
-    def store(kind: str, tables: dict) -> dict:
-        return {y: write_table(df, f"{out_dir.rstrip('/')}/{kind}_{y}") for y, df in tables.items()}
-
+    storage, not joins recomputed by every reader.  The tables are
+    independent, so they are written as concurrent jobs."""
+    base = out_dir.rstrip("/")
+    jobs = [
+        (kind, year, df)
+        for kind, tables in (
+            ("inpatient_charges", raw.inpatient),
+            ("outpatient_charges", raw.outpatient),
+            ("physicians_and_other_supplier", raw.physicians),
+        )
+        for year, df in tables.items()
+    ]
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        stored = list(pool.map(lambda j: write_table(j[2], f"{base}/{j[0]}_{j[1]}"), jobs))
+    out: dict[str, dict[int, DataFrame]] = {"inpatient_charges": {}, "outpatient_charges": {},
+                                            "physicians_and_other_supplier": {}}
+    for (kind, year, _), df in zip(jobs, stored):
+        out[kind][year] = df
     return RawSources(
-        inpatient=store("inpatient_charges", dict(raw.inpatient)),
-        outpatient=store("outpatient_charges", dict(raw.outpatient)),
-        physicians=store("physicians_and_other_supplier", dict(raw.physicians)),
+        inpatient=out["inpatient_charges"],
+        outpatient=out["outpatient_charges"],
+        physicians=out["physicians_and_other_supplier"],
     )
 
 
