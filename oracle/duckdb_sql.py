@@ -8,7 +8,12 @@ as ``tierline.sources.testdata``.  Dialect notes:
 * integer SUMs are cast to BIGINT (DuckDB widens them to HUGEINT);
 * window ranks are cast to BIGINT;
 * SAFE_DIVIDE is ``a / NULLIF(b, 0)`` on doubles;
-* the integer guard keeps ``TRY_CAST('1.5' AS BIGINT)`` (2 in DuckDB) out.
+* the integer guard keeps ``TRY_CAST('1.5' AS BIGINT)`` (2 in DuckDB) out;
+* ``round(x, n)`` is rewritten to round x's shortest decimal text half-up,
+  which is what Spark's ``round`` on a double does (``_spark_round``);
+* ``round(avg(x), n)`` and the other means of amounts are the exact mean of
+  micro-units, as ``tierline.functions.metrics.exact_mean`` defines it
+  (``XAVG`` / ``XMEAN``), so neither side depends on summation order.
 """
 
 from __future__ import annotations
