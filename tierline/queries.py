@@ -1,7 +1,9 @@
-"""Registered queries: every model and report of the warehouse, run over the
-driver's test tables through the adapter in ``tierline.sources.testdata``.
+"""Registered queries: every model and report of the warehouse.
 
-Each entry is ``(spark, sf_dir) -> DataFrame`` and works on whole tables.
+``MODEL_QUERIES[name](warehouse)`` works on any warehouse (original raw
+tables or the test-data adapter, lazy or stored).  ``QUERIES[name](spark,
+sf_dir)`` runs it over the driver's test tables through the adapter in
+``tierline.sources.testdata``; every query works on whole tables.
 """
 
 from __future__ import annotations
@@ -57,72 +59,72 @@ def _p(wh: Warehouse) -> Params:
 
 MODEL_QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
     # 01 exploration of the raw sources
-    "explore_row_counts": (lambda w: explore.explore_row_counts(w.raw)),
-    "explore_sample_inpatient": (lambda w: explore.explore_sample(_cur_in(w), _p(w).sample_rows)),
-    "explore_sample_outpatient": (lambda w: explore.explore_sample(_cur_out(w), _p(w).sample_rows)),
-    "explore_sample_physicians": (lambda w: explore.explore_sample(_phys(w), _p(w).sample_rows)),
-    "explore_nulls_inpatient": (lambda w: explore.explore_nulls_inpatient(_cur_in(w))),
-    "explore_nulls_outpatient": (lambda w: explore.explore_nulls_outpatient(_cur_out(w))),
-    "explore_cardinality": (lambda w: explore.explore_cardinality(_cur_in(w))),
-    "explore_distribution": (lambda w: explore.explore_distribution(_cur_in(w))),
-    "explore_distribution_approx": (lambda w: explore.explore_distribution_approx(_cur_in(w))),
-    "explore_top_states": (lambda w: explore.explore_top_states(_cur_in(w), _p(w).top_explore)),
-    "explore_top_drgs": (lambda w: explore.explore_top_drgs(_cur_in(w), _p(w).top_explore)),
-    "explore_year_availability": (lambda w: explore.explore_year_availability(w.raw)),
+    "explore_row_counts": lambda w: explore.explore_row_counts(w.raw),
+    "explore_sample_inpatient": lambda w: explore.explore_sample(_cur_in(w), _p(w).sample_rows),
+    "explore_sample_outpatient": lambda w: explore.explore_sample(_cur_out(w), _p(w).sample_rows),
+    "explore_sample_physicians": lambda w: explore.explore_sample(_phys(w), _p(w).sample_rows),
+    "explore_nulls_inpatient": lambda w: explore.explore_nulls_inpatient(_cur_in(w)),
+    "explore_nulls_outpatient": lambda w: explore.explore_nulls_outpatient(_cur_out(w)),
+    "explore_cardinality": lambda w: explore.explore_cardinality(_cur_in(w)),
+    "explore_distribution": lambda w: explore.explore_distribution(_cur_in(w)),
+    "explore_distribution_approx": lambda w: explore.explore_distribution_approx(_cur_in(w)),
+    "explore_top_states": lambda w: explore.explore_top_states(_cur_in(w), _p(w).top_explore),
+    "explore_top_drgs": lambda w: explore.explore_top_drgs(_cur_in(w), _p(w).top_explore),
+    "explore_year_availability": lambda w: explore.explore_year_availability(w.raw),
     # 02 staging
-    "stg_inpatient": (lambda w: w.model("stg_inpatient_charges")),
-    "stg_outpatient": (lambda w: w.model("stg_outpatient_charges")),
-    "stg_physicians": (lambda w: w.model("stg_physicians")),
+    "stg_inpatient": lambda w: w.model("stg_inpatient_charges"),
+    "stg_outpatient": lambda w: w.model("stg_outpatient_charges"),
+    "stg_physicians": lambda w: w.model("stg_physicians"),
     # 03 intermediate
-    "int_provider_inpatient": (lambda w: w.model("int_provider_inpatient_summary")),
-    "int_provider_outpatient": (lambda w: w.model("int_provider_outpatient_summary")),
-    "int_physician_summary": (lambda w: w.model("int_physician_summary")),
-    "int_state_metrics": (lambda w: w.model("int_state_metrics")),
-    "int_provider_combined": (lambda w: w.model("int_provider_combined")),
+    "int_provider_inpatient": lambda w: w.model("int_provider_inpatient_summary"),
+    "int_provider_outpatient": lambda w: w.model("int_provider_outpatient_summary"),
+    "int_physician_summary": lambda w: w.model("int_physician_summary"),
+    "int_state_metrics": lambda w: w.model("int_state_metrics"),
+    "int_provider_combined": lambda w: w.model("int_provider_combined"),
     # 04 dimensions
-    "dim_provider": (lambda w: w.model("dim_provider")),
-    "dim_region": (lambda w: w.model("dim_region")),
-    "dim_date": (lambda w: w.model("dim_date")),
+    "dim_provider": lambda w: w.model("dim_provider"),
+    "dim_region": lambda w: w.model("dim_region"),
+    "dim_date": lambda w: w.model("dim_date"),
     # 05 fact (the load timestamp differs per run, so it is left out here)
-    "fact_metrics": (lambda w: w.fact.drop("loaded_at")),
-    "fact_verification": (lambda w: fact.fact_verification(w.fact)),
+    "fact_metrics": lambda w: w.fact.drop("loaded_at"),
+    "fact_verification": lambda w: fact.fact_verification(w.fact),
     # 06 KPIs
-    "kpi_cost_by_state": (lambda w: kpis.kpi_cost_by_state(w.fact, _p(w).current_year)),
+    "kpi_cost_by_state": lambda w: kpis.kpi_cost_by_state(w.fact, _p(w).current_year),
     "kpi_top_cost_providers": (
         lambda w: kpis.kpi_top_cost_providers(w.fact, _p(w).current_year, _p(w).top_providers)
     ),
-    "kpi_cost_by_region": (lambda w: kpis.kpi_cost_by_region(w.fact)),
-    "kpi_yoy_change": (lambda w: kpis.kpi_yoy_change(w.fact, _p(w).current_year, _p(w).previous_year)),
-    "kpi_volume_tiers": (lambda w: kpis.kpi_volume_tiers(w.fact)),
-    "kpi_cost_mix": (lambda w: kpis.kpi_cost_mix(w.fact)),
-    "kpi_coverage_efficiency": (lambda w: kpis.kpi_coverage_efficiency(w.fact, _p(w).current_year)),
+    "kpi_cost_by_region": lambda w: kpis.kpi_cost_by_region(w.fact),
+    "kpi_yoy_change": lambda w: kpis.kpi_yoy_change(w.fact, _p(w).current_year, _p(w).previous_year),
+    "kpi_volume_tiers": lambda w: kpis.kpi_volume_tiers(w.fact),
+    "kpi_cost_mix": lambda w: kpis.kpi_cost_mix(w.fact),
+    "kpi_coverage_efficiency": lambda w: kpis.kpi_coverage_efficiency(w.fact, _p(w).current_year),
     # 06 reporting views
-    "vw_cost_by_state": (lambda w: views.vw_cost_by_state(w.fact)),
-    "vw_provider_details": (lambda w: views.vw_provider_details(w.fact)),
+    "vw_cost_by_state": lambda w: views.vw_cost_by_state(w.fact),
+    "vw_provider_details": lambda w: views.vw_provider_details(w.fact),
     "vw_yoy_change": (
         lambda w: views.vw_yoy_change(w.fact, _p(w).current_year, _p(w).previous_year, _p(w).trend_pct)
     ),
-    "vw_region_summary": (lambda w: views.vw_region_summary(w.fact)),
-    "vw_size_category": (lambda w: views.vw_size_category(w.fact)),
+    "vw_region_summary": lambda w: views.vw_region_summary(w.fact),
+    "vw_size_category": lambda w: views.vw_size_category(w.fact),
     # 07 window analytics
-    "win_rank_topn": (lambda w: windows.win_rank_topn(w.fact, _p(w).current_year, _p(w).top_rank)),
-    "win_lag_lead": (lambda w: windows.win_lag_lead(w.fact)),
-    "win_rolling_avg": (lambda w: windows.win_rolling_avg(w.fact)),
-    "win_ntile": (lambda w: windows.win_ntile(w.fact, _p(w).current_year, _p(w).quartiles, _p(w).deciles)),
-    "win_percentiles": (lambda w: windows.win_percentiles(w.fact, _p(w).current_year, _p(w).top_percentiles)),
-    "win_vs_group_avg": (lambda w: windows.win_vs_group_avg(w.fact, _p(w).current_year)),
-    "win_cumulative_share": (lambda w: windows.win_cumulative_share(w.fact)),
+    "win_rank_topn": lambda w: windows.win_rank_topn(w.fact, _p(w).current_year, _p(w).top_rank),
+    "win_lag_lead": lambda w: windows.win_lag_lead(w.fact),
+    "win_rolling_avg": lambda w: windows.win_rolling_avg(w.fact),
+    "win_ntile": lambda w: windows.win_ntile(w.fact, _p(w).current_year, _p(w).quartiles, _p(w).deciles),
+    "win_percentiles": lambda w: windows.win_percentiles(w.fact, _p(w).current_year, _p(w).top_percentiles),
+    "win_vs_group_avg": lambda w: windows.win_vs_group_avg(w.fact, _p(w).current_year),
+    "win_cumulative_share": lambda w: windows.win_cumulative_share(w.fact),
     # 08 data quality
     "dq_nulls": (
         lambda w: quality.dq_nulls(
             w.model("stg_inpatient_charges"), w.model("stg_outpatient_charges"), w.model("stg_physicians")
         )
     ),
-    "dq_duplicates_fact": (lambda w: quality.dq_duplicates_fact(w.fact)),
-    "dq_duplicates_provider": (lambda w: quality.dq_duplicates_provider(w.model("dim_provider"))),
-    "dq_duplicates_region": (lambda w: quality.dq_duplicates_region(w.model("dim_region"))),
-    "dq_orphans_provider": (lambda w: quality.dq_orphans_provider(w.fact, w.model("dim_provider"))),
-    "dq_orphans_region": (lambda w: quality.dq_orphans_region(w.fact, w.model("dim_region"))),
+    "dq_duplicates_fact": lambda w: quality.dq_duplicates_fact(w.fact),
+    "dq_duplicates_provider": lambda w: quality.dq_duplicates_provider(w.model("dim_provider")),
+    "dq_duplicates_region": lambda w: quality.dq_duplicates_region(w.model("dim_region")),
+    "dq_orphans_provider": lambda w: quality.dq_orphans_provider(w.fact, w.model("dim_provider")),
+    "dq_orphans_region": lambda w: quality.dq_orphans_region(w.fact, w.model("dim_region")),
     "dq_outliers_zscore": (
         lambda w: quality.dq_outliers_zscore(w.fact, _p(w).current_year, _p(w).z_threshold)
     ),
@@ -132,11 +134,10 @@ MODEL_QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
         )
     ),
     # README run order: build 02 -> 05, one stored table per model
-    "pipeline_materialise": (lambda w: pipeline.table_row_counts(pipeline.materialise(w))),
+    "pipeline_materialise": lambda w: pipeline.table_row_counts(pipeline.materialise(w)),
 }
 
 
-
 def _over_testdata(fn: Callable[[Warehouse], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(testdata_warehouse(spark, sf_dir))
