@@ -291,3 +291,15 @@ def test_materialise_raw_round_trip(wh, tmp_path):
     assert {y: df.count() for y, df in stored.inpatient.items()} == {2015: 14, 2014: 2}
     assert stored.outpatient[2015].count() == 5 and stored.physicians[2014].count() == 6
     assert stored.inpatient[2015].columns == wh.raw.inpatient[2015].columns
+
+
+def test_views_are_queryable_by_name(spark, wh):
+    names = views.register_views(wh.fact, 2015, 2014)
+    assert set(names) == {
+        "vw_cost_by_state", "vw_provider_details", "vw_yoy_change", "vw_region_summary", "vw_size_category_comparison",
+    }
+    got = spark.sql(
+        "SELECT census_region, SUM(provider_count) AS n FROM vw_cost_by_state WHERE year = 2015 GROUP BY census_region"
+    ).collect()
+    assert sum(r.n for r in got) == 6  # distinct 2015 providers; the two spellings of 10002 count once
+    assert spark.sql("SELECT COUNT(*) AS c FROM vw_provider_details").first().c == 9
