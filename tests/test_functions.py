@@ -85,3 +85,37 @@ def test_trim_fast_path_equals_full_set_trim(spark):
     rows = [("".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 6))),) for _ in range(2000)]
     got = _one(spark, trim_ws("s"), "s string", rows)
     assert got == [s.strip(UNICODE_WHITESPACE) for (s,) in rows]
+
+
+def _safe_int_reference(s):
+    import re
+
+    if s is None:
+        return None
+    if re.fullmatch(r"[+-]?[0-9]+", s):
+        v = int(s)
+    elif re.fullmatch(r"[+-]?0[xX][0-9a-fA-F]+", s):
+        sign = -1 if s.startswith("-") else 1
+        v = sign * int(s.lstrip("+-")[2:], 16)
+    else:
+        return None
+    return v if -(2**63) <= v < 2**63 else None
+
+
+def test_safe_int_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    token = st.text(alphabet="0123456789+-xXabfAF. ", max_size=22)
+    edges = st.sampled_from(
+        ["9223372036854775807", "9223372036854775808", "-9223372036854775808", "0x7FFFFFFFFFFFFFFF",
+         "-0x8000000000000000", "0x8000000000000000", "+0", "-0", "007", "0x", "+-1"]
+    )
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.lists(st.one_of(token, edges), min_size=40, max_size=120))
+    def check(strings):
+        got = _one(spark, safe_int("s"), "s string", [(x,) for x in strings])
+        assert got == [_safe_int_reference(x) for x in strings]
+
+    check()
