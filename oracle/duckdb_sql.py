@@ -824,7 +824,7 @@ SELECT check_name, status FROM (
 ) checks
 ORDER BY status, check_name"""
     ),
-    "pipeline_materialise": with_models(
+    "warehouse_build": with_models(
         "\nUNION ALL ".join(
             f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {_model_table(n)}" for n in _MODEL_NAMES
         )

@@ -15,7 +15,7 @@ from collections import Counter
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
-from tierline.plans.pipeline import materialise  # noqa: E402
+from tierline.plans.build import materialise  # noqa: E402
 from tierline.queries import MODEL_QUERIES, testdata_warehouse  # noqa: E402
 from tierline.session import build_session  # noqa: E402
 
@@ -82,7 +82,7 @@ def main(argv: list[str]) -> None:
         return ", ".join(f"{k} ×{v}" for k, v in sorted(d.items())) or "—"
 
     rows = [(f"{k} (from raw)", MODEL_QUERIES[k](raw_wh)) for k in ("stg_inpatient", "int_provider_inpatient", "dim_provider")]
-    rows += [(k, fn(wh)) for k, fn in MODEL_QUERIES.items() if k != "pipeline_materialise"]
+    rows += [(k, fn(wh)) for k, fn in MODEL_QUERIES.items() if k != "warehouse_build"]
     for key, df in rows:
         s = summarise(final_plan(df))
         pushed = "<br>".join(p.replace("|", "/") for p in s["pushed"]) or "—"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierline.plans import windows
-from tierline.plans.pipeline import materialise
+from tierline.plans.build import materialise
 from tierline.queries import testdata_warehouse as build_warehouse
 
 SF_DIR = "/root/testdata/sf0.01"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierline.plans import kpis, quality, views, windows
-from tierline.plans.pipeline import materialise, table_row_counts
+from tierline.plans.build import materialise, table_row_counts
 from tests.fixtures import fixture_warehouse
 
 
@@ -234,7 +234,7 @@ def test_zscore_outliers(spark):
 
 
 def test_materialise_into_catalog_and_query_by_name(spark, wh, tmp_path):
-    from tierline.plans.pipeline import register_tables
+    from tierline.plans.build import register_tables
 
     spark.sql(f"CREATE DATABASE IF NOT EXISTS fixture_wh LOCATION '{tmp_path / 'db'}'")
     built = materialise(wh, database="fixture_wh")

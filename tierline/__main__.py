@@ -15,7 +15,7 @@ from __future__ import annotations
 import argparse
 from collections import defaultdict
 
-from tierline.plans.pipeline import materialise
+from tierline.plans.build import materialise
 from tierline.plans.warehouse import Params, Warehouse
 from tierline.queries import MODEL_QUERIES, testdata_warehouse
 from tierline.session import build_session

@@ -2,7 +2,7 @@
 
 Models are built on first access and memoised, so one query plan reuses the
 same sub-plans (Spark then reuses identical exchanges).  ``materialise``
-(see ``pipeline``) swaps the models for stored tables.
+(see ``build``) swaps the models for stored tables.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierline.plans import explore, fact, kpis, pipeline, quality, views, windows
+from tierline.plans import build, explore, fact, kpis, quality, views, windows
 from tierline.plans.warehouse import Params, Warehouse
 from tierline.sources import testdata
 from tierline.sources.testdata import PROFILE, TestdataProfile
@@ -134,7 +134,7 @@ MODEL_QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
         )
     ),
     # README run order: build 02 -> 05, one stored table per model
-    "pipeline_materialise": lambda w: pipeline.table_row_counts(pipeline.materialise(w)),
+    "warehouse_build": lambda w: build.table_row_counts(build.materialise(w)),
 }
 
 

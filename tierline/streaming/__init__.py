@@ -5,5 +5,5 @@ there is no event time, watermark, state or incremental merge to carry over
 — so no streaming operator exists here.  A streaming source could feed the
 staging functions unchanged (they are plain DataFrame -> DataFrame maps with
 no aggregation), but the models above staging are full-table aggregates and
-are rebuilt by ``tierline.plans.pipeline.materialise``.
+are rebuilt by ``tierline.plans.build.materialise``.
 """
