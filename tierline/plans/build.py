@@ -40,9 +40,16 @@ def materialise(
         base = (out_dir or scratch_path(wh.spark, "warehouse")).rstrip("/")
 
     def write(name: str) -> tuple[str, DataFrame]:
-        if database is not None:
-            return name, save_as_table(built.model(name), f"{database}.{name}", fmt)
-        return name, write_table(built.model(name), f"{base}/{name}", fmt)
+        # one scheduler pool per model: under spark.scheduler.mode=FAIR the
+        # concurrent models of a level share the slots instead of queueing
+        sc = built.spark.sparkContext
+        sc.setLocalProperty("spark.scheduler.pool", f"build_{name}")
+        try:
+            if database is not None:
+                return name, save_as_table(built.model(name), f"{database}.{name}", fmt)
+            return name, write_table(built.model(name), f"{base}/{name}", fmt)
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
 
     for level in MODEL_LEVELS:
         if concurrent and len(level) > 1:

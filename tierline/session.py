@@ -26,6 +26,9 @@ SCALE_DEFAULTS: dict[str, str] = {
     # checkpoint files of collected plans are removed, so a long-lived
     # session does not fill the shared folder
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # the build submits the independent models of a level as concurrent
+    # jobs; FAIR lets small ones run beside a large one instead of queueing
+    "spark.scheduler.mode": "FAIR",
 }
 
 
