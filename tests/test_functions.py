@@ -119,3 +119,11 @@ def test_safe_int_property(spark):
         assert got == [_safe_int_reference(x) for x in strings]
 
     check()
+
+
+def test_partitions_for_sizes_by_input():
+    from tierline.session import partitions_for
+
+    assert partitions_for(0) == 200
+    assert partitions_for(100 << 40) == 409600  # 100 TiB / 256 MiB
+    assert partitions_for(10 << 30, target_bytes=128 << 20) == 200

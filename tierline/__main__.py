@@ -18,7 +18,7 @@ from collections import defaultdict
 from tierline.plans.build import materialise
 from tierline.plans.warehouse import Params, Warehouse
 from tierline.queries import MODEL_QUERIES, testdata_warehouse
-from tierline.session import build_session
+from tierline.session import build_session, partitions_for
 from tierline.sources.readers import read_raw_sources
 
 
@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", help="folder to store the models in (full refresh)")
     ap.add_argument("--report", action="append", default=[], help="report name, or 'all', or 'list'")
     ap.add_argument("--rows", type=int, default=50, help="rows to print per report")
+    ap.add_argument("--input-bytes", type=int, help="size of the raw input; sizes the shuffle partitions")
     ap.add_argument("--current-year", type=int, default=2015)
     ap.add_argument("--previous-year", type=int, default=2014)
     args = ap.parse_args(argv)
@@ -39,7 +40,8 @@ def main(argv: list[str] | None = None) -> None:
         return
     if not (args.testdata or args.raw):
         ap.error("one of --testdata or --raw is required")
-    spark = build_session(app_name="tierline-cli")
+    parts = partitions_for(args.input_bytes) if args.input_bytes else None
+    spark = build_session(app_name="tierline-cli", shuffle_partitions=parts)
     if args.testdata:
         wh = testdata_warehouse(spark, args.testdata)
     else:

@@ -32,6 +32,13 @@ SCALE_DEFAULTS: dict[str, str] = {
 }
 
 
+def partitions_for(input_bytes: int, target_bytes: int = 256 << 20, minimum: int = 200) -> int:
+    """Shuffle partitions so one partition of a shuffle as large as the input
+    holds about ``target_bytes`` (fits executor memory without spilling);
+    AQE coalesces the smaller shuffles from there.  ~100 TB -> ~400k."""
+    return max(minimum, -(-int(input_bytes) // int(target_bytes)))
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "tierline",
