@@ -18,6 +18,7 @@ def _avg(c: str, digits: int, name: str):
 
 
 def kpi_cost_by_state(fact: DataFrame, year: int) -> DataFrame:
+    """KPI 1: average inpatient cost by state (one year)."""
     return (
         fact.filter(F.col("year") == year)
         .groupBy("state_code", "census_region")
@@ -33,7 +34,7 @@ def kpi_cost_by_state(fact: DataFrame, year: int) -> DataFrame:
 
 
 def kpi_top_cost_providers(fact: DataFrame, year: int, k: int = 20) -> DataFrame:
-    """Top-k by inpatient payment (TakeOrderedAndProject: per-task top-k,
+    """KPI 2: top-k providers by inpatient payment (TakeOrderedAndProject: per-task top-k,
     then a k-row merge).  Provider id breaks ties."""
     return (
         fact.filter(F.col("year") == year)
@@ -54,6 +55,7 @@ def kpi_top_cost_providers(fact: DataFrame, year: int, k: int = 20) -> DataFrame
 
 
 def kpi_cost_by_region(fact: DataFrame) -> DataFrame:
+    """KPI 3: cost by census region and year."""
     return (
         fact.groupBy("census_region", "year")
         .agg(
@@ -79,7 +81,8 @@ def yearly_state_cost(fact: DataFrame, keys: tuple[str, ...] = ("state_code",),
 
 
 def kpi_yoy_change(fact: DataFrame, current_year: int, previous_year: int) -> DataFrame:
-    """States present in both years; ``avg_cost_<year>`` columns."""
+    """KPI 4: year-over-year cost change by state; states present in both
+    years; ``avg_cost_<year>`` columns."""
     yearly = yearly_state_cost(fact)
     cur = yearly.filter(F.col("year") == current_year).alias("cur")
     prev = yearly.filter(F.col("year") == previous_year).alias("prev")
@@ -94,6 +97,7 @@ def kpi_yoy_change(fact: DataFrame, current_year: int, previous_year: int) -> Da
 
 
 def kpi_volume_tiers(fact: DataFrame) -> DataFrame:
+    """KPI 5: provider volume tiers (size class x year)."""
     return (
         fact.groupBy("provider_size_category", "year")
         .agg(
@@ -109,6 +113,7 @@ def kpi_volume_tiers(fact: DataFrame) -> DataFrame:
 
 
 def kpi_cost_mix(fact: DataFrame) -> DataFrame:
+    """KPI 6: outpatient vs inpatient cost mix by state and year."""
     return (
         fact.groupBy("state_code", "year")
         .agg(
@@ -122,6 +127,7 @@ def kpi_cost_mix(fact: DataFrame) -> DataFrame:
 
 
 def kpi_coverage_efficiency(fact: DataFrame, year: int) -> DataFrame:
+    """KPI 7: medicare coverage efficiency by state (one year)."""
     return (
         fact.filter(F.col("year") == year)
         .groupBy("state_code", "census_region")
