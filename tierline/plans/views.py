@@ -19,6 +19,7 @@ def _avg(c: str, digits: int, name: str):
 
 
 def vw_cost_by_state(fact: DataFrame) -> DataFrame:
+    """View 1: cost and volume by state, region and year (map / bar charts)."""
     return fact.groupBy("state_code", "census_region", "year").agg(
         F.count_distinct("provider_id").alias("provider_count"),
         F.sum("total_discharges").alias("total_discharges"),
@@ -32,7 +33,7 @@ def vw_cost_by_state(fact: DataFrame) -> DataFrame:
 
 
 def vw_provider_details(fact: DataFrame) -> DataFrame:
-    """Provider rows with the national cost percentile within the year.
+    """View 2: provider rows with the national cost percentile within the year.
 
     PERCENT_RANK over PARTITION BY year has only a handful of groups, so it
     runs through the distributed ranking (range sort + tie join) rather than
@@ -86,8 +87,8 @@ def vw_provider_details(fact: DataFrame) -> DataFrame:
 
 
 def vw_yoy_change(fact: DataFrame, current_year: int, previous_year: int, trend_pct: float = 3.0) -> DataFrame:
-    """Joined on state only, as in the reference (safe while a state has
-    one region)."""
+    """View 3: year-over-year change by state with a trend label.  Joined on
+    state only, as in the original (safe while a state has one region)."""
     yearly = yearly_state_cost(fact, ("state_code", "census_region"), extra=True)
     cur = yearly.filter(F.col("year") == current_year).alias("cur")
     prev = yearly.filter(F.col("year") == previous_year).alias("prev")
@@ -105,6 +106,7 @@ def vw_yoy_change(fact: DataFrame, current_year: int, previous_year: int, trend_
 
 
 def vw_region_summary(fact: DataFrame) -> DataFrame:
+    """View 4: region KPIs against the national average of the same year."""
     region = fact.groupBy("census_region", "year").agg(
         F.count_distinct("provider_id").alias("provider_count"),
         F.sum("total_patient_volume").alias("total_patient_volume"),
@@ -126,6 +128,8 @@ def vw_region_summary(fact: DataFrame) -> DataFrame:
 
 
 def vw_size_category(fact: DataFrame) -> DataFrame:
+    """View 5: size class x year comparison (its ORDER BY is dropped: a view
+    has no order for its readers)."""
     return fact.groupBy("provider_size_category", "year").agg(
         F.count_distinct("provider_id").alias("provider_count"),
         _avg("total_discharges", 0, "avg_discharges"),

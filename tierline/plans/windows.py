@@ -24,7 +24,7 @@ QUARTILE_LABELS = (
 
 
 def win_rank_topn(fact: DataFrame, year: int, n: int = 5) -> DataFrame:
-    """ROW_NUMBER / RANK / DENSE_RANK per state-year; QUALIFY RANK <= n.
+    """Pattern 1: ROW_NUMBER / RANK / DENSE_RANK per state-year; QUALIFY RANK <= n.
 
     The rank filter sits directly on the rank window, so Spark inserts a
     partial WindowGroupLimit before the shuffle.  ROW_NUMBER (with provider
@@ -60,7 +60,7 @@ def win_rank_topn(fact: DataFrame, year: int, n: int = 5) -> DataFrame:
 
 
 def win_lag_lead(fact: DataFrame) -> DataFrame:
-    """Previous / next *row* per provider (a missing year is not detected)."""
+    """Pattern 2: previous / next *row* per provider (a missing year is not detected)."""
     w = Window.partitionBy("provider_id").orderBy(
         F.col("year").asc_nulls_first(), F.col("provider_name").asc_nulls_first(), F.col("state_code").asc_nulls_first()
     )
@@ -80,6 +80,7 @@ def win_lag_lead(fact: DataFrame) -> DataFrame:
 
 
 def win_rolling_avg(fact: DataFrame) -> DataFrame:
+    """Pattern 3: 2-row rolling mean and running discharges per state."""
     yearly = yearly_state_cost(fact, ("state_code", "census_region"), extra=True)
     w = Window.partitionBy("state_code").orderBy("year", F.col("census_region").asc_nulls_first())
     return yearly.select(
@@ -95,7 +96,7 @@ def win_rolling_avg(fact: DataFrame) -> DataFrame:
 
 
 def win_ntile(fact: DataFrame, year: int, quartiles: int = 4, deciles: int = 10) -> DataFrame:
-    """Global NTILE(4), NTILE(10) by cost (provider id breaks ties)."""
+    """Pattern 4: global NTILE(4), NTILE(10) by cost (provider id breaks ties)."""
     base = fact.filter(F.col("year") == year).select(
         "provider_id", "provider_name", "state_code", "census_region", "provider_size_category", "avg_inpatient_payment"
     )
@@ -124,7 +125,7 @@ def win_ntile(fact: DataFrame, year: int, quartiles: int = 4, deciles: int = 10)
 
 
 def win_percentiles(fact: DataFrame, year: int, k: int = 50) -> DataFrame:
-    """Top-k by cost with PERCENT_RANK / CUME_DIST over the whole year.
+    """Pattern 5: top-k by cost with PERCENT_RANK / CUME_DIST over the whole year.
 
     Only the top rows are reported, so only they are ranked: their ranks
     depend on the rows at or above them, which are all in the top k.
@@ -144,7 +145,7 @@ def win_percentiles(fact: DataFrame, year: int, k: int = 50) -> DataFrame:
 
 
 def win_vs_group_avg(fact: DataFrame, year: int) -> DataFrame:
-    """Provider cost against the state-year mean (AVG OVER PARTITION BY)."""
+    """Pattern 6: provider cost against the state-year mean (AVG OVER PARTITION BY)."""
     rows = fact.filter(F.col("year") == year)
     means = rows.groupBy("state_code", "year").agg(mean_value("avg_inpatient_payment").alias("state_mean"))
     r, m = rows.alias("r"), means.alias("m")
@@ -165,6 +166,7 @@ def win_vs_group_avg(fact: DataFrame, year: int) -> DataFrame:
 
 
 def win_cumulative_share(fact: DataFrame) -> DataFrame:
+    """Pattern 7: running discharges per region and share of the year's total."""
     yearly = fact.groupBy("census_region", "year").agg(F.sum("total_discharges").alias("yearly_discharges"))
     running = Window.partitionBy("census_region").orderBy("year").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
