@@ -5,13 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierline.llm import exact, mixing, simhash
+from tierline.llm import chat, exact, mixing, packing, simhash, wavelet
 from tierline.llm.common import table
+from tierline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    back = chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    return back.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("turns_text", 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "bad_turn",
+    )
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -24,8 +42,22 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pieces(table(spark, sf_dir, "documents"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op10_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "wavelet-shards")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path)
+    return wavelet.read_documents(spark, path)
+
+
 QUERIES: dict[str, Query] = {
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op9_packing": op9_packing,
+    "op10_wavelet_token_ids": op10_wavelet_token_ids,
 }
