@@ -1,7 +1,7 @@
 """Token ids of texts with the ``tokenizers`` library, inside tasks.
 
-The two BPE vocabularies used here cut a text at every single space between two
-other characters before they look anything up, so the ids of a text are the ids
+The two BPE vocabularies used here cut a text at every single space or line break
+between two other characters before they look anything up, so the ids of a text are the ids
 of its words one after the other.  A worker therefore keeps the ids of words it
 has met (bounded) and asks the library only for new ones.  Each loaded file is
 probed: where word by word and whole text differ, whole texts are encoded.
@@ -10,17 +10,22 @@ probed: where word by word and whole text differ, whole texts are encoded.
 from __future__ import annotations
 
 import re
+import string
 import sys
 import types
 from array import array
 
+import numpy as np
 import tokenizers
 
 #: Words whose ids a worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 #: A cut is safe before a single space that has other characters on both sides.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE_SPACE = re.compile(r"\s\s")
+#: Ends of a word that are pieces of their own, and the sign between words.
+_SIGNS = string.punctuation + string.digits
+_BAR = " |"
 _PROBE = (
     "It's we'll  two\n\nlines \n x\ty 12,345 éa ́b Straße İI 你好, (a) b!\n c  "
     "<|endoftext|> x y  z d'accord...\r\n end"
@@ -28,44 +33,91 @@ _PROBE = (
 
 
 class WordEncoder:
-    """``ids(text)`` is the little-endian unsigned 32-bit ids of a text."""
+    """``encode(texts)`` gives the little-endian unsigned 32-bit ids of texts."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.heads: dict[str, bytes] = {}  # first words, as they stand
         self.words: dict[str, bytes] = {}  # words after a space
+        bar = self._encode([_BAR])[0]
+        self.bar = int.from_bytes(bar, "little") if len(bar) == 4 else None
         whole = self._encode([_PROBE])[0]
         self.by_word = True
         self.by_word = self.encode([_PROBE])[0] == whole
+        self.heads.clear()
+        self.words.clear()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters after a space: many at a time, with a
+        sign between them that no such word contains."""
+        if self.bar is None:
+            return self._encode([" " + w for w in words])
+        out = []
+        for low in range(0, len(words), 512):
+            some = words[low : low + 512]
+            ids = np.array(self._ids(" " + f"{_BAR} ".join(some)), dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.bar), ids.size)
+            data, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
+            out += [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+        return out
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn_heads(self, words: set[str]) -> None:
+        new = list(words.difference(self.heads))
+        self.heads.update(zip(new, self._encode(new)))
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new words after a space.  Letters and the ASCII signs and
+        digits after them are cut apart by both vocabularies, so such a word is
+        the ids of the two."""
+        plain, signed, tails, other = set(), [], set(), []
+        for word in words:
+            core = word.rstrip(_SIGNS)
+            if core.isalpha():
+                if core not in self.words:
+                    plain.add(core)
+                if len(core) < len(word):
+                    signed.append((word, core))
+                    tails.add(word[len(core) :])
+            else:
+                other.append(word)
+        plain = list(plain)
+        self.words.update(zip(plain, self._encode_plain(plain)))
+        self.words.update(zip(other, self._encode([" " + w for w in other])))
+        self._learn_heads(tails)
+        for word, core in signed:
+            self.words[word] = self.words[core] + self.heads[word[len(core) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encode(texts)
         if len(self.words) + len(self.heads) > KEPT_WORDS:
             self.words.clear()
             self.heads.clear()
-        cut, new_heads, new_words = [], set(), set()
+        cut, heads, bodies = [], {"\n"}, []
         for text in texts:
-            words = _SAFE_CUT.split(text) if _DOUBLE_SPACE.search(text) else text.split(" ")
-            if not words[-1] and len(words) > 1:  # a last space has no word after it
-                words[-2:] = [words[-2] + " "]
-            if not words[0] and len(words) > 1:
-                words[:2] = [" " + words[1]]
-            if words[0] not in self.heads:
-                new_heads.add(words[0])
-            for word in words[1:]:
-                if word not in self.words:
-                    new_words.add(word)
-            cut.append(words)
-        heads, after = list(new_heads), list(new_words)
-        self.heads.update(zip(heads, self._encode(heads)))
-        self.words.update(zip(after, self._encode([" " + w for w in after])))
-        get = self.words.__getitem__
-        return [self.heads[words[0]] + b"".join(map(get, words[1:])) for words in cut]
+            # a line break between other characters is a piece of its own, so lines are encoded one by one
+            lines = [_SAFE_CUT.split(text)] if _DOUBLE_SPACE.search(text) else [x.split(" ") for x in text.split("\n")]
+            starts = []
+            for words in lines:
+                if not words[-1] and len(words) > 1:  # a last space has no word after it
+                    words[-2:] = [words[-2] + " "]
+                if not words[0] and len(words) > 1:
+                    words[:2] = [" " + words[1]]
+                starts.append(words.pop(0))
+            heads.update(starts)
+            bodies += lines
+            cut.append((starts, lines))
+        self._learn_heads(heads)
+        self._learn(set().union(*bodies).difference(self.words))
+        head, get, line_end = self.heads, self.words.__getitem__, self.heads["\n"]
+        return [line_end.join([head[s] + b"".join(map(get, words)) for s, words in zip(starts, lines)]) for starts, lines in cut]
 
 
 def encoder(path: str) -> WordEncoder:
