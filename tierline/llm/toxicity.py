@@ -39,15 +39,15 @@ from pyspark.sql import functions as F
 
 from tierline.llm.common import text_or_empty
 
-#: Words per window and words between window starts, at two scales.
-SCALES = ((8, 4), (5, 3))
+#: Words per window and words between window starts, per scale.
+SCALES = ((6, 3),)
 #: Gains a window is counted at.
-THRESHOLDS = (2, 3, 4, 5)
+THRESHOLDS = (1, 2, 3, 4, 5)
 #: A word is toxic training text from this natural-log ratio of its rates on.
 MIN_LOG_RATIO = 3.0
 #: Different neighbourhoods such a word occurs in at least.
 MIN_CONTEXTS = 3
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16384, 4096, 3
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 65536, 4096, 5
 #: Every k-th sampled document calibrates, the others train the dictionaries.
 CALIBRATE_EVERY = 4
 
@@ -131,7 +131,8 @@ def train_dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tup
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(dictionary)
+    # as plain content: windows are too short for the dictionary's entropy tables to pay, and literals then cost alike
+    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
