@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.llm import chat, embeddings, exact, mixing, packing, simhash, toxicity, wavelet
+from tierline.llm import chat, embeddings, exact, html, mixing, packing, simhash, toxicity, wavelet
 from tierline.llm.common import table
 from tierline.session import scratch_path
 
@@ -54,6 +54,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pieces(table(spark, sf_dir, "documents"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_html_main_text": op7_html_main_text,
     "op9_packing": op9_packing,
     "op10_wavelet_token_ids": op10_wavelet_token_ids,
 }
