@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.llm import chat, embeddings, exact, html, mixing, packing, simhash, toxicity, wavelet
+from tierline.llm import chat, embeddings, exact, html, mixing, packing, pii, simhash, toxicity, wavelet
 from tierline.llm.common import table
 from tierline.session import scratch_path
 
@@ -58,6 +58,12 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"size(filter(base, s -> s.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("spans").alias("spans"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pieces(table(spark, sf_dir, "documents"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -77,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_html_main_text": op7_html_main_text,
+    "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_wavelet_token_ids": op10_wavelet_token_ids,
 }
