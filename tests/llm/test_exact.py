@@ -1,0 +1,69 @@
+import hashlib
+import re
+
+import pytest
+
+from tierline.llm import exact
+
+SCHEMA = "doc_id long, text string, lang string, key string, bucket long, norm string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "x", 7, "y") for i, t in rows], SCHEMA)
+
+
+def brute(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    out = []
+    for text, ids in groups.items():
+        low = min((i for i in ids if i is not None), default=None)
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        out += [(i, low, len(ids), i == low, digest) for i in ids]
+    return sorted(out, key=repr)
+
+
+ROWS = [(5, "a  b"), (3, "a\tb"), (9, "a b"), (1, None), (2, ""), (4, " "), (6, "\n"), (7, "é" * 200_000), (8, "é" * 200_000), (None, "a b"), (10, "A b"), (11, "x\x1cy"), (11, "x\x1cy")]
+
+
+@pytest.mark.parametrize("key_bits", [64, 2])
+def test_groups_as_brute_force(spark, key_bits):
+    """With 2-bit keys every bucket holds chains of different texts."""
+    rows = ROWS + [(100 + i, f"text {i % 17}") for i in range(60)]
+    got = exact.exact_dedup(docs(spark, rows), key_bits=key_bits, capacity=2, max_depth=4)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_directory_splits_overfull_buckets(spark):
+    keys = spark.range(2000).selectExpr("xxhash64(id) AS key")
+    buckets = exact.directory(keys, capacity=50, max_depth=8).collect()
+    covered = sorted((b.bucket, b.bucket + (1 << (8 - b.depth))) for b in buckets)
+    assert covered[0][0] == 0 and covered[-1][1] == 256
+    assert all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
+    assert sum(b.n_keys for b in buckets) == 2000
+    assert all(b.n_keys <= 50 or b.depth == 8 for b in buckets)
+    assert len({b.depth for b in buckets}) > 1
+
+
+def test_index_chains_colliding_texts(spark):
+    rows = [(i, f"t{i}") for i in range(40)]
+    _, index = exact.build_index(docs(spark, rows), key_bits=1, capacity=4, max_depth=3)
+    chains = {}
+    for r in index.collect():
+        chains.setdefault(r.key, []).append(r.chain)
+    assert len(chains) == 2
+    assert all(sorted(c) == list(range(len(c))) for c in chains.values())
+
+
+def test_survivors_keep_columns_and_one_row(spark):
+    got = exact.survivors(docs(spark, ROWS))
+    assert got.columns == docs(spark, ROWS).columns
+    ids = [r.doc_id for r in got.collect()]
+    assert sorted(ids) == [1, 3, 4, 7, 10, 11]
+
+
+def test_empty_table(spark):
+    empty = docs(spark, [])
+    assert exact.exact_dedup(empty).count() == 0
+    assert exact.survivors(empty).count() == 0

@@ -31,3 +31,11 @@ def text_or_empty(column: str | Column = "text") -> Column:
     """The text column with null read as the empty text."""
     col = F.col(column) if isinstance(column, str) else column
     return F.coalesce(col.cast("string"), F.lit(""))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierline.llm.common import fresh
+
 # Element names and class words.
 RAW_TEXT = ("script", "style", "textarea", "title", "xmp", "noframes")
 DROPPED = {
@@ -273,18 +275,20 @@ def main_text(page: str | None) -> str:
     return " ".join(b.text for b in inside if b.path in passing or b.path[-1].split(".")[0] in KEPT_IN_BODY)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``pages`` without its html, with ``text`` and ``n_chars`` (code points)."""
-    others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``pages`` without its html, with ``text`` and ``n_chars`` (code points),
+    which replace columns of these names."""
+    others = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
+    raw = fresh(pages, "raw_html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p) for p in batch.column("_html").to_pylist()]
+            texts = [main_text(p) for p in batch.column(raw).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in others), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 [*others, "text", "n_chars"],
             )
 
-    rows = pages.select(*others, F.col(html_col).cast("string").alias("_html"))
-    schema = rows.drop("_html").schema.add("text", "string").add("n_chars", "long")
+    rows = pages.select(*others, F.col(html_col).cast("string").alias(raw))
+    schema = rows.drop(raw).schema.add("text", "string").add("n_chars", "long")
     return rows.mapInArrow(run, schema)

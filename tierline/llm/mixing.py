@@ -102,7 +102,7 @@ def mix(
 
     # an item is one turn of a document; its place is its virtual finish time, ties broken by what follows
     def place(turn) -> Column:
-        time = (F.col("finish") + turn * F.col("source_size")) / F.col("target")
+        time = (F.col("finish") + turn * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
         return F.struct(time.alias("time"), F.col("source_rank"), turn.cast("int").alias("turn"), F.col("pos"), F.col("id"), F.col("size"))
 
     def slot(at: Column) -> Column:
@@ -155,6 +155,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **mix_options) -> DataFrame:
         .groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col(mix_options.get("source_col", "source")).alias("_source"))
         .agg((F.sum("taken") / F.first("size") / F.count(F.lit(1))).cast("int").alias("_times"))
     )
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n_words") == F.col("_size")) & F.col("_queue").eqNullSafe(F.col("_source"))
-    rows = docs.withColumn("_n_words", size).withColumn("_queue", source).join(times, same)
-    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.select(
+        F.col(id_col).alias("id"), size.alias("n_words"), source.alias("queue"), F.struct(*docs.columns).alias("row")
+    )
+    same = rows["id"].eqNullSafe(times["_id"]) & (rows["n_words"] == times["_size"]) & rows["queue"].eqNullSafe(times["_source"])
+    turn = F.explode(F.sequence(F.lit(1), F.col("_times")))
+    return rows.join(times, same).where("_times > 0").select("row", turn.alias("turn")).select("row.*")

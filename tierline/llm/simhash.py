@@ -203,5 +203,6 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The rows of ``docs`` that stay, with all their columns: those whose id
     is their component's smallest."""
     kept = simhash_components(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id"))
-    kept = kept.select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_keep"), "left_semi")
+    kept = kept.select(F.col(id_col).alias("keep")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, rows["id"] == kept["keep"], "left_semi").select("row.*")
