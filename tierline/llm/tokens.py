@@ -17,6 +17,7 @@ from array import array
 
 import numpy as np
 import tokenizers
+import tokenizers.pre_tokenizers
 
 #: Words whose ids a worker keeps; beyond that it starts afresh.
 KEPT_WORDS = 1_000_000
@@ -42,6 +43,10 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}  # words after a space
         bar = self._encode([_BAR])[0]
         self.bar = int.from_bytes(bar, "little") if len(bar) == 4 else None
+        self.pieces = tokenizers.Tokenizer(self.tokenizer.model)  # the model alone, for words cut already
+        self.pieces.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        self.mark = None
+        self.mark = self._find_mark() if self.bar is not None else None
         whole = self._encode([_PROBE])[0]
         self.by_word = True
         self.by_word = self.encode([_PROBE])[0] == whole
@@ -59,14 +64,28 @@ class WordEncoder:
         out = []
         for low in range(0, len(words), 512):
             some = words[low : low + 512]
-            ids = np.array(self._ids(" " + f"{_BAR} ".join(some)), dtype="<u4")
+            if self.mark is None:
+                ids = self._ids(self.tokenizer, " " + f"{_BAR} ".join(some))
+            else:
+                ids = self._ids(self.pieces, self.mark + f" {self.mark}{_BAR[1:]} {self.mark}".join(some))
             ends = np.append(np.flatnonzero(ids == self.bar), ids.size)
             data, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
             out += [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
         return out
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _find_mark(self) -> str | None:
+        """How the vocabulary writes a lower-case ASCII word after a space:
+        behind this mark, ready for the model without normalising and cutting."""
+        words = ["the", "thonti", "onwhed", "zebra", "q", "internationalisation"]
+        whole = self._encode_plain(words)
+        for self.mark in ("\u0120", "\u2581", ""):
+            if self._encode_plain(words) == whole:
+                return self.mark
+        return None
+
+    @staticmethod
+    def _ids(tokenizer: tokenizers.Tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn_heads(self, words: set[str]) -> None:
         new = list(words.difference(self.heads))
@@ -76,19 +95,22 @@ class WordEncoder:
         """Ids of new words after a space.  Letters and the ASCII signs and
         digits after them are cut apart by both vocabularies, so such a word is
         the ids of the two."""
-        plain, signed, tails, other = set(), [], set(), []
+        ascii_lower, plain, signed, tails, other = set(), set(), [], set(), []
         for word in words:
             core = word.rstrip(_SIGNS)
             if core.isalpha():
                 if core not in self.words:
-                    plain.add(core)
+                    (ascii_lower if core.isascii() and core.islower() else plain).add(core)
                 if len(core) < len(word):
                     signed.append((word, core))
                     tails.add(word[len(core) :])
             else:
                 other.append(word)
-        plain = list(plain)
+        lower, mark = list(ascii_lower), self.mark
+        self.words.update(zip(lower, self._encode_plain(lower)))
+        plain, self.mark = list(plain), None
         self.words.update(zip(plain, self._encode_plain(plain)))
+        self.mark = mark
         self.words.update(zip(other, self._encode([" " + w for w in other])))
         self._learn_heads(tails)
         for word, core in signed:
@@ -100,24 +122,32 @@ class WordEncoder:
         if len(self.words) + len(self.heads) > KEPT_WORDS:
             self.words.clear()
             self.heads.clear()
-        cut, heads, bodies = [], {"\n"}, []
+        get, cut, heads, new = self.words.get, [], {"\n"}, set()
         for text in texts:
             # a line break between other characters is a piece of its own, so lines are encoded one by one
             lines = [_SAFE_CUT.split(text)] if _DOUBLE_SPACE.search(text) else [x.split(" ") for x in text.split("\n")]
-            starts = []
+            done = []
             for words in lines:
                 if not words[-1] and len(words) > 1:  # a last space has no word after it
                     words[-2:] = [words[-2] + " "]
                 if not words[0] and len(words) > 1:
                     words[:2] = [" " + words[1]]
-                starts.append(words.pop(0))
-            heads.update(starts)
-            bodies += lines
-            cut.append((starts, lines))
+                start = words.pop(0)
+                heads.add(start)
+                found = list(map(get, words))
+                missing = [i for i, ids in enumerate(found) if ids is None] if None in found else []
+                new.update([words[i] for i in missing])
+                done.append((start, found, [(i, words[i]) for i in missing]))
+            cut.append(done)
         self._learn_heads(heads)
-        self._learn(set().union(*bodies).difference(self.words))
-        head, get, line_end = self.heads, self.words.__getitem__, self.heads["\n"]
-        return [line_end.join([head[s] + b"".join(map(get, words)) for s, words in zip(starts, lines)]) for starts, lines in cut]
+        self._learn(new)
+        line_end, out = self.heads["\n"], []
+        for done in cut:
+            for _, found, missing in done:
+                for i, word in missing:
+                    found[i] = self.words[word]
+            out.append(line_end.join([self.heads[start] + b"".join(found) for start, found, _ in done]))
+        return out
 
 
 def encoder(path: str) -> WordEncoder:

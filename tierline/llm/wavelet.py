@@ -57,14 +57,17 @@ class WaveletMatrix:
         row = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes, counts = [], [], []
         for bit in reversed(range(bits)):
-            ones = (row >> bit) & 1 != 0
+            ones = (row & row.dtype.type(1 << bit)).astype(bool)
             plane = np.packbits(ones)
             plane = np.pad(plane, (0, -plane.size % (BLOCK_BITS // 8)))
             blocks = np.bitwise_count(plane).reshape(-1, BLOCK_BITS // 8).sum(axis=1, dtype=np.uint64)
             planes.append(plane)
             counts.append(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4"))
             zeros.append(row.size - int(counts[-1][-1]))
-            row = np.concatenate([row[~ones], row[ones]])
+            parted = np.empty_like(row)
+            np.compress(~ones, row, out=parted[: zeros[-1]])
+            np.compress(ones, row, out=parted[zeros[-1] :])
+            row = parted
         return cls(ids.size, np.array(zeros, "<u4"), planes, counts)
 
     def to_bytes(self) -> bytes:
@@ -162,8 +165,8 @@ class WaveletMatrix:
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             before = np.empty_like(row)
             zeros = int(self.zeros[level])
-            before[~ones] = row[:zeros]
-            before[ones] = row[zeros:] | row.dtype.type(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~ones)] = row[:zeros]
+            before[np.flatnonzero(ones)] = row[zeros:] | row.dtype.type(1 << (self.bits - 1 - level))
             row = before
         return row
 
