@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -20,23 +21,6 @@ from tierline.operators.ranking import (
 SCHEMA = "id bigint, g string, v double"
 
 
-@pytest.fixture(params=["distributed", "single-task"])
-def path(request, monkeypatch):
-    """Run a test through both numbering paths of add_positions."""
-    import tierline.operators.ranking as R
-
-    if request.param == "distributed":
-        monkeypatch.setattr(R, "SINGLE_TASK_MAX_ROWS", -1)
-    return request.param
-
-
-@pytest.fixture
-def distributed(monkeypatch):
-    import tierline.operators.ranking as R
-
-    monkeypatch.setattr(R, "SINGLE_TASK_MAX_ROWS", -1)
-
-
 def _data(n: int, seed: int, null_share: float = 0.15, hot_share: float = 0.0, groups=("a", "b", None)):
     rnd = random.Random(seed)
     rows = []
@@ -77,12 +61,12 @@ def _naive(df, partition):
 
 @pytest.mark.parametrize("rows", CASES)
 @pytest.mark.parametrize("partition", [[], ["g"]], ids=["global", "by-group"])
-def test_matches_plain_window(spark, rows, partition, path):
+def test_matches_plain_window(spark, rows, partition):
     df = spark.createDataFrame(rows, SCHEMA)
-    order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
+    order = ["v", "id"]
     tiles = with_ntiles(df, {"q4": 4, "q10": 10}, order, partition).select("id", "q4", "q10")
-    pos = add_positions(df, order, partition, num_ranges=5).select("id", F.col("_pos").alias("rn"))
-    ranks = with_rank_stats(df, "v", order, partition).select(
+    pos = add_positions(df, order, partition).select("id", F.col("_pos").alias("rn"))
+    ranks = with_rank_stats(df, "v", partition).select(
         "id", percent_rank_of().alias("pr"), cume_dist_of().alias("cd")
     )
     got = tiles.join(pos, "id").join(ranks, "id")
@@ -91,24 +75,35 @@ def test_matches_plain_window(spark, rows, partition, path):
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
 
 
-def test_tile_sizes_differ_by_at_most_one(spark, path):
+def test_tile_sizes_differ_by_at_most_one(spark):
     df = spark.createDataFrame(_data(1003, 9, null_share=0.0), SCHEMA)
-    tiled = with_ntiles(df, {"t": 10}, [F.col("v").asc(), F.col("id").asc()])
+    tiled = with_ntiles(df, {"t": 10}, ["v", "id"])
     sizes = [r[1] for r in tiled.groupBy("t").count().collect()]
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1 and sum(sizes) == 1003
 
 
-def test_rows_never_meet_in_one_partition(spark, distributed):
-    """The only single-partition exchange is over the block table (one row
-    per range partition), never over the data rows."""
+def test_rows_never_meet_in_one_partition(spark):
+    """Single-partition exchanges only carry bounded aggregates, never rows."""
     df = spark.createDataFrame(_data(200, 5), SCHEMA)
-    out = with_ntiles(df, {"t": 4}, [F.col("v").asc_nulls_first(), F.col("id").asc()])
-    out.collect()
-    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
-    singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
-    assert singles, "expected the block table's global prefix sum"
-    for i in singles:
-        assert "HashAggregate(keys=[_pid" in lines[i + 1], lines[i : i + 2]
+    for out in (with_ntiles(df, {"t": 4}, ["v", "id"]), with_rank_stats(df, "v", ["g"])):
+        out.collect()
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        singles = [i for i, line in enumerate(lines) if re.search(r"Exchange (SinglePartition|hashpartitioning\(0,)", line)]
+        assert singles
+        for i in singles:
+            assert "Aggregate(" in "".join(lines[i + 1 : i + 4]), lines[i : i + 4]
+
+
+def test_building_a_plan_runs_no_job(spark):
+    df = spark.range(100).select(F.col("id"), F.lit("a").alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    group = "ranking-build"
+    spark.sparkContext.setJobGroup(group, "no job expected")
+    with_ntiles(df, {"t": 4}, ["v", "id"])
+    with_rank_stats(df, "v", ["g"])
+    exact_quantiles(df, "v", {"p": 0.5})
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_exact_quantiles_are_percentile_disc(spark):
@@ -164,31 +159,13 @@ def test_exact_quantiles_by_selection(spark, hot):
     assert {k: got[k] for k in probs} == {k: _disc(vals, p) for k, p in probs.items()}
 
 
-def test_exact_quantiles_sort_fallback_and_empty(spark, path):
-    from tierline.operators.ranking import _quantile_by_sort
-
-    rows = _data(700, 13)
-    df = spark.createDataFrame(rows, SCHEMA).filter(F.col("v").isNotNull()).select("v")
-    vals = [v for _, _, v in rows if v is not None]
-    for p in (0.1, 0.5, 0.9):
-        assert _quantile_by_sort(df, "v", p).first()[0] == _disc(vals, p)
+def test_exact_quantiles_empty(spark):
     empty = spark.createDataFrame([(1, "a", None)], SCHEMA)
     assert tuple(exact_quantiles(empty, "v", {"p50": 0.5}).first()) == (None,)
 
 
-def test_exact_quantiles_large_bracket_path(spark, monkeypatch, path):
-    # heavy ties make every bracket hold hundreds of rows > rows_per_bracket,
-    # forcing the distributed ranking of the bracket
-    import tierline.operators.ranking as R
-
-    calls = []
-    real = R._kth_by_sort
-    monkeypatch.setattr(R, "_kth_by_sort", lambda *a: calls.append(a[2]) or real(*a))
-    rnd = random.Random(3)
-    rows = [(i, "a", float(rnd.randint(0, 50))) for i in range(40000)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    got = R.exact_quantiles(df, "v", probs, rows_per_bracket=2).first()
-    vals = [v for _, _, v in rows]
-    assert len(calls) == 3
-    assert {k: got[k] for k in probs} == {k: _disc(vals, p) for k, p in probs.items()}
+def test_many_rows_fill_many_buckets(spark):
+    df = spark.range(20000).select(F.col("id"), (F.col("id") * 7919 % 20011).cast("double").alias("v"))
+    got = add_positions(df, ["v", "id"])
+    want = df.select("id", F.row_number().over(Window.orderBy("v", "id")).alias("rn"))
+    assert got.join(want, "id").where("_pos <> rn OR _cnt <> 20000").count() == 0

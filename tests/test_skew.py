@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tierline.functions.metrics import mean_round
-from tierline.operators.ranking import add_positions
+from tierline.operators.ranking import _bucketed, add_positions
 from tierline.plans import intermediate, staging
 from tierline.sources.schemas import INPATIENT
 
@@ -47,17 +47,14 @@ def test_hot_provider_summary_matches_brute_force(spark):
     assert got["HOT"].avg_covered_charges == float(exact.quantize(Decimal("0.01"), ROUND_HALF_UP))
 
 
-def test_hot_value_is_split_across_range_partitions(spark, monkeypatch):
-    import tierline.operators.ranking as R
-
-    monkeypatch.setattr(R, "SINGLE_TASK_MAX_ROWS", -1)
+def test_hot_value_is_split_across_buckets(spark):
     df = spark.range(0, 60000).select(
         F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise((F.col("id") % 997).cast("double")).alias("v"),
         F.col("id"),
     )
-    pos = add_positions(df, [F.col("v").asc(), F.col("id").asc()], num_ranges=8)
-    sizes = [r[1] for r in pos.groupBy(F.spark_partition_id()).count().collect()]
-    assert max(sizes) < 2 * (60000 / 8)  # no range holds the whole hot value (20000 rows)
+    sizes = [r[1] for r in _bucketed(df, ["v", "id"]).groupBy("_bucket").count().collect()]
+    assert max(sizes) < 60000 / 100  # no bucket holds the whole hot value (20000 rows)
+    pos = add_positions(df, ["v", "id"])
     assert pos.agg(F.max("_pos")).first()[0] == 60000
 
 

@@ -1,53 +1,44 @@
 """Global ranking without a single-partition window.
 
-``NTILE(k) OVER (ORDER BY x)``, ``PERCENT_RANK()`` and ``CUME_DIST()`` with
-no (or a low-cardinality) PARTITION BY make Spark move every row into one
-task (``Exchange SinglePartition``).  Here the work is spread instead:
-
-1. Range-partition and sort the rows on (partition keys, order keys).  The
-   range bounds come from Spark's sampler over the *composite* key, so a hot
-   value is still split by its tie-breakers.  The result is checkpointed to
-   the shared checkpoint folder: partition contents are then fixed, which
-   makes the positional numbering below stable across recomputation and
-   executor loss.
-2. Inside each range partition a row's offset is its position in the
-   partition (``monotonically_increasing_id`` minus the partition's base).
-3. A block table with one row per (range partition, group) — at most
-   ``partitions + groups`` rows — holds how many rows of the group precede
-   the block.  It is the only thing broadcast, behind a size check.
-4. Tie statistics for RANK / CUME_DIST are a partial aggregation per
-   (group, value) — a hot value collapses map-side — joined back null-safely
-   (AQE splits a skewed probe side).
-
-Use the plain partitioned window when the PARTITION BY key has many values:
-it is already distributed by that key.
-
-Two cheaper exact operators avoid ranking every row when the output allows:
-``top_k_with_rank_stats`` (PERCENT_RANK / CUME_DIST of a top-k report) and
-``exact_quantiles`` (PERCENTILE_DISC by selection inside sketch brackets).
+``NTILE(k) OVER (ORDER BY x)``, ``PERCENT_RANK()`` and ``CUME_DIST()`` with no (or a
+low-cardinality) PARTITION BY make Spark move every row into one task.  Here one
+lazy plan serves every input size:
+
+1. *Bounds.*  The rows' order keys are hashed into ``SAMPLE`` cells and each cell
+   keeps one key: a sample of the distinct keys, drawn by a partial aggregate, the
+   same on every run.  Every few of the sorted sample keys is a bucket bound; the
+   bounds are one row of the plan.
+2. *Buckets.*  A row's bucket is the number of bounds at or below its key, a pure
+   function of the row.  The key holds the tie-breakers, so a hot value is cut by
+   them.
+3. *Running totals.*  A window inside each bucket, plus the total of the buckets
+   before it (at most ``BUCKETS`` rows, a partial aggregate).
+
+Nothing runs while a plan is built and nothing is stored, so views over these
+plans stay live.  Ranks of values need no row order: ``with_rank_stats`` and
+``exact_quantiles`` run on the counts per distinct value, where a hot value is one
+row.
+
+Use the plain partitioned window when the PARTITION BY key has many values: it is
+already distributed by that key.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.session import checkpoint_dir
-
 POS = "_pos"
 CNT = "_cnt"
 RANK = "_rank"
 LE = "_le"
 
-DEFAULT_MAX_BROADCAST_BLOCKS = 200_000
-# Inputs up to this many rows are numbered by one plain window task (a
-# proven bound, checked by a count); larger ones take the distributed path.
-SINGLE_TASK_MAX_ROWS = 1_000_000
-MAX_SKETCH_ACCURACY = 100_000
+#: Sample keys (at most), bounds searched at a time, keys between two bounds.
+SAMPLE = 4096
+SEARCH = 32
+EVERY = 4
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
@@ -57,69 +48,82 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Col
     return cond
 
 
-def add_positions(
-    df: DataFrame,
-    order_by: Sequence[Column],
-    partition_by: Sequence[str] = (),
-    num_ranges: int | None = None,
-    max_broadcast_blocks: int = DEFAULT_MAX_BROADCAST_BLOCKS,
-) -> DataFrame:
-    """Append ``_pos`` (1-based position in ``order_by`` order within
-    ``partition_by``) and ``_cnt`` (rows in the group).
+def _key(cols: Sequence[str]) -> Column:
+    """The order key: structs compare field by field, NULLs first."""
+    return F.struct(*[F.col(c) for c in cols])
+
+
+def _bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with the bucket bounds as ``_bounds`` (at most SAMPLE / EVERY
+    keys) and every SEARCH-th of them as ``_coarse``."""
+    digest = F.xxhash64(F.lit("bounds"), *cols)
+    keys = df.groupBy(F.pmod(digest, F.lit(SAMPLE)).alias("_cell")).agg(F.min(F.struct(digest.alias("h"), _key(cols).alias("k")))["k"].alias("_k"))
+    ordered = keys.agg(F.array_sort(F.collect_list("_k")).alias("_all"))
+    bounds = ordered.select(F.filter("_all", lambda k, i: i % EVERY == EVERY - 1).alias("_bounds"))
+    return bounds.withColumn("_coarse", F.filter("_bounds", lambda k, i: i % SEARCH == SEARCH - 1))
+
+
+def _bucketed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df`` with ``_bucket``, the number of bounds at or below the key: the
+    coarse bounds first, then those of one stretch."""
+    with_bounds = df.join(F.broadcast(_bounds(df, cols)))  # one row
+    key = _key(cols)
+    coarse = F.size(F.filter("_coarse", lambda b: b <= key))
+    stretch = F.slice("_bounds", F.col("_stretch") * SEARCH + 1, F.lit(SEARCH))
+    fine = F.size(F.filter(stretch, lambda b: b <= key))
+    return (
+        with_bounds.withColumn("_stretch", coarse)
+        .withColumn("_bucket", F.col("_stretch") * SEARCH + fine)
+        .drop("_bounds", "_coarse", "_stretch")
+    )
+
+
+def running_totals(df: DataFrame, order: Sequence[str], weight: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``weight`` over all rows up to and
+    including this one in the order of the columns ``order`` (ascending, NULLs
+    first).  Rows equal in all of them come in any order."""
+    cut = _bucketed(df, order).withColumn("_weight", weight.cast("bigint"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        cut.groupBy("_bucket").agg(F.sum("_weight").alias("_total"))  # one row per bucket
+        .select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    return (
+        cut.withColumn("_inside", F.sum("_weight").over(inside))
+        .join(F.broadcast(totals), F.col("_bucket") == F.col("_b"))  # SAMPLE / EVERY + 1 rows at most
+        .withColumn(name, F.col("_before") + F.col("_inside"))
+        .select(*df.columns, name)
+    )
+
+
+def _group_starts(df: DataFrame, partition_by: Sequence[str], size: Column) -> DataFrame:
+    """(partition columns, _start, _cnt): rows before each group in the order
+    of the groups and rows in it; one row per group."""
+    groups = df.groupBy(*partition_by).agg(size.cast("bigint").alias(CNT))
+    before = Window.partitionBy(F.lit(0)).orderBy(*[F.col(c).asc_nulls_first() for c in partition_by]).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    return groups.withColumn("_start", F.coalesce(F.sum(CNT).over(before), F.lit(0)))
+
+
+def add_positions(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
+    """Append ``_pos`` (1-based position in the order of the columns
+    ``order_by``, ascending with NULLs first, within ``partition_by``) and
+    ``_cnt`` (rows in the group).
 
     Equals ``row_number()`` / ``count(*)`` over the same window; make
     ``order_by`` total (add tie-breakers) for a deterministic numbering.
-    Inputs of at most ``SINGLE_TASK_MAX_ROWS`` rows (counted first) use that
-    plain window directly.
     """
-    if df.count() <= SINGLE_TASK_MAX_ROWS:
-        # bounded input: one task sorts it; no sampling pass or checkpoint
-        group = Window.partitionBy(*partition_by)
-        return df.select(
-            "*",
-            F.row_number().over(group.orderBy(*order_by)).cast("long").alias(POS),
-            F.count(F.lit(1)).over(group).alias(CNT),
-        )
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    keys = [F.col(c).asc_nulls_first() for c in partition_by] + list(order_by)
-    parts = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-
-    pid = F.spark_partition_id()
-    local = ranged.select(
-        "*",
-        pid.alias("_pid"),
-        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_idx"),
-    )
-    group = Window.partitionBy(*partition_by)
-    blocks = (
-        local.groupBy("_pid", *partition_by)
-        .agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_bn"))
-        .select(
-            "_pid",
-            *partition_by,
-            "_first",
-            F.coalesce(
-                F.sum("_bn").over(
-                    group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ).alias("_before"),
-            F.sum("_bn").over(group).alias(CNT),
-        )
-        .persist()
-    )
-    # Size check before broadcasting: blocks <= range partitions + groups.
-    # (Cached, not checkpointed: it is a deterministic function of the
-    # checkpointed ranges, so a lost block is recomputed identically.)
-    small = blocks.limit(max_broadcast_blocks + 1).count() <= max_broadcast_blocks
-    right = F.broadcast(blocks) if small else blocks
-    l, r = local.alias("_l"), right.alias("_r")
-    on = (F.col("_l._pid") == F.col("_r._pid")) & _null_safe_on(l, r, partition_by)
-    return l.join(r, on).select(
+    numbered = running_totals(df, [*partition_by, *order_by], F.lit(1), POS)
+    starts = _group_starts(df, partition_by, F.count(F.lit(1)))
+    l, r = numbered.alias("_l"), starts.alias("_r")
+    joined = l.join(r, _null_safe_on(l, r, partition_by)) if partition_by else l.join(F.broadcast(r))  # one row
+    return joined.select(
         *[F.col(f"_l.`{c}`") for c in df.columns],
-        (F.col("_l._idx") - F.col("_r._first") + F.col("_r._before") + 1).alias(POS),
+        (F.col(f"_l.{POS}") - F.col("_r._start")).alias(POS),
         F.col(f"_r.{CNT}"),
     )
 
@@ -143,7 +147,7 @@ def ntile_of(pos: Column | str, cnt: Column | str, k: int) -> Column:
 def with_ntiles(
     df: DataFrame,
     tiles: dict[str, int],
-    order_by: Sequence[Column],
+    order_by: Sequence[str],
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Add one NTILE column per ``{name: k}`` (bigint)."""
@@ -152,26 +156,29 @@ def with_ntiles(
     return positioned.select(*df.columns, *cols)
 
 
-def with_rank_stats(
-    df: DataFrame,
-    value: str,
-    order_by: Sequence[Column],
-    partition_by: Sequence[str] = (),
-) -> DataFrame:
-    """Append ``_rank`` (RANK), ``_le`` (rows <= value) and ``_cnt``.
+def value_ranks(df: DataFrame, value: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """One row per (partition, value): ``_rank`` (RANK of the value in
+    ascending order, NULLs first), ``_le`` (rows at or below it) and ``_cnt``
+    (rows of the group).  Works on the counts per value."""
+    keys = [*partition_by, value]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_totals(counts, keys, F.col("_n"), "_upto")
+    starts = _group_starts(counts, partition_by, F.sum("_n"))
+    l, r = upto.alias("_l"), starts.alias("_r")
+    joined = l.join(r, _null_safe_on(l, r, partition_by)) if partition_by else l.join(F.broadcast(r))  # one row
+    le = F.col("_l._upto") - F.col("_r._start")
+    return joined.select(
+        *[F.col(f"_l.`{c}`") for c in keys], (le - F.col("_l._n") + 1).alias(RANK), le.alias(LE), F.col(f"_r.{CNT}")
+    )
 
-    ``order_by`` must start with ``value`` in the intended direction and may
-    add tie-breakers; ties are the rows sharing (partition, value).
-    """
-    positioned = add_positions(df, order_by, partition_by)
+
+def with_rank_stats(df: DataFrame, value: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Append ``_rank`` (RANK), ``_le`` (rows <= value) and ``_cnt`` of the
+    ascending order of ``value``, NULLs first, within ``partition_by``."""
     keys = [*partition_by, value]
-    ties = positioned.groupBy(*keys).agg(F.min(POS).alias(RANK), F.max(POS).alias(LE))
-    l, r = positioned.alias("_p"), ties.alias("_t")
+    l, r = df.alias("_p"), value_ranks(df, value, partition_by).alias("_t")
     return l.join(r, _null_safe_on(l, r, keys)).select(
-        *[F.col(f"_p.`{c}`") for c in df.columns],
-        F.col(f"_t.{RANK}"),
-        F.col(f"_t.{LE}"),
-        F.col(f"_p.{CNT}"),
+        *[F.col(f"_p.`{c}`") for c in df.columns], F.col(f"_t.{RANK}"), F.col(f"_t.{LE}"), F.col(f"_t.{CNT}")
     )
 
 
@@ -189,99 +196,13 @@ def cume_dist_of(le: Column | str = LE, cnt: Column | str = CNT) -> Column:
     return a / n
 
 
-def _kth_by_sort(vals: DataFrame, value: str, k: int | Column) -> DataFrame:
-    """The k-th smallest value (1-based) by numbering every value (distributed
-    range sort on value plus a row id, so a hot value is split)."""
-    keyed = vals.select(value, F.monotonically_increasing_id().alias("_row"))
-    positioned = add_positions(keyed, [F.col(value).asc(), F.col("_row").asc()])
-    kk = k if isinstance(k, Column) else F.lit(k)
-    return positioned.agg(F.min(F.when(F.col(POS) == kk, F.col(value))).alias(value))
-
-
-def _quantile_by_sort(vals: DataFrame, value: str, p: float) -> DataFrame:
-    """PERCENTILE_DISC(p) by numbering every value."""
-    keyed = vals.select(value, F.monotonically_increasing_id().alias("_row"))
-    positioned = add_positions(keyed, [F.col(value).asc(), F.col("_row").asc()])
-    target = F.greatest(F.lit(1), F.ceil(F.col(CNT) * F.lit(p)))
-    return positioned.agg(F.min(F.when(F.col(POS) == target, F.col(value))).alias(value))
-
-
-def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], rows_per_bracket: int = 1_000_000
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
     """One row of PERCENTILE_DISC values: the smallest x whose cumulative
-    share of the non-NULL values reaches p.
-
-    Selection, not sorting: ``percentile_approx`` (rank error <= n/accuracy,
-    accuracy scaled so a bracket of +-2 errors holds about
-    ``rows_per_bracket`` rows) brackets each quantile; one aggregate counts
-    the rows below and up to each bracket; only the brackets' *distinct*
-    values are ranked, all brackets in one pass (a hot value is one row
-    there).  A handful of passes over the data and no shuffle of its rows.  If a bracket misses its target (it cannot
-    with the sketch's guarantee) that quantile falls back to the
-    distributed sort.
-    """
-    v = F.col(value)
-    vals = df.filter(v.isNotNull()).select(value)
-    dtype = df.schema[value].dataType.simpleString()
-    # passes 1-2: the size, then the sketch (its accuracy is chosen from n)
-    n = vals.count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([tuple(None for _ in probs)], ", ".join(f"`{k}` {dtype}" for k in probs))
-    # Sketch buffers grow with the accuracy and all meet in the final merge,
-    # so it is capped; a bracket that is then larger than rows_per_bracket
-    # is ranked with the distributed sort (of the bracket only).
-    accuracy = int(min(MAX_SKETCH_ACCURACY, max(10_000, math.ceil(4 * n / rows_per_bracket))))
-    margin = 2.0 / accuracy
-    bounds = {k: (max(0.0, p - margin), min(1.0, p + margin)) for k, p in probs.items()}
-    levels = sorted({b for pair in bounds.values() for b in pair})
-    approx = dict(zip(levels, vals.agg(F.percentile_approx(value, levels, accuracy)).first()[0]))
-    lo = {k: approx[a] for k, (a, _) in bounds.items()}
-    hi = {k: approx[b] for k, (_, b) in bounds.items()}
-    # pass 3: exact counts below / up to every bracket
-    counts = vals.agg(
-        *[F.count_if(v < F.lit(lo[k])).alias(f"{k}_below") for k in probs],
-        *[F.count_if(v <= F.lit(hi[k])).alias(f"{k}_upto") for k in probs],
-    ).first()
-    target = {k: max(1, math.ceil(p * n)) for k, p in probs.items()}
-    below = {k: counts[f"{k}_below"] for k in probs}
-    upto = {k: counts[f"{k}_upto"] for k in probs}
-    valid = [k for k in probs if below[k] < target[k] <= upto[k]]
-    good = [k for k in valid if upto[k] - below[k] <= rows_per_bracket]
-    picks = []
-    for k in probs:
-        if k not in valid:  # cannot happen with the sketch's guarantee; stay exact anyway
-            pick = _quantile_by_sort(vals, value, probs[k])
-        elif k not in good:  # large bracket: rank only its rows, distributed
-            bracket = vals.filter((v >= F.lit(lo[k])) & (v <= F.lit(hi[k])))
-            pick = _kth_by_sort(bracket, value, target[k] - below[k])
-        else:
-            continue
-        picks.append(pick.select(F.lit(k).alias("_q"), F.col(value).alias("_v")))
-    if good:
-        # pass 4: every bracket at once -- rows tagged with the brackets they
-        # fall in, collapsed per (bracket, value), prefix-summed per bracket
-        inside = {k: (v >= F.lit(lo[k])) & (v <= F.lit(hi[k])) for k in good}
-        tagged = vals.filter(reduce(lambda a, b: a | b, inside.values())).select(
-            value, F.explode(F.array(*[F.when(inside[k], F.lit(k)) for k in good])).alias("_q")
-        )
-        per_value = tagged.filter(F.col("_q").isNotNull()).groupBy("_q", value).agg(F.count(F.lit(1)).alias("_n"))
-        upward = Window.partitionBy("_q").orderBy(F.col(value).asc()).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-
-        def by_bracket(values: dict) -> Column:
-            out = F.lit(None)
-            for k in good:
-                out = F.when(F.col("_q") == k, F.lit(values[k])).otherwise(out)
-            return out
-
-        reached = per_value.select(
-            "_q", value, (by_bracket(below) + F.sum("_n").over(upward)).alias("_cum")
-        ).filter(F.col("_cum") >= by_bracket(target))
-        picks.append(reached.groupBy("_q").agg(F.min(value).alias("_v")))
-    stacked = reduce(DataFrame.unionByName, picks)
-    return stacked.agg(*[F.max(F.when(F.col("_q") == k, F.col("_v"))).alias(k) for k in probs])
+    share of the non-NULL values reaches p (NULL without values)."""
+    ranks = value_ranks(df.where(F.col(value).isNotNull()), value)
+    reached = {k: F.col(LE) >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col(CNT))) for k, p in probs.items()}
+    return ranks.agg(*[F.min(F.when(r, F.col(value))).alias(k) for k, r in reached.items()])
+
 
 def top_k_with_rank_stats(
     df: DataFrame,
@@ -296,32 +217,27 @@ def top_k_with_rank_stats(
 
     A top row's statistics depend only on the rows at or above its value, and
     every such row is itself in the top k.  So: one top-k pass (per-task top
-    k, no sort of the data), three scalars (threshold, row and NULL counts),
-    one count per distinct value >= threshold (at most k values; the filter
-    reaches the scan), and a broadcast join of that bounded table.
+    k, no sort of the data), one aggregate for the counts, and one count per
+    distinct value at or above the smallest top value, at most k values.
     """
     v = F.col(value)
     top = df.orderBy(v.desc_nulls_last(), *tie_breakers).limit(k)
-    threshold = top.agg(F.min(value)).first()[0]
-    n, nulls = df.agg(F.count(F.lit(1)), F.count_if(v.isNull())).first()
-    dtype = df.schema[value].dataType.simpleString()
-    if threshold is None:  # no non-null value among the top rows
-        counts = df.sparkSession.createDataFrame([], f"`{value}` {dtype}, _ge bigint, _gt bigint")
-    else:
-        above = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counts = (
-            df.filter(v >= F.lit(threshold))
-            .groupBy(value)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .select(value, F.sum("_n").over(above).alias("_ge"), "_n")
-            .select(value, "_ge", (F.col("_ge") - F.col("_n")).alias("_gt"))
-        )
-    t, c = top.alias("_top"), F.broadcast(counts).alias("_c")
+    threshold = top.agg(F.min(value).alias("_threshold"))  # one row; null without values
+    sizes = df.agg(F.count(F.lit(1)).alias(CNT), F.count_if(v.isNull()).alias("_nulls"))  # one row
+    above = Window.partitionBy(F.lit(0)).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = (
+        df.select(value).join(F.broadcast(threshold), v >= F.col("_threshold"))
+        .groupBy(value)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(value, F.sum("_n").over(above).alias("_ge"), "_n")
+        .select(value, "_ge", (F.col("_ge") - F.col("_n")).alias("_gt"))
+    )
+    t, c = top.join(F.broadcast(sizes)).alias("_top"), F.broadcast(counts).alias("_c")  # at most k rows
     is_null = F.col(f"_top.`{value}`").isNull()
-    total = F.lit(n).cast("bigint")
+    total = F.col(f"_top.{CNT}")
     return t.join(c, F.col(f"_top.`{value}`") == F.col(f"_c.`{value}`"), "left").select(
         *[F.col(f"_top.`{col}`") for col in df.columns],
         F.when(is_null, F.lit(1).cast("bigint")).otherwise(total - F.col("_c._ge") + 1).alias(RANK),
-        F.when(is_null, F.lit(nulls).cast("bigint")).otherwise(total - F.col("_c._gt")).alias(LE),
+        F.when(is_null, F.col("_top._nulls")).otherwise(total - F.col("_c._gt")).alias(LE),
         total.alias(CNT),
     )

@@ -36,8 +36,8 @@ def vw_provider_details(fact: DataFrame) -> DataFrame:
     """View 2: provider rows with the national cost percentile within the year.
 
     PERCENT_RANK over PARTITION BY year has only a handful of groups, so it
-    runs through the distributed ranking (range sort + tie join) rather than
-    a per-year single-task window.
+    runs through the distributed ranking (running totals of the counts per
+    value, joined back) rather than a per-year single-task window.
     """
     base = fact.select(
         "provider_id",
@@ -58,12 +58,7 @@ def vw_provider_details(fact: DataFrame) -> DataFrame:
         "medicare_payment_ratio",
         "outpatient_volume_share_pct",
     )
-    ranked = with_rank_stats(
-        base,
-        "avg_inpatient_payment",
-        [F.col("avg_inpatient_payment").asc_nulls_first(), F.col("provider_id").asc_nulls_first()],
-        partition_by=["year"],
-    )
+    ranked = with_rank_stats(base, "avg_inpatient_payment", partition_by=["year"])
     return ranked.select(
         "provider_id",
         "provider_name",

@@ -103,7 +103,7 @@ def win_ntile(fact: DataFrame, year: int, quartiles: int = 4, deciles: int = 10)
     tiled = with_ntiles(
         base,
         {"cost_quartile": quartiles, "cost_decile": deciles},
-        [F.col("avg_inpatient_payment").asc_nulls_first(), F.col("provider_id").asc_nulls_first()],
+        ["avg_inpatient_payment", "provider_id"],
     )
     label = F.lit(None).cast("string")
     for q, text in reversed(QUARTILE_LABELS):
