@@ -182,7 +182,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
     """(pattern, total): how often each pattern's words occur in the corpus.
 
     Tasks get a bitmap of fixed size that says which patterns can matter and
-    count those (one row per pattern and batch); the join drops the few that
+    count those (one row per pattern and few texts); the join drops the few that
     only share a bit."""
     marked = np.zeros(FILTER_BITS, bool)
     bits = F.udf(bit_of, "int")(F.col("pattern"))
@@ -192,14 +192,15 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(bitmap).astype(bool)
         for batch in batches:
-            single, double = Counter(), Counter()
-            for text in batch.column(0).to_pylist():
-                words = [w.lower() for w in _CONTEXT_WORD.findall(text or "")]
-                single.update(words)
-                double.update(zip(words, words[1:]))
-            counts = [(w, n) for w, n in single.items() if wanted[bit_of(w)]]
-            counts += [(p, n) for w, n in double.items() if wanted[bit_of(p := " ".join(w))]]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in counts], pa.string()), pa.array([n for _, n in counts], pa.int64())], ["pattern", "n"])
+            for low in range(0, batch.num_rows, 128):  # counters of few texts at a time
+                single, double = Counter(), Counter()
+                for text in batch.column(0).slice(low, 128).to_pylist():
+                    words = [w.lower() for w in _CONTEXT_WORD.findall(text or "")]
+                    single.update(words)
+                    double.update(zip(words, words[1:]))
+                counts = [(w, n) for w, n in single.items() if wanted[bit_of(w)]]
+                counts += [(p, n) for w, n in double.items() if wanted[bit_of(p := " ".join(w))]]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in counts], pa.string()), pa.array([n for _, n in counts], pa.int64())], ["pattern", "n"])
 
     counted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "pattern string, n long")
     return counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns.select("pattern").distinct(), "pattern", "left_semi")
