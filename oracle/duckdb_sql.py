@@ -11,20 +11,22 @@ as ``tierline.sources.testdata``.  Dialect notes:
 * the integer guard keeps ``TRY_CAST('1.5' AS BIGINT)`` (2 in DuckDB) out;
 * ``round(x, n)`` is rewritten to round x's shortest decimal text half-up,
   which is what Spark's ``round`` on a double does (``_spark_round``);
-* ``round(avg(x), n)`` and the other means of amounts are the exact mean of
-  micro-units, as ``tierline.functions.metrics.exact_mean`` defines it
-  (``XAVG`` / ``XMEAN``), so neither side depends on summation order.
+* ``round(avg(x), n)`` first rounds the mean to 8 digits: the last bits of a sum
+  of doubles depend on its order, and means of cent amounts are often half-way
+  cases, which those bits would otherwise decide.
 """
 
 from __future__ import annotations
 
 import re
 
-from tierline.functions.text import DECIMAL_INT_PATTERN, HEX_INT_PATTERN, UNICODE_WHITESPACE
-from tierline.sources.testdata import PROFILE as P
-
-Y1, Y0 = P.current_year, P.previous_year
-_WS = " || ".join(f"chr({ord(c)})" for c in UNICODE_WHITESPACE)
+# The mapping of the driver tables, stated here again (nothing is imported from the package).
+Y1, Y0 = 1998, 1997
+LARGE_AT, MEDIUM_AT, Z_THRESHOLD = 1000, 850, 2.0
+DECIMAL_INT_PATTERN = "^[+-]?[0-9]+$"
+HEX_INT_PATTERN = "^[+-]?0[xX][0-9a-fA-F]+$"
+# Unicode white space: code points.
+_WS = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 
 
 def T(x: str) -> str:
@@ -42,44 +44,14 @@ def SD(a: str, b: str) -> str:
     return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
 
 
-def _half_up_div(num: str, den: str) -> str:
-    """Integer quotient num/den rounded half away from zero (den > 0)."""
-    return (
-        f"(CASE WHEN ({num}) >= 0 THEN (2 * ({num}) + ({den})) // (2 * ({den})) "
-        f"ELSE -((-2 * ({num}) + ({den})) // (2 * ({den}))) END)"
-    )
-
-
-def _mean_units(x: str, over: str = "") -> str:
-    """Exact mean in 1e-6 units, as tierline.functions.metrics.exact_mean:
-    values quantised to micro-units floor(x * 1e6 + 0.5), summed exactly,
-    divided half-up."""
-    units = f"CAST(SUM(CAST(floor(CAST({x} AS DOUBLE) * 1000000.0 + 0.5) AS BIGINT)){over} AS HUGEINT)"
-    n = f"COUNT({x}){over}"
-    return f"(CASE WHEN {n} > 0 THEN {_half_up_div(units, n)} END)"
-
-
-def XMEAN(x: str, over: str = "") -> str:
-    """AVG(x) (OVER ...) as the exact 6-decimal mean, as a double."""
-    return f"CAST(CAST({_mean_units(x, over)} AS VARCHAR) || 'e-6' AS DOUBLE)"
-
-
-def XAVG(x: str, digits: int, over: str = "") -> str:
-    """ROUND(AVG(x) (OVER ...), digits), half-up on the exact mean."""
-    scaled = _half_up_div(_mean_units(x, over), str(10 ** (6 - digits)))
-    return f"CAST(CAST({scaled} AS VARCHAR) || 'e-{digits}' AS DOUBLE)"
-
-
-def _ts(y: int, m: int = 1) -> str:
-    return f"TIMESTAMP '{y:04d}-{m:02d}-01 00:00:00'"
+_MEAN_DIGITS = 8
 
 
 _TOTAL = "l.l_extendedprice * (1 - l.l_discount) * (1 + l.l_tax)"
 _MEDICARE = "l.l_extendedprice * (1 - l.l_discount)"
 
 
-def _raw_inpatient(y: int) -> str:
-    return f"""
+_RAW_INPATIENT = f"""
   SELECT CAST(l.l_suppkey AS VARCHAR) AS provider_id, g.s_name AS provider_name,
          CAST(NULL AS VARCHAR) AS provider_street_address, CAST(NULL AS VARCHAR) AS provider_city,
          g.n_name AS provider_state, CAST(g.s_nationkey AS VARCHAR) AS provider_zipcode,
@@ -88,27 +60,25 @@ def _raw_inpatient(y: int) -> str:
          CAST(trunc(l.l_quantity) AS BIGINT) AS total_discharges,
          l.l_extendedprice AS average_covered_charges,
          {_TOTAL} AS average_total_payments,
-         CASE WHEN l.l_discount <> 0 THEN {_MEDICARE} END AS average_medicare_payments
+         CASE WHEN l.l_discount <> 0 THEN {_MEDICARE} END AS average_medicare_payments,
+         CAST(year(l.l_shipdate) AS BIGINT) AS data_year
   FROM lineitem l JOIN geo g ON l.l_suppkey = g.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE l.l_linestatus = 'F' AND l.l_shipdate >= {_ts(y)} AND l.l_shipdate < {_ts(y + 1)}"""
+  WHERE l.l_linestatus = 'F'"""
 
 
-def _raw_outpatient(y: int) -> str:
-    return f"""
+_RAW_OUTPATIENT = f"""
   SELECT CAST(l.l_suppkey AS VARCHAR) AS provider_id, g.s_name AS provider_name,
          CAST(NULL AS VARCHAR) AS provider_street_address, CAST(NULL AS VARCHAR) AS provider_city,
          g.n_name AS provider_state, CAST(g.s_nationkey AS BIGINT) AS provider_zipcode,
          g.r_name AS hospital_referral_region, p.p_type AS apc,
          CAST(trunc(l.l_quantity) AS BIGINT) AS outpatient_services,
          l.l_extendedprice AS average_estimated_submitted_charges,
-         {_TOTAL} AS average_total_payments
+         {_TOTAL} AS average_total_payments, CAST(year(l.l_shipdate) AS BIGINT) AS data_year
   FROM lineitem l JOIN geo g ON l.l_suppkey = g.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE l.l_linestatus = 'O' AND l.l_returnflag = 'R'
-    AND l.l_shipdate >= {_ts(y)} AND l.l_shipdate < {_ts(y, P.outpatient_last_month + 1)}"""
+  WHERE l.l_linestatus = 'O'"""
 
 
-def _raw_physicians(y: int) -> str:
-    return f"""
+_RAW_PHYSICIANS = f"""
   SELECT CAST(c.c_custkey AS VARCHAR) AS npi, c.c_name AS nppes_provider_last_org_name,
          CAST(NULL AS VARCHAR) AS nppes_provider_first_name, CAST(NULL AS VARCHAR) AS nppes_provider_city,
          n.n_name AS nppes_provider_state, CAST(c.c_nationkey AS VARCHAR) AS nppes_provider_zip,
@@ -117,14 +87,13 @@ def _raw_physicians(y: int) -> str:
          o.o_orderstatus AS place_of_service,
          l.l_quantity AS line_srvc_cnt, CAST(1.0 AS DOUBLE) AS bene_unique_cnt, l.l_quantity AS bene_day_srvc_cnt,
          {_TOTAL} AS average_medicare_allowed_amt, l.l_extendedprice AS average_submitted_chrg_amt,
-         {_MEDICARE} AS average_medicare_payment_amt, {_MEDICARE} AS average_medicare_standard_amt
+         {_MEDICARE} AS average_medicare_payment_amt, {_MEDICARE} AS average_medicare_standard_amt,
+         CAST(year(o.o_orderdate) AS BIGINT) AS data_year
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-       JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-  WHERE o.o_orderdate >= {_ts(y)} AND o.o_orderdate < {_ts(y + 1)}"""
+       JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"""
 
 
-def _stg_inpatient_branch(y: int) -> str:
-    return f"""
+_STG_INPATIENT = f"""
   SELECT {T('provider_id')} AS provider_id, {T('provider_name')} AS provider_name,
          {T('provider_street_address')} AS provider_street_address, {T('provider_city')} AS provider_city,
          {T('provider_state')} AS provider_state, {T('provider_zipcode')} AS provider_zipcode,
@@ -133,26 +102,24 @@ def _stg_inpatient_branch(y: int) -> str:
          average_total_payments AS avg_total_payments, average_medicare_payments AS avg_medicare_payments,
          {T('drg_definition')} AS drg_definition,
          {SAFE_INT("split_part(" + T('drg_definition') + ", ' ', 1)")} AS drg_code,
-         CAST({y} AS BIGINT) AS data_year
-  FROM raw_inpatient_{y}
+         data_year
+  FROM raw_inpatient
   WHERE provider_id IS NOT NULL AND total_discharges IS NOT NULL
     AND average_total_payments > 0 AND average_total_payments < 1000000"""
 
 
-def _stg_outpatient_branch(y: int) -> str:
-    return f"""
+_STG_OUTPATIENT = f"""
   SELECT {T('provider_id')} AS provider_id, {T('provider_name')} AS provider_name,
          {T('provider_city')} AS provider_city, {T('provider_state')} AS provider_state,
          CAST(provider_zipcode AS VARCHAR) AS provider_zipcode,
          {T('hospital_referral_region')} AS hrr_description, {T('apc')} AS apc,
          outpatient_services, average_estimated_submitted_charges AS avg_submitted_charges,
-         average_total_payments AS avg_total_payments, CAST({y} AS BIGINT) AS data_year
-  FROM raw_outpatient_{y}
+         average_total_payments AS avg_total_payments, data_year
+  FROM raw_outpatient
   WHERE provider_id IS NOT NULL AND average_total_payments > 0"""
 
 
-def _stg_physicians_branch(y: int) -> str:
-    return f"""
+_STG_PHYSICIANS = f"""
   SELECT {T('npi')} AS npi, {T('nppes_provider_last_org_name')} AS provider_last_name,
          {T('nppes_provider_first_name')} AS provider_first_name, {T('nppes_provider_city')} AS provider_city,
          {T('nppes_provider_state')} AS provider_state, {T('nppes_provider_zip')} AS provider_zip,
@@ -163,15 +130,11 @@ def _stg_physicians_branch(y: int) -> str:
          bene_day_srvc_cnt AS beneficiary_day_service_count,
          average_medicare_allowed_amt AS avg_medicare_allowed, average_submitted_chrg_amt AS avg_submitted_charge,
          average_medicare_payment_amt AS avg_medicare_payment, average_medicare_standard_amt AS avg_medicare_standard,
-         CAST({y} AS BIGINT) AS data_year
-  FROM raw_physicians_{y}
+         data_year
+  FROM raw_physicians
   WHERE npi IS NOT NULL AND line_srvc_cnt > 0 AND average_medicare_payment_amt > 0"""
 
 
-def _union(parts: list[str]) -> str:
-    return "\n  UNION ALL".join(parts)
-
-
 CTES: list[tuple[str, str]] = [
     (
         "geo",
@@ -179,12 +142,12 @@ CTES: list[tuple[str, str]] = [
   SELECT s.s_suppkey, s.s_name, s.s_nationkey, n.n_name, r.r_name
   FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""",
     ),
-    *[(f"raw_inpatient_{y}", _raw_inpatient(y)) for y in P.inpatient_years],
-    *[(f"raw_outpatient_{y}", _raw_outpatient(y)) for y in P.outpatient_years],
-    *[(f"raw_physicians_{y}", _raw_physicians(y)) for y in P.physician_years],
-    ("stg_inpatient_charges", _union([_stg_inpatient_branch(y) for y in P.inpatient_years])),
-    ("stg_outpatient_charges", _union([_stg_outpatient_branch(y) for y in P.outpatient_years])),
-    ("stg_physicians", _union([_stg_physicians_branch(y) for y in P.physician_years])),
+    ("raw_inpatient", _RAW_INPATIENT),
+    ("raw_outpatient", _RAW_OUTPATIENT),
+    ("raw_physicians", _RAW_PHYSICIANS),
+    ("stg_inpatient_charges", _STG_INPATIENT),
+    ("stg_outpatient_charges", _STG_OUTPATIENT),
+    ("stg_physicians", _STG_PHYSICIANS),
     (
         "int_provider_inpatient_summary",
         f"""
@@ -269,8 +232,8 @@ CTES: list[tuple[str, str]] = [
         f"""
   SELECT provider_id, provider_name, provider_city, provider_state, provider_zipcode, hrr_description,
          lifetime_discharges,
-         CASE WHEN lifetime_discharges >= {P.large_at} THEN 'Large'
-              WHEN lifetime_discharges >= {P.medium_at} THEN 'Medium' ELSE 'Small' END AS provider_size_category
+         CASE WHEN lifetime_discharges >= {LARGE_AT} THEN 'Large'
+              WHEN lifetime_discharges >= {MEDIUM_AT} THEN 'Medium' ELSE 'Small' END AS provider_size_category
   FROM (
     SELECT *, row_number() OVER (
              PARTITION BY provider_id
@@ -290,8 +253,7 @@ CTES: list[tuple[str, str]] = [
         "region_lookup",
         f"""
   SELECT n.n_name AS code, n.n_name || ' (' || r.r_name || ')' AS state_name, r.r_name AS census_region
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE r.r_regionkey <> {P.lookup_excluded_region_key}""",
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""",
     ),
     (
         "dim_region",
@@ -305,15 +267,13 @@ CTES: list[tuple[str, str]] = [
     ),
     (
         "dim_date",
-        """
+        f"""
   SELECT y.year, q.quarter,
          CAST(y.year AS VARCHAR) || '-Q' || CAST(q.quarter AS VARCHAR) AS year_quarter_label,
          CASE q.quarter WHEN 1 THEN 'Q1 (Jan-Mar)' WHEN 2 THEN 'Q2 (Apr-Jun)'
                         WHEN 3 THEN 'Q3 (Jul-Sep)' WHEN 4 THEN 'Q4 (Oct-Dec)' END AS quarter_label,
-         y.year - y.y0 + 1 AS year_index
-  FROM (SELECT b.y0, CAST(unnest(generate_series(b.y0, b.y1)) AS BIGINT) AS year
-        FROM (SELECT MIN(data_year) AS y0, MAX(data_year) AS y1 FROM stg_inpatient_charges) b
-        WHERE b.y0 IS NOT NULL) y,
+         CAST(CASE y.year WHEN {Y0} THEN 1 WHEN {Y1} THEN 2 END AS BIGINT) AS year_index
+  FROM (SELECT CAST(unnest(generate_series({Y0}, {Y1})) AS BIGINT) AS year) y,
        (SELECT CAST(unnest(generate_series(1, 4)) AS BIGINT) AS quarter) q""",
     ),
     (
@@ -346,7 +306,7 @@ def with_models(final: str, extra: list[tuple[str, str]] | None = None) -> str:
 
 def _sample(table: str, columns: list[str]) -> str:
     order = ", ".join(f"{c} ASC NULLS FIRST" for c in columns)
-    return with_models(f"SELECT * FROM {table} ORDER BY {order} LIMIT 10")
+    return with_models(f"SELECT {', '.join(columns)} FROM {table} ORDER BY {order} LIMIT 10")
 
 
 _RAW_IN_COLS = [
@@ -406,14 +366,13 @@ ORACLE: dict[str, str] = {
     # 01 exploration
     "explore_row_counts": with_models(
         f"""
-SELECT 'inpatient_charges_{Y1}' AS table_name, COUNT(*) AS row_count FROM raw_inpatient_{Y1}
-UNION ALL SELECT 'inpatient_charges_{Y0}', COUNT(*) FROM raw_inpatient_{Y0}
-UNION ALL SELECT 'outpatient_charges_{Y1}', COUNT(*) FROM raw_outpatient_{Y1}
-UNION ALL SELECT 'physicians_and_other_supplier_{Y0}', COUNT(*) FROM raw_physicians_{Y0}"""
-    ),
-    "explore_sample_inpatient": _sample(f"raw_inpatient_{Y1}", _RAW_IN_COLS),
-    "explore_sample_outpatient": _sample(f"raw_outpatient_{Y1}", _RAW_OUT_COLS),
-    "explore_sample_physicians": _sample(f"raw_physicians_{Y0}", _RAW_PHYS_COLS),
+SELECT 'inpatient_charges' AS table_name, COUNT(*) AS row_count FROM raw_inpatient
+UNION ALL SELECT 'outpatient_charges', COUNT(*) FROM raw_outpatient
+UNION ALL SELECT 'physicians_and_other_supplier', COUNT(*) FROM raw_physicians"""
+    ),
+    "explore_sample_inpatient": _sample(f"raw_inpatient", _RAW_IN_COLS),
+    "explore_sample_outpatient": _sample(f"raw_outpatient", _RAW_OUT_COLS),
+    "explore_sample_physicians": _sample(f"raw_physicians", _RAW_PHYS_COLS),
     "explore_nulls_inpatient": with_models(
         f"""
 SELECT CAST(count_if(provider_id IS NULL) AS BIGINT) AS null_provider_id,
@@ -424,7 +383,7 @@ SELECT CAST(count_if(provider_id IS NULL) AS BIGINT) AS null_provider_id,
        CAST(count_if(average_covered_charges IS NULL) AS BIGINT) AS null_avg_covered_charges,
        CAST(count_if(total_discharges IS NULL) AS BIGINT) AS null_total_discharges,
        COUNT(*) AS total_rows
-FROM raw_inpatient_{Y1}"""
+FROM raw_inpatient"""
     ),
     "explore_nulls_outpatient": with_models(
         f"""
@@ -433,18 +392,18 @@ SELECT CAST(count_if(provider_id IS NULL) AS BIGINT) AS null_provider_id,
        CAST(count_if(average_total_payments IS NULL) AS BIGINT) AS null_avg_total_payments,
        CAST(count_if(outpatient_services IS NULL) AS BIGINT) AS null_outpatient_services,
        COUNT(*) AS total_rows
-FROM raw_outpatient_{Y1}"""
+FROM raw_outpatient"""
     ),
     "explore_cardinality": with_models(
         f"""
 SELECT COUNT(DISTINCT provider_id) AS distinct_providers,
        COUNT(DISTINCT provider_state) AS distinct_states,
        COUNT(DISTINCT drg_definition) AS distinct_drg_codes
-FROM raw_inpatient_{Y1}"""
+FROM raw_inpatient"""
     ),
     "explore_distribution": with_models(
         f"""
-SELECT min(v) AS min_payment, max(v) AS max_payment, {XMEAN('v')} AS avg_payment,
+SELECT min(v) AS min_payment, max(v) AS max_payment, round(avg(v), 6) AS avg_payment,
        round(stddev_samp(v), 6) AS stddev_payment,
        min(CASE WHEN pos = greatest(1, ceil(n * 0.25)) THEN v END) AS p25,
        min(CASE WHEN pos = greatest(1, ceil(n * 0.5)) THEN v END) AS p50,
@@ -452,14 +411,14 @@ SELECT min(v) AS min_payment, max(v) AS max_payment, {XMEAN('v')} AS avg_payment
 FROM (SELECT average_total_payments AS v,
              row_number() OVER (ORDER BY average_total_payments) AS pos,
              COUNT(*) OVER () AS n
-      FROM raw_inpatient_{Y1} WHERE average_total_payments IS NOT NULL) ranked"""
+      FROM raw_inpatient WHERE average_total_payments IS NOT NULL) ranked"""
     ),
     "explore_top_states": with_models(
         f"""
 SELECT provider_state, COUNT(DISTINCT provider_id) AS provider_count,
        CAST(SUM(total_discharges) AS BIGINT) AS total_discharges,
        round(avg(average_total_payments), 2) AS avg_payment
-FROM raw_inpatient_{Y1}
+FROM raw_inpatient
 GROUP BY provider_state
 ORDER BY total_discharges DESC NULLS LAST, provider_state ASC NULLS FIRST
 LIMIT 20"""
@@ -469,15 +428,14 @@ LIMIT 20"""
 SELECT drg_definition, CAST(SUM(total_discharges) AS BIGINT) AS total_discharges,
        round(avg(average_total_payments), 2) AS avg_payment,
        round(avg(average_covered_charges), 2) AS avg_covered_charges
-FROM raw_inpatient_{Y1}
+FROM raw_inpatient
 GROUP BY drg_definition
 ORDER BY total_discharges DESC NULLS LAST, drg_definition ASC NULLS FIRST
 LIMIT 20"""
     ),
     "explore_year_availability": with_models(
         f"""
-SELECT '{Y0}' AS year, COUNT(*) AS inpatient_rows FROM raw_inpatient_{Y0}
-UNION ALL SELECT '{Y1}', COUNT(*) FROM raw_inpatient_{Y1}"""
+SELECT CAST(data_year AS VARCHAR) AS year, COUNT(*) AS inpatient_rows FROM raw_inpatient GROUP BY data_year"""
     ),
     # 02 staging
     "stg_inpatient": with_models("SELECT * FROM stg_inpatient_charges"),
@@ -675,7 +633,7 @@ ORDER BY provider_id, year"""
     "win_rolling_avg": with_models(
         f"""
 SELECT state_code, census_region, year, avg_cost,
-       {XAVG('avg_cost', 2, " OVER (PARTITION BY state_code ORDER BY year, census_region ASC NULLS FIRST ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)")} AS rolling_2yr_avg_cost,
+       round(round(avg(avg_cost) OVER (PARTITION BY state_code ORDER BY year, census_region ASC NULLS FIRST ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 8), 2) AS rolling_2yr_avg_cost,
        CAST(SUM(total_discharges) OVER (PARTITION BY state_code ORDER BY year, census_region ASC NULLS FIRST
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
          AS cumulative_discharges
@@ -715,9 +673,9 @@ LIMIT 50"""
         f"""
 SELECT provider_id, provider_name, state_code, year,
        round(avg_inpatient_payment, 2) AS provider_cost,
-       round({XMEAN('avg_inpatient_payment', _STATE_YEAR)}, 2) AS state_avg_cost,
-       round(avg_inpatient_payment - {XMEAN('avg_inpatient_payment', _STATE_YEAR)}, 2) AS diff_from_state_avg,
-       round({SD('avg_inpatient_payment', XMEAN('avg_inpatient_payment', _STATE_YEAR))} * 100 - 100, 1)
+       round(round(avg(avg_inpatient_payment){_STATE_YEAR}, 8), 2) AS state_avg_cost,
+       round(round(avg_inpatient_payment - avg(avg_inpatient_payment){_STATE_YEAR}, 8), 2) AS diff_from_state_avg,
+       round(round({SD('avg_inpatient_payment', 'avg(avg_inpatient_payment)' + _STATE_YEAR)} * 100 - 100, 8), 1)
          AS pct_above_state_avg
 FROM fact WHERE year = {Y1}
 ORDER BY pct_above_state_avg DESC NULLS LAST"""
@@ -792,17 +750,17 @@ WHERE dr.state_code IS NULL GROUP BY f.state_code"""
         f"""
 SELECT f.provider_id, f.provider_name, f.state_code,
        round(f.avg_inpatient_payment, 2) AS avg_cost,
-       round(s.mean_cost, 2) AS national_mean,
+       round(round(s.mean_cost, 8), 2) AS national_mean,
        round((f.avg_inpatient_payment - s.mean_cost) / NULLIF(s.stddev_cost, 0), 2) AS z_score
 FROM fact f JOIN stats s ON f.year = s.year
 WHERE f.year = {Y1}
-  AND abs((f.avg_inpatient_payment - s.mean_cost) / NULLIF(s.stddev_cost, 0)) > {P.z_threshold}
+  AND abs((f.avg_inpatient_payment - s.mean_cost) / NULLIF(s.stddev_cost, 0)) > {Z_THRESHOLD}
 ORDER BY z_score DESC NULLS LAST""",
         [
             (
                 "stats",
                 f"""
-  SELECT year, {XMEAN('avg_inpatient_payment')} AS mean_cost, stddev_samp(avg_inpatient_payment) AS stddev_cost
+  SELECT year, avg(avg_inpatient_payment) AS mean_cost, stddev_samp(avg_inpatient_payment) AS stddev_cost
   FROM fact WHERE year = {Y1} GROUP BY year""",
             )
         ],
@@ -819,7 +777,7 @@ SELECT check_name, status FROM (
   UNION ALL
   SELECT 'dim_region covers 50+ states', CASE WHEN COUNT(*) >= 50 THEN 'PASS' ELSE 'FAIL' END FROM dim_region
   UNION ALL
-  SELECT 'Both years present in fact table', CASE WHEN COUNT(DISTINCT year) = 2 THEN 'PASS' ELSE 'FAIL' END
+  SELECT '7 years present in fact table', CASE WHEN COUNT(DISTINCT year) = 7 THEN 'PASS' ELSE 'FAIL' END
   FROM fact
 ) checks
 ORDER BY status, check_name"""
@@ -864,11 +822,42 @@ def _spark_round(sql: str) -> str:
         expr, digits = _spark_round(sql[j + 6 : comma]), sql[comma + 1 : k].strip()
         plain_avg = re.fullmatch(r"\s*avg\(([^()]*)\)\s*", expr, re.IGNORECASE)
         if plain_avg:
-            out.append(XAVG(plain_avg.group(1), int(digits)))
-            i = k + 1
-            continue
+            expr = f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {_MEAN_DIGITS}) AS DOUBLE)"
         out.append(f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)")
         i = k + 1
 
 
+ORACLE["dim_date"] = with_models(
+    """
+SELECT d.*, COALESCE(s.n, 0) AS staged_rows
+FROM dim_date d LEFT JOIN (SELECT data_year, COUNT(*) AS n FROM stg_inpatient_charges GROUP BY data_year) s
+  ON d.year = s.data_year"""
+)
+ORACLE["fact_load_stamp"] = with_models(
+    """
+SELECT COUNT(*) AS fact_rows, COUNT(*) AS stamped_rows, CAST(1 AS BIGINT) AS load_times FROM fact"""
+)
+# the exact quartile is within the bound by definition; its rank is computed from the sorted column all the same
+ORACLE["explore_distribution_approx"] = with_models(
+    """
+SELECT min(v) AS min_payment, max(v) AS max_payment, round(avg(v), 6) AS avg_payment,
+       round(stddev_samp(v), 6) AS stddev_payment,
+       abs(count(CASE WHEN v <= q1 THEN 1 END) - ceil(0.25 * count(*))) <= count(CASE WHEN v = q1 THEN 1 END) + count(*) / 10000 AS p25_in_bound,
+       abs(count(CASE WHEN v <= q2 THEN 1 END) - ceil(0.5 * count(*))) <= count(CASE WHEN v = q2 THEN 1 END) + count(*) / 10000 AS p50_in_bound,
+       abs(count(CASE WHEN v <= q3 THEN 1 END) - ceil(0.75 * count(*))) <= count(CASE WHEN v = q3 THEN 1 END) + count(*) / 10000 AS p75_in_bound
+FROM (SELECT average_total_payments AS v FROM raw_inpatient WHERE average_total_payments IS NOT NULL) r,
+     (SELECT quantile_disc(average_total_payments, 0.25) AS q1, quantile_disc(average_total_payments, 0.5) AS q2,
+             quantile_disc(average_total_payments, 0.75) AS q3 FROM raw_inpatient) q"""
+)
+ORACLE["dq_duplicates_supplier_nations"] = """
+SELECT s_nationkey, COUNT(*) AS row_count FROM supplier GROUP BY s_nationkey HAVING COUNT(*) > 1"""
+ORACLE["dq_duplicates_customer_days"] = """
+SELECT o_custkey, o_orderdate, COUNT(*) AS row_count FROM orders GROUP BY o_custkey, o_orderdate HAVING COUNT(*) > 1"""
+ORACLE["dq_orphans_orders"] = """
+SELECT o_orderkey, o_orderpriority FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)"""
+ORACLE["dq_orphans_order_priorities"] = """
+SELECT o_orderpriority, COUNT(*) AS unmatched_rows FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) GROUP BY o_orderpriority"""
+
 ORACLE = {key: _spark_round(sql) for key, sql in ORACLE.items()}

@@ -22,6 +22,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tierline-tests-wh-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tierline-tests-ckpt-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

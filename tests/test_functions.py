@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tierline.functions import metrics as M
@@ -125,5 +126,12 @@ def test_partitions_for_sizes_by_input():
     from tierline.session import partitions_for
 
     assert partitions_for(0) == 200
-    assert partitions_for(100 << 40) == 409600  # 100 TiB / 256 MiB
+    assert partitions_for(100 << 40) == 100_000  # bounded
     assert partitions_for(10 << 30, target_bytes=128 << 20) == 200
+
+
+@pytest.mark.parametrize("values", [[1e13, 3e13], [1e20], [3e-7, 3e-7], [float("nan"), 1.0], [float("inf"), 1.0], [None, 2.5]])
+def test_mean_is_avg(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.agg(M.mean_value("x").alias("a"), F.avg("x").alias("b"), M.mean_round("x", 2).alias("c"), F.round(F.avg("x"), 2).alias("d")).first()
+    assert repr(got.a) == repr(got.b) and repr(got.c) == repr(got.d)

@@ -303,3 +303,52 @@ def test_views_are_queryable_by_name(spark, wh):
     ).collect()
     assert sum(r.n for r in got) == 6  # distinct 2015 providers; the two spellings of 10002 count once
     assert spark.sql("SELECT COUNT(*) AS c FROM vw_provider_details").first().c == 9
+
+
+def test_catalog_views_are_live_and_persistent(spark, wh):
+    spark.sql("CREATE DATABASE IF NOT EXISTS views_test")
+    wh.fact.write.mode("overwrite").partitionBy("year").saveAsTable("views_test.fact")
+    names = views.create_views(spark, "views_test.fact", 2015, 2014, database="views_test")
+    frames = views.register_views(spark.read.table("views_test.fact"), 2015, 2014)
+    for name, want in zip(names, frames.values()):
+        got = spark.sql(f"SELECT * FROM {name}")
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), name
+    before = {n: sorted(map(repr, spark.newSession().sql(f"SELECT * FROM {n}").collect())) for n in names}
+    new = spark.read.table("views_test.fact").select(
+        *[F.concat("provider_id", F.lit("-2")).alias(c) if c == "provider_id" else (F.col(c) * 2).alias(c) if c == "avg_inpatient_payment" else F.col(c) for c in spark.read.table("views_test.fact").columns]
+    )
+    spark.createDataFrame(new.collect(), new.schema).write.mode("append").insertInto("views_test.fact")
+    for name in names:  # the session that wrote, and one that starts later
+        for session in (spark, spark.newSession()):
+            assert sorted(map(repr, session.sql(f"SELECT * FROM {name}").collect())) != before[name], name
+    assert spark.sql("SELECT COUNT(*) AS c FROM views_test.vw_provider_details").first().c == 18
+
+
+def test_stored_fact_is_partitioned_and_superseded_builds_go(spark, wh):
+    import os
+
+    first = materialise(wh)
+    second = materialise(wh, replaces=first)
+    local = lambda p: p.removeprefix("file:")
+    assert not os.path.exists(local(first.location)) and os.path.exists(local(second.location))
+    plan = kpis.kpi_cost_by_state(second.fact, 2015)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert second.fact.dtypes == wh.fact.dtypes
+
+
+def test_dim_date_covers_the_configured_years(spark):
+    from tierline.plans.dimensions import dim_date, dim_date_coverage
+
+    dates = dim_date(spark, 2014, 2015)
+    staged = spark.createDataFrame([(2015,), (2015,)], "data_year bigint")
+    got = _rows(dim_date_coverage(dates, staged), "year", "quarter", "year_index", "staged_rows")
+    assert got == [(y, q, y - 2013, 2 if y == 2015 else 0) for y in (2014, 2015) for q in (1, 2, 3, 4)]
+
+
+def test_duplicate_and_orphan_checks_find_what_is_planted(spark, wh):
+    provider, region = wh.model("dim_provider"), wh.model("dim_region")
+    assert [tuple(r) for r in quality.dq_duplicates_provider(provider.unionByName(provider.where("provider_id = '10001'"))).collect()] == [("10001", 2)]
+    assert [tuple(r) for r in quality.dq_duplicates_region(region.unionByName(region.where("state_code = 'AL'"))).collect()] == [("AL", 2)]
+    orphans = quality.dq_orphans_provider(wh.fact, provider.where("provider_id <> '10001'"))
+    assert _rows(orphans, "provider_id", "year") == [("10001", 2014), ("10001", 2015)]

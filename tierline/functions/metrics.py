@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-# Exact means: values are quantised to 6 decimals and summed exactly, so
-# the mean does not depend on partitioning or summation order.
-# A double sum does, and the reference rounds means of cent amounts, whose
-# exact value is often a half-way case (x.xx5): with doubles the rounded KPI
-# could flip between runs of the same job on a cluster.
-EXACT_TYPE = "decimal(38,6)"
+#: Digits a mean keeps before it is rounded to fewer.  The last bits of a sum of
+#: doubles depend on the order of summation, and means of cent amounts are often
+#: half-way cases (x.xx5); 8 digits hold any such mean and drop the noise.
+MEAN_DIGITS = 8
 
 
 def _col(c: Column | str) -> Column:
@@ -89,37 +87,17 @@ def pass_fail(condition: Column) -> Column:
     return F.when(condition, F.lit("PASS")).otherwise(F.lit("FAIL"))
 
 
-_MICRO = 1_000_000
-_SPLIT_BITS = 24
-
-
-def exact_mean(c: Column | str, window: WindowSpec | None = None) -> Column:
-    """AVG(c) as decimal(38,6), independent of summation order.
-
-    Per row only double and long arithmetic: the value becomes integer
-    micro-units ``floor(x * 1e6 + 0.5)``, split into high and low 24-bit
-    halves that are summed as longs (no overflow even for a group holding a
-    third of 10^12 rows).  Per group the halves are recombined as an exact
-    decimal and divided half-up at 6 decimals.  NULL when no value.
-    ``window`` makes it AVG() OVER.  Exact while |x| * 1e6 stays below 2^53
-    (|x| < 9e9), far above any charge or payment amount.
-    """
-    units = F.floor(_col(c).cast("double") * F.lit(float(_MICRO)) + F.lit(0.5))
-    high = F.shiftright(units, _SPLIT_BITS)
-    low = units - F.shiftleft(high, _SPLIT_BITS)
-    s_high, s_low, n = F.sum(high), F.sum(low), F.count(units)
-    if window is not None:
-        s_high, s_low, n = s_high.over(window), s_low.over(window), n.over(window)
-    total_units = s_high.cast("decimal(38,0)") * F.lit(1 << _SPLIT_BITS) + s_low
-    total = (total_units * F.lit(1 / _MICRO).cast("decimal(7,6)")).cast(EXACT_TYPE)
-    return F.try_divide(total, n).cast(EXACT_TYPE)
+def mean_value(c: Column | str, window: WindowSpec | None = None) -> Column:
+    """AVG(c), or AVG(c) OVER the window."""
+    mean = F.avg(_col(c))
+    return mean.over(window) if window is not None else mean
 
 
-def mean_value(c: Column | str, window: WindowSpec | None = None) -> Column:
-    """The exact mean as a double."""
-    return exact_mean(c, window).cast("double")
+def half_up(x: Column | str, digits: int) -> Column:
+    """ROUND(x, digits) that does not depend on the last bits of x."""
+    return F.round(F.round(_col(x), MEAN_DIGITS), digits)
 
 
 def mean_round(c: Column | str, digits: int, window: WindowSpec | None = None) -> Column:
-    """ROUND(AVG(c), digits) as a double, half-up on the exact mean."""
-    return F.round(exact_mean(c, window), digits).cast("double")
+    """ROUND(AVG(c), digits), the same however the rows are partitioned."""
+    return half_up(mean_value(c, window), digits)

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from tierline.operators.quality import stack
 from tierline.plans.warehouse import MODEL_LEVELS, MODEL_ORDER, Warehouse
 from tierline.session import scratch_path
-from tierline.sources.sinks import save_as_table, write_table
+from tierline.sources.sinks import drop_folder, save_as_table, write_table
+
+#: Stored partition columns.
+PARTITIONS = {
+    "stg_inpatient_charges": ["data_year"],
+    "stg_outpatient_charges": ["data_year"],
+    "stg_physicians": ["data_year"],
+    "fact_healthcare_metrics": ["year"],
+}
 
 
 def materialise(
@@ -19,11 +27,15 @@ def materialise(
     fmt: str = "parquet",
     concurrent: bool = True,
     database: str | None = None,
+    replaces: Warehouse | None = None,
 ) -> Warehouse:
     """Write every model in dependency order and rebind it to the stored
     table, so each layer reads the previous layer's table, like CTAS files
     run in order.  ``out_dir`` defaults to a fresh folder under the shared
     checkpoint location (a refresh never overwrites a table being read).
+    Staging is stored by data year and the fact by year, so reports on a year
+    read that year only.  ``replaces`` is an earlier build in a folder of its own
+    that nothing reads any more: it is deleted once the new one is complete.
 
     With ``concurrent`` the independent models of one build level are
     submitted as parallel Spark jobs (small dimensions no longer wait behind
@@ -37,7 +49,7 @@ def materialise(
     """
     built = Warehouse(wh.spark, wh.raw, wh.params, wh.state_names, wh.state_regions)
     if database is None:
-        base = (out_dir or scratch_path(wh.spark, "warehouse")).rstrip("/")
+        base = built.location = (out_dir or scratch_path(wh.spark, "warehouse")).rstrip("/")
 
     def write(name: str) -> tuple[str, DataFrame]:
         # one scheduler pool per model: under spark.scheduler.mode=FAIR the
@@ -46,8 +58,8 @@ def materialise(
         sc.setLocalProperty("spark.scheduler.pool", f"build_{name}")
         try:
             if database is not None:
-                return name, save_as_table(built.model(name), f"{database}.{name}", fmt)
-            return name, write_table(built.model(name), f"{base}/{name}", fmt)
+                return name, save_as_table(built.model(name), f"{database}.{name}", fmt, PARTITIONS.get(name))
+            return name, write_table(built.model(name), f"{base}/{name}", fmt, PARTITIONS.get(name))
         finally:
             sc.setLocalProperty("spark.scheduler.pool", None)
 
@@ -60,6 +72,8 @@ def materialise(
         else:
             done = [write(n) for n in level]
         built.stored.update(done)
+    if replaces is not None and replaces.location and replaces.location != built.location:
+        drop_folder(wh.spark, replaces.location)
     return built
 
 

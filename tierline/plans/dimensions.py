@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierline.functions.lookups import DEFAULT_REGION, QUARTER_LABELS
@@ -60,15 +60,14 @@ def dim_region(
     region (default: ``default_region``).
 
     ``names`` is (lookup_code, lookup_name), ``regions`` is (lookup_code,
-    lookup_region): fixed-size value maps, broadcast to the state list.
+    lookup_region).
     """
     states = (
         stg_inpatient.filter(F.col("provider_state").isNotNull())
         .select(F.col("provider_state").alias("state_code"))
         .distinct()
     )
-    n = F.broadcast(names).alias("n")
-    r = F.broadcast(regions).alias("r")
+    n, r = names.alias("n"), regions.alias("r")
     return (
         states.alias("s")
         .join(n, F.col("s.state_code") == F.col("n.lookup_code"), "left")
@@ -81,31 +80,25 @@ def dim_region(
     )
 
 
-def dim_date(
-    stg_inpatient: DataFrame,
-    first_year: int | None = None,
-    last_year: int | None = None,
-) -> DataFrame:
-    """Year x quarter calendar over [first_year, last_year] (defaults: the
-    staging table's year range).  Built by exploding sequences — no join."""
-    bounds = stg_inpatient.agg(
-        (F.lit(first_year) if first_year is not None else F.min("data_year")).cast("bigint").alias("y0"),
-        (F.lit(last_year) if last_year is not None else F.max("data_year")).cast("bigint").alias("y1"),
-    )
+def dim_date(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """Year x quarter calendar of the configured years, whatever data is there.
+    Built by exploding sequences — no join."""
     label = F.lit(None).cast("string")
     for q, text in reversed(QUARTER_LABELS):
         label = F.when(F.col("quarter") == q, F.lit(text)).otherwise(label)
-    return (
-        bounds.filter(F.col("y0").isNotNull())
-        .select("y0", F.explode(F.sequence("y0", "y1")).alias("year"))
-        .select("y0", "year", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("quarter"))
-        .select(
-            "year",
-            "quarter",
-            F.concat(F.col("year").cast("string"), F.lit("-Q"), F.col("quarter").cast("string")).alias(
-                "year_quarter_label"
-            ),
-            label.alias("quarter_label"),
-            (F.col("year") - F.col("y0") + 1).alias("year_index"),
-        )
+    years = spark.range(first_year, last_year + 1).select(F.col("id").alias("year"))
+    quarters = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("quarter")
+    return years.select("year", quarters).select(
+        "year",
+        "quarter",
+        F.concat(F.col("year").cast("string"), F.lit("-Q"), F.col("quarter").cast("string")).alias("year_quarter_label"),
+        label.alias("quarter_label"),
+        (F.col("year") - F.lit(first_year) + 1).alias("year_index"),
     )
+
+
+def dim_date_coverage(dates: DataFrame, stg_inpatient: DataFrame) -> DataFrame:
+    """The calendar with the number of staged rows of each year (0 for none)."""
+    staged = stg_inpatient.groupBy(F.col("data_year").alias("_year")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = dates.join(staged, F.col("year") == F.col("_year"), "left")
+    return joined.select(*dates.columns, F.coalesce("_n", F.lit(0)).alias("staged_rows"))

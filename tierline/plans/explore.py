@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import mean_round, mean_value
+from tierline.functions.metrics import mean_round
 from tierline.operators.quality import null_profile, stack
 from tierline.operators.ranking import exact_quantiles
-from tierline.sources.readers import RawSources
+from tierline.sources.readers import RawSources, year_parts
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -19,10 +19,13 @@ def explore_row_counts(raw: RawSources) -> DataFrame:
     )
 
 
-def explore_sample(raw_table: DataFrame, n: int = 10) -> DataFrame:
-    """A preview of ``n`` rows.  ``SELECT * LIMIT n`` is arbitrary; ordering by
-    every column first makes the preview reproducible (a per-task top-n)."""
-    return raw_table.orderBy(*[F.col(c).asc_nulls_first() for c in raw_table.columns]).limit(n)
+def explore_sample(raw_table: DataFrame, n: int = 10, ordered: bool = False) -> DataFrame:
+    """A preview of ``n`` rows: any of them, which reads no more than it shows.
+    ``ordered`` takes the first in the order of all columns, the same on every
+    run (a per-task top-n over the whole table), for checks."""
+    if ordered:
+        raw_table = raw_table.orderBy(*[F.col(c).asc_nulls_first() for c in raw_table.columns])
+    return raw_table.limit(n)
 
 
 def explore_nulls_inpatient(raw_inpatient: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def _moments(c: str) -> list:
     return [
         F.min(c).alias("min_payment"),
         F.max(c).alias("max_payment"),
-        mean_value(c).alias("avg_payment"),
+        mean_round(c, 6).alias("avg_payment"),
         F.round(F.stddev_samp(c), 6).alias("stddev_payment"),
     ]
 
@@ -72,8 +75,8 @@ def _moments(c: str) -> list:
 def explore_distribution(raw_inpatient: DataFrame, value: str = "average_total_payments") -> DataFrame:
     """min / max / mean / sample stddev and exact quartiles (PERCENTILE_DISC:
     the smallest value whose cumulative share reaches p).  The quartiles
-    come from the selection in ``exact_quantiles`` (no sort of the column);
-    the two one-row results are stacked and folded into one row."""
+    come from running totals of the counts per value; the two one-row results
+    are stacked and folded into one row."""
     moments = raw_inpatient.agg(*_moments(value))
     quartiles = exact_quantiles(raw_inpatient, value, QUARTILES)
     cols = moments.columns + list(QUARTILES)
@@ -84,7 +87,8 @@ def explore_distribution(raw_inpatient: DataFrame, value: str = "average_total_p
 def explore_distribution_approx(
     raw_inpatient: DataFrame, value: str = "average_total_payments", accuracy: int = 10000
 ) -> DataFrame:
-    """Same profile with mergeable approximate quartiles (one pass, no sort)."""
+    """Same profile with mergeable approximate quartiles (one pass, no sort);
+    a quartile's rank is off by n / ``accuracy`` at most."""
     q = F.percentile_approx(value, list(QUARTILES.values()), accuracy)
     return raw_inpatient.agg(*_moments(value), q.alias("_q")).select(
         "min_payment",
@@ -95,6 +99,23 @@ def explore_distribution_approx(
     )
 
 
+def explore_distribution_approx_check(
+    raw_inpatient: DataFrame, value: str = "average_total_payments", accuracy: int = 10000
+) -> DataFrame:
+    """The approximate profile's moments and, per quartile, whether the rank of
+    the value found is within n / ``accuracy`` of the exact one: the quartiles
+    in one pass, their ranks in another."""
+    profile = explore_distribution_approx(raw_inpatient, value, accuracy)
+    ranked = raw_inpatient.select(F.col(value).alias("_v")).where("_v IS NOT NULL").join(F.broadcast(profile))  # one row
+    n = F.count(F.lit(1))
+    inside = [
+        ((F.count_if(F.col("_v") < F.col(q)) + 1 <= F.ceil(n * p) + n / accuracy) & (F.count_if(F.col("_v") <= F.col(q)) >= F.ceil(n * p) - n / accuracy)).alias(f"{q}_in_bound")
+        for q, p in QUARTILES.items()
+    ]
+    moments = ("min_payment", "max_payment", "avg_payment", "stddev_payment")
+    return ranked.agg(*[F.max(m).alias(m) for m in moments], *inside)
+
+
 def explore_top_states(raw_inpatient: DataFrame, k: int = 20) -> DataFrame:
     return (
         raw_inpatient.groupBy("provider_state")
@@ -122,9 +143,8 @@ def explore_top_drgs(raw_inpatient: DataFrame, k: int = 20) -> DataFrame:
 
 
 def explore_year_availability(raw: RawSources) -> DataFrame:
-    return stack(
-        [
-            raw.inpatient[y].agg(F.lit(str(y)).alias("year"), F.count(F.lit(1)).alias("inpatient_rows"))
-            for y in sorted(raw.inpatient)
-        ]
-    )
+    counts = [
+        df.groupBy(year.cast("string").alias("year")).agg(F.count(F.lit(1)).alias("inpatient_rows"))
+        for year, df in year_parts(raw.inpatient)
+    ]
+    return stack(counts).orderBy("year")

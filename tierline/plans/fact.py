@@ -89,3 +89,12 @@ def fact_verification(fact: DataFrame) -> DataFrame:
         )
         .orderBy("year")
     )
+
+
+def fact_load_stamp(fact: DataFrame) -> DataFrame:
+    """Rows, rows with a load time, and different load times (one per build)."""
+    return fact.agg(
+        F.count(F.lit(1)).alias("fact_rows"),
+        F.count("loaded_at").alias("stamped_rows"),
+        F.count_distinct("loaded_at").alias("load_times"),
+    )

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierline.functions.text import first_token_int, trim_ws
+from tierline.sources.readers import year_parts
 
 MAX_INPATIENT_PAYMENT = 1_000_000.0
 
@@ -24,17 +25,17 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _year(year: int):
-    return F.lit(year).cast("bigint").alias("data_year")
+def _year(year: Column) -> Column:
+    return year.cast("bigint").alias("data_year")
 
 
 def stg_inpatient_charges(
-    sources: Mapping[int, DataFrame], max_payment: float = MAX_INPATIENT_PAYMENT
+    sources: Mapping[int, DataFrame] | DataFrame, max_payment: float = MAX_INPATIENT_PAYMENT
 ) -> DataFrame:
     """Union of the yearly inpatient tables; rows without id / discharges and
     payments outside (0, max_payment) are dropped; DRG code parsed."""
     parts = []
-    for year, raw in sources.items():
+    for year, raw in year_parts(sources):
         kept = raw.filter(
             F.col("provider_id").isNotNull()
             & F.col("total_discharges").isNotNull()
@@ -63,10 +64,10 @@ def stg_inpatient_charges(
     return _stack(parts)
 
 
-def stg_outpatient_charges(sources: Mapping[int, DataFrame]) -> DataFrame:
+def stg_outpatient_charges(sources: Mapping[int, DataFrame] | DataFrame) -> DataFrame:
     """Outpatient rows with an id and a positive payment (no upper bound)."""
     parts = []
-    for year, raw in sources.items():
+    for year, raw in year_parts(sources):
         kept = raw.filter(F.col("provider_id").isNotNull() & (F.col("average_total_payments") > 0))
         parts.append(
             kept.select(
@@ -110,10 +111,10 @@ _PHYSICIAN_MEASURES = (
 )
 
 
-def stg_physicians(sources: Mapping[int, DataFrame]) -> DataFrame:
+def stg_physicians(sources: Mapping[int, DataFrame] | DataFrame) -> DataFrame:
     """One row per physician x service with positive counts and payments."""
     parts = []
-    for year, raw in sources.items():
+    for year, raw in year_parts(sources):
         kept = raw.filter(
             F.col("npi").isNotNull()
             & (F.col("line_srvc_cnt") > 0)

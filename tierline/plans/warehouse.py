@@ -82,6 +82,8 @@ class Warehouse:
     state_names: DataFrame | None = None
     state_regions: DataFrame | None = None
     stored: dict[str, DataFrame] = field(default_factory=dict)
+    #: folder of the stored models, if they are in one
+    location: str | None = None
 
     def model(self, name: str) -> DataFrame:
         if name in self.stored:
@@ -142,7 +144,7 @@ class Warehouse:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return dimensions.dim_date(self.model("stg_inpatient_charges"))
+        return dimensions.dim_date(self.spark, self.params.previous_year, self.params.current_year)
 
     @cached_property
     def fact_healthcare_metrics(self) -> DataFrame:

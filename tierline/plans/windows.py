@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import mean_round, mean_value, ratio
+from tierline.functions.metrics import half_up, mean_round, mean_value, ratio
 from tierline.operators.ranking import cume_dist_of, percent_rank_of, top_k_with_rank_stats, with_ntiles
 from tierline.plans.kpis import yearly_state_cost
 
+# The quartile labels.
 QUARTILE_LABELS = (
     (1, "Low cost (Q1)"),
     (2, "Below average (Q2)"),
@@ -159,9 +160,9 @@ def win_vs_group_avg(fact: DataFrame, year: int) -> DataFrame:
         F.col("r.state_code").alias("state_code"),
         F.col("r.year").alias("year"),
         F.round(v, 2).alias("provider_cost"),
-        F.round(mean, 2).alias("state_avg_cost"),
-        F.round(v - mean, 2).alias("diff_from_state_avg"),
-        F.round(ratio(v, mean) * 100 - 100, 1).alias("pct_above_state_avg"),
+        half_up(mean, 2).alias("state_avg_cost"),
+        half_up(v - mean, 2).alias("diff_from_state_avg"),
+        half_up(ratio(v, mean) * 100 - 100, 1).alias("pct_above_state_avg"),
     ).orderBy(F.col("pct_above_state_avg").desc_nulls_last(), "provider_id")
 
 

@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierline.plans import build, explore, fact, kpis, quality, views, windows
+from tierline.operators.quality import orphans
+from tierline.plans import build, dimensions, explore, fact, kpis, quality, views, windows
 from tierline.plans.warehouse import Params, Warehouse
 from tierline.sources import testdata
 from tierline.sources.testdata import PROFILE, TestdataProfile
@@ -27,14 +29,15 @@ def testdata_params(profile: TestdataProfile = PROFILE) -> Params:
         large_at=profile.large_at,
         medium_at=profile.medium_at,
         z_threshold=profile.z_threshold,
+        expected_years=profile.expected_years,
     )
 
 
 def testdata_warehouse(spark: SparkSession, sf_dir: str, profile: TestdataProfile = PROFILE) -> Warehouse:
-    names, regions = testdata.region_lookups(spark, sf_dir, profile)
+    names, regions = testdata.region_lookups(spark, sf_dir)
     return Warehouse(
         spark,
-        testdata.raw_sources(spark, sf_dir, profile),
+        testdata.raw_sources(spark, sf_dir),
         testdata_params(profile),
         state_names=names,
         state_regions=regions,
@@ -42,15 +45,15 @@ def testdata_warehouse(spark: SparkSession, sf_dir: str, profile: TestdataProfil
 
 
 def _cur_in(wh: Warehouse) -> DataFrame:
-    return wh.raw.inpatient[wh.params.current_year]
+    return wh.raw.profiled("inpatient", wh.params.current_year)
 
 
 def _cur_out(wh: Warehouse) -> DataFrame:
-    return wh.raw.outpatient[wh.params.current_year]
+    return wh.raw.profiled("outpatient", wh.params.current_year)
 
 
 def _phys(wh: Warehouse) -> DataFrame:
-    return wh.raw.physicians[wh.params.previous_year]
+    return wh.raw.profiled("physicians", wh.params.previous_year)
 
 
 def _p(wh: Warehouse) -> Params:
@@ -60,14 +63,14 @@ def _p(wh: Warehouse) -> Params:
 MODEL_QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
     # 01 exploration of the raw sources
     "explore_row_counts": lambda w: explore.explore_row_counts(w.raw),
-    "explore_sample_inpatient": lambda w: explore.explore_sample(_cur_in(w), _p(w).sample_rows),
-    "explore_sample_outpatient": lambda w: explore.explore_sample(_cur_out(w), _p(w).sample_rows),
-    "explore_sample_physicians": lambda w: explore.explore_sample(_phys(w), _p(w).sample_rows),
+    "explore_sample_inpatient": lambda w: explore.explore_sample(_cur_in(w), _p(w).sample_rows, ordered=True),
+    "explore_sample_outpatient": lambda w: explore.explore_sample(_cur_out(w), _p(w).sample_rows, ordered=True),
+    "explore_sample_physicians": lambda w: explore.explore_sample(_phys(w), _p(w).sample_rows, ordered=True),
     "explore_nulls_inpatient": lambda w: explore.explore_nulls_inpatient(_cur_in(w)),
     "explore_nulls_outpatient": lambda w: explore.explore_nulls_outpatient(_cur_out(w)),
     "explore_cardinality": lambda w: explore.explore_cardinality(_cur_in(w)),
     "explore_distribution": lambda w: explore.explore_distribution(_cur_in(w)),
-    "explore_distribution_approx": lambda w: explore.explore_distribution_approx(_cur_in(w)),
+    "explore_distribution_approx": lambda w: explore.explore_distribution_approx_check(_cur_in(w)),
     "explore_top_states": lambda w: explore.explore_top_states(_cur_in(w), _p(w).top_explore),
     "explore_top_drgs": lambda w: explore.explore_top_drgs(_cur_in(w), _p(w).top_explore),
     "explore_year_availability": lambda w: explore.explore_year_availability(w.raw),
@@ -84,9 +87,10 @@ MODEL_QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
     # 04 dimensions
     "dim_provider": lambda w: w.model("dim_provider"),
     "dim_region": lambda w: w.model("dim_region"),
-    "dim_date": lambda w: w.model("dim_date"),
+    "dim_date": lambda w: dimensions.dim_date_coverage(w.model("dim_date"), w.model("stg_inpatient_charges")),
     # 05 fact (the load timestamp differs per run, so it is left out here)
     "fact_metrics": lambda w: w.fact.drop("loaded_at"),
+    "fact_load_stamp": lambda w: fact.fact_load_stamp(w.fact),
     "fact_verification": lambda w: fact.fact_verification(w.fact),
     # 06 KPIs
     "kpi_cost_by_state": lambda w: kpis.kpi_cost_by_state(w.fact, _p(w).current_year),
@@ -152,8 +156,25 @@ def _order_line_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.dq_duplicates_keys(lines, ["l_orderkey", "l_linenumber"])
 
 
+def _orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The referential-integrity check on orders, some of which have no line."""
+    t = testdata.read_tables(spark, sf_dir)
+    return orphans(t["orders"], t["lineitem"], "o_orderkey", "l_orderkey").select("o_orderkey", "o_orderpriority")
+
+
 QUERIES: dict[str, Query] = {key: _over_testdata(fn) for key, fn in MODEL_QUERIES.items()}
 QUERIES["dq_duplicates_order_lines"] = _order_line_duplicates
+# the warehouse's own keys are clean on the driver tables; the same checks on whole tables that do violate them
+QUERIES["dq_duplicates_supplier_nations"] = lambda spark, sf_dir: quality.dq_duplicates_keys(
+    testdata.read_tables(spark, sf_dir)["supplier"], ["s_nationkey"]
+)
+QUERIES["dq_duplicates_customer_days"] = lambda spark, sf_dir: quality.dq_duplicates_keys(
+    testdata.read_tables(spark, sf_dir)["orders"], ["o_custkey", "o_orderdate"]
+)
+QUERIES["dq_orphans_orders"] = _orders_without_lines
+QUERIES["dq_orphans_order_priorities"] = lambda spark, sf_dir: (
+    _orders_without_lines(spark, sf_dir).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("unmatched_rows"))
+)
 
 FLAGSHIP = "kpi_cost_by_state"
 

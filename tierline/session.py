@@ -3,9 +3,8 @@
 Nothing here hides Spark: ``build_session`` is a plain builder with the
 settings a 1000-executor job wants (AQE with partition coalescing and skew
 splitting, a bounded file split size), and ``checkpoint_dir`` resolves the
-shared folder named by ``spark.checkpoint.dir``.  A machine-local temporary
-folder is used only when that setting is absent *and* the master is local
-(tests); on a cluster an unset checkpoint folder is an error.
+shared folder named by ``spark.checkpoint.dir``.  Where that setting is absent,
+one local JVM uses a folder of its own; anything else is an error.
 """
 
 from __future__ import annotations
@@ -32,11 +31,13 @@ SCALE_DEFAULTS: dict[str, str] = {
 }
 
 
-def partitions_for(input_bytes: int, target_bytes: int = 256 << 20, minimum: int = 200) -> int:
+def partitions_for(input_bytes: int, target_bytes: int = 256 << 20, minimum: int = 200, maximum: int = 100_000) -> int:
     """Shuffle partitions so one partition of a shuffle as large as the input
-    holds about ``target_bytes`` (fits executor memory without spilling);
-    AQE coalesces the smaller shuffles from there.  ~100 TB -> ~400k."""
-    return max(minimum, -(-int(input_bytes) // int(target_bytes)))
+    holds about ``target_bytes`` (fits executor memory without spilling), at
+    most ``maximum`` (the driver tracks every map x reduce pair; partitions of
+    1 GB at 100 TB still spill in order).  AQE coalesces the smaller shuffles
+    from there."""
+    return min(maximum, max(minimum, -(-int(input_bytes) // int(target_bytes))))
 
 
 def build_session(
@@ -47,9 +48,8 @@ def build_session(
 ) -> SparkSession:
     """Return a session with AQE and skew handling switched on.
 
-    ``shuffle_partitions`` is the *upper* bound AQE coalesces from; size it
-    so one partition of the largest shuffle is a few hundred MB at the
-    target scale (e.g. 4000 for ~100 TB of input).
+    ``shuffle_partitions`` is the *upper* bound AQE coalesces from; take it
+    from ``partitions_for``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -73,12 +73,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder "
                 "(HDFS/object store) before running jobs that cut lineage"
             )
-        configured = tempfile.mkdtemp(prefix="tierline-ckpt-")
+        configured = f"{tempfile.gettempdir()}/tierline-{sc.applicationId}"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -1,39 +1,58 @@
-"""Raw sources: one DataFrame per (source, year), read with a declared schema."""
+"""Raw sources, read with a declared schema: one DataFrame per (source, year),
+or one per source with a year column."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tierline.sources.schemas import RAW_SCHEMAS
 
+#: The year column of a source stored as one table.
+YEAR = "data_year"
+
 
 @dataclass(frozen=True)
 class RawSources:
-    """The raw layer: yearly tables of the three sources.
+    """The raw layer: the three sources, each as yearly tables or as one table
+    with a ``data_year`` column.
 
     Mappings are ordered; the staging union keeps that order (the reference
     stacks the newest year first).
     """
 
-    inpatient: Mapping[int, DataFrame]
-    outpatient: Mapping[int, DataFrame] = field(default_factory=dict)
-    physicians: Mapping[int, DataFrame] = field(default_factory=dict)
+    inpatient: Mapping[int, DataFrame] | DataFrame
+    outpatient: Mapping[int, DataFrame] | DataFrame = field(default_factory=dict)
+    physicians: Mapping[int, DataFrame] | DataFrame = field(default_factory=dict)
+
+    def profiled(self, source: str, year: int) -> DataFrame:
+        """What exploration looks at: the whole table of a source stored as
+        one table, else the table of ``year``."""
+        tables = getattr(self, source)
+        return tables.drop(YEAR) if isinstance(tables, DataFrame) else tables[year]
 
     def table_names(self) -> list[tuple[str, DataFrame]]:
-        """(name, frame) per raw table, named like the public source tables."""
+        """(name, frame) per raw table, named like the public source tables; a
+        source stored as one table has its plain name."""
         out: list[tuple[str, DataFrame]] = []
-        for year, df in self.inpatient.items():
-            out.append((f"inpatient_charges_{year}", df))
-        for year, df in self.outpatient.items():
-            out.append((f"outpatient_charges_{year}", df))
-        for year, df in self.physicians.items():
-            out.append((f"physicians_and_other_supplier_{year}", df))
+        for name, tables in zip(RAW_SCHEMAS, (self.inpatient, self.outpatient, self.physicians)):
+            if isinstance(tables, DataFrame):
+                out.append((name, tables))
+            else:
+                out += [(f"{name}_{year}", df) for year, df in tables.items()]
         return out
 
 
+def year_parts(tables: Mapping[int, DataFrame] | DataFrame) -> list[tuple[Column, DataFrame]]:
+    """(year as a column, table) of every part of a source."""
+    if isinstance(tables, DataFrame):
+        return [(F.col(YEAR), tables)]
+    return [(F.lit(year), df) for year, df in tables.items()]
+
+
 def read_raw_table(spark: SparkSession, source: str, location: str, fmt: str = "parquet") -> DataFrame:
     """Read one raw table (a path, or a catalog table when ``fmt == 'table'``)."""
     schema = RAW_SCHEMAS[source]

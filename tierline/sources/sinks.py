@@ -7,7 +7,7 @@ downstream models start from the stored table (lineage cut, like a CTAS).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> DataFrame:
@@ -16,11 +16,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
-    return df.sparkSession.read.format(fmt).load(path)
+    # the declared schema: partition columns keep their type and place
+    return df.sparkSession.read.schema(df.schema).format(fmt).load(path).select(*df.columns)
 
 
-def save_as_table(df: DataFrame, table: str, fmt: str = "parquet") -> DataFrame:
+def save_as_table(df: DataFrame, table: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> DataFrame:
     """CREATE OR REPLACE TABLE ``table`` AS ``df`` in the session catalog and
     return the stored table."""
-    df.write.mode("overwrite").format(fmt).saveAsTable(table)
-    return df.sparkSession.read.table(table)
+    writer = df.write.mode("overwrite").format(fmt)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(table)
+    return df.sparkSession.read.table(table).select(*df.columns)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of stored tables on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -4,24 +4,20 @@ The mapping (SURVEY §2.12) turns order lines into charge rows:
 
 * provider = supplier (id ``l_suppkey`` as text, name ``s_name``), state =
   nation name, referral region = region name, zip = nation key;
-* inpatient  = lines with ``l_linestatus = 'F'``, one table per ship year;
-* outpatient = lines with ``l_linestatus = 'O' AND l_returnflag = 'R'`` shipped
-  in the first quarter, current year only;
+* inpatient  = lines with ``l_linestatus = 'F'``, outpatient = those with 'O';
+  the ship year is the data year, a column of one table per source;
 * DRG text = ``'<brand number> - <part type>'`` so the staging parser reads a
   numeric code; APC = part type;
 * discharges / services = quantity, covered charges = extended price,
   total payment = price*(1-discount)*(1+tax), medicare payment =
   price*(1-discount) — recorded as missing when the discount is 0, so null
   handling is exercised end to end;
-* physicians = order lines of orders placed in the physician year: npi =
+* physicians = all order lines, the order year being the data year: npi =
   customer key, provider type = market segment, HCPCS = order priority,
   place of service = order status.
 
-Year slices are ranges on the ship / order date, so they reach the Parquet
-scan as pushed filters.  ``nation`` and ``region`` have a fixed size (25 and 5
-rows at every scale), so they are broadcast; supplier, part, orders and
-customer grow with the data and join by shuffle (AQE may still demote a
-small side to broadcast at run time from measured sizes).
+Every line is read: 'F' and 'O' lines of all years, and every order.  The
+dimension tables join by shuffle or, from measured sizes, as AQE sees fit.
 """
 
 from __future__ import annotations
@@ -32,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.sources.readers import RawSources
+from tierline.sources.readers import YEAR, RawSources
 from tierline.sources.sinks import write_table
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -44,16 +40,11 @@ class TestdataProfile:
 
     current_year: int = 1998
     previous_year: int = 1997
-    inpatient_years: tuple[int, ...] = (1998, 1997)
-    outpatient_years: tuple[int, ...] = (1998,)
-    outpatient_last_month: int = 3
-    physician_years: tuple[int, ...] = (1997,)
-    large_at: float = 1250
-    medium_at: float = 1050
+    large_at: float = 1000
+    medium_at: float = 850
     z_threshold: float = 2.0
-    # The region lookup deliberately leaves one region out, so the default
-    # region branch of the dimension is exercised.
-    lookup_excluded_region_key: int = 4
+    #: Years in the driver tables (1995 to 2001).
+    expected_years: int = 7
 
 
 PROFILE = TestdataProfile()
@@ -63,24 +54,10 @@ def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TPCH_TABLES}
 
 
-def _period(df: DataFrame, column: str, year: int, first_month: int = 1, months: int = 12) -> Column:
-    """``column`` within [year-first_month-01, +months), typed like the column."""
-    start_month0 = first_month - 1
-    end_year, end_month0 = divmod(start_month0 + months, 12)
-    start = f"{year:04d}-{first_month:02d}-01 00:00:00"
-    end = f"{year + end_year:04d}-{end_month0 + 1:02d}-01 00:00:00"
-    dtype = df.schema[column].dataType
-    c = F.col(column)
-    return (c >= F.lit(start).cast(dtype)) & (c < F.lit(end).cast(dtype))
-
-
 def _supplier_geo(t: dict[str, DataFrame]) -> DataFrame:
-    geo = t["nation"].join(
-        F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    geo = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     return t["supplier"].select("s_suppkey", "s_name", "s_nationkey").join(
-        F.broadcast(geo.select("n_nationkey", "n_name", "r_name")),
-        F.col("s_nationkey") == F.col("n_nationkey"),
+        geo.select("n_nationkey", "n_name", "r_name"), F.col("s_nationkey") == F.col("n_nationkey")
     )
 
 
@@ -91,9 +68,8 @@ def _payments() -> tuple[Column, Column, Column]:
     return price, total, medicare
 
 
-def inpatient_raw(t: dict[str, DataFrame], year: int) -> DataFrame:
-    li = t["lineitem"]
-    lines = li.filter((F.col("l_linestatus") == "F") & _period(li, "l_shipdate", year))
+def inpatient_raw(t: dict[str, DataFrame]) -> DataFrame:
+    lines = t["lineitem"].filter(F.col("l_linestatus") == "F")
     price, total, medicare = _payments()
     return (
         lines.join(_supplier_geo(t), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -116,17 +92,13 @@ def inpatient_raw(t: dict[str, DataFrame], year: int) -> DataFrame:
             price.alias("average_covered_charges"),
             total.alias("average_total_payments"),
             F.when(F.col("l_discount") != 0, medicare).alias("average_medicare_payments"),
+            F.year("l_shipdate").cast("bigint").alias(YEAR),
         )
     )
 
 
-def outpatient_raw(t: dict[str, DataFrame], year: int, last_month: int = 3) -> DataFrame:
-    li = t["lineitem"]
-    lines = li.filter(
-        (F.col("l_linestatus") == "O")
-        & (F.col("l_returnflag") == "R")
-        & _period(li, "l_shipdate", year, 1, last_month)
-    )
+def outpatient_raw(t: dict[str, DataFrame]) -> DataFrame:
+    lines = t["lineitem"].filter(F.col("l_linestatus") == "O")
     price, total, _ = _payments()
     return (
         lines.join(_supplier_geo(t), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -146,18 +118,15 @@ def outpatient_raw(t: dict[str, DataFrame], year: int, last_month: int = 3) -> D
             F.col("l_quantity").cast("bigint").alias("outpatient_services"),
             price.alias("average_estimated_submitted_charges"),
             total.alias("average_total_payments"),
+            F.year("l_shipdate").cast("bigint").alias(YEAR),
         )
     )
 
 
-def physicians_raw(t: dict[str, DataFrame], year: int) -> DataFrame:
-    orders = t["orders"]
-    placed = orders.filter(_period(orders, "o_orderdate", year)).select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"
-    )
+def physicians_raw(t: dict[str, DataFrame]) -> DataFrame:
+    placed = t["orders"].select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
     customers = t["customer"].select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").join(
-        F.broadcast(t["nation"].select("n_nationkey", "n_name")),
-        F.col("c_nationkey") == F.col("n_nationkey"),
+        t["nation"].select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")
     )
     price, total, medicare = _payments()
     return (
@@ -184,61 +153,38 @@ def physicians_raw(t: dict[str, DataFrame], year: int) -> DataFrame:
             price.alias("average_submitted_chrg_amt"),
             medicare.alias("average_medicare_payment_amt"),
             medicare.alias("average_medicare_standard_amt"),
+            F.year("o_orderdate").cast("bigint").alias(YEAR),
         )
     )
 
 
-def raw_sources(spark: SparkSession, sf_dir: str, profile: TestdataProfile = PROFILE) -> RawSources:
+def raw_sources(spark: SparkSession, sf_dir: str) -> RawSources:
     t = read_tables(spark, sf_dir)
-    return RawSources(
-        inpatient={y: inpatient_raw(t, y) for y in profile.inpatient_years},
-        outpatient={
-            y: outpatient_raw(t, y, profile.outpatient_last_month) for y in profile.outpatient_years
-        },
-        physicians={y: physicians_raw(t, y) for y in profile.physician_years},
-    )
+    return RawSources(inpatient=inpatient_raw(t), outpatient=outpatient_raw(t), physicians=physicians_raw(t))
 
 
 def materialise_raw(raw: RawSources, out_dir: str) -> RawSources:
-    """Store every raw table (the adapter's output) once and return the
-    stored tables — the raw layer as the original system sees it: tables on
-    storage, not joins recomputed by every reader.  The tables are
-    independent, so they are written as concurrent jobs."""
+    """Store every raw source (the adapter's output) once, partitioned by
+    year, and return the stored tables — the raw layer as the original system
+    sees it: tables on storage, not joins recomputed by every reader.  The
+    tables are independent, so they are written as concurrent jobs."""
     base = out_dir.rstrip("/")
-    jobs = [
-        (kind, year, df)
-        for kind, tables in (
-            ("inpatient_charges", raw.inpatient),
-            ("outpatient_charges", raw.outpatient),
-            ("physicians_and_other_supplier", raw.physicians),
-        )
-        for year, df in tables.items()
-    ]
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        stored = list(pool.map(lambda j: write_table(j[2], f"{base}/{j[0]}_{j[1]}"), jobs))
-    out: dict[str, dict[int, DataFrame]] = {"inpatient_charges": {}, "outpatient_charges": {},
-                                            "physicians_and_other_supplier": {}}
-    for (kind, year, _), df in zip(jobs, stored):
-        out[kind][year] = df
-    return RawSources(
-        inpatient=out["inpatient_charges"],
-        outpatient=out["outpatient_charges"],
-        physicians=out["physicians_and_other_supplier"],
-    )
+    tables = raw.table_names()
 
+    def write(table: tuple[str, DataFrame]) -> DataFrame:
+        name, df = table
+        return write_table(df, f"{base}/{name}", partition_by=[YEAR] if YEAR in df.columns else None)
 
-def region_lookups(spark: SparkSession, sf_dir: str, profile: TestdataProfile = PROFILE) -> tuple[DataFrame, DataFrame]:
-    """(name lookup, region lookup) derived from nation ⋈ region.
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        stored = iter(list(pool.map(write, tables)))
+    sources = (raw.inpatient, raw.outpatient, raw.physicians)  # the order of ``table_names``
+    return RawSources(*[next(stored) if isinstance(s, DataFrame) else {year: next(stored) for year in s} for s in sources])
 
-    Both omit the nations of one region, so the dimension's defaults (name =
-    code, region = 'West') are exercised as well as the matches.
-    """
+
+def region_lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(name lookup, region lookup) derived from nation ⋈ region."""
     t = read_tables(spark, sf_dir)
-    geo = (
-        t["nation"]
-        .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .filter(F.col("r_regionkey") != profile.lookup_excluded_region_key)
-    )
+    geo = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     names = geo.select(
         F.col("n_name").alias("lookup_code"),
         F.concat(F.col("n_name"), F.lit(" ("), F.col("r_name"), F.lit(")")).alias("lookup_name"),
