@@ -103,13 +103,14 @@ def explore_distribution_approx_check(
     raw_inpatient: DataFrame, value: str = "average_total_payments", accuracy: int = 10000
 ) -> DataFrame:
     """The approximate profile's moments and, per quartile, whether the rank of
-    the value found is within n / ``accuracy`` of the exact one: the quartiles
-    in one pass, their ranks in another."""
+    the value found is within n / ``accuracy`` (rounded up to whole ranks) of
+    the exact one: the quartiles in one pass, their ranks in another."""
     profile = explore_distribution_approx(raw_inpatient, value, accuracy)
     ranked = raw_inpatient.select(F.col(value).alias("_v")).where("_v IS NOT NULL").join(F.broadcast(profile))  # one row
     n = F.count(F.lit(1))
+    bound = F.ceil(n / F.lit(accuracy))
     inside = [
-        ((F.count_if(F.col("_v") < F.col(q)) + 1 <= F.ceil(n * p) + n / accuracy) & (F.count_if(F.col("_v") <= F.col(q)) >= F.ceil(n * p) - n / accuracy)).alias(f"{q}_in_bound")
+        ((F.count_if(F.col("_v") < F.col(q)) + 1 <= F.ceil(n * p) + bound) & (F.count_if(F.col("_v") <= F.col(q)) >= F.ceil(n * p) - bound)).alias(f"{q}_in_bound")
         for q, p in QUARTILES.items()
     ]
     moments = ("min_payment", "max_payment", "avg_payment", "stddev_payment")
