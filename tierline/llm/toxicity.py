@@ -192,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), id_col: s
     order = F.xxhash64(F.lit("toxicity"), "_id")
     picked = [usable.where(F.col("toxic") == y).orderBy(order, "_id").limit(n) for y, n in ((1, bounds.toxic), (0, bounds.ordinary))]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # bounded by ``bounds``
-    sample = docs.join(chosen, F.col(id_col) == F.col("_id")).select("_id", "toxic", text_or_empty(text_col).alias("text"), order.alias("at"))
+    texts = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"))
+    sample = texts.join(chosen, F.col("_doc") == F.col("_id")).select("_id", "toxic", F.col("_text").alias("text"), order.alias("at"))
     rows = sorted(sample.collect(), key=lambda r: (r.at, r["_id"], r.text))
     train: dict[int, list[list[str]]] = {0: [], 1: []}
     rest: list[tuple[int, list[str]]] = []
