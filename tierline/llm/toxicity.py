@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tierline.llm.common import text_or_empty
 
 #: Words per window and words between window starts, per scale.
-SCALES = ((6, 3),)
+SCALES = ((6, 3), (10, 5))
 #: Gains a window is counted at.
 THRESHOLDS = (1, 2, 3, 4, 5)
 #: A word is toxic training text from this natural-log ratio of its rates on.
@@ -197,13 +197,14 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), id_col: s
     rows = sorted(sample.collect(), key=lambda r: (r.at, r["_id"], r.text))
     train: dict[int, list[list[str]]] = {0: [], 1: []}
     rest: list[tuple[int, list[str]]] = []
-    seen = Counter()
+    seen, same = Counter(), {}
     for r in rows:
         seen[r.toxic] += 1
+        doc = [same.setdefault(w, w) for w in words(r.text)]  # one string per different word
         if seen[r.toxic] % CALIBRATE_EVERY:
-            train[r.toxic].append(words(r.text))
+            train[r.toxic].append(doc)
         else:
-            rest.append((r.toxic, words(r.text)))
+            rest.append((r.toxic, doc))
     known = np.array([y for y, _ in rest])
     if not (train[0] and train[1] and known.size and 0 < known.mean() < 1):
         return empty
