@@ -86,25 +86,27 @@ def pieces(
     kind = rows.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            source, start, length, ids, total, sequence, offset = [], [], [], [], [], [], []
-            for row, (doc, n, at) in enumerate(zip(batch.column("ids"), batch.column("n_tokens").to_pylist(), batch.column("at").to_pylist())):
-                data, done = doc.as_py(), 0
-                while done < n:
-                    place = (at + done) % sequence_tokens
-                    size = min(n - done, sequence_tokens - place)
-                    source.append(row)
-                    start.append(done)
-                    length.append(size)
-                    ids.append(data[4 * done : 4 * (done + size)])
-                    total.append(n)
-                    sequence.append((at + done) // sequence_tokens)
-                    offset.append(place)
-                    done += size
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(source, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length)), pa.array(ids, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, sequence, offset))],
-                ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):  # few documents' ids at a time
+                batch = whole.slice(low, 512)
+                source, start, length, ids, total, sequence, offset = [], [], [], [], [], [], []
+                for row, (doc, n, at) in enumerate(zip(batch.column("ids"), batch.column("n_tokens").to_pylist(), batch.column("at").to_pylist())):
+                    data, done = doc.as_py(), 0
+                    while done < n:
+                        place = (at + done) % sequence_tokens
+                        size = min(n - done, sequence_tokens - place)
+                        source.append(row)
+                        start.append(done)
+                        length.append(size)
+                        ids.append(data[4 * done : 4 * (done + size)])
+                        total.append(n)
+                        sequence.append((at + done) // sequence_tokens)
+                        offset.append(place)
+                        done += size
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(source, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length)), pa.array(ids, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, sequence, offset))],
+                    ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                )
 
     cut_rows = placed.mapInArrow(
         cut, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -20,7 +20,7 @@ import tokenizers
 import tokenizers.pre_tokenizers
 
 #: Words whose ids a worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 800_000
 #: A cut is safe before a single space that has other characters on both sides.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE_SPACE = re.compile(r"\s\s")

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -92,13 +92,14 @@ def windows(doc: list[str], size: int, step: int) -> list[bytes]:
 def toxic_words(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str, int]:
     """Over-represented words of toxic documents with the number of different
     neighbourhoods each occurs in there."""
-    near: dict[str, set[int]] = defaultdict(set)
+    often = Counter(w for doc in toxic for w in doc)
+    near: dict[str, set[int]] = {w: set() for w, n in often.items() if n >= MIN_CONTEXTS}
     for doc in toxic:
         for before, word, after in zip(["", *doc], doc, [*doc[1:], ""]):
-            near[word].add(hash((before, after)))
-    contexts = {w: len(n) for w, n in near.items()}
-    total = max(1, sum(contexts.values()))
-    contexts = {w: n for w, n in contexts.items() if n >= MIN_CONTEXTS}
+            if word in near:
+                near[word].add(hash((before, after)))
+    contexts = {w: len(n) for w, n in near.items() if len(n) >= MIN_CONTEXTS}
+    total = max(1, sum(often.values()))
     elsewhere = Counter(w for doc in ordinary for w in doc if w in contexts)
     all_elsewhere = max(1, sum(map(len, ordinary)))
     rate = np.exp(MIN_LOG_RATIO)
