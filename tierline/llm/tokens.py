@@ -19,7 +19,7 @@ import numpy as np
 import tokenizers
 import tokenizers.pre_tokenizers
 
-#: Words whose ids a worker keeps; beyond that it starts afresh.
+#: Words whose ids a worker keeps unless told otherwise; beyond that it starts afresh.
 KEPT_WORDS = 800_000
 #: A cut is safe before a single space that has other characters on both sides.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -36,7 +36,8 @@ _PROBE = (
 class WordEncoder:
     """``encode(texts)`` gives the little-endian unsigned 32-bit ids of texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
+        self.kept_words = kept_words
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.heads: dict[str, bytes] = {}  # first words, as they stand
@@ -119,7 +120,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encode(texts)
-        if len(self.words) + len(self.heads) > KEPT_WORDS:
+        if len(self.words) + len(self.heads) > self.kept_words:
             self.words.clear()
             self.heads.clear()
         get, cut, heads, new = self.words.get, [], {"\n"}, set()
@@ -150,11 +151,11 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept_words: int = KEPT_WORDS) -> WordEncoder:
     """This worker's encoder of a vocabulary file, kept from task to task."""
     kept = sys.modules.setdefault("_tierline_encoders", types.ModuleType("_tierline_encoders"))
     if path not in kept.__dict__:
-        kept.__dict__[path] = WordEncoder(path)
+        kept.__dict__[path] = WordEncoder(path, kept_words)
     return kept.__dict__[path]
 
 

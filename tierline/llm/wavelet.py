@@ -35,6 +35,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Ids of a segment, but for a longer document.
 SEGMENT_TOKENS = 1 << 20
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 1_000_000
 #: Bits between two kept counts.
 BLOCK_BITS = 512
 
@@ -178,7 +180,7 @@ def segments(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, shard = encoder(vocabulary_path), array("I", [end_id]).tobytes(), TaskContext.get().partitionId()
+        words, end, shard = encoder(vocabulary_path, KEPT_WORDS), array("I", [end_id]).tobytes(), TaskContext.get().partitionId()
         bits = max(words.tokenizer.get_vocab_size(), end_id + 1).bit_length()
         number, start, held, ids, docs_held = 0, 0, 0, [], []
 
