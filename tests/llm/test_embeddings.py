@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tierline.llm import embeddings
 
@@ -59,6 +60,39 @@ def test_recall_on_the_given_vectors_scale():
     assert (shared >= embeddings.MIN_SHARED).mean() >= 0.95
 
 
+def with_dense_group(n, cosine, seed=0, length=64):
+    """Unit vectors, the first third of them a group with about that cosine between its members."""
+    rng = np.random.default_rng(seed)
+    rows = embeddings.unit(rng.normal(size=(n, length)))
+    rows[: n // 3] = embeddings.unit(np.sqrt(cosine) * embeddings.unit(rng.normal(size=(1, length))) + np.sqrt(1 - cosine) * rows[: n // 3])
+    return rows
+
+
+@pytest.mark.parametrize("cosine", [0.86, 0.92, 0.9996])
+def test_dense_group_keeps_its_links(spark, monkeypatch, cosine):
+    monkeypatch.setattr(embeddings, "VECTORS_PER_PIVOT", 3)  # as many pivots in the group as in a far larger table
+    rows = with_dense_group(1500, cosine).astype(np.float32).astype(np.float64)
+    got = embeddings.embedding_links(frame(spark, list(enumerate(rows.tolist())))).collect()
+    units = embeddings.unit(rows)
+    want = (units @ units.T >= embeddings.MIN_COSINE).sum() - len(rows)
+    assert want > 1000
+    assert 0.99 * want <= sum(r.n_links for r in got) <= want
+
+
+def test_thinned_pivots_lie_apart():
+    pivots = with_dense_group(900, 0.92)
+    kept = embeddings.thinned(pivots, 0.9)
+    near = kept @ kept.T - np.eye(len(kept))
+    assert near.max() < 0.62 and len(kept) >= 500  # the group shrinks, the others stay
+    assert len(embeddings.thinned(pivots[:1].repeat(5, axis=0), 0.9)) == 1
+
+
+def test_one_pivot_for_all(spark):
+    rows = [(i, [1.0, 0.01 * i]) for i in range(5)]
+    got = embeddings.embedding_links(frame(spark, rows)).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(4, 0)}
+
+
 def test_copies_repeated_ids_and_empty(spark):
     rows = [(5, [1.0, 2.0]), (4, [1.0, 2.0]), (4, [1.0, 2.0]), (9, [-1.0, 0.5])]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.embedding_links(frame(spark, rows)).collect())

@@ -1,13 +1,17 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-A sample of the vectors serves as reference points (*pivots*).  A vector is
-described by its ``NEAREST`` closest pivots in order; the inverted list of a pivot
-holds the vectors that name it.  Two vectors are candidates when they share at
-least ``MIN_SHARED`` pivots, counted within the list of the first pivot they
-share; candidates are verified by their cosine in double precision.
-
-The number of pivots follows the number of vectors, so that lists keep an
-expected length, up to ``MAX_PIVOTS``; longer lists are compared block by block.
+A sample of the vectors serves as reference points (*pivots*), thinned so that no
+two lie within twice the angle of a link: a dense group keeps a pivot or a few,
+not its share of the sample, whose order would be noise to its members.  A vector
+is described by its ``NEAREST`` closest pivots in order; the inverted list of a
+pivot holds the vectors that name it.  Two vectors are candidates when they share
+their closest pivot or at least ``MIN_SHARED`` pivots, counted within the list of
+the first pivot they share; candidates are verified by their cosine in double
+precision.
+
+The number of pivots sampled follows the number of vectors, so that lists keep an
+expected length, up to ``MAX_PIVOTS``; longer lists, such as those of a dense
+group, are compared block by block.
 Equal vectors are folded into classes first.  What leaves a block is one row per
 member: its number of links and the root of its links' spanning forest.
 
@@ -57,6 +61,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def thinned(pivots: np.ndarray, min_cosine: float) -> np.ndarray:
+    """The pivots, in order, without those within twice the link angle of a
+    kept one."""
+    most = max(2 * min_cosine**2 - 1, 0.5)
+    kept, n = np.empty_like(pivots), 0
+    for pivot in pivots:
+        if not n or (kept[:n] @ pivot).max() < most:
+            kept[n] = pivot
+            n += 1
+    return kept[:n].copy()
+
+
 def permutation(units: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """The nearest pivots of every row, closest first, ties by pivot number."""
     closeness = units @ pivots.T
@@ -83,7 +99,8 @@ def list_links(
         mine = perms[left, i][:, None]
         for j in range(perms.shape[1]):
             shared += mine == perms[right, j][None, :]
-    near = (shared >= min_shared) & (units[left] @ units[right].T >= min_cosine)
+    candidate = (shared >= min_shared) | (perms[left, 0][:, None] == perms[right, 0][None, :])
+    near = candidate & (units[left] @ units[right].T >= min_cosine)
     a, b = np.nonzero(near)
     a, b = left[a], right[b]
     keep = a < b if own else np.ones(a.size, bool)
@@ -119,7 +136,7 @@ def embedding_links(
     n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, n // VECTORS_PER_PIVOT)))
     # a bounded sample, the same on every run: the first vectors in hash order
     picked = classes.select("vector", F.xxhash64(F.lit("pivot"), "rep").alias("at"), "rep").orderBy("at", "rep").limit(n_pivots)
-    pivots = unit(np.array([r.vector for r in picked.collect()], np.float64)) if n else np.zeros((1, 1))
+    pivots = thinned(unit(np.array([r.vector for r in picked.collect()], np.float64)), min_cosine) if n else np.zeros((1, 1))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
