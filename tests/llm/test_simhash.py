@@ -100,6 +100,31 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == [(7, 7), (7, 7), (None, 7), (None, None)]
 
 
+def one_bit_apart(monkeypatch):
+    """Texts are their fingerprints in binary."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle_words: int(text or "0", 2))
+
+
+def test_fingerprints_without_ids_link_and_survive(spark, monkeypatch):
+    one_bit_apart(monkeypatch)
+    rows = [(9, "0" * 10), (None, "0" * 7 + "111"), (4, "0" * 4 + "1" * 6), (None, "1" * 30), (None, "1" * 30 + "0" * 30)]
+    got = {(r.fingerprint, r.doc_id, r.component_id) for r in simhash.simhash_components(docs(spark, rows)).collect()}
+    assert {(i, c) for _, i, c in got} == {(9, 4), (None, 4), (4, 4), (None, None)}  # the one without id is a bridge
+    assert len(got) == 5
+    kept = [(r.doc_id, r.text) for r in simhash.survivors(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([rows[2], rows[3], rows[4]], key=str)
+
+
+def test_survivors_are_one_row_of_each_component(spark, monkeypatch):
+    one_bit_apart(monkeypatch)
+    near, far = ["0" * 60 + "0001", "0" * 60 + "0011", "0" * 60 + "0111"], "1" * 40
+    rows = [(5, near[0]), (5, near[1]), (5, near[1]), (8, near[2]), (5, far), (3, far), (None, far), (None, "1" * 20), (None, "1" * 20), (None, "1" * 19 + "0")]
+    kept = [(r.doc_id, r.text) for r in simhash.survivors(docs(spark, rows)).collect()]
+    assert len(kept) == 3 and set(kept) <= set(rows)
+    assert sorted((i, len(t)) for i, t in kept if i) == [(3, 40), (5, 64)]
+    assert [len(t) for i, t in kept if i is None] == [20]
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "cycle"])
 def test_components(spark, shape):
     n = 40

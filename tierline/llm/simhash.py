@@ -14,11 +14,16 @@ borders.  Inside a shard the full distance decides.
 Equal fingerprints are folded first; what leaves a shard is a spanning forest of
 its links; components join the forests.
 
+Fingerprints are the nodes of the links, so ids play no part in them; a
+component's id is the smallest of its documents' ids.
+
 Contract for unusual input: a null or empty text has fingerprint zero and links
-with every other such document, a null id never becomes a component id while
-another is there, an empty table gives an empty result, repeated rows are members of one class, texts
-are hashed whole whatever their length, and columns other than id and text are
-ignored.
+with every other such document; documents with a null id link like any other, and
+a component's id is null only where all its ids are; an empty table gives an
+empty result; repeated rows are members of one class; texts are hashed whole
+whatever their length; columns other than id and text are ignored.  ``survivors``
+keeps exactly one row of each component whatever the ids: repeated ids keep one
+row, and a component without ids keeps one too.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.llm.common import stored
@@ -71,17 +76,28 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * set_bits > hashes.size, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp): the fingerprint of every document as a signed 64-bit value."""
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """(k1, k2): 128 bits that tell rows of different id or text apart."""
+    text = F.col(text_col).cast("string")
+    parts = (F.col(id_col).isNull(), text.isNull(), F.col(id_col), text)
+    return [F.xxhash64(F.lit(k), *parts).alias(k) for k in ("k1", "k2")]
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, keys: bool = False
+) -> DataFrame:
+    """(id, fp): the fingerprint of every document as a signed 64-bit value;
+    with ``keys`` also its ``row_keys``."""
+    others = ["id", "k1", "k2"] if keys else ["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()]
+            found = [fingerprint(t, shingle_words) for t in batch.column("text").to_pylist()]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), fps], [*others, "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), *(row_keys(id_col, text_col) if keys else []), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, rows.drop("text").schema.add("fp", "long"))
 
 
 def part_of(fps: np.ndarray, part: int, parts: int = PARTS) -> np.ndarray:
@@ -178,6 +194,14 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS)
     return dealt.groupBy("shard", "left", "right").applyInPandas(compare, "a long, b long")
 
 
+def fingerprint_components(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, component): every different fingerprint of ``rows`` with the
+    smallest one reachable over links."""
+    classes = stored(rows.select("fp").distinct(), "simhash-classes")
+    linked = components(near_links(classes.select("fp", F.col("fp").alias("rep")), max_bits))
+    return classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -188,21 +212,31 @@ def simhash_components(
     """One row per document: id, fingerprint (16 hex digits), component_id
     (smallest id reachable over links)."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
-    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
-    reps = classes.where("first_id IS NOT NULL").select("fp", F.col("first_id").alias("rep"))
-    linked = components(near_links(reps, max_bits))
-    ids = reps.join(linked, reps["rep"] == linked["node"], "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
-    return rows.join(ids, rows["fp"] == ids["_fp"], "left").select(
+    found = stored(fingerprint_components(rows, max_bits), "simhash-components")
+    first = rows.groupBy("fp").agg(F.min("id").alias("id")).join(found, "fp").groupBy("component").agg(F.min("id").alias("component_id"))
+    ids = found.join(first, "component").select(F.col("fp").alias("_fp"), "component_id")
+    return rows.join(ids, rows["fp"] == ids["_fp"]).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: those whose id
-    is their component's smallest."""
-    kept = simhash_components(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id"))
-    kept = kept.select(F.col(id_col).alias("keep")).distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
-    return rows.join(kept, rows["id"] == kept["keep"], "left_semi").select("row.*")
+def survivors(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each
+    component the one with the smallest id, null last; of several with that id,
+    one."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle_words, keys=True), "simhash")
+    found = fingerprint_components(rows, max_bits)
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2").alias("rank")
+    first = rows.select("fp", rank).groupBy("fp").agg(F.min("rank").alias("rank"))
+    kept = first.join(found, "fp").groupBy("component").agg(F.min("rank").alias("rank")).select("rank.k1", "rank.k2")
+    keyed = docs.select(*row_keys(id_col, text_col), F.struct(*docs.columns).alias("row"))
+    # rows of equal id and text have equal keys: one of them stays
+    same = Window.partitionBy("k1", "k2").orderBy("k1")
+    whole = keyed.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(same))
+    return whole.where("n = 1").select("row.*")
