@@ -48,6 +48,35 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div style="overflow: hidden">{}</div>',
+        '<article data-title="the hidden city">{}</article>',
+        "<article data-x='role=menu class=\"ad\" hidden'>{}</article>",
+        '<div data-hidden-by=nobody aria-label="id = search">{}</div>',
+        "<section title=hidden/>{}</section>",
+    ],
+)
+def test_attribute_values_are_no_attributes(wrapper):
+    page = "<html><body>" + AROUND.replace("{}", wrapper) + "</body></html>"
+    assert html.main_text(page.replace("{}", PARAGRAPHS)) == TEXT
+
+
+@pytest.mark.parametrize(
+    "landmark",
+    [
+        '<div title="first class trip" class="sidebar">{}</div>',
+        "<div data-class='post' id=comments>{}</div>",
+        "<div data-x=1 HIDDEN>{}</div>",
+        '<p title="x"hidden="">{}</p>',
+    ],
+)
+def test_landmarks_among_other_attributes(landmark):
+    page = "<html><body>" + AROUND.replace("{}", "<main>" + PARAGRAPHS + landmark.replace("{}", "Other text, out. Of it!") + "</main>") + "</body></html>"
+    assert html.main_text(page) == TEXT
+
+
 def test_extract_keeps_columns(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "old", 9, "r"), (1, "u", "<article><p>x</p></article>", "old", 9, "r"), (None, None, None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, raw_html string")

@@ -71,7 +71,9 @@ _TOKEN = re.compile(
     re.S,
 )
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)")
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# one attribute after the other, values included, so that no value is read as a name
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_USED_ATTRIBUTES = {"class", "id", "role", "hidden", "aria-hidden"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TEXT}
 _SPACE = re.compile(r"\s+")
@@ -102,7 +104,9 @@ def attributes(attrs: str) -> dict[str, str]:
     """The attributes that matter here, first of each."""
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attrs):
-        found.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
+        name = m.group(1).lower()
+        if name in _USED_ATTRIBUTES:
+            found.setdefault(name, m.group(2) or m.group(3) or m.group(4) or "")
     return found
 
 
@@ -135,7 +139,7 @@ def is_boilerplate(name: str, attrs: str, in_content: bool) -> bool:
 
 def label_of(name: str, attrs: str) -> str:
     """A path label: the element with its first class word, if any."""
-    m = re.search(r"\bclass\s*=\s*[\"']?\s*([\w-]+)", attrs, re.I)
+    m = re.match(r"\s*([\w-]+)", attributes(attrs).get("class", "")) if attrs.strip() else None
     return f"{name}.{m.group(1)}" if m else name
 
 
