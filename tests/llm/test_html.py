@@ -51,6 +51,12 @@ def test_odd_pages(page, text):
 @pytest.mark.parametrize(
     "wrapper",
     [
+        '<article class="post comments-open">{}</article>',
+        '<div id="content" class="content has-sidebar">{}</div>',
+        '<main class="main no-sidebar">{}</main>',
+        '<article class="sponsored">{}</article>',
+        '<div class="content-sidebar-wrap"><div class="entry-content">{}</div></div>',
+        '<div class="wrapper has-sidebar"><div class="post related">{}</div></div>',
         '<div style="overflow: hidden">{}</div>',
         '<article data-title="the hidden city">{}</article>',
         "<article data-x='role=menu class=\"ad\" hidden'>{}</article>",
@@ -58,7 +64,7 @@ def test_odd_pages(page, text):
         "<section title=hidden/>{}</section>",
     ],
 )
-def test_attribute_values_are_no_attributes(wrapper):
+def test_words_that_name_no_landmark(wrapper):
     page = "<html><body>" + AROUND.replace("{}", wrapper) + "</body></html>"
     assert html.main_text(page.replace("{}", PARAGRAPHS)) == TEXT
 
@@ -68,6 +74,9 @@ def test_attribute_values_are_no_attributes(wrapper):
     [
         '<div title="first class trip" class="sidebar">{}</div>',
         "<div data-class='post' id=comments>{}</div>",
+        '<div class="post-comments">{}</div>',
+        '<div class="sidebar-content">{}</div>',
+        '<div class="Menu menu-open">{}</div>',
         "<div data-x=1 HIDDEN>{}</div>",
         '<p title="x"hidden="">{}</p>',
     ],

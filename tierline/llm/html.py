@@ -11,7 +11,10 @@ when it is the page's body.
 
 Landmarks that are never main text are left out before the ratios: menus, page
 headers, footers, sidebars, forms, scripts and styles by element, notices, adverts
-and reader comments by the words of their class or id.
+and reader comments by the names in their class or id.  A name that states
+something (``has-sidebar``, ``comments-open``) names no landmark, and neither does
+the class or id of ``article``, ``main`` and elements that carry a content name
+(``post``, ``content``) as well: there the ratios decide.
 
 Contract for unusual input: a null or empty page, and one without text, gives the
 empty text; unclosed, crossed and stray tags are read as browsers do in the
@@ -63,6 +66,8 @@ BOILERPLATE_WORDS = {
     "topbar", "widget",
 }
 CONTENT_WORDS = {"article", "content", "entry", "main", "post", "story"}
+#: Words of names that state something about an element instead of naming it.
+STATE_WORDS = {"closed", "disabled", "enabled", "has", "hide", "no", "open", "show", "with", "without"}
 BOILERPLATE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "menu", "navigation", "search"}
 KEPT_IN_BODY = {"blockquote", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "th"}
 
@@ -110,12 +115,26 @@ def attributes(attrs: str) -> dict[str, str]:
     return found
 
 
-def class_words(attrs: str) -> set[str]:
-    """The words of an element's class and id."""
-    if not attrs.strip():
-        return set()
-    found = attributes(attrs)
-    return {w.lower() for a in ("class", "id") for w in _WORD.findall(found.get(a, ""))}
+def names(found: dict[str, str]) -> list[list[str]]:
+    """The words of every name in an element's class and id."""
+    return [[w.lower() for w in _WORD.findall(name)] for a in ("class", "id") for name in found.get(a, "").split()]
+
+
+def is_content_name(name: list[str]) -> bool:
+    """Whether a name says content.  ``post-comments`` and ``sidebar-content``
+    are about the landmark, ``content-sidebar-wrap`` is not."""
+    if not CONTENT_WORDS.intersection(name):
+        return False
+    if STATE_WORDS.intersection(name):
+        return True
+    return name[-1] not in BOILERPLATE_WORDS and not (name[0] in BOILERPLATE_WORDS and name[-1] in CONTENT_WORDS)
+
+
+def is_content(name: str, attrs: str) -> bool:
+    """Whether an element says that it holds content."""
+    if name in CONTENT_ELEMENTS:
+        return True
+    return name not in ("html", "body") and bool(attrs.strip()) and any(map(is_content_name, names(attributes(attrs))))
 
 
 def is_boilerplate(name: str, attrs: str, in_content: bool) -> bool:
@@ -129,12 +148,10 @@ def is_boilerplate(name: str, attrs: str, in_content: bool) -> bool:
         return True
     if found.get("role", "").lower() in BOILERPLATE_ROLES:
         return True
-    if name in ("html", "body"):
+    if name in ("html", "body") or is_content(name, attrs):
         return False
-    words = class_words(attrs)
-    if words & BOILERPLATE_WORDS:
-        return True
-    return "header" in words and not in_content and not words & CONTENT_WORDS
+    words = {w for n in names(found) if not STATE_WORDS.intersection(n) for w in n}
+    return bool(words & BOILERPLATE_WORDS) or ("header" in words and not in_content)
 
 
 def label_of(name: str, attrs: str) -> str:
@@ -221,8 +238,7 @@ def blocks(page: str) -> list[Block]:
         inside = any(e.content for e in stack)
         dropped = bool(stack and stack[-1].dropped) or is_boilerplate(name, attrs, inside)
         if not attrs.rstrip().endswith("/") or name not in ("svg", "path"):
-            content = name in CONTENT_ELEMENTS or (name not in ("html", "body") and bool(class_words(attrs) & CONTENT_WORDS))
-            stack.append(Open(name, label_of(name, attrs), dropped, content and not dropped))
+            stack.append(Open(name, label_of(name, attrs), dropped, not dropped and is_content(name, attrs)))
         if name in RAW_TEXT:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
