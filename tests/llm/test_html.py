@@ -86,6 +86,31 @@ def test_landmarks_among_other_attributes(landmark):
     assert html.main_text(page) == TEXT
 
 
+LONG = "<p>A long paragraph, with commas; and more of it. So on.</p>" * 12
+SHORT = "<p>The rest of the text, much shorter, is here. It ends.</p>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<div class="intro">{}{}</div><div class="rest">[]</div>',
+        '<div class="entry-title">Title of it</div><div class="entry-content">{}[]</div>',
+        '<article class="part1">{}{}</article><article class="part2">[]</article>',
+        "<main><h1>Title of it</h1><article>{}[]</article></main>",
+        '<div class="a"><h2>Title of it</h2><div class="b">{}{}{}</div><div class="c">[]</div></div>',
+        '<div class="x">{}<div class="rest"><h3>Title of it</h3>[]</div></div>',
+        "<h1>Title of it</h1><div class=one>{}</div><article>[]</article>",
+    ],
+)
+def test_text_outside_the_heaviest_node(body):
+    page = "<html><body>" + AROUND.replace("{}", body).replace("{}", LONG).replace("[]", SHORT) + "</body></html>"
+    got = html.main_text(page)
+    assert got.count("A long paragraph") == 12 * body.count("{}")
+    assert "The rest of the text, much shorter, is here. It ends." in got
+    assert ("Title of it" in got) == ("Title" in body)
+    assert not {"Home", "Site", "Side", "Mail"} & set(got.replace(",", " ").split())
+
+
 def test_extract_keeps_columns(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "old", 9, "r"), (1, "u", "<article><p>x</p></article>", "old", 9, "r"), (None, None, None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, raw_html string")

@@ -4,10 +4,10 @@ A page is cut into blocks, each with its path of block elements from the root.
 Per path, text length and punctuation are summed over its blocks and divided by
 their number; links count against it.  A path's two ratios are smoothed with those
 of the paths under the same parent, fused into one score and compared with the
-spread of the page's scores.  The parent that holds most of the text of the paths
-that pass is the content node.  Its blocks are the main text: all of them when it
-is a content element, those of passing paths and of headings, lists and tables
-when it is the page's body.
+spread of the page's scores.  Every block of a path that passes is main text.  The
+content nodes are the content elements and the parents of the blocks that pass; all
+blocks inside them are main text too, and so are the headings beside them.  The
+body as the node with most of the text adds its headings, lists and tables only.
 
 Landmarks that are never main text are left out before the ratios: menus, page
 headers, footers, sidebars, forms, scripts and styles by element, notices, adverts
@@ -69,7 +69,8 @@ CONTENT_WORDS = {"article", "content", "entry", "main", "post", "story"}
 #: Words of names that state something about an element instead of naming it.
 STATE_WORDS = {"closed", "disabled", "enabled", "has", "hide", "no", "open", "show", "with", "without"}
 BOILERPLATE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "menu", "navigation", "search"}
-KEPT_IN_BODY = {"blockquote", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "th"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+KEPT_IN_BODY = {"blockquote", "dd", "dt", *HEADINGS, "li", "pre", "td", "th"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/][^>]*(?:>|\Z)",
@@ -289,10 +290,21 @@ def main_text(page: str | None) -> str:
                 break
         if len(node) > 1 and node[-1] in ("div", "section", "td") and node[-2].split(".")[0] not in ("body", "html"):
             node = node[:-1]  # a nameless wrapper around the paragraphs: its title and lists stand beside it
-    inside = [b for b in found if b.path[: len(node)] == node]
-    if node and node[-1].split(".")[0] not in ("body", "html"):
-        return " ".join(b.text for b in inside)
-    return " ".join(b.text for b in inside if b.path in passing or b.path[-1].split(".")[0] in KEPT_IN_BODY)
+    # all blocks inside the nodes of the text that passes, the heaviest one included, and inside content elements
+    nodes = {p for p, _ in [*weight, (node, is_element)]} | {b.in_content for b in found if b.in_content}
+    whole = {p for p in nodes if p and p[-1].split(".")[0] not in ("body", "html")}
+    in_body = not (node and node in whole)
+    around = {p[:depth] for p in nodes for depth in range(len(p) + 1)}
+
+    def kept(b: Block) -> bool:
+        name = b.path[-1].split(".")[0] if b.path else ""
+        if b.path in passing or any(b.path[:depth] in whole for depth in range(1, len(b.path) + 1)):
+            return True
+        if name in HEADINGS and b.path[:-1] in around:
+            return True
+        return in_body and b.path[: len(node)] == node and name in KEPT_IN_BODY
+
+    return " ".join(b.text for b in found if kept(b))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
