@@ -38,6 +38,18 @@ def test_word_encoder_is_the_library(both, text):
     assert words.encode([text, text + " x"]) == [struct.pack(f"<{len(i)}I", *i) for i in (whole(text), whole(text + " x"))]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_letters_that_normalise_to_marks_before_signs(name):
+    plain = Tokenizer.from_file(tokens.vocabulary(name))  # as the file has it
+    letters = "\u0130\u0131\u0149\u01c5\u0345\u0958\u09dc\u0a33\u0b5c\u0f43\u1e9e\u1fbc\u2126\ufb1d\ufb2a\U0001d400\U000323af\u4f60\uac00\u00e9"
+    texts = [f"a b{x}{y} {x}{y} c{x}d{y} {x}{x}{y}{y} e" for x in letters for y in (",", "'", "...", "1", "(a", "!\u0130?", "")]
+    texts.append("A\u0130, B\u0130.")
+    words = tokens.WordEncoder(tokens.vocabulary(name))
+    assert words.by_word
+    want = [struct.pack(f"<{len(i)}I", *i) for i in (plain.encode(t, add_special_tokens=False).ids for t in texts)]
+    assert words.encode(texts) == want
+
+
 @pytest.mark.parametrize("length", [1, 7, 2048])
 def test_packing_round_trip(spark, length):
     rows = ROWS + [(100 + i, f"word{i} " * (i % 9)) for i in range(50)]

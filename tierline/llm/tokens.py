@@ -46,6 +46,7 @@ class WordEncoder:
         self.bar = int.from_bytes(bar, "little") if len(bar) == 4 else None
         self.pieces = tokenizers.Tokenizer(self.tokenizer.model)  # the model alone, for words cut already
         self.pieces.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        self.cuts: dict[str, bool] = {}  # last letters: whether signs after them are pieces of their own
         self.mark = None
         self.mark = self._find_mark() if self.bar is not None else None
         whole = self._encode([_PROBE])[0]
@@ -84,6 +85,19 @@ class WordEncoder:
                 return self.mark
         return None
 
+    def _cuts_after(self, letter: str) -> bool:
+        """Whether the library cuts between this letter and a sign: not where
+        it normalises the letter to one with a mark behind, and the mark and
+        the sign become one piece."""
+        if letter not in self.cuts:
+            known, normalizer, cutter = letter.isascii(), self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            if not known and cutter is not None:
+                text = f" a{letter},"
+                pieces = cutter.pre_tokenize_str(normalizer.normalize_str(text) if normalizer else text)
+                known = len(pieces) > 1 and pieces[-1][0] == ","
+            self.cuts[letter] = known
+        return self.cuts[letter]
+
     @staticmethod
     def _ids(tokenizer: tokenizers.Tokenizer, text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -94,12 +108,13 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Ids of new words after a space.  Letters and the ASCII signs and
-        digits after them are cut apart by both vocabularies, so such a word is
-        the ids of the two."""
+        digits after them are cut apart by both vocabularies, unless the last
+        letter is normalised to more than a letter, so such a word is the ids of
+        the two."""
         ascii_lower, plain, signed, tails, other = set(), set(), [], set(), []
         for word in words:
             core = word.rstrip(_SIGNS)
-            if core.isalpha():
+            if core.isalpha() and (len(core) == len(word) or self._cuts_after(core[-1])):
                 if core not in self.words:
                     (ascii_lower if core.isascii() and core.islower() else plain).add(core)
                 if len(core) < len(word):
