@@ -87,6 +87,18 @@ def test_trees_route_every_near_pair_to_a_common_home():
         assert near.size and all((i, home[i]) in visits for i in near.tolist())
 
 
+def test_dense_shards_fold_their_links(monkeypatch):
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 5, 400, dtype=np.uint64) | rng.integers(0, 4, 400, dtype=np.uint64) << np.uint64(40)
+    ids, some, side = rng.permutation(400), rng.integers(0, 2, 400) == 1, (np.arange(400) % 2).astype(int)
+    want = [simhash.shard_links(fps, ids, some, s, 1) for s in (side, np.zeros(400, int))]
+    monkeypatch.setattr(simhash, "MOST_PAIRS", 10)
+    monkeypatch.setattr(simhash, "max", lambda *x: 7 if x[0] == 1 and x[1] > 1000 else max(x), raising=False)  # few rows at a time
+    for s, (a, b) in zip((side, np.zeros(400, int)), want):
+        got = simhash.shard_links(fps, ids, some, s, 1)
+        assert a.size > 100 and np.array_equal(got[0], a) and np.array_equal(got[1], b)
+
+
 def test_survivors_keep_columns(spark):
     rows = some_rows()
     got = simhash.survivors(docs(spark, rows))

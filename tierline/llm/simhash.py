@@ -53,6 +53,8 @@ TREE_SAMPLE = 8192
 SHARD_ROWS = 1024
 #: Rows compared with each other at once inside a shard.
 BLOCK_ROWS = 16384
+#: Links held at once inside a shard, about.
+MOST_PAIRS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -148,7 +150,7 @@ def shard_links(fps: np.ndarray, ids: np.ndarray, home: np.ndarray, side: np.nda
     fps, home, side, ids = fps[order], home[order], side[order], ids[order]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     right = right if right.size else left
-    found_a, found_b = [], []
+    root, found_a, found_b, pairs = np.arange(ids.size), [], [], 0
     step = max(1, (1 << 22) // max(1, right.size))
     for at in range(0, left.size, step):
         rows = left[at : at + step]
@@ -158,7 +160,10 @@ def shard_links(fps: np.ndarray, ids: np.ndarray, home: np.ndarray, side: np.nda
         keep = (a != b) & (home[a] | home[b])
         found_a.append(a[keep])
         found_b.append(b[keep])
-    root = spanning_forest(ids.size, np.concatenate(found_a or [left]), np.concatenate(found_b or [left]))
+        pairs += found_a[-1].size
+        if pairs > MOST_PAIRS or at + step >= left.size:  # fold into the forest: bounded memory for dense shards
+            root = spanning_forest(ids.size, np.concatenate([*found_a, np.arange(ids.size)]), np.concatenate([*found_b, root]))
+            found_a, found_b, pairs = [], [], 0
     linked = root != np.arange(ids.size)
     return ids[linked], ids[root[linked]]
 
