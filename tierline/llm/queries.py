@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.llm import chat, embeddings, exact, html, importance, mixing, packing, pii, simhash, toxicity, wavelet
+from tierline.llm import chat, embeddings, exact, html, importance, mixing, packing, pii, simhash, toxicity, trie, wavelet
 from tierline.llm.common import table
 from tierline.session import scratch_path
 
@@ -75,6 +75,10 @@ def op10_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.share_heads(trie.ordered(table(spark, sf_dir, "conversations")))).drop("key")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -91,5 +95,6 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_wavelet_token_ids": op10_wavelet_token_ids,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_importance_resampling": op13_importance_resampling,
 }
