@@ -12,11 +12,12 @@ one space between them, make one buffer; the runs are windows over its offset pa
 the start of one word and the end of the same or a later one, so no run is ever joined
 as a string.
 
-*Spark's part.*  Every task adds up one histogram of its rows' buckets, and the
-histograms are summed by bucket: 10,000 rows reach the driver for the corpus and as
-many for the target, whatever their size.  The gains travel to the tasks of a second
-pass, which sums them over each document.  The draw is a distributed ranking of
-(score, id); no row is collected and none goes through a single task.
+*Spark's part.*  One pass over the texts stores each document's buckets, two bytes a
+feature.  Every task adds up one histogram of its rows' buckets, and the histograms
+are summed by bucket: 10,000 rows reach the driver for the corpus and as many for the
+target, whatever their size.  The gains travel to the tasks that sum them over each
+document's stored buckets.  The draw is a distributed ranking of (score, id); no row is
+collected and none goes through a single task.
 
 Contract for unusual input: a null, empty or wordless text has no features and weight
 0; texts are read whole; a null id counts as the text ``null`` in the noise and comes
@@ -44,7 +45,8 @@ from tierline.operators.ranking import CNT, POS, add_positions
 
 #: A word of lowered text: ASCII letters and digits and all beyond ASCII (fixed value).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
+#: Bytes of UTF-8 with those of A-Z lowered; no other character has such bytes.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -67,7 +69,7 @@ class Features:
 
     def buckets(self, text: str | None) -> tuple[int, np.ndarray]:
         """(number of words, bucket of every feature)."""
-        words = [word.encode() for word, _ in self.cut.pre_tokenize_str((text or "").translate(_LOWER))]
+        words = [word.encode() for word, _ in self.cut.pre_tokenize_str((text or "").encode().translate(_LOWER).decode())]
         buffer = b" ".join(words)
         ends = np.cumsum([len(word) + 1 for word in words], dtype=np.int64) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])[: len(words)].tolist()
@@ -79,20 +81,44 @@ class Features:
         return len(words), np.concatenate(runs) % self.settings.buckets
 
 
-def histogram(texts: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(bucket, n): features of all texts by bucket, at most ``buckets`` rows."""
+def bucketed(texts: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """``texts`` with ``n_words`` and, in the text's place, its ``features``:
+    the buckets as little-endian unsigned numbers of ``_width`` bytes."""
+    place = texts.columns.index(text_col)
+    others = [i for i in range(len(texts.columns)) if i != place]
+    names = [*(texts.columns[i] for i in others), "n_words", "features"]
+    kind = _width(settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):  # the features of a few texts at a time
+                part = batch.slice(low, 256)
+                found = [features.buckets(text.as_py()) for text in part.column(place)]
+                stats = [pa.array([n for n, _ in found], pa.int64()), pa.array([b.astype(kind).tobytes() for _, b in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in others), *stats], names)
+
+    schema = texts.drop(text_col).schema.add("n_words", "long").add("features", "binary")
+    return texts.mapInArrow(run, schema)
+
+
+def _width(settings: Settings) -> str:
+    return "<u2" if settings.buckets <= 1 << 16 else "<u4"
+
+
+def histogram(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(bucket, n): features of all texts by bucket, at most ``buckets`` rows."""
+    kind = _width(settings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(settings.buckets, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                total += np.bincount(features.buckets(text.as_py())[1], minlength=settings.buckets)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
+            for buckets in batch.column(0):
+                total += np.bincount(np.frombuffer(buckets.as_buffer(), kind), minlength=settings.buckets)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "n"])
 
-    counted = texts.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "bucket long, n long")
-    return counted.groupBy("bucket").agg(F.sum("n").alias("n"))
+    return found.select("features").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _counts(hist: DataFrame, settings: Settings) -> list[int]:
@@ -113,27 +139,21 @@ def noise(id_text: Column, seed: str) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / F.lit(4294967296.0)))).cast("long")
 
 
-def weigh(docs: DataFrame, gain: np.ndarray, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the text, with (n_words, n_features, weight)."""
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    place = docs.columns.index(text_col)
+def weigh(found: DataFrame, gain: np.ndarray, settings: Settings = Settings()) -> DataFrame:
+    """``found`` with (n_features, weight) in the place of its features."""
+    place = found.columns.index("features")
+    others = [i for i in range(len(found.columns)) if i != place]
+    names = [*(found.columns[i] for i in others), "n_features", "weight"]
+    kind = _width(settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(settings)
         for batch in batches:
-            rows = []
-            for text in batch.column(place):
-                n_words, found = features.buckets(text.as_py())
-                rows.append((n_words, found.size, int(gain[found].sum())))
-            stats = np.array(rows, np.int64).reshape(-1, 3)
-            others = [batch.column(i) for i in range(batch.num_columns) if i != place]
-            names = [f.name for f in kept] + ["n_words", "n_features", "weight"]
-            yield pa.RecordBatch.from_arrays([*others, *(pa.array(stats[:, i]) for i in range(3))], names)
+            rows = [np.frombuffer(buckets.as_buffer(), kind) for buckets in batch.column(place)]
+            sums = [pa.array([row.size for row in rows], pa.int64()), pa.array([int(gain[row].sum()) for row in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in others), *sums], names)
 
-    schema = docs.select(*[f"`{f.name}`" for f in kept]).schema
-    for name in ("n_words", "n_features", "weight"):
-        schema = schema.add(name, "long")
-    return docs.mapInArrow(run, schema)
+    schema = found.drop("features").schema.add("n_features", "long").add("weight", "long")
+    return found.mapInArrow(run, schema)
 
 
 def resample(
@@ -151,14 +171,16 @@ def resample(
 
     The ``percent`` of the documents with at least ``min_words`` words that
     score highest are drawn, ties to the smaller id."""
-    corpus = _counts(histogram(docs, text_col, settings), settings)
-    gain = gains(corpus, _counts(histogram(target, target_col, settings), settings))
     carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried)
+    goal = target.select(F.col(f"`{target_col}`").cast("string").alias("text"))
+    # one pass over the texts; the sums and the ranking below read numbers only
+    found = stored(bucketed(rows, settings=settings), "importance-features")
+    corpus = _counts(histogram(found, settings), settings)
+    gain = gains(corpus, _counts(histogram(bucketed(goal, settings=settings), settings), settings))
     id_text = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    weighed = weigh(rows, gain, settings=settings)
-    # one pass over the texts; the ranking below reads numbers only
-    scored = stored(weighed.withColumn("score", F.col("weight") + noise(id_text, settings.seed)), "importance-scored")
+    scored = weigh(found, gain, settings).withColumn("score", F.col("weight") + noise(id_text, settings.seed))
+    scored = stored(scored, "importance-scored")
 
     enough = scored.where(F.col("n_words") >= settings.min_words)
     ordered = enough.withColumn("_down", -F.col("score")).withColumn("_unnamed", F.col("id").isNull())
