@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.llm import chat, embeddings, exact, html, importance, mixing, packing, pii, simhash, toxicity, trie, wavelet
+from tierline.llm import chat, embeddings, exact, html, importance, mixing, packing, pii, quality, simhash, toxicity, trie, wavelet
 from tierline.llm.common import table
 from tierline.session import scratch_path
 
@@ -75,6 +75,14 @@ def op10_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.share_heads(trie.ordered(table(spark, sf_dir, "conversations")))).drop("key")
 
@@ -95,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_wavelet_token_ids": op10_wavelet_token_ids,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_importance_resampling": op13_importance_resampling,
 }
