@@ -169,3 +169,42 @@ def test_many_rows_fill_many_buckets(spark):
     got = add_positions(df, ["v", "id"])
     want = df.select("id", F.row_number().over(Window.orderBy("v", "id")).alias("rn"))
     assert got.join(want, "id").where("_pos <> rn OR _cnt <> 20000").count() == 0
+
+
+def test_buckets_follow_the_partitions_and_stay_below_the_stated_size(spark):
+    """Skewed values, a hot value cut by its tie-breaker, text keys with a long common prefix."""
+    from tierline.operators import ranking
+
+    n = 200_000
+    df = spark.range(n).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.exp((F.col("id") * 7919 % 100_003) / 5000.0)).alias("v"),
+        F.concat(F.lit("Supplier#0000000000"), F.col("id").cast("string")).alias("name"),
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, buckets in ((8, 1024), (600, 4096)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert 1 << ranking.bucket_bits(df) == buckets
+            for order in (["v", "name"], ["name"], ["v", "id"]):
+                sizes = [r[1] for r in ranking._bucketed(df, order).groupBy("_bucket").count().collect()]
+                assert sum(sizes) == n
+                assert max(sizes) <= ranking.MOST * n / buckets
+                assert len(sizes) > 0.9 * buckets
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_no_lambda_runs_over_the_bounds_of_a_row(spark):
+    df = spark.createDataFrame(_data(200, 5), SCHEMA)
+    plan = with_ntiles(df, {"t": 4}, ["v", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    rows = [line for line in plan.splitlines() if "_bucket" in line]
+    assert rows and not any("lambdafunction" in line for line in rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 1023, 1024, 1025])
+def test_few_rows_and_missing_bounds(spark, n):
+    df = spark.range(n).select((F.col("id") * 7 % 11).alias("v"), "id")
+    got = add_positions(df, ["v", "id"])
+    want = df.select("id", F.row_number().over(Window.orderBy("v", "id")).alias("rn"))
+    assert got.join(want, "id").where(f"_pos = rn AND _cnt = {n}").count() == n

@@ -4,15 +4,21 @@
 low-cardinality) PARTITION BY make Spark move every row into one task.  Here one
 lazy plan serves every input size:
 
-1. *Bounds.*  The rows' order keys are hashed into ``SAMPLE`` cells and each cell
-   keeps one key: a sample of the distinct keys, drawn by a partial aggregate, the
-   same on every run.  Every few of the sorted sample keys is a bucket bound; the
-   bounds are one row of the plan.
+1. *Bounds.*  The rows' order keys are hashed into cells and each cell keeps one key:
+   a sample of the distinct keys, drawn by a partial aggregate, the same on every run.
+   Every ``EVERY``-th of the sorted sample keys is a bucket bound; the bounds are one
+   row of the plan.  Their number follows the session's shuffle partitions, which are
+   sized from the data (``session.partitions_for``).
 2. *Buckets.*  A row's bucket is the number of bounds at or below its key, a pure
-   function of the row.  The key holds the tie-breakers, so a hot value is cut by
-   them.
+   function of the row: a search written out as three comparisons per quartering, so it
+   stays inside generated code and no lambda runs over the bounds.  The key holds the
+   tie-breakers, so a hot value is cut by them.
 3. *Running totals.*  A window inside each bucket, plus the total of the buckets
-   before it (at most ``BUCKETS`` rows, a partial aggregate).
+   before it (one row per bucket, a partial aggregate).
+
+Of N different keys and B buckets, a bucket holds N / B on average.  Each lies between
+``EVERY`` neighbours of a uniform sample, so the chance that one exceeds 8 N / B is
+below B * e^-21: ``MOST`` states that factor and the tests hold buckets to it.
 
 Nothing runs while a plan is built and nothing is stored, so views over these
 plans stay live.  Ranks of values need no row order: ``with_rank_stats`` and
@@ -35,10 +41,12 @@ CNT = "_cnt"
 RANK = "_rank"
 LE = "_le"
 
-#: Sample keys (at most), bounds searched at a time, keys between two bounds.
-SAMPLE = 4096
-SEARCH = 32
+#: Sample keys per bound, buckets per shuffle partition, fewest and most buckets,
+#: and the factor by which a bucket may exceed the average.
 EVERY = 4
+PER_PARTITION = 4
+FEWEST, LARGEST = 1024, 1 << 18
+MOST = 8
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
@@ -53,49 +61,63 @@ def _key(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def _bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row with the bucket bounds as ``_bounds`` (at most SAMPLE / EVERY
-    keys) and every SEARCH-th of them as ``_coarse``."""
-    digest = F.xxhash64(F.lit("bounds"), *cols)
-    keys = df.groupBy(F.pmod(digest, F.lit(SAMPLE)).alias("_cell")).agg(F.min(F.struct(digest.alias("h"), _key(cols).alias("k")))["k"].alias("_k"))
-    ordered = keys.agg(F.array_sort(F.collect_list("_k")).alias("_all"))
-    bounds = ordered.select(F.filter("_all", lambda k, i: i % EVERY == EVERY - 1).alias("_bounds"))
-    return bounds.withColumn("_coarse", F.filter("_bounds", lambda k, i: i % SEARCH == SEARCH - 1))
+def bucket_bits(df: DataFrame) -> int:
+    """An even number of bits: 2^bits buckets, ``PER_PARTITION`` or more for
+    each of the session's shuffle partitions, ``LARGEST`` at most."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = (min(LARGEST, max(FEWEST, PER_PARTITION * partitions)) - 1).bit_length()
+    return bits + bits % 2
 
 
-def _bucketed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``df`` with ``_bucket``, the number of bounds at or below the key: the
-    coarse bounds first, then those of one stretch."""
-    with_bounds = df.join(F.broadcast(_bounds(df, cols)))  # one row
-    key = _key(cols)
-    coarse = F.size(F.filter("_coarse", lambda b: b <= key))
-    stretch = F.slice("_bounds", F.col("_stretch") * SEARCH + 1, F.lit(SEARCH))
-    fine = F.size(F.filter(stretch, lambda b: b <= key))
-    return (
-        with_bounds.withColumn("_stretch", coarse)
-        .withColumn("_bucket", F.col("_stretch") * SEARCH + fine)
-        .drop("_bounds", "_coarse", "_stretch")
+def _bounds(df: DataFrame, cols: Sequence[str], bits: int) -> DataFrame:
+    """One row with the bucket bounds as ``_bounds``: 2^bits - 1 keys at most."""
+    digest = F.xxhash64(F.lit("bounds"), *cols)
+    cell = F.pmod(digest, F.lit(EVERY << bits)).alias("_cell")
+    keys = df.groupBy(cell).agg(F.min(F.struct(digest.alias("h"), _key(cols).alias("k")))["k"].alias("_k"))
+    ordered = keys.agg(F.array_sort(F.collect_list("_k")).alias("_all"))
+    # every EVERY-th key of a full sample; of fewer keys as many as make bounds
+    picked = F.transform(
+        F.sequence(F.lit(1), F.lit((1 << bits) - 1)), lambda i: F.get("_all", F.floor(i * F.size("_all") / (1 << bits)).cast("int"))
     )
+    return ordered.select(F.array_distinct(F.filter(picked, lambda k: k.isNotNull())).alias("_bounds"))
 
 
-def running_totals(df: DataFrame, order: Sequence[str], weight: Column, name: str) -> DataFrame:
+def _bucketed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df`` with ``_bucket``, the number of bounds at or below the key."""
+    bits = bucket_bits(df)
+    with_bounds = df.join(F.broadcast(_bounds(df, cols, bits)))  # one row
+    steps = [_key(cols).alias("_key"), F.lit(0).alias(f"_at{bits}")]
+    for bit in range(bits - 2, -1, -2):  # each step quarters what is left and refers to the one before, a lateral alias
+        at = f"_at{bit + 2}"
+        reached = [f"IF(get(_bounds, {at} + {(k << bit) - 1}) <= _key, {1 << bit}, 0)" for k in (1, 2, 3)]
+        steps.append(F.expr(f"{at} + {' + '.join(reached)} AS _at{bit}"))
+    return with_bounds.select("*", *steps).select(*[F.col(f"`{c}`") for c in df.columns], F.col("_at0").alias("_bucket"))
+
+
+def running_totals(df: DataFrame, order: Sequence[str], weight: Column, name: str, total: str | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``weight`` over all rows up to and
     including this one in the order of the columns ``order`` (ascending, NULLs
-    first).  Rows equal in all of them come in any order."""
+    first), and the sum over all rows as ``total`` if it is named.  Rows equal
+    in all of ``order`` come in any order."""
     cut = _bucketed(df, order).withColumn("_weight", weight.cast("bigint"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(F.lit(0))
+    before = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         cut.groupBy("_bucket").agg(F.sum("_weight").alias("_total"))  # one row per bucket
-        .select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+        .select(
+            F.col("_bucket").alias("_b"),
+            F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
+            *([F.sum("_total").over(everything).alias(total)] if total else []),
+        )
     )
     inside = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
         cut.withColumn("_inside", F.sum("_weight").over(inside))
-        .join(F.broadcast(totals), F.col("_bucket") == F.col("_b"))  # SAMPLE / EVERY + 1 rows at most
+        .join(F.broadcast(totals), F.col("_bucket") == F.col("_b"))  # LARGEST rows at most
         .withColumn(name, F.col("_before") + F.col("_inside"))
-        .select(*df.columns, name)
+        .select(*df.columns, name, *([total] if total else []))
     )
 
 
@@ -117,11 +139,12 @@ def add_positions(df: DataFrame, order_by: Sequence[str], partition_by: Sequence
     Equals ``row_number()`` / ``count(*)`` over the same window; make
     ``order_by`` total (add tie-breakers) for a deterministic numbering.
     """
+    if not partition_by:
+        return running_totals(df, order_by, F.lit(1), POS, total=CNT)
     numbered = running_totals(df, [*partition_by, *order_by], F.lit(1), POS)
     starts = _group_starts(df, partition_by, F.count(F.lit(1)))
     l, r = numbered.alias("_l"), starts.alias("_r")
-    joined = l.join(r, _null_safe_on(l, r, partition_by)) if partition_by else l.join(F.broadcast(r))  # one row
-    return joined.select(
+    return l.join(r, _null_safe_on(l, r, partition_by)).select(
         *[F.col(f"_l.`{c}`") for c in df.columns],
         (F.col(f"_l.{POS}") - F.col("_r._start")).alias(POS),
         F.col(f"_r.{CNT}"),
@@ -162,12 +185,14 @@ def value_ranks(df: DataFrame, value: str, partition_by: Sequence[str] = ()) ->
     (rows of the group).  Works on the counts per value."""
     keys = [*partition_by, value]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if not partition_by:
+        upto = running_totals(counts, keys, F.col("_n"), LE, total=CNT)
+        return upto.select(value, (F.col(LE) - F.col("_n") + 1).alias(RANK), LE, CNT)
     upto = running_totals(counts, keys, F.col("_n"), "_upto")
     starts = _group_starts(counts, partition_by, F.sum("_n"))
     l, r = upto.alias("_l"), starts.alias("_r")
-    joined = l.join(r, _null_safe_on(l, r, partition_by)) if partition_by else l.join(F.broadcast(r))  # one row
     le = F.col("_l._upto") - F.col("_r._start")
-    return joined.select(
+    return l.join(r, _null_safe_on(l, r, partition_by)).select(
         *[F.col(f"_l.`{c}`") for c in keys], (le - F.col("_l._n") + 1).alias(RANK), le.alias(LE), F.col(f"_r.{CNT}")
     )
 
