@@ -20,8 +20,7 @@ def docs(spark, rows):
 
 
 def library(name):
-    t = Tokenizer.from_file(tokens.vocabulary(name))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(tokens.vocabulary(name))  # as the file has it
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -50,6 +49,15 @@ def test_letters_that_normalise_to_marks_before_signs(name):
     assert words.encode(texts) == want
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_strings_of_special_tokens_are_what_the_library_makes_of_them(name):
+    whole, words = library(name), tokens.WordEncoder(tokens.vocabulary(name), kept_words=40)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y\n z ", "<|ENDOFTEXT|> a", "<|endoftext", "plain text", "", " lead", "two  spaces\nand lines"]
+    for _ in range(3):  # the third time after forgetting
+        assert words.encode(texts) == [struct.pack(f"<{len(i)}I", *i) for i in map(whole, texts)]
+        words.encode([" ".join(f"w{i}" for i in range(50))])
+
+
 @pytest.mark.parametrize("length", [1, 7, 2048])
 def test_packing_round_trip(spark, length):
     rows = ROWS + [(100 + i, f"word{i} " * (i % 9)) for i in range(50)]

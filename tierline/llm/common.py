@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from tierline.session import scratch_path
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: A word: a run of anything else (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Code points of text that a task works on at a time.
+SLICE_CHARS = 1 << 21
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -39,3 +46,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[pa.Array]:
+    """The texts in runs of at most ``chars`` code points, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64))
+    low = 0
+    while low < len(texts):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + chars, side="right")))
+        yield texts.slice(low, high - low)
+        low = high

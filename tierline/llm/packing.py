@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.llm.common import stored
-from tierline.llm.tokens import encoder, vocabulary
+from tierline.llm.common import slices, stored
+from tierline.llm.tokens import ENCODED_CHARS, encoder, vocabulary
 
 #: Tokens of a sequence, id after every document, vocabulary file.
 SEQUENCE_TOKENS = 2048
@@ -44,9 +44,10 @@ def encoded(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, at, task = encoder(vocabulary_path), array("I", [end_id]).tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):  # few texts and ids at a time
-                part = batch.slice(low, 256)
-                ids = [x + end for x in words.encode([t or "" for t in part.column(1).to_pylist()])]
+            low = 0
+            for texts in slices(batch.column(1), ENCODED_CHARS):  # some texts and ids at a time
+                part, low = batch.slice(low, len(texts)), low + len(texts)
+                ids = [x + end for x in words.encode([t or "" for t in texts.to_pylist()])]
                 sizes = [len(x) // 4 for x in ids]
                 starts = []
                 for size in sizes:

@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.llm.common import text_or_empty
+from tierline.llm.common import slices, text_or_empty
 
 WORD_DIMS, CLASS_DIMS = 1 << 18, 1 << 16
 #: Class n-grams are told apart by reaching 1, 1/2, ... 1/2^LEVELS of a document.
@@ -52,8 +52,6 @@ WORD_RUN, CLASS_RUN = 2, 3
 MIN_DOCS, SMOOTHING, PENALTY = 5, 1.0, 1.0
 #: One in this many sampled documents calibrates.
 CALIBRATE_EVERY = 5
-#: Code points of text whose n-grams are held at a time.
-SLICE_CHARS = 1 << 21
 
 _SIGNS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 _CAPITALS, _SMALL, _DIGITS = regex.compile(r"[\p{Lu}\p{Lt}]+"), regex.compile(r"[\p{L}\p{M}--[\p{Lu}\p{Lt}]]+", regex.V1), regex.compile(r"\p{N}+")
@@ -156,17 +154,6 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pairs // dims, pairs % dims
 
 
-def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[pa.Array]:
-    """The texts in runs of at most ``chars`` code points, or one longer text."""
-    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64))
-    low = 0
-    while low < len(texts):
-        before = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, before + chars, side="right")))
-        yield texts.slice(low, high - low)
-        low = high
-
-
 def _string(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string())
 

@@ -3,8 +3,12 @@
 The two BPE vocabularies used here cut a text at every single space or line break
 between two other characters before they look anything up, so the ids of a text are the ids
 of its words one after the other.  A worker therefore keeps the ids of words it
-has met (bounded) and asks the library only for new ones.  Each loaded file is
-probed: where word by word and whole text differ, whole texts are encoded.
+has met (bounded) and asks the library only for new ones.  Texts are cut and their words
+numbered a batch at a time in Arrow, so Python looks at each different word of a batch
+once, and the ids are put together by one gather.  Texts that need more care (double
+white space, a space at either end) are cut one by one.  Each loaded file is
+probed: where word by word and whole text differ, whole texts are encoded; so are texts
+that hold the string of a special token, which the library turns into that token.
 """
 
 from __future__ import annotations
@@ -16,11 +20,15 @@ import types
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 import tokenizers.pre_tokenizers
 
 #: Words whose ids a worker keeps unless told otherwise; beyond that it starts afresh.
 KEPT_WORDS = 800_000
+#: Code points encoded at a time: the more, the fewer words are looked up again.
+ENCODED_CHARS = 1 << 22
 #: A cut is safe before a single space that has other characters on both sides.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE_SPACE = re.compile(r"\s\s")
@@ -39,9 +47,10 @@ class WordEncoder:
     def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         self.kept_words = kept_words
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.heads: dict[str, bytes] = {}  # first words, as they stand
-        self.words: dict[str, bytes] = {}  # words after a space
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # normalised ones are found in the normalised text, so in whatever case they stand
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        self._forget()
         bar = self._encode([_BAR])[0]
         self.bar = int.from_bytes(bar, "little") if len(bar) == 4 else None
         self.pieces = tokenizers.Tokenizer(self.tokenizer.model)  # the model alone, for words cut already
@@ -52,8 +61,22 @@ class WordEncoder:
         whole = self._encode([_PROBE])[0]
         self.by_word = True
         self.by_word = self.encode([_PROBE])[0] == whole
-        self.heads.clear()
-        self.words.clear()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.heads: dict[str, int] = {"": 0}  # numbers of first words and ends of words, as they stand
+        self.words: dict[str, int] = {}  # numbers of words after a space, cut from their signs
+        # the ids by number: all in one array, where each starts and its length
+        self.pool, self.first, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _keep(self, ids: list[bytes]) -> range:
+        """Numbers for new ids."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        numbers = range(self.size.size, self.size.size + len(ids))
+        self.first = np.concatenate([self.first, self.pool.size + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        return numbers
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,68 +125,115 @@ class WordEncoder:
     def _ids(tokenizer: tokenizers.Tokenizer, text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn_heads(self, words: set[str]) -> None:
-        new = list(words.difference(self.heads))
-        self.heads.update(zip(new, self._encode(new)))
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of new words after a space.  Letters and the ASCII signs and
-        digits after them are cut apart by both vocabularies, unless the last
-        letter is normalised to more than a letter, so such a word is the ids of
-        the two."""
-        ascii_lower, plain, signed, tails, other = set(), set(), [], set(), []
-        for word in words:
-            core = word.rstrip(_SIGNS)
-            if core.isalpha() and (len(core) == len(word) or self._cuts_after(core[-1])):
-                if core not in self.words:
-                    (ascii_lower if core.isascii() and core.islower() else plain).add(core)
-                if len(core) < len(word):
-                    signed.append((word, core))
-                    tails.add(word[len(core) :])
-            else:
-                other.append(word)
-        lower, mark = list(ascii_lower), self.mark
-        self.words.update(zip(lower, self._encode_plain(lower)))
-        plain, self.mark = list(plain), None
-        self.words.update(zip(plain, self._encode_plain(plain)))
-        self.mark = mark
-        self.words.update(zip(other, self._encode([" " + w for w in other])))
-        self._learn_heads(tails)
-        for word, core in signed:
-            self.words[word] = self.words[core] + self.heads[word[len(core) :]]
+    def _heads(self, words: pa.Array) -> np.ndarray:
+        """Numbers of different first words or ends of words."""
+        names = words.to_pylist()
+        new = [w for w in names if w not in self.heads]
+        self.heads.update(zip(new, self._keep(self._encode(new))))
+        return np.fromiter(map(self.heads.__getitem__, names), np.int64, len(names))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers for each of different words after a space.  Letters and
+        the ASCII signs and digits after them are cut apart by both vocabularies,
+        unless the last letter is normalised to more than a letter, so such a
+        word is the ids of the two; any other is one piece."""
+        core = pc.utf8_rtrim(words, characters=_SIGNS)
+        last = pc.utf8_slice_codeunits(core, -1).dictionary_encode()
+        cuts = np.array([self._cuts_after(c) if c else False for c in last.dictionary.to_pylist()], bool)[last.indices.to_numpy()]
+        whole = pc.equal(core, words).to_numpy(zero_copy_only=False)
+        plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False) & (cuts | whole)
+        key = pc.if_else(pa.array(plain), core, words).dictionary_encode()
+        names = key.dictionary.to_pylist()
+        numbers = [self.words.get(w, 0) for w in names]
+        new = [w for w, n in zip(names, numbers) if not n]
+        if new:
+            lower = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
+            letters = [w for w in new if w.isalpha() and not (w.isascii() and w.islower())]
+            other = [" " + w for w in new if not w.isalpha()]
+            mark = self.mark
+            for some, way in ((lower, mark), (letters, None)):
+                self.mark = way
+                self.words.update(zip(some, self._keep(self._encode_plain(some))))
+            self.mark = mark
+            self.words.update(zip((w[1:] for w in other), self._keep(self._encode(other))))
+            numbers = [n or self.words[w] for w, n in zip(names, numbers)]
+        numbers = np.array(numbers, np.int64)
+        ends = np.zeros(len(words), np.int64)
+        signed = np.flatnonzero(plain & ~whole)
+        if signed.size:
+            at = pa.array(signed)
+            tails = pa.array([w[n:] for w, n in zip(words.take(at).to_pylist(), pc.utf8_length(core.take(at)).to_pylist())], pa.large_string())
+            tails = tails.dictionary_encode()
+            ends[signed] = self._heads(tails.dictionary)[tails.indices.to_numpy()]
+        return numbers[key.indices.to_numpy()], ends
+
+    def _join(self, pieces: pa.Array, head: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """The ids of texts from their pieces, the first words marked."""
+        encoded = pieces.dictionary_encode()
+        vocabulary, at = encoded.dictionary, encoded.indices.to_numpy()
+        number = np.zeros((at.size, 2), np.int64)  # of a word and of its end; 0 for none
+        for where, learn in ((head, lambda words: (self._heads(words), 0)), (~head, self._words)):
+            own = at[where]
+            if own.size:
+                present = np.flatnonzero(np.bincount(own))
+                numbers = np.zeros((len(vocabulary), 2), np.int64)
+                numbers[present, 0], numbers[present, 1] = learn(vocabulary.take(pa.array(present)))
+                number[where] = numbers[own]
+        number = number.ravel()
+        sizes = self.size[number]
+        ends = np.append(0, np.cumsum(sizes))
+        data = self.pool[np.repeat(self.first[number] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        edges = (4 * ends[2 * starts]).tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encode(texts)
-        if len(self.words) + len(self.heads) > self.kept_words:
-            self.words.clear()
-            self.heads.clear()
-        get, cut, heads, new = self.words.get, [], {"\n"}, set()
+        if self.size.size > self.kept_words:
+            self._forget()
+        whole, plain, careful = [], [], []
+        for i, text in enumerate(texts):
+            if self.special is not None and self.special.search(text):
+                whole.append(i)
+            elif text[:1] == " " or text[-1:] == " " or _DOUBLE_SPACE.search(text):
+                careful.append(i)
+            else:
+                plain.append(i)
+        out: list[bytes] = [b""] * len(texts)
+        for places, way in ((whole, self._encode), (plain, self._encode_batch), (careful, self._encode_each)):
+            for i, ids in zip(places, way([texts[i] for i in places]) if places else []):
+                out[i] = ids
+        return out
+
+    def _encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Texts whose spaces and line breaks all stand alone: a line break is
+        a piece of its own, and the word after it a first word."""
+        cut = pc.split_pattern(pa.array([t.replace("\n", " \n ") for t in texts], pa.large_string()), " ")
+        pieces, starts = cut.values, cut.offsets.to_numpy()
+        head = np.zeros(len(pieces), bool)
+        head[starts[:-1]] = True
+        breaks = np.flatnonzero(pc.equal(pieces, "\n").to_numpy(zero_copy_only=False))
+        head[breaks] = True
+        head[breaks + 1] = True
+        return self._join(pieces, head, starts)
+
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        pieces, head, starts = [], [], [0]
         for text in texts:
             # a line break between other characters is a piece of its own, so lines are encoded one by one
             lines = [_SAFE_CUT.split(text)] if _DOUBLE_SPACE.search(text) else [x.split(" ") for x in text.split("\n")]
-            done = []
-            for words in lines:
+            for number, words in enumerate(lines):
                 if not words[-1] and len(words) > 1:  # a last space has no word after it
                     words[-2:] = [words[-2] + " "]
                 if not words[0] and len(words) > 1:
                     words[:2] = [" " + words[1]]
-                start = words.pop(0)
-                heads.add(start)
-                found = list(map(get, words))
-                missing = [i for i, ids in enumerate(found) if ids is None] if None in found else []
-                new.update([words[i] for i in missing])
-                done.append((start, found, [(i, words[i]) for i in missing]))
-            cut.append(done)
-        self._learn_heads(heads)
-        self._learn(new)
-        line_end, out = self.heads["\n"], []
-        for done in cut:
-            for _, found, missing in done:
-                for i, word in missing:
-                    found[i] = self.words[word]
-            out.append(line_end.join([self.heads[start] + b"".join(found) for start, found, _ in done]))
-        return out
+                if number:
+                    pieces.append("\n")
+                    head.append(True)
+                pieces += words
+                head += [True] + [False] * (len(words) - 1)
+            starts.append(len(pieces))
+        return self._join(pa.array(pieces, pa.large_string()), np.array(head, bool), np.array(starts))
 
 
 def encoder(path: str, kept_words: int = KEPT_WORDS) -> WordEncoder:

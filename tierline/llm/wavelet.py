@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierline.llm.tokens import encoder, vocabulary
+from tierline.llm.common import slices
+from tierline.llm.tokens import ENCODED_CHARS, encoder, vocabulary
 
 #: Vocabulary file and the id after every document.
 VOCABULARY = "byte_bpe_50k.json"
@@ -197,9 +198,10 @@ def segments(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                for doc, data in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()])):
+            low = 0
+            for texts in slices(batch.column(1), ENCODED_CHARS):
+                part, low = batch.slice(low, len(texts)), low + len(texts)
+                for doc, data in zip(part.column(0).to_pylist(), words.encode([t or "" for t in texts.to_pylist()])):
                     ids.append(data + end)
                     docs_held.append(doc)
                     held += len(ids[-1]) // 4
