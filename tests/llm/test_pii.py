@@ -59,3 +59,18 @@ def test_empty_table_and_null_ids(spark):
     assert pii.personal_data(frame(spark, [])).count() == 0
     got = pii.personal_data(frame(spark, [(None, "x a@b.c"), (None, "y")])).collect()
     assert sorted(len(r.spans) for r in got) == [0, 1]
+
+
+def test_rows_of_one_id_keep_their_own_spans(spark):
+    call = "please call me at 555-0199123 soon"
+    seeds = [(i, f"call me at +1 (4{i:02d}) 555-21{i:02d} and so on") for i in range(40)]
+    for i in (None, 777):
+        got = pii.personal_data(frame(spark, seeds + [(i, call), (i, "nothing"), (i, call + " or later"), (i, None)]))
+        said = sorted(r.said for r in got.where("doc_id IS NULL" if i is None else f"doc_id = {i}").select(pii.spans_text("spans").alias("said")).collect())
+        assert said == ["", "", "phone:18:29", "phone:18:29"]
+
+
+def test_filter_bits_are_the_same_in_spark(spark):
+    words = ["at", "call me", "é :", "你好", "x" * 100]
+    got = spark.createDataFrame([(w,) for w in words], "pattern string").select(pii._bit("pattern").alias("b")).collect()
+    assert [r.b for r in got] == [pii.bit_of(w) for w in words]

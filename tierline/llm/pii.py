@@ -18,8 +18,10 @@ different seeds are added; base entities always stay.
 
 Contract for unusual input: a null or empty text has no entities, texts are read
 whole whatever their length, repeated rows have the same entities (a pattern's
-support counts different seeds, so copies do not add to it), an empty table gives
-an empty result, and columns other than id and text are ignored.
+support counts different seeds, so copies do not add to it), rows keep their own spans
+when ids are null or repeat with different texts (rows are told apart by a number of
+their own), an empty table gives an empty result, and columns other than id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +153,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     entities and candidates with their patterns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 33
         for batch in batches:
             spans, mentions = [], []
             for text in batch.column(1).to_pylist():
@@ -160,7 +164,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 mentions.append(
                     [{"seed": s, "kind": k, "start": a, "end": b, "instance": instance(k, text[a:b]), "patterns": contexts(text, a)} for s, k, a, b in both]
                 )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span_type), pa.array(mentions, mention_type)], ["id", "spans", "mentions"])
+            rows = pa.array(range(at, at + batch.num_rows), pa.int64())
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(spans, span_type), pa.array(mentions, mention_type)], ["row", "id", "spans", "mentions"])
 
     span = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]
     span_type = pa.list_(pa.struct(span))
@@ -169,13 +175,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
         run,
-        f"id {kind}, spans array<struct<kind:int,start:bigint,end:bigint>>, "
+        f"row long, id {kind}, spans array<struct<kind:int,start:bigint,end:bigint>>, "
         "mentions array<struct<seed:boolean,kind:int,start:bigint,end:bigint,instance:string,patterns:array<string>>>",
     )
 
 
 def bit_of(pattern: str) -> int:
-    return xxhash.xxh32_intdigest(pattern.encode("utf-8", "replace")) % FILTER_BITS
+    """What ``_bit`` gives in Spark."""
+    return xxhash.xxh64_intdigest(pattern.encode("utf-8", "replace"), 42) % FILTER_BITS
+
+
+def _bit(pattern: str) -> F.Column:
+    return F.xxhash64(pattern).bitwiseAND(F.lit(FILTER_BITS - 1))
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
@@ -184,13 +195,14 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
     Tasks get a bitmap of fixed size that says which patterns can matter and
     count those (one row per pattern and few texts); the join drops the few that
     only share a bit."""
-    marked = np.zeros(FILTER_BITS, bool)
-    bits = F.udf(bit_of, "int")(F.col("pattern"))
-    marked[[r.bit for r in patterns.select(bits.alias("bit")).distinct().collect()]] = True  # FILTER_BITS rows at most
-    bitmap = np.packbits(marked)
+    at = (_bit("pattern") + 1).alias("at")  # positions count from 1
+    blocks = patterns.select(at).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in blocks.collect():  # FILTER_BITS / 8 bytes in all
+        bitmap[(r.block - 1) * len(r.bits) :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)[: bitmap.size]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(bitmap).astype(bool)
+        wanted = np.unpackbits(bitmap, bitorder="little").astype(bool)
         for batch in batches:
             for low in range(0, batch.num_rows, 128):  # counters of few texts at a time
                 single, double = Counter(), Counter()
@@ -207,9 +219,9 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
 
 
 def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(id, kind, start, end, score) of the identifiers that reliable patterns
+    """(row, kind, start, end, score) of the identifiers that reliable patterns
     discover.  ``found`` is the stored result of ``scan``."""
-    mentions = found.select("id", F.explode("mentions").alias("m")).select("id", "m.*")
+    mentions = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     edges = stored(mentions.select("seed", "kind", "instance", F.explode("patterns").alias("pattern")), "pii-edges")
     # what a pattern precedes: copies of a mention count once per instance in the support, each time in the confidence
     support = (
@@ -240,20 +252,20 @@ def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
         )
     accepted = scores.where(F.col("score") >= ACCEPT)
     # a span that could be two kinds is the likelier one
-    spans = mentions.where("NOT seed").join(accepted, ["kind", "instance"]).groupBy("id", "start", "end").agg(
+    spans = mentions.where("NOT seed").join(accepted, ["kind", "instance"]).groupBy("row", "start", "end").agg(
         F.max(F.struct("score", (-F.col("kind")).alias("kind"))).alias("best")
     )
-    return spans.select("id", (-F.col("best.kind")).alias("kind"), "start", "end", F.col("best.score").alias("score"))
+    return spans.select("row", (-F.col("best.kind")).alias("kind"), "start", "end", F.col("best.score").alias("score"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, base (array of kind, start, end) and spans
     (base and discovered ones), both by kind as in ``KINDS``, then start."""
     found = stored(scan(docs, id_col, text_col), "pii-scan")
-    more = discovered(docs, found, text_col).select("id", F.struct("kind", "start", "end").alias("span")).distinct()
-    more = more.groupBy(F.col("id").alias("_id")).agg(F.collect_list("span").alias("more"))
+    more = discovered(docs, found, text_col).select("row", F.struct("kind", "start", "end").alias("span")).distinct()
+    more = more.groupBy("row").agg(F.collect_list("span").alias("more"))
     nothing = F.lit(None).cast("array<struct<kind:int,start:bigint,end:bigint>>")
-    joined = found.join(more, F.col("id").eqNullSafe(F.col("_id")), "left")
+    joined = found.join(more, "row", "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.col("spans").alias("base"),
