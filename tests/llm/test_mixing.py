@@ -80,6 +80,28 @@ def test_repeated_rows_and_reruns(spark):
     assert mixing.mixed(docs(spark, rows)).count() >= 3
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(None, "a b c d e", "s")] * 100 + [(i, "w " * 7, "t") for i in range(40)],
+        [(1, "w " * 9, "big")] * 7 + [(i, "w " * 20, "huge") for i in range(2, 90)],
+        [(5, f"w{i} v", "a") for i in range(30)] + [(5, "one two three", "b")] * 4,
+    ],
+)
+def test_mixed_words_add_up_to_what_is_taken(spark, rows):
+    table = docs(spark, rows)
+    taken = mixing.mix(table).agg(F.sum("taken")).first()[0]
+    words = sum(len(r.text.split()) for r in mixing.mixed(table).select("text").collect())
+    assert words == taken
+
+
+def test_mixed_keeps_odd_columns(spark):
+    table = docs(spark, [(1, "a b", "s"), (2, "c", "t")]).withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = mixing.mixed(table)
+    assert got.columns == table.columns
+    assert got.select("`a.b`", "m").collect()
+
+
 def test_empty_table_and_no_words(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(docs(spark, [(1, "", "s"), (2, None, None)])).collect()] == [0, 0]

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.llm.common import WORD, stored, text_or_empty
+from tierline.llm.common import WORD, fresh, stored, text_or_empty
 
 #: Weights given to the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -70,13 +70,15 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: str = "mix",
+    carry: str | None = None,
 ) -> DataFrame:
     """One row per document: id, size, source, source_size, target, and
     ``taken``, the words the mix takes of it (its size times the number of
-    times it is within the budget)."""
+    times it is within the budget); also the column ``carry`` of ``docs``."""
     words = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), order.alias("pos"))
+    carried = [F.col(f"`{carry}`").alias("carried")] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), order.alias("pos"), *carried)
     bucket = F.shiftright(F.conv(F.substring("pos", 1, 4), 16, 10).cast("int"), 16 - QUEUE_BUCKETS.bit_length() + 1)
     # one pass over the texts; what follows reads ids and counts only
     rows = stored(rows.withColumn("bucket", bucket), "mix-sizes")
@@ -139,25 +141,18 @@ def mix(
         for turn in range(max_epochs)
     )
     return queued.join(F.broadcast(cut)).select(
-        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.cast("long").alias("taken")
+        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.cast("long").alias("taken"), *([F.col("carried").alias(carry)] if carry else [])
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **mix_options) -> DataFrame:
     """The documents of the mix with all their columns, one row per time a
-    document is taken.  Rows that repeat an id and a size share what the mix
-    takes of them, which is the same set whichever of them is meant."""
-    size = F.regexp_count(text_or_empty(mix_options.get("text_col", "text")), F.lit(WORD)).cast("long")
-    source = F.col(mix_options.get("source_col", "source")).cast("string")
-    times = (
-        mix(docs, id_col, **mix_options)
-        .where("taken > 0")
-        .groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col(mix_options.get("source_col", "source")).alias("_source"))
-        .agg((F.sum("taken") / F.first("size") / F.count(F.lit(1))).cast("int").alias("_times"))
-    )
-    rows = docs.select(
-        F.col(id_col).alias("id"), size.alias("n_words"), source.alias("queue"), F.struct(*docs.columns).alias("row")
-    )
-    same = rows["id"].eqNullSafe(times["_id"]) & (rows["n_words"] == times["_size"]) & rows["queue"].eqNullSafe(times["_source"])
-    turn = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return rows.join(times, same).where("_times > 0").select("row", turn.alias("turn")).select("row.*")
+    document is taken.  Rows are numbered first, so each comes back as often as
+    the mix takes that row, whether or not others have its id, size or text."""
+    number = fresh(docs, "row_number")
+    keyed = stored(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(keyed, id_col, carry=number, **mix_options).where("taken > 0")
+    times = taken.select(F.col(number).alias("_number"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    rows = keyed.alias("d").join(times.alias("t"), F.col(f"d.`{number}`") == F.col("t._number"))
+    turn = F.explode(F.sequence(F.lit(1), F.col("t._times"))).alias("_turn")
+    return rows.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), turn).select("row.*")
