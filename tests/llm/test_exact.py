@@ -67,3 +67,10 @@ def test_empty_table(spark):
     empty = docs(spark, [])
     assert exact.exact_dedup(empty).count() == 0
     assert exact.survivors(empty).count() == 0
+
+
+def test_survivors_keep_odd_columns(spark):
+    table = docs(spark, ROWS).selectExpr("*", "1 AS `a.b`", "map('k', doc_id) AS m", "array(map(1, 2)) AS n")
+    got = exact.survivors(table)
+    assert got.columns == table.columns
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 7, 10, 11]

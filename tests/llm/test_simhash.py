@@ -145,3 +145,9 @@ def test_components(spark, shape):
     frame = spark.createDataFrame([(a, b) for a, b in links] + [(100, 101), (100, 100)], "a long, b long")
     got = {r.node: r.component for r in components(frame).collect()}
     assert got == {**{i: 0 for i in {x for link in links for x in link}}, 100: 100, 101: 100}
+
+
+def test_survivors_keep_odd_columns(spark):
+    table = spark.range(5).selectExpr("id AS doc_id", "concat('one two three four ', id % 2) AS text", "1 AS `a.b`", "map('k', id) AS m")
+    got = simhash.survivors(table)
+    assert got.columns == table.columns and 1 <= got.count() <= 2

@@ -134,11 +134,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts
     the row with the smallest id and, where that id repeats with its text, the
-    least of those rows by its columns in order."""
+    least of those rows by its columns in order (columns that hold a map have no
+    order and do not count)."""
     digest = F.sha2(normalised(text_col), 256)
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_kept_digest"))
+    named = {f.name: F.col(f"`{f.name}`") for f in docs.schema.fields}
+    order = F.struct(*[named[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     rows = docs.groupBy(F.col(id_col).alias("_id"), digest.alias("_digest")).agg(
-        F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row")
+        F.min_by(F.struct(*named.values()), order).alias("row")
     )
     same = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_kept_digest"))
     return rows.join(kept, same, "left_semi").select("row.*")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.llm.common import slices, stored
-from tierline.llm.tokens import ENCODED_CHARS, encoder, vocabulary
+from tierline.llm.tokens import encoder, vocabulary
 
 #: Tokens of a sequence, id after every document, vocabulary file.
 SEQUENCE_TOKENS = 2048
@@ -45,7 +45,7 @@ def encoded(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "d
         words, end, at, task = encoder(vocabulary_path), array("I", [end_id]).tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
             low = 0
-            for texts in slices(batch.column(1), ENCODED_CHARS):  # some texts and ids at a time
+            for texts in slices(batch.column(1)):  # some texts and ids at a time
                 part, low = batch.slice(low, len(texts)), low + len(texts)
                 ids = [x + end for x in words.encode([t or "" for t in texts.to_pylist()])]
                 sizes = [len(x) // 4 for x in ids]

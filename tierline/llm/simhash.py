@@ -240,7 +240,7 @@ def survivors(
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2").alias("rank")
     first = rows.select("fp", rank).groupBy("fp").agg(F.min("rank").alias("rank"))
     kept = first.join(found, "fp").groupBy("component").agg(F.min("rank").alias("rank")).select("rank.k1", "rank.k2")
-    keyed = docs.select(*row_keys(id_col, text_col), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(*row_keys(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # rows of equal id and text have equal keys: one of them stays
     same = Window.partitionBy("k1", "k2").orderBy("k1")
     whole = keyed.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(same))

@@ -27,8 +27,6 @@ import tokenizers.pre_tokenizers
 
 #: Words whose ids a worker keeps unless told otherwise; beyond that it starts afresh.
 KEPT_WORDS = 800_000
-#: Code points encoded at a time: the more, the fewer words are looked up again.
-ENCODED_CHARS = 1 << 22
 #: A cut is safe before a single space that has other characters on both sides.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE_SPACE = re.compile(r"\s\s")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierline.llm.common import slices
-from tierline.llm.tokens import ENCODED_CHARS, encoder, vocabulary
+from tierline.llm.tokens import encoder, vocabulary
 
 #: Vocabulary file and the id after every document.
 VOCABULARY = "byte_bpe_50k.json"
@@ -199,7 +199,7 @@ def segments(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "
         for batch in batches:
             id_type = batch.schema.field(0).type
             low = 0
-            for texts in slices(batch.column(1), ENCODED_CHARS):
+            for texts in slices(batch.column(1)):
                 part, low = batch.slice(low, len(texts)), low + len(texts)
                 for doc, data in zip(part.column(0).to_pylist(), words.encode([t or "" for t in texts.to_pylist()])):
                     ids.append(data + end)
