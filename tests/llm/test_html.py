@@ -118,3 +118,62 @@ def test_extract_keeps_columns(spark):
     assert got.columns == ["page_id", "url", "raw_html", "text", "n_chars"]
     assert sorted((r.text, r.n_chars) for r in got.collect()) == [("", 0), ("x", 1), ("x", 1)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["research-notice", "share-price", "search-results", "widget"])
+def test_no_article_is_lost_to_a_word_of_its_wrapper(name):
+    for inner in ("<article>{}</article>", "{}", "<div>{}</div>"):
+        page = f"<body><nav>Home</nav><div class='{name}'>{inner}</div><div class='share-box'>Tell a friend.</div></body>"
+        assert html.main_text(page.replace("{}", PARAGRAPHS)) == TEXT
+
+
+def test_long_landmarks_beside_content_stay_out():
+    long = "<p>We use cookies, all of us, and so on and on.</p>" * 9
+    for word in ("cookie-notice", "advert", "sidebar"):
+        assert html.main_text(f"<body><div class='{word}'>{long}</div><article>{PARAGRAPHS}</article></body>") == TEXT
+        assert html.main_text(f"<body><div class='{word}'>{long}</div><div class='post'>{PARAGRAPHS}</div></body>") == TEXT
+    assert html.main_text(f"<body><div>{PARAGRAPHS}</div><div class='comments'>{long * 9}</div></body>") == TEXT
+
+
+@pytest.mark.parametrize(
+    "advert",
+    ["<span class='advert'>Buy, now!</span>", "<ins class='adsbygoogle'>Buy <ins>more</ins>, now!</ins>", "<span hidden>Not <b>seen</b></span>", "<a class='sponsored-link' href='/x'>Buy</a>"],
+)
+def test_inline_adverts_and_hidden_text(advert):
+    page = f"<article><p>First paragraph, {advert}with some words in it; and more.</p><p>Second one, also long enough, I say. Yes!</p></article>"
+    assert html.main_text(page) == TEXT
+    assert html.main_text(page.replace("</span>", "").replace("</ins>", "").replace("</a>", "")).endswith("Second one, also long enough, I say. Yes!")
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<center>x", "<li>x", "<p>x", "<section>x</p>", "<font>x</b>", "<div class='post'>x", "<td>x", "<b class=ad>x"])
+def test_time_grows_with_the_page_however_deep_it_nests(piece):
+    import time
+
+    start = time.perf_counter()
+    found = html.main_text(piece * 20_000)
+    assert time.perf_counter() - start < 3
+    assert found.count("x") in (20_000, 0) or piece.startswith("<b")
+
+
+def test_paths_as_tuples():
+    """Path numbers against tuples of labels on a page of every kind of nesting."""
+    paths, found = html.blocks("<body><div class=a><p>1<p>2<ul><li>3<li>4<ul><li>5</ul></ul></div><div class=a><p>6</div>7<table><tr><td>8<td>9</table>")
+
+    def labels(path):
+        return (*labels(paths.parent[path]), paths.label[path]) if path else ()
+
+    assert [(labels(b.path), b.text) for b in found] == [
+        (("body", "div.a", "p"), "1"),
+        (("body", "div.a", "p"), "2"),
+        (("body", "div.a", "ul", "li"), "3"),
+        (("body", "div.a", "ul", "li"), "4"),
+        (("body", "div.a", "ul", "li", "ul", "li"), "5"),
+        (("body", "div.a", "p"), "6"),
+        (("body",), "7"),
+        (("body", "table", "td"), "8"),
+        (("body", "table", "td"), "9"),
+    ]
+    assert all(p < i for i, p in enumerate(paths.parent) if i)
+    top = next(b.path for b in found if b.text == "1")
+    assert [labels(i)[:3] == labels(top) for i in range(len(paths.parent))] == paths.below({top})
+    assert paths.above({top}) == {i for i in range(len(paths.parent)) if labels(top)[: len(labels(i))] == labels(i)}

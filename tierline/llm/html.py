@@ -14,12 +14,15 @@ headers, footers, sidebars, forms, scripts and styles by element, notices, adver
 and reader comments by the names in their class or id.  A name that states
 something (``has-sidebar``, ``comments-open``) names no landmark, and neither does
 the class or id of ``article``, ``main`` and elements that carry a content name
-(``post``, ``content``) as well: there the ratios decide.
+(``post``, ``content``) as well: there the ratios decide.  They also decide about an
+element with most of the page's text that only a word of its names calls a landmark.
+Inline elements are left out where they are hidden or named adverts.
 
 Contract for unusual input: a null or empty page, and one without text, gives the
 empty text; unclosed, crossed and stray tags are read as browsers do in the
 common cases; a page of any length is read whole; an empty table gives an empty
-result; repeated rows give repeated results; other columns are ignored.
+result; repeated rows give repeated results; other columns are ignored.  Time and memory
+grow in proportion to the page, however deep its elements are nested: paths are numbers.
 """
 
 from __future__ import annotations
@@ -65,6 +68,9 @@ BOILERPLATE_WORDS = {
     "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar",
     "topbar", "widget",
 }
+#: Of these, what readers write, however much of the page it is; and what an inline element is dropped for.
+READER_WORDS = {"comment", "commentlist", "comments", "discussion", "disqus", "replies", "respond"}
+INLINE_WORDS = {"ad", "ads", "adsbygoogle", "adsense", "advert", "advertisement", "adverts", "promo", "sponsor", "sponsored"}
 CONTENT_WORDS = {"article", "content", "entry", "main", "post", "story"}
 #: Words of names that state something about an element instead of naming it.
 STATE_WORDS = {"closed", "disabled", "enabled", "has", "hide", "no", "open", "show", "with", "without"}
@@ -86,24 +92,67 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 
 
+@dataclass
+class Paths:
+    """Tag paths as numbers: each is a parent's number and a label, parents
+    have smaller numbers than their children, 0 is the empty path."""
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    label: list[str] = field(default_factory=lambda: [""])
+    known: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def child(self, parent: int, label: str) -> int:
+        found = self.known.setdefault((parent, label), len(self.parent))
+        if found == len(self.parent):
+            self.parent.append(parent)
+            self.label.append(label)
+        return found
+
+    def name(self, path: int) -> str:
+        """The element's name."""
+        return self.label[path].split(".")[0]
+
+    def below(self, tops: set[int]) -> list[bool]:
+        """Whether each path is one of ``tops`` or below one."""
+        inside: list[bool] = []
+        for path, parent in enumerate(self.parent):
+            inside.append(path in tops or (path > 0 and inside[parent]))
+        return inside
+
+    def above(self, bottoms: set[int]) -> set[int]:
+        """These paths and all above them."""
+        found = {0}
+        for path in bottoms:
+            while path not in found:
+                found.add(path)
+                path = self.parent[path]
+        return found
+
+
 @dataclass
 class Block:
-    """Text between two block boundaries and where it stands."""
+    """Text between two block boundaries and where it stands.  ``doubt`` is
+    the number of the element around it that only its class or id would drop."""
 
-    path: tuple[str, ...]
+    path: int
     text: str
     linked: int
-    in_content: tuple[str, ...]
+    in_content: int
+    doubt: int
 
 
 @dataclass
 class Open:
-    """An open block element: its label in paths, and whether its text counts."""
+    """An open block element: its path, whether its text counts, and what its
+    ancestors and itself say: the innermost content element, the outermost one
+    that a name calls content (paths, 0 for none), the doubt."""
 
     name: str
-    label: str
+    path: int
     dropped: bool
-    content: bool = field(default=False)
+    element: int
+    named: int
+    doubt: int
 
 
 def attributes(attrs: str) -> dict[str, str]:
@@ -138,21 +187,34 @@ def is_content(name: str, attrs: str) -> bool:
     return name not in ("html", "body") and bool(attrs.strip()) and any(map(is_content_name, names(attributes(attrs))))
 
 
-def is_boilerplate(name: str, attrs: str, in_content: bool) -> bool:
-    """Whether an element and all in it is never main text."""
+def is_boilerplate(name: str, attrs: str, in_content: bool) -> str:
+    """Whether an element and all in it is never main text: "surely", "perhaps"
+    where only the words of its names say so, or "" if not."""
     if name in DROPPED or (name == "header" and not in_content):
-        return True
+        return "surely"
     if not attrs.strip():
-        return False
+        return ""
     found = attributes(attrs)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return "surely"
     if found.get("role", "").lower() in BOILERPLATE_ROLES:
-        return True
+        return "surely"
     if name in ("html", "body") or is_content(name, attrs):
-        return False
+        return ""
     words = {w for n in names(found) if not STATE_WORDS.intersection(n) for w in n}
-    return bool(words & BOILERPLATE_WORDS) or ("header" in words and not in_content)
+    if words & READER_WORDS:
+        return "surely"
+    return "perhaps" if words & BOILERPLATE_WORDS or ("header" in words and not in_content) else ""
+
+
+def is_inline_boilerplate(attrs: str) -> bool:
+    """Whether an inline element is hidden or an advert."""
+    if not attrs.strip():
+        return False
+    found = attributes(attrs)
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+        return True
+    return any(INLINE_WORDS.intersection(n) for n in names(found))
 
 
 def label_of(name: str, attrs: str) -> str:
@@ -161,28 +223,61 @@ def label_of(name: str, attrs: str) -> str:
     return f"{name}.{m.group(1)}" if m else name
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text outside landmarks, in page order."""
+class Stack:
+    """The open block elements, with the places of each name, so that no search
+    walks down the stack."""
+
+    def __init__(self) -> None:
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+
+    def push(self, element: Open) -> None:
+        self.places[element.name].append(len(self.open))
+        if element.name in SCOPES:
+            self.scopes.append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.open) > place:
+            name = self.open.pop().name
+            self.places[name].pop()
+            if name in SCOPES:
+                self.scopes.pop()
+
+    def last(self, *names: str, in_scope: bool) -> int:
+        """Place of the last open element of these names, -1 if none."""
+        place = max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        return -1 if in_scope and self.scopes and place < self.scopes[-1] else place
+
+
+def blocks(page: str) -> tuple[Paths, list[Block]]:
+    """The page's blocks of text outside landmarks, in page order, and the
+    paths they stand on.  Takes time in proportion to the page."""
     out: list[Block] = []
-    stack: list[Open] = []
+    paths, stack = Paths(), Stack()
     text: list[str] = []
-    linked, links_open = 0, 0
+    linked, links_open, doubts = 0, 0, 0
+    # an inline element that is dropped: its name, how many of it are open, and the place of its block
+    muted, muted_open, muted_at = "", 0, 0
+    outside = Open("", 0, False, 0, 0, 0)
+
+    def top() -> Open:
+        return stack.open[-1] if stack.open else outside
 
     def flush() -> None:
         nonlocal linked
         joined = _SPACE.sub(" ", html_std.unescape("".join(text))).strip()
         if joined:
-            path = tuple(e.label for e in stack)
             # the innermost content element; without one, the outermost element whose class or id says content
-            depth = max((i + 1 for i, e in enumerate(stack) if e.content and e.name in CONTENT_ELEMENTS), default=0)
-            depth = depth or min((i + 1 for i, e in enumerate(stack) if e.content), default=0)
-            out.append(Block(path, joined, min(linked, len(joined)), path[:depth]))
+            out.append(Block(top().path, joined, min(linked, len(joined)), top().element or top().named, top().doubt))
         text.clear()
         linked = 0
 
     def keep(piece: str) -> None:
         nonlocal linked
-        if piece and not (stack and stack[-1].dropped):
+        if piece and not muted and not top().dropped:
             text.append(piece)
             if links_open:
                 linked += len(piece)
@@ -203,18 +298,20 @@ def blocks(page: str) -> list[Block]:
             if name in INLINE:
                 if name == "a":
                     links_open = max(0, links_open - 1)
+                if name == muted:
+                    muted_open -= 1
+                    muted = muted if muted_open else ""
                 continue
             if name == "br":
                 keep(" ")
                 continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    flush()
-                    links_open = 0
-                    del stack[i:]
-                    break
-                if name == "p" and stack[i].name in SCOPES:
-                    break
+            place = stack.last(name, in_scope=name == "p")
+            if place >= 0:
+                flush()
+                links_open = 0
+                stack.cut(place)
+                if place < muted_at:
+                    muted = ""
             continue
         attrs = tag.group("attrs")
         if name in VOID:
@@ -225,40 +322,66 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in INLINE:
             links_open += name == "a"
+            if muted:
+                muted_open += name == muted
+            elif is_inline_boilerplate(attrs):
+                muted, muted_open, muted_at = name, 1, len(stack.open)
             continue
         flush()
         links_open = 0
         # what the start of this element closes
-        closes = CLOSED_BY.get(name, set())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].name == "p" or stack[i].name in closes:
-                del stack[i:]
-                break
-            if stack[i].name in SCOPES:
-                break
-        inside = any(e.content for e in stack)
-        dropped = bool(stack and stack[-1].dropped) or is_boilerplate(name, attrs, inside)
+        place = stack.last("p", *CLOSED_BY.get(name, ()), in_scope=True)
+        if place >= 0:
+            stack.cut(place)
+            if place < muted_at:
+                muted = ""
+        around = top()
+        judged = "surely" if around.dropped else is_boilerplate(name, attrs, bool(around.element or around.named))
         if not attrs.rstrip().endswith("/") or name not in ("svg", "path"):
-            stack.append(Open(name, label_of(name, attrs), dropped, not dropped and is_content(name, attrs)))
+            path, doubt = paths.child(around.path, label_of(name, attrs)), around.doubt
+            if judged == "perhaps":
+                if doubt:  # within another: that one's blocks may stay, this one's do not
+                    judged = "surely"
+                else:
+                    doubts += 1
+                    doubt = doubts
+            content = not judged and is_content(name, attrs)
+            element = path if content and name in CONTENT_ELEMENTS else around.element
+            stack.push(Open(name, path, judged == "surely", element, around.named or (path if content else 0), doubt))
         if name in RAW_TEXT:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
     flush()
-    return out
+    return paths, without_doubt(out)
+
+
+def without_doubt(found: list[Block]) -> list[Block]:
+    """The blocks outside elements that only a class or id word would drop.  An
+    element of several blocks, or with a content element, that has most of the
+    page's text is no landmark, whatever its name, unless there is a content
+    element elsewhere."""
+    size: dict[int, int] = defaultdict(int)
+    parts: dict[int, int] = defaultdict(int)
+    for b in found:
+        size[b.doubt] += len(b.text) - b.linked
+        parts[b.doubt] += 2 if b.in_content else 1
+    whole, elsewhere = sum(size.values()), any(b.in_content and not b.doubt for b in found)
+    return [b for b in found if not b.doubt or (2 * size[b.doubt] > whole and parts[b.doubt] > 1 and not elsewhere)]
 
 
-def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
+def path_scores(paths: Paths, found: list[Block]) -> dict[int, float]:
     """The fused score of every path."""
-    sums: dict[tuple[str, ...], np.ndarray] = defaultdict(lambda: np.zeros(3))
+    sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(3))
     for b in found:
         # text that is not link text, punctuation, blocks
         sums[b.path] += (len(b.text) - b.linked, len(_PUNCTUATION.findall(b.text)), 1)
-    family: dict[tuple[str, ...], np.ndarray] = defaultdict(lambda: np.zeros(3))
+    family: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(3))
     for path, s in sums.items():
-        family[path[:-1]] += s
+        family[paths.parent[path]] += s
     out = {}
     for path, s in sums.items():
-        own, near = s[:2] / s[2], family[path[:-1]][:2] / family[path[:-1]][2]
+        around = family[paths.parent[path]]
+        own, near = s[:2] / s[2], around[:2] / around[2]
         length, punctuation = (own + near) / 2
         out[path] = float(np.sqrt(length * (1 + punctuation)))
     return out
@@ -266,43 +389,51 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
-    found = blocks(page or "")
+    paths, found = blocks(page or "")
     if not found:
         return ""
-    scores = path_scores(found)
+    scores = path_scores(paths, found)
     spread = float(np.std(list(scores.values())))
     passing = {p for p, s in scores.items() if s >= spread}
     # the content node: the content element, else the parent, with most text of passing paths
-    weight: dict[tuple[tuple[str, ...], bool], int] = defaultdict(int)
+    weight: dict[tuple[int, bool], int] = defaultdict(int)
     for b in found:
         if b.path in passing:
-            key = (b.in_content, True) if b.in_content else (b.path[:-1], False)
+            key = (b.in_content, True) if b.in_content else (paths.parent[b.path], False)
             weight[key] += len(b.text) - b.linked
     if not weight:
         return " ".join(b.text for b in found)
     node, is_element = max(weight, key=lambda k: (weight[k], k))
     if not is_element:
         # a wrapper that holds nearly all of the text is the better node than one of its parts
-        total = sum(weight.values())
-        for depth in range(len(node) - 1, 0, -1):
-            if sum(w for (p, _), w in weight.items() if p[:depth] == node[:depth]) > 1.2 * weight[(node, is_element)] and weight[(node, is_element)] < 0.8 * total:
-                node = node[:depth]
+        total, own = sum(weight.values()), weight[(node, is_element)]
+        under = [0] * len(paths.parent)
+        for (path, _), w in weight.items():
+            under[path] += w
+        for path in range(len(under) - 1, 0, -1):  # children before parents
+            under[paths.parent[path]] += under[path]
+        wrapper = paths.parent[node]
+        while wrapper and own < 0.8 * total:
+            if under[wrapper] > 1.2 * own:
+                node = wrapper
                 break
-        if len(node) > 1 and node[-1] in ("div", "section", "td") and node[-2].split(".")[0] not in ("body", "html"):
-            node = node[:-1]  # a nameless wrapper around the paragraphs: its title and lists stand beside it
+            wrapper = paths.parent[wrapper]
+        parent = paths.parent[node]
+        if parent and paths.label[node] in ("div", "section", "td") and paths.name(parent) not in ("body", "html"):
+            node = parent  # a nameless wrapper around the paragraphs: its title and lists stand beside it
     # all blocks inside the nodes of the text that passes, the heaviest one included, and inside content elements
     nodes = {p for p, _ in [*weight, (node, is_element)]} | {b.in_content for b in found if b.in_content}
-    whole = {p for p in nodes if p and p[-1].split(".")[0] not in ("body", "html")}
+    whole = {p for p in nodes if p and paths.name(p) not in ("body", "html")}
     in_body = not (node and node in whole)
-    around = {p[:depth] for p in nodes for depth in range(len(p) + 1)}
+    around, inside, in_node = paths.above(nodes), paths.below(whole), paths.below({node})
 
     def kept(b: Block) -> bool:
-        name = b.path[-1].split(".")[0] if b.path else ""
-        if b.path in passing or any(b.path[:depth] in whole for depth in range(1, len(b.path) + 1)):
+        name = paths.name(b.path)
+        if b.path in passing or inside[b.path]:
             return True
-        if name in HEADINGS and b.path[:-1] in around:
+        if b.path and name in HEADINGS and paths.parent[b.path] in around:
             return True
-        return in_body and b.path[: len(node)] == node and name in KEPT_IN_BODY
+        return in_body and in_node[b.path] and name in KEPT_IN_BODY
 
     return " ".join(b.text for b in found if kept(b))
 
