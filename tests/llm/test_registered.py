@@ -12,7 +12,8 @@ SMALL = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for table in ("documents", "conversations", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     want = con.sql(ORACLE[name])
     columns = sorted(want.columns)
     rows = sorted(repr(r) for r in want.select(", ".join(columns)).fetchall())

@@ -56,7 +56,92 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::BIGINT A
 FROM queued q LEFT JOIN taken t USING (row_no)
 """
 
+# CRC-32 byte by byte; a list's first element starts the reduction
+PREFIX_TRIE = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM range(256) r(i)) t),
+own AS (
+  SELECT conv_id, list(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || length(coalesce(text, ''))::VARCHAR || ':' || coalesce(text, '')
+                       ORDER BY turn NULLS FIRST) AS turns,
+         list(length(coalesce(text, ''))::BIGINT ORDER BY turn NULLS FIRST) AS sizes
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT o.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                              lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) % 6 AS h
+  FROM own o CROSS JOIN crc_table),
+rebuilt AS (
+  SELECT c.conv_id,
+         list_concat(coalesce(f.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns,
+         list_concat(coalesce(f.sizes, [])[1:c.h], c.sizes[c.h + 1:]) AS sizes
+  FROM hashed c LEFT JOIN own f ON f.conv_id = c.conv_id - c.conv_id % 100),
+path AS (
+  SELECT conv_id, d, len(turns) = d AS ends, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size,
+         sha256(array_to_string(turns[1:d], '')) AS key, CASE WHEN d > 0 THEN sha256(array_to_string(turns[1:d - 1], '')) END AS parent
+  FROM (SELECT conv_id, turns, sizes, unnest(range(len(turns) + 1)) AS d FROM rebuilt) t),
+nodes AS (
+  SELECT d, key, any_value(parent) AS parent, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM path GROUP BY d, key),
+children AS (SELECT d - 1 AS d, parent AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+counted AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.d = c.d AND n.key = c.key),
+-- the ancestors of a node are the prefixes of its smallest member
+below AS (
+  SELECT p.d, p.key, sum(CASE WHEN n.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens
+  FROM counted n JOIN path p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.d, p.key)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM counted n JOIN below b ON n.d = b.d AND n.key = b.key LEFT JOIN nodes u ON u.d = n.d - 1 AND u.key = n.parent
+"""
+
+IMPORTANCE = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM range(256) r(i)) t),
+texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, false AS goal, text FROM documents
+  UNION ALL SELECT -1, NULL, true, text FROM benchmark),
+words AS (
+  SELECT row_no, doc_id, goal,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+runs AS (
+  SELECT row_no, goal, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS run
+  FROM words CROSS JOIN range(1, 4) r(n)),
+counted AS (SELECT row_no, goal, run, count(*) AS n FROM runs GROUP BY ALL),
+hexed AS (SELECT DISTINCT run, hex(encode(run)) AS x FROM counted),
+hashed AS (
+  SELECT run, xor(list_reduce(
+           list_prepend(4294967295, list_transform(range(len(x) // 2),
+             lambda i: ((instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)::BIGINT)),
+           lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed CROSS JOIN crc_table),
+found AS (SELECT c.row_no, c.goal, h.bucket, c.n FROM counted c JOIN hashed h ON c.run = h.run),
+sizes AS (SELECT coalesce(sum(n) FILTER (NOT goal), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (goal), 0)::DOUBLE AS t FROM found),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(sum(n) FILTER (goal), 0) + 1)::DOUBLE * (any_value(z.s) + 10000))
+                                 / ((coalesce(sum(n) FILTER (NOT goal), 0) + 1)::DOUBLE * (any_value(z.t) + 10000))))::BIGINT AS gain
+  FROM found CROSS JOIN sizes z GROUP BY bucket),
+weights AS (
+  SELECT f.row_no, sum(f.n)::BIGINT AS n_features, sum(f.n * g.gain)::BIGINT AS weight
+  FROM found f JOIN gains g ON f.bucket = g.bucket WHERE NOT goal GROUP BY f.row_no),
+scored AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(x.n_features, 0) AS n_features, coalesce(x.weight, 0) AS weight,
+         coalesce(x.weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(d.doc_id::VARCHAR, 'null'))[1:8])::BIGINT + 0.5::DOUBLE)
+                                                      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words d LEFT JOIN weights x ON d.row_no = x.row_no WHERE NOT d.goal),
+placed AS (
+  SELECT *, n_words >= 20 AS able, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+         count(*) OVER (PARTITION BY n_words >= 20) AS n_able
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n_able // 100 THEN place END AS rank FROM placed
+"""
+
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_source_mixing": MIXING,
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_importance_resampling": IMPORTANCE,
 }
