@@ -18,21 +18,24 @@ import string
 import sys
 import types
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import tokenizers
-import tokenizers.pre_tokenizers
 
 #: Words whose ids a worker keeps unless told otherwise; beyond that it starts afresh.
 KEPT_WORDS = 800_000
 #: A cut is safe before a single space that has other characters on both sides.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE_SPACE = re.compile(r"\s\s")
-#: Ends of a word that are pieces of their own, and the sign between words.
+#: Ends of a word that are pieces of their own.
 _SIGNS = string.punctuation + string.digits
-_BAR = " |"
+#: The sign that byte-level vocabularies write for each byte: itself where it is visible, else the next from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_LETTER_PROBE = "The ABC McD Straße été ÉTÉ İI ı 你好 ΑΣ ΣΑΣ ﬁn ǆ Å가 कख़ ﬞבּ ŉa ẞ Ω 𝐀b"
 _PROBE = (
     "It's we'll  two\n\nlines \n x\ty 12,345 éa ́b Straße İI 你好, (a) b!\n c  "
     "<|endoftext|> x y  z d'accord...\r\n end"
@@ -49,13 +52,9 @@ class WordEncoder:
         # normalised ones are found in the normalised text, so in whatever case they stand
         self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         self._forget()
-        bar = self._encode([_BAR])[0]
-        self.bar = int.from_bytes(bar, "little") if len(bar) == 4 else None
-        self.pieces = tokenizers.Tokenizer(self.tokenizer.model)  # the model alone, for words cut already
-        self.pieces.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        self.model = self.tokenizer.model  # alone, for words that are normalised and cut already
         self.cuts: dict[str, bool] = {}  # last letters: whether signs after them are pieces of their own
-        self.mark = None
-        self.mark = self._find_mark() if self.bar is not None else None
+        self.mark = self._find_mark()
         whole = self._encode([_PROBE])[0]
         self.by_word = True
         self.by_word = self.encode([_PROBE])[0] == whole
@@ -79,30 +78,34 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters after a space: many at a time, with a
-        sign between them that no such word contains."""
-        if self.bar is None:
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters after a space, by the model alone where
+        that is the same: normalised, in the vocabulary's byte signs, behind its
+        mark.  Words whose normal form has other signs go through the library."""
+        if self.mark is None:
             return self._encode([" " + w for w in words])
-        out = []
-        for low in range(0, len(words), 512):
-            some = words[low : low + 512]
-            if self.mark is None:
-                ids = self._ids(self.tokenizer, " " + f"{_BAR} ".join(some))
-            else:
-                ids = self._ids(self.pieces, self.mark + f" {self.mark}{_BAR[1:]} {self.mark}".join(some))
-            ends = np.append(np.flatnonzero(ids == self.bar), ids.size)
-            data, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
-            out += [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+        normalizer, tokenize, mark, out, rest = self.tokenizer.normalizer, self.model.tokenize, self.mark, [], []
+        for i, word in enumerate(words):
+            if normalizer is not None and not (word.isascii() and word.islower()):
+                word = normalizer.normalize_str(word)
+            if not word.isascii():
+                if not word.isalpha():
+                    rest.append(i)
+                    out.append(b"")
+                    continue
+                word = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            out.append(array("I", [t.id for t in tokenize(mark + word)]).tobytes())
+        for i, ids in zip(rest, self._encode([" " + words[i] for i in rest]) if rest else []):
+            out[i] = ids
         return out
 
     def _find_mark(self) -> str | None:
-        """How the vocabulary writes a lower-case ASCII word after a space:
-        behind this mark, ready for the model without normalising and cutting."""
-        words = ["the", "thonti", "onwhed", "zebra", "q", "internationalisation"]
-        whole = self._encode_plain(words)
-        for self.mark in ("\u0120", "\u2581", ""):
-            if self._encode_plain(words) == whole:
+        """How the vocabulary writes a word after a space: behind this mark.
+        None where the model alone does not give the library's ids."""
+        words = ["the", "thonti", "onwhed", "zebra", "q", "internationalisation", *_LETTER_PROBE.split()]
+        whole = self._encode([" " + w for w in words])
+        for self.mark in ("\u0120", "", "\u2581"):
+            if self._encode_letters(words) == whole:
                 return self.mark
         return None
 
@@ -119,10 +122,6 @@ class WordEncoder:
             self.cuts[letter] = known
         return self.cuts[letter]
 
-    @staticmethod
-    def _ids(tokenizer: tokenizers.Tokenizer, text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
     def _heads(self, words: pa.Array) -> np.ndarray:
         """Numbers of different first words or ends of words."""
         names = words.to_pylist()
@@ -142,20 +141,15 @@ class WordEncoder:
         plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False) & (cuts | whole)
         key = pc.if_else(pa.array(plain), core, words).dictionary_encode()
         names = key.dictionary.to_pylist()
-        numbers = [self.words.get(w, 0) for w in names]
-        new = [w for w, n in zip(names, numbers) if not n]
-        if new:
-            lower = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
-            letters = [w for w in new if w.isalpha() and not (w.isascii() and w.islower())]
+        numbers = np.array(list(map(self.words.get, names, repeat(0))), np.int64)
+        missing = np.flatnonzero(numbers == 0)
+        if missing.size:
+            new = [names[i] for i in missing.tolist()]
+            letters = [w for w in new if w.isalpha()]
             other = [" " + w for w in new if not w.isalpha()]
-            mark = self.mark
-            for some, way in ((lower, mark), (letters, None)):
-                self.mark = way
-                self.words.update(zip(some, self._keep(self._encode_plain(some))))
-            self.mark = mark
+            self.words.update(zip(letters, self._keep(self._encode_letters(letters))))
             self.words.update(zip((w[1:] for w in other), self._keep(self._encode(other))))
-            numbers = [n or self.words[w] for w, n in zip(names, numbers)]
-        numbers = np.array(numbers, np.int64)
+            numbers[missing] = list(map(self.words.__getitem__, new))
         ends = np.zeros(len(words), np.int64)
         signed = np.flatnonzero(plain & ~whole)
         if signed.size:
