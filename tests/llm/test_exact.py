@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tierline.llm import exact
 
@@ -74,3 +75,31 @@ def test_survivors_keep_odd_columns(spark):
     got = exact.survivors(table)
     assert got.columns == table.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 7, 10, 11]
+
+
+def test_the_index_carries_the_answer(spark, monkeypatch):
+    """What the index does not hold, no row finds; the directory names every bucket."""
+    rows = [(i, f"t{i % 9}") for i in range(60)]
+    keys, index = exact.build_index(docs(spark, rows), key_bits=2, capacity=2, max_depth=3)
+    assert index.count() == 9 and keys.where("bucket IS NULL").count() == 0
+    lost = index.where("chain > 0")
+    monkeypatch.setattr(exact, "build_index", lambda *a, **k: (keys, lost))
+    found = exact.exact_dedup(docs(spark, rows))
+    assert 0 < found.count() < 60
+    assert {r.text_sha256 for r in found.collect()} == {r.text_sha256 for r in lost.collect()}
+
+
+def test_the_depth_follows_the_keys(spark):
+    depths = [exact.depth_for(spark.range(n).selectExpr("xxhash64(id) AS key"), capacity=10) for n in (0, 100, 10_000)]
+    assert depths == sorted(depths) and depths[2] - depths[1] in (6, 7)
+    deep = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id % 1500) AS text")
+    got = exact.exact_dedup(deep, capacity=1)
+    assert got.where("kept").count() == 1500 and got.where("group_size < 2").count() == 0
+
+
+def test_copies_fold_before_they_are_shuffled(spark):
+    """A hot text leaves each map task once."""
+    rows = docs(spark, [(i, "hot " * 2000) for i in range(400)]).repartition(4)
+    plan = rows.select(exact.normalised("text").alias("norm")).withColumn("key", exact.text_key(F.col("norm"))).groupBy("key").agg(F.collect_set("norm"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_set" in text

@@ -6,13 +6,15 @@ The index is built with DataFrame operations only:
 2. the *directory* starts as one bucket and doubles while a bucket holds more
    than ``capacity`` distinct keys: a bucket of local depth d is the set of
    keys that share their d top bits, and an overfull one splits into the two
-   of depth d + 1, down to ``max_depth``;
-3. rows with equal key and equal bytes collapse into one *entry*.  Bytes are
-   compared by grouping on (key, text) itself, so copies fold on the map side
-   and a group of any size reaches a task as one row per map task;
-4. owner tasks take contiguous bucket ranges, chain the entries of one key
-   (different texts with the same hash) and write their part of the index;
-5. every row finds its entry by key and chain link.
+   of depth d + 1.  The depth it may reach follows the number of keys;
+3. the texts of a key are chained: equal ones, compared byte by byte, fold into
+   one link, on the map side already, so a hot text reaches its owner as one row
+   per map task; different texts with one hash are further links;
+4. owner tasks take contiguous bucket ranges and write their part of the index,
+   a row per link: bucket, key, place in the chain, SHA-256;
+5. every row finds its link as a reader of the index does: the directory names
+   the bucket of its key, the key's chain there is compared with its digest.  Rows
+   at one link are copies of each other.
 
 Contract for unusual input: a null text counts as the empty text, an empty
 table gives an empty result, rows that repeat a doc_id are copies of each other
@@ -22,15 +24,16 @@ A null id loses against any other id as the row that stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierline.llm.common import WHITE_SPACE, stored, text_or_empty
 
 #: Distinct keys a bucket may hold before it splits.
 CAPACITY = 1024
-#: Bits the directory may grow to; the directory has at most 2^MAX_DEPTH rows.
-MAX_DEPTH = 14
+#: Bits by which the directory may outgrow an even spread of the keys, and the most rows
+#: of it that are broadcast.
+SPARE_BITS, BROADCAST_ROWS = 3, 1 << 14
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -45,7 +48,13 @@ def text_key(text: Column, key_bits: int = 64) -> Column:
     return F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits) if key_bits < 64 else key
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def depth_for(keys: DataFrame, capacity: int = CAPACITY) -> int:
+    """The depth the directory of so many keys may reach."""
+    n = keys.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+    return min(40, max(1, (n // capacity).bit_length() + SPARE_BITS))
+
+
+def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     """The buckets of the column ``key``: one row (bucket, depth, n_keys) per
     leaf.  ``bucket`` is the first ``max_depth``-bit prefix it covers, so
     bucket order is key order."""
@@ -73,55 +82,56 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
     )
 
 
-def pointers(buckets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def pointers(buckets: DataFrame, max_depth: int) -> DataFrame:
     """The directory proper: one row per ``max_depth``-bit prefix that a leaf
     covers, pointing at its bucket (2^max_depth rows at most)."""
     last = F.expr(f"bucket + shiftleft(1L, {max_depth} - depth) - 1")
     return buckets.select(F.explode(F.sequence("bucket", last)).alias("prefix"), "bucket")
 
 
+def in_buckets(rows: DataFrame, buckets: DataFrame, max_depth: int) -> DataFrame:
+    """``rows`` with the bucket that the directory names for their key."""
+    named = pointers(buckets, max_depth)
+    if 1 << max_depth <= BROADCAST_ROWS:
+        named = F.broadcast(named)  # 2^max_depth rows at most
+    return rows.withColumn("prefix", F.shiftrightunsigned("key", 64 - max_depth)).join(named, "prefix").drop("prefix")
+
+
 def build_index(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = CAPACITY,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     key_bits: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
     """(keys, index), both stored.  ``keys`` has a row per document: id, key,
-    text_sha256.  ``index`` has a row per different text: bucket, key,
-    chain (0 for the first text of a key), text_sha256, keep_id, group_size."""
+    text_sha256, bucket.  ``index`` has a row per different text: bucket, key,
+    chain (0 for the first text of a key), text_sha256."""
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
     rows = rows.withColumn("key", text_key(F.col("norm"), key_bits))
     keys = stored(rows.select("id", "key", F.sha2("norm", 256).alias("text_sha256")), "exact-keys")
-    buckets = stored(directory(keys, capacity, max_depth), "exact-directory")
-
-    entries = (
-        rows.groupBy("key", "norm")  # equality of the bytes themselves
-        .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-        .withColumn("prefix", F.shiftrightunsigned("key", 64 - max_depth))
-        .join(F.broadcast(pointers(buckets, max_depth)), "prefix")  # 2^max_depth rows at most
-    )
-    chain = Window.partitionBy("bucket", "key").orderBy(F.asc_nulls_last("keep_id"), "text_sha256")
-    same = Window.partitionBy("bucket", "key", "text_sha256")
-    index = (
-        entries.repartitionByRange("bucket")
-        .withColumn("chain", F.row_number().over(chain) - 1)
-        .withColumn("same_digest", F.count(F.lit(1)).over(same))
-        # rows find their chain link by digest; two texts with one digest would make it ambiguous
-        .withColumn("chain", F.expr("if(same_digest = 1, chain, raise_error('two texts share a SHA-256 digest'))"))
-        .select("bucket", "key", "chain", "text_sha256", "keep_id", "group_size")
-    )
-    return keys, stored(index, "exact-index")
+    depth = max_depth or depth_for(keys, capacity)
+    buckets = stored(directory(keys, capacity, depth), "exact-directory")
+
+    # a set of texts per key compares the bytes and folds copies before and after the shuffle
+    chains = rows.groupBy("key").agg(F.array_sort(F.collect_set("norm")).alias("texts"))
+    digests = F.transform("texts", lambda t: F.sha2(t.cast("binary"), 256))
+    # readers find their link by digest; two texts with one digest would make it ambiguous
+    told_apart = F.expr("if(size(array_distinct(digests)) = size(digests), digests, raise_error('two texts share a SHA-256 digest'))")
+    owned = in_buckets(chains.select("key", digests.alias("digests")), buckets, depth).repartitionByRange("bucket")
+    links = owned.select("bucket", "key", F.posexplode(told_apart).alias("chain", "text_sha256"))
+    return in_buckets(keys, buckets, depth), stored(links, "exact-index")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
     """One row per document: id, keep_id (smallest id of its text),
     group_size, kept, text_sha256.  When the kept id itself repeats, all its
     rows are marked kept; ``survivors`` keeps one."""
-    keys, entries = build_index(docs, id_col, text_col, **index)
-    found = keys.join(entries.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
+    keys, links = build_index(docs, id_col, text_col, **index)
+    link = ["bucket", "key", "text_sha256"]
+    groups = keys.groupBy(*link).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    found = keys.join(links.join(groups, link), link)
     return found.select(
         F.col("id").alias(id_col),
         "keep_id",
