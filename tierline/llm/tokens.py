@@ -38,7 +38,7 @@ _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not i
 _LETTER_PROBE = "The ABC McD Straße été ÉTÉ İI ı 你好 ΑΣ ΣΑΣ ﬁn ǆ Å가 कख़ ﬞבּ ŉa ẞ Ω 𝐀b"
 _PROBE = (
     "It's we'll  two\n\nlines \n x\ty 12,345 éa ́b Straße İI 你好, (a) b!\n c  "
-    "<|endoftext|> x y  z d'accord...\r\n end"
+    "<|end|> x y  z d'accord...\r\n end"
 )
 
 
