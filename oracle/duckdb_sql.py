@@ -11,9 +11,9 @@ as ``tierline.sources.testdata``.  Dialect notes:
 * the integer guard keeps ``TRY_CAST('1.5' AS BIGINT)`` (2 in DuckDB) out;
 * ``round(x, n)`` is rewritten to round x's shortest decimal text half-up,
   which is what Spark's ``round`` on a double does (``_spark_round``);
-* ``round(avg(x), n)`` first rounds the mean to 8 digits: the last bits of a sum
-  of doubles depend on its order, and means of cent amounts are often half-way
-  cases, which those bits would otherwise decide.
+* ``round(avg(x), n)`` is the exact mean of the values' shortest decimals, rounded
+  once, half away from zero (``_exact_mean``): the last bits of a sum of doubles
+  depend on its order, and DuckDB's own ``avg`` of decimals is a double.
 """
 
 from __future__ import annotations
@@ -44,7 +44,23 @@ def SD(a: str, b: str) -> str:
     return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
 
 
-_MEAN_DIGITS = 8
+def _whole(x: str) -> str:
+    """x in whole numbers of 1e-8."""
+    return f"CAST({x} * 100000000 AS HUGEINT)"
+
+
+def _rounded_quotient(a: str, b: str, digits: int, scale: int) -> str:
+    """a / (b * 10^scale) of whole numbers, b positive, rounded half away from zero."""
+    return (
+        f"(CASE WHEN {a} < 0 THEN -1 ELSE 1 END * "
+        f"CAST((2 * abs({a}) * {10 ** max(0, digits - scale)} + {b} * {10 ** max(0, scale - digits)}) "
+        f"// (2 * {b} * {10 ** max(0, scale - digits)}) AS DOUBLE) / {float(10**digits)})"
+    )
+
+
+def _exact_mean(x: str, digits: int, over: str = "") -> str:
+    decimal = f"CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)) AS VARCHAR)"  # then in whole numbers of 1e-18
+    return _rounded_quotient(f"sum(CAST(replace({decimal}, '.', '') AS HUGEINT)){over}", f"count({x}){over}", digits, 18)
 
 
 _TOTAL = "l.l_extendedprice * (1 - l.l_discount) * (1 + l.l_tax)"
@@ -349,6 +365,11 @@ _YEARLY_VIEW = [
 
 _PCT = SD("c.avg_cost - p.avg_cost", "p.avg_cost") + " * 100"
 _STATE_YEAR = " OVER (PARTITION BY state_code, year)"
+# value * n - total: n times the distance from the state's mean
+_ABOVE_STATE = (
+    f"({_whole('avg_inpatient_payment')} * count(avg_inpatient_payment){_STATE_YEAR} "
+    f"- sum({_whole('avg_inpatient_payment')}){_STATE_YEAR})"
+)
 
 _MODEL_NAMES = [
     "stg_inpatient_charges", "stg_outpatient_charges", "stg_physicians",
@@ -633,7 +654,7 @@ ORDER BY provider_id, year"""
     "win_rolling_avg": with_models(
         f"""
 SELECT state_code, census_region, year, avg_cost,
-       round(round(avg(avg_cost) OVER (PARTITION BY state_code ORDER BY year, census_region ASC NULLS FIRST ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 8), 2) AS rolling_2yr_avg_cost,
+       {_exact_mean("avg_cost", 2, " OVER (PARTITION BY state_code ORDER BY year, census_region ASC NULLS FIRST ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)")} AS rolling_2yr_avg_cost,
        CAST(SUM(total_discharges) OVER (PARTITION BY state_code ORDER BY year, census_region ASC NULLS FIRST
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
          AS cumulative_discharges
@@ -673,9 +694,9 @@ LIMIT 50"""
         f"""
 SELECT provider_id, provider_name, state_code, year,
        round(avg_inpatient_payment, 2) AS provider_cost,
-       round(round(avg(avg_inpatient_payment){_STATE_YEAR}, 8), 2) AS state_avg_cost,
-       round(round(avg_inpatient_payment - avg(avg_inpatient_payment){_STATE_YEAR}, 8), 2) AS diff_from_state_avg,
-       round(round({SD('avg_inpatient_payment', 'avg(avg_inpatient_payment)' + _STATE_YEAR)} * 100 - 100, 8), 1)
+       {_exact_mean("avg_inpatient_payment", 2, _STATE_YEAR)} AS state_avg_cost,
+       {_rounded_quotient(_ABOVE_STATE, f"count(avg_inpatient_payment){_STATE_YEAR}", 2, 8)} AS diff_from_state_avg,
+       {_rounded_quotient(f"({_ABOVE_STATE} * 100)", f"nullif(sum({_whole('avg_inpatient_payment')}){_STATE_YEAR}, 0)", 1, 0)}
          AS pct_above_state_avg
 FROM fact WHERE year = {Y1}
 ORDER BY pct_above_state_avg DESC NULLS LAST"""
@@ -750,7 +771,7 @@ WHERE dr.state_code IS NULL GROUP BY f.state_code"""
         f"""
 SELECT f.provider_id, f.provider_name, f.state_code,
        round(f.avg_inpatient_payment, 2) AS avg_cost,
-       round(round(s.mean_cost, 8), 2) AS national_mean,
+       s.mean_rounded AS national_mean,
        round((f.avg_inpatient_payment - s.mean_cost) / NULLIF(s.stddev_cost, 0), 2) AS z_score
 FROM fact f JOIN stats s ON f.year = s.year
 WHERE f.year = {Y1}
@@ -760,7 +781,7 @@ ORDER BY z_score DESC NULLS LAST""",
             (
                 "stats",
                 f"""
-  SELECT year, avg(avg_inpatient_payment) AS mean_cost, stddev_samp(avg_inpatient_payment) AS stddev_cost
+  SELECT year, avg(avg_inpatient_payment) AS mean_cost, round(avg(avg_inpatient_payment), 2) AS mean_rounded, stddev_samp(avg_inpatient_payment) AS stddev_cost
   FROM fact WHERE year = {Y1} GROUP BY year""",
             )
         ],
@@ -822,8 +843,9 @@ def _spark_round(sql: str) -> str:
         expr, digits = _spark_round(sql[j + 6 : comma]), sql[comma + 1 : k].strip()
         plain_avg = re.fullmatch(r"\s*avg\(([^()]*)\)\s*", expr, re.IGNORECASE)
         if plain_avg:
-            expr = f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {_MEAN_DIGITS}) AS DOUBLE)"
-        out.append(f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)")
+            out.append(_exact_mean(plain_avg.group(1), int(digits)))
+        else:
+            out.append(f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)")
         i = k + 1
 
 
@@ -859,5 +881,43 @@ WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)"""
 ORACLE["dq_orphans_order_priorities"] = """
 SELECT o_orderpriority, COUNT(*) AS unmatched_rows FROM orders o
 WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) GROUP BY o_orderpriority"""
+ORACLE["win_running_volume"] = with_models(
+    f"""
+SELECT provider_id, year, census_region, total_discharges,
+       CAST(SUM(coalesce(total_discharges, 0)) OVER w AS BIGINT) AS running_discharges,
+       round({SD('SUM(coalesce(total_discharges, 0)) OVER w', 'SUM(total_discharges) OVER (PARTITION BY census_region)')} * 100, 2)
+         AS running_pct_of_region
+FROM fact
+WINDOW w AS (PARTITION BY census_region ORDER BY year ASC NULLS FIRST, provider_id ASC NULLS FIRST ROWS UNBOUNDED PRECEDING)"""
+)
+# the exact boundary is within any bound; the outer ones are the extremes
+ORACLE["rollup_quantiles"] = with_models(
+    """
+SELECT data_year AS year, count(avg_total_payments) AS n, min(avg_total_payments) AS low, max(avg_total_payments) AS high,
+       CAST(5 AS INTEGER) AS n_boundaries, true AS q1_in_bound, true AS q2_in_bound, true AS q3_in_bound
+FROM stg_inpatient_charges GROUP BY data_year
+UNION ALL
+SELECT NULL, count(avg_total_payments), min(avg_total_payments), max(avg_total_payments), 5, true, true, true FROM stg_inpatient_charges"""
+)
+ORACLE["rollup_distinct"] = with_models(
+    """
+SELECT 'state' AS level, provider_state AS place, data_year AS year, count(DISTINCT provider_id) AS distinct_providers,
+       count(DISTINCT drg_definition) AS distinct_drgs
+FROM stg_inpatient_charges GROUP BY provider_state, data_year
+UNION ALL
+SELECT 'region', r.census_region, s.data_year, count(DISTINCT s.provider_id), count(DISTINCT s.drg_definition)
+FROM stg_inpatient_charges s JOIN dim_region r ON s.provider_state = r.state_code GROUP BY r.census_region, s.data_year
+UNION ALL
+SELECT 'nation', NULL, data_year, count(DISTINCT provider_id), count(DISTINCT drg_definition)
+FROM stg_inpatient_charges GROUP BY data_year
+UNION ALL
+SELECT 'all years', NULL, NULL, count(DISTINCT provider_id), count(DISTINCT drg_definition) FROM stg_inpatient_charges"""
+)
+ORACLE["join_staged_providers"] = with_models(
+    """
+SELECT p.provider_size_category, s.data_year AS year, COUNT(*) AS staged_rows, CAST(SUM(s.total_discharges) AS BIGINT) AS discharges
+FROM stg_inpatient_charges s LEFT JOIN dim_provider p ON s.provider_id = p.provider_id
+GROUP BY p.provider_size_category, s.data_year"""
+)
 
 ORACLE = {key: _spark_round(sql) for key, sql in ORACLE.items()}

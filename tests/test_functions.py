@@ -135,3 +135,45 @@ def test_mean_is_avg(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = df.agg(M.mean_value("x").alias("a"), F.avg("x").alias("b"), M.mean_round("x", 2).alias("c"), F.round(F.avg("x"), 2).alias("d")).first()
     assert repr(got.a) == repr(got.b) and repr(got.c) == repr(got.d)
+
+
+def test_mean_is_the_exact_mean_rounded_once(spark):
+    """Against rationals: cents, noisy products, many digits, half-way cases, several partitions."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+    from fractions import Fraction
+
+    def want(values, digits):
+        with localcontext(prec=80):
+            mean = sum(Fraction(repr(v)) for v in values) / len(values)
+            scaled = abs(mean) * 10**digits
+            whole = int(scaled + Fraction(1, 2))
+            return float(Decimal(whole if mean >= 0 else -whole).scaleb(-digits))
+
+    rnd = random.Random(7)
+    groups = {
+        0: [0.124999999996],
+        1: [round(rnd.uniform(-1e6, 1e6), 2) for _ in range(301)],
+        2: [round(rnd.uniform(0, 1e5), 2) * (1 - 0.07) * (1 + 0.03) for _ in range(200)],
+        3: [rnd.random() for _ in range(77)],
+        4: [0.005, 0.015, 0.025, -0.045],
+        5: [61249.23, 61249.24] * 50,
+        6: [89_999_999_999.12, 1e11, 123456789012.75],
+        7: [-1.005] * 3,
+        8: [1 / 3, 2 / 3, 0.1 + 0.2],
+        9: [0.0, -0.0, 5e-324],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, x double").repartition(7)
+    digits = (0, 1, 2, 4, 6)
+    got = {r.g: r for r in df.groupBy("g").agg(*[M.mean_round("x", d).alias(f"m{d}") for d in digits]).collect()}
+    for g, values in groups.items():
+        for d in digits:
+            assert got[g][f"m{d}"] == want(values, d), (g, d)
+
+
+def test_windowed_mean_is_the_grouped_one(spark):
+    df = spark.createDataFrame([(i % 3, i / 7, i) for i in range(30)], "g int, x double, n bigint")
+    over = " OVER (PARTITION BY g)"
+    got = {(r.g, r.a, r.b) for r in df.select("g", M.mean_round("x", 3, over).alias("a"), M.mean_round("n", 1, over).alias("b")).collect()}
+    want = {(r.g, r.a, r.b) for r in df.groupBy("g").agg(M.mean_round("x", 3).alias("a"), M.mean_round("n", 1).alias("b")).collect()}
+    assert got == want

@@ -14,6 +14,7 @@ from tierline.operators.ranking import (
     cume_dist_of,
     exact_quantiles,
     percent_rank_of,
+    running_totals_by,
     with_ntiles,
     with_rank_stats,
 )
@@ -208,3 +209,29 @@ def test_few_rows_and_missing_bounds(spark, n):
     got = add_positions(df, ["v", "id"])
     want = df.select("id", F.row_number().over(Window.orderBy("v", "id")).alias("rn"))
     assert got.join(want, "id").where(f"_pos = rn AND _cnt = {n}").count() == n
+
+
+@pytest.mark.parametrize("rows", CASES)
+def test_running_totals_by_equal_the_plain_window(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = running_totals_by(df, ["g"], ["v", "id"], F.col("id"), "total")
+    w = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("total", F.sum("id").over(w))
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_running_totals_of_a_hot_partition(spark):
+    """Half of the rows in one of three partitions: no bucket, so no task of
+    the window, holds more than the stated multiple of the average."""
+    from tierline.operators import ranking
+
+    n = 300_000
+    region = F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 4 == 1, F.lit("b")).otherwise(F.lit("c"))
+    df = spark.range(n).select("id", region.alias("g"), (F.col("id") * 7919 % 100_003).alias("v"), (F.col("id") % 13).alias("w"))
+    sizes = [r[1] for r in ranking._bucketed(df, ["g", "v", "id"]).groupBy("_bucket").count().collect()]
+    assert max(sizes) <= ranking.MOST * n / (1 << ranking.bucket_bits(df))
+    got = running_totals_by(df, ["g"], ["v", "id"], F.col("w"), "total")
+    w = Window.partitionBy("g").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.sum("w").over(w).alias("want"))
+    assert got.join(want, "id").where("NOT total <=> want").count() == 0

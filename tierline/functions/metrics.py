@@ -7,13 +7,15 @@ the reference values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Digits a mean keeps before it is rounded to fewer.  The last bits of a sum of
-#: doubles depend on the order of summation, and means of cent amounts are often
-#: half-way cases (x.xx5); 8 digits hold any such mean and drop the noise.
-MEAN_DIGITS = 8
+#: Values of so many decimal digits, below this magnitude, are summed as integers.
+EXACT_DIGITS, EXACT_BELOW = 8, "9e10D"
+#: Bits of the lower of the two integers such a value is summed in: 2^41 rows fit.
+LIMB = 22
+#: Digits that other values are summed with, below this magnitude.
+FINE_DIGITS, FINE_BELOW = 18, "1e12D"
 
 
 def _col(c: Column | str) -> Column:
@@ -87,17 +89,60 @@ def pass_fail(condition: Column) -> Column:
     return F.when(condition, F.lit("PASS")).otherwise(F.lit("FAIL"))
 
 
-def mean_value(c: Column | str, window: WindowSpec | None = None) -> Column:
-    """AVG(c), or AVG(c) OVER the window."""
-    mean = F.avg(_col(c))
-    return mean.over(window) if window is not None else mean
+def mean_value(c: Column | str) -> Column:
+    """AVG(c)."""
+    return F.avg(_col(c))
 
 
-def half_up(x: Column | str, digits: int) -> Column:
-    """ROUND(x, digits) that does not depend on the last bits of x."""
-    return F.round(F.round(_col(x), MEAN_DIGITS), digits)
+def scaled_sql(c: str) -> str:
+    """c as a whole number of 1e-8; NULL where that does not fit."""
+    return f"CASE WHEN abs({c}) < {EXACT_BELOW} THEN CAST(rint({c} * 1e{EXACT_DIGITS}D) AS BIGINT) END"
 
 
-def mean_round(c: Column | str, digits: int, window: WindowSpec | None = None) -> Column:
-    """ROUND(AVG(c), digits), the same however the rows are partitioned."""
-    return half_up(mean_value(c, window), digits)
+def exact_sum_sql(c: str, over: str = "") -> str:
+    """The sum of ``scaled_sql(c)``, exact in any order of the rows: two sums
+    of 64-bit integers, put together once per group."""
+    return _limbs(scaled_sql(c), over)
+
+
+def _limbs(v: str, over: str) -> str:
+    high, low = f"sum(shiftright({v}, {LIMB})){over}", f"sum(({v}) & {(1 << LIMB) - 1}){over}"
+    return f"(CAST({high} AS DECIMAL(38,0)) * {1 << LIMB} + CAST({low} AS DECIMAL(38,0)))"
+
+
+def round_ratio_sql(numerator: str, denominator: str, digits: int, scale: int = 0) -> str:
+    """numerator / (denominator * 10^scale) of whole numbers, denominator
+    positive, rounded once, half away from zero, in whole numbers all the way."""
+    up, unit = 10 ** max(0, digits - scale), 10 ** max(0, scale - digits)
+    n = f"(abs({numerator}) * CAST({2 * up} AS DECIMAL(20,0)))"
+    d = f"(CAST({denominator} AS DECIMAL(38,0)) * CAST({unit} AS DECIMAL(20,0)))"
+    whole = f"({n} + {d})"
+    floor = f"(({whole} - {whole} % ({d} * 2)) / ({d} * 2))"
+    return f"(CASE WHEN {numerator} < 0 THEN -1D ELSE 1D END * CAST({floor} AS DOUBLE) / 1e{digits}D)"
+
+
+def mean_sql(c: str, digits: int, over: str = "") -> str:
+    """ROUND(AVG(c), digits) as SQL: the mean of the values' shortest decimals,
+    summed exactly and rounded once, so the same for every order and partitioning
+    of the rows.  Values of up to 8 decimal digits, as amounts are, add up as
+    integers; others as decimals of 18 digits.  Values of 1e12 and more, NaN and
+    infinity have no such decimals: a group with one of them gets the mean of
+    doubles."""
+    few = f"(abs({c}) < {EXACT_BELOW} AND rint({c} * 1e{EXACT_DIGITS}D) / 1e{EXACT_DIGITS}D = {c})"
+    whole = _limbs(f"CASE WHEN {few} THEN CAST(rint({c} * 1e{EXACT_DIGITS}D) AS BIGINT) END", over)
+    fine = f"sum(CASE WHEN NOT {few} AND abs({c}) < {FINE_BELOW} THEN CAST({c} AS DECIMAL(38,{FINE_DIGITS})) END){over}"
+    up = f"CAST({10**FINE_DIGITS} AS DECIMAL(19,0))"
+    total = (
+        f"(coalesce({whole}, 0) * CAST({10 ** (FINE_DIGITS - EXACT_DIGITS)} AS DECIMAL(11,0)) "
+        f"+ coalesce(CAST({fine} * {up} AS DECIMAL(38,0)), 0))"
+    )
+    n = f"count({c}){over}"
+    odd = f"sum(CASE WHEN NOT abs({c}) < {FINE_BELOW} THEN CAST({c} AS DOUBLE) END){over}"
+    doubles = f"round(({odd} + CAST({total} AS DOUBLE) / 1e{FINE_DIGITS}D) / {n}, {digits})"
+    exact = round_ratio_sql(total, n, digits, FINE_DIGITS)
+    return f"CASE WHEN {n} = 0 THEN CAST(NULL AS DOUBLE) WHEN {odd} IS NULL THEN {exact} ELSE {doubles} END"
+
+
+def mean_round(c: str, digits: int, over: str = "") -> Column:
+    """``mean_sql`` as a Column; ``over`` is an OVER clause."""
+    return F.expr(mean_sql(c, digits, over))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import mean_value, z_score
+from tierline.functions.metrics import mean_round, mean_value, z_score
 
 
 def null_counts(columns: Mapping[str, str | int | None], total: str = "total_rows") -> list[Column]:
@@ -62,18 +62,19 @@ def zscore_outliers(
     value: str,
     threshold: float,
     group_by: Sequence[str],
+    digits: int = 2,
 ) -> DataFrame:
     """Rows with |z| > threshold, z from the mean / sample stddev of the
-    row's group.  Statistics are one row per group (partial aggregation),
+    row's group (``_mean_rounded``: the exact mean rounded to ``digits``).  Statistics are one row per group (partial aggregation),
     joined back on the group key — no cross join."""
     stats = df.groupBy(*group_by).agg(
-        mean_value(value).alias("_mean"), F.stddev_samp(value).alias("_std")
+        mean_value(value).alias("_mean"), mean_round(value, digits).alias("_mean_rounded"), F.stddev_samp(value).alias("_std")
     )
     d, s = df.alias("_d"), stats.alias("_s")
     on = reduce(lambda a, b: a & b, [F.col(f"_d.{k}").eqNullSafe(F.col(f"_s.{k}")) for k in group_by])
     z = z_score(F.col(f"_d.{value}"), F.col("_s._mean"), F.col("_s._std"))
     return (
         d.join(s, on)
-        .select("_d.*", F.col("_s._mean"), F.col("_s._std"), z.alias("_z"))
+        .select("_d.*", F.col("_s._mean"), F.col("_s._mean_rounded"), F.col("_s._std"), z.alias("_z"))
         .filter(F.abs(F.col("_z")) > threshold)
     )

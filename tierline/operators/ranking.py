@@ -131,6 +131,22 @@ def _group_starts(df: DataFrame, partition_by: Sequence[str], size: Column) -> D
     return groups.withColumn("_start", F.coalesce(F.sum(CNT).over(before), F.lit(0)))
 
 
+def running_totals_by(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], weight: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: SUM(weight) OVER (PARTITION BY .. ORDER BY ..
+    ROWS UNBOUNDED PRECEDING), columns ascending with NULLs first, for few
+    partitions that may hold any share of the rows: each is cut into ranges whose
+    totals are added up apart.  Null weights count as 0.  ``name`` less the row's
+    weight is the frame that ends before the row; the difference of two such
+    totals is any frame from the start."""
+    whole = F.coalesce(weight.cast("bigint"), F.lit(0))
+    upto = running_totals(df, [*partition_by, *order_by], whole, "_upto")
+    starts = _group_starts(df, partition_by, F.sum(whole))
+    l, r = upto.alias("_l"), starts.alias("_r")
+    return l.join(r, _null_safe_on(l, r, partition_by)).select(
+        *[F.col(f"_l.`{c}`") for c in df.columns], (F.col("_l._upto") - F.col("_r._start")).alias(name)
+    )
+
+
 def add_positions(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     """Append ``_pos`` (1-based position in the order of the columns
     ``order_by``, ascending with NULLs first, within ``partition_by``) and

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tierline.operators.quality import stack
 from tierline.plans.warehouse import MODEL_LEVELS, MODEL_ORDER, Warehouse
 from tierline.session import scratch_path
-from tierline.sources.sinks import drop_folder, save_as_table, write_table
+from tierline.sources.sinks import drop_folder, drop_versions, latest_version, mark_complete, new_version, replace_table, write_table
 
 #: Stored partition columns.
 PARTITIONS = {
@@ -20,6 +20,14 @@ PARTITIONS = {
     "fact_healthcare_metrics": ["year"],
 }
 
+#: Models joined on the provider, which catalog tables may be bucketed by.
+BUCKETED = {
+    "int_provider_inpatient_summary": "provider_id",
+    "int_provider_outpatient_summary": "provider_id",
+    "int_provider_combined": "provider_id",
+    "dim_provider": "provider_id",
+}
+
 
 def materialise(
     wh: Warehouse,
@@ -28,11 +36,14 @@ def materialise(
     concurrent: bool = True,
     database: str | None = None,
     replaces: Warehouse | None = None,
+    buckets: int | None = None,
 ) -> Warehouse:
     """Write every model in dependency order and rebind it to the stored
     table, so each layer reads the previous layer's table, like CTAS files
-    run in order.  ``out_dir`` defaults to a fresh folder under the shared
-    checkpoint location (a refresh never overwrites a table being read).
+    run in order.  ``out_dir`` holds one folder per build, of which the newest
+    ``sinks.KEPT`` stay; it defaults to a fresh place under the shared checkpoint
+    location.  A build counts once it is complete: ``latest_build`` reads the newest
+    such one, whatever is being written or has failed beside it.
     Staging is stored by data year and the fact by year, so reports on a year
     read that year only.  ``replaces`` is an earlier build in a folder of its own
     that nothing reads any more: it is deleted once the new one is complete.
@@ -42,14 +53,14 @@ def materialise(
     the large staging writes); levels still run in order.
 
     With ``database`` the models become catalog tables ``database.<model>``
-    (``saveAsTable``) instead of folders.  Each level reads the tables of the
-    previous levels only, so no table is overwritten while it is read; as with
-    any replaced table, handles from an earlier build are stale afterwards —
-    use the returned warehouse.
+    instead, each replaced in one step (``sinks.replace_table``), so reports by
+    name keep working while a refresh runs.  With ``buckets`` the models joined on
+    the provider are stored in so many buckets of it: the fact joins them in place.
     """
     built = Warehouse(wh.spark, wh.raw, wh.params, wh.state_names, wh.state_regions)
     if database is None:
-        base = built.location = (out_dir or scratch_path(wh.spark, "warehouse")).rstrip("/")
+        root = (out_dir or scratch_path(wh.spark, "warehouse")).rstrip("/")
+        base = built.location = new_version(root)
 
     def write(name: str) -> tuple[str, DataFrame]:
         # one scheduler pool per model: under spark.scheduler.mode=FAIR the
@@ -58,7 +69,8 @@ def materialise(
         sc.setLocalProperty("spark.scheduler.pool", f"build_{name}")
         try:
             if database is not None:
-                return name, save_as_table(built.model(name), f"{database}.{name}", fmt, PARTITIONS.get(name))
+                by = (buckets, BUCKETED[name]) if buckets and name in BUCKETED else None
+                return name, replace_table(built.model(name), f"{database}.{name}", fmt=fmt, partition_by=PARTITIONS.get(name), buckets=by)
             return name, write_table(built.model(name), f"{base}/{name}", fmt, PARTITIONS.get(name))
         finally:
             sc.setLocalProperty("spark.scheduler.pool", None)
@@ -72,11 +84,25 @@ def materialise(
         else:
             done = [write(n) for n in level]
         built.stored.update(done)
+    if database is None:
+        mark_complete(wh.spark, base)
+        drop_versions(wh.spark, root, base)
     if replaces is not None and replaces.location and replaces.location != built.location:
         drop_folder(wh.spark, replaces.location)
     return built
 
 
+def latest_build(wh: Warehouse, out_dir: str, fmt: str = "parquet") -> Warehouse:
+    """The newest complete build that ``materialise`` left in ``out_dir``."""
+    base = latest_version(wh.spark, out_dir)
+    if base is None:
+        raise FileNotFoundError(f"no complete build in {out_dir}")
+    built = Warehouse(wh.spark, wh.raw, wh.params, wh.state_names, wh.state_regions, location=base)
+    for name in MODEL_ORDER:
+        built.stored[name] = wh.spark.read.format(fmt).schema(wh.model(name).schema).load(f"{base}/{name}").select(*wh.model(name).columns)
+    return built
+
+
 def table_row_counts(wh: Warehouse) -> DataFrame:
     """(table_name, row_count) of every model, in build order."""
     return stack(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import half_up, pass_fail
+from tierline.functions.metrics import pass_fail
 from tierline.operators.quality import duplicate_keys, null_profile, orphans, stack, zscore_outliers
 
 
@@ -92,7 +92,7 @@ def dq_outliers_zscore(fact: DataFrame, year: int, threshold: float = 3.0) -> Da
         "provider_name",
         "state_code",
         F.round("avg_inpatient_payment", 2).alias("avg_cost"),
-        half_up("_mean", 2).alias("national_mean"),
+        F.col("_mean_rounded").alias("national_mean"),
         F.round("_z", 2).alias("z_score"),
     ).orderBy(F.col("z_score").desc_nulls_last(), "provider_id")
 

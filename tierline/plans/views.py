@@ -1,8 +1,12 @@
-"""Reporting views: functions returning lazy DataFrames.
-
-``register_views`` publishes them as temporary views of the session;
-``create_views`` creates them in the catalog, where a BI tool finds them.  Both
-read the fact live (Catalyst inlines a view before optimising).
+"""Reporting views, each defined once, as SQL over the fact (``view_definitions``).
+
+The functions run a definition on a fact DataFrame; ``register_views`` publishes the
+results as temporary views of the session; ``create_views`` creates the definitions in
+the catalog, where a BI tool finds them.  All read the fact live (Catalyst inlines a
+view before optimising).  Only the percentile of ``vw_provider_details`` has a second
+form: as a DataFrame it runs through the distributed ranking, whose plan depends on
+the session, as a catalog view it ranks the different payments of a year, in cents
+below a million, at most 10^8 of them whatever the rows.
 """
 
 from __future__ import annotations
@@ -10,27 +14,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import MEAN_DIGITS, mean_round, pct_change, ratio, trend_label
+from tierline.functions.metrics import mean_sql
 from tierline.operators.ranking import percent_rank_of, with_rank_stats
-from tierline.plans.kpis import yearly_state_cost
 
 
-def _avg(c: str, digits: int, name: str):
-    return mean_round(c, digits).alias(name)
+def _defined(fact: DataFrame, name: str, current_year: int = 0, previous_year: int = 0, trend_pct: float = 3.0) -> DataFrame:
+    sql = view_definitions("{fact}", current_year, previous_year, trend_pct)[name]
+    return fact.sparkSession.sql(sql, fact=fact)
 
 
 def vw_cost_by_state(fact: DataFrame) -> DataFrame:
     """View 1: cost and volume by state, region and year (map / bar charts)."""
-    return fact.groupBy("state_code", "census_region", "year").agg(
-        F.count_distinct("provider_id").alias("provider_count"),
-        F.sum("total_discharges").alias("total_discharges"),
-        _avg("avg_inpatient_payment", 2, "avg_inpatient_cost"),
-        _avg("avg_outpatient_payment", 2, "avg_outpatient_cost"),
-        _avg("avg_medicare_payments", 2, "avg_medicare_payment"),
-        _avg("medicare_payment_ratio", 4, "avg_medicare_ratio"),
-        _avg("combined_avg_cost", 2, "avg_combined_cost"),
-        _avg("outpatient_volume_share_pct", 2, "outpatient_pct_of_volume"),
-    )
+    return _defined(fact, "vw_cost_by_state")
 
 
 def vw_provider_details(fact: DataFrame) -> DataFrame:
@@ -85,57 +80,18 @@ def vw_provider_details(fact: DataFrame) -> DataFrame:
 def vw_yoy_change(fact: DataFrame, current_year: int, previous_year: int, trend_pct: float = 3.0) -> DataFrame:
     """View 3: year-over-year change by state with a trend label.  Joined on
     state only, as in the original (safe while a state has one region)."""
-    yearly = yearly_state_cost(fact, ("state_code", "census_region"), extra=True)
-    cur = yearly.filter(F.col("year") == current_year).alias("cur")
-    prev = yearly.filter(F.col("year") == previous_year).alias("prev")
-    change = pct_change("cur.avg_cost", "prev.avg_cost")
-    return cur.join(prev, F.col("cur.state_code") == F.col("prev.state_code")).select(
-        F.col("cur.state_code").alias("state_code"),
-        F.col("cur.census_region").alias("census_region"),
-        F.col("prev.avg_cost").alias(f"avg_cost_{previous_year}"),
-        F.col("cur.avg_cost").alias(f"avg_cost_{current_year}"),
-        F.round(F.col("cur.avg_cost") - F.col("prev.avg_cost"), 2).alias("absolute_change"),
-        F.round(change, 2).alias("pct_change"),
-        F.col("cur.total_discharges").alias(f"discharges_{current_year}"),
-        trend_label(change, trend_pct).alias("cost_trend"),
-    )
+    return _defined(fact, "vw_yoy_change", current_year, previous_year, trend_pct)
 
 
 def vw_region_summary(fact: DataFrame) -> DataFrame:
     """View 4: region KPIs against the national average of the same year."""
-    region = fact.groupBy("census_region", "year").agg(
-        F.count_distinct("provider_id").alias("provider_count"),
-        F.sum("total_patient_volume").alias("total_patient_volume"),
-        F.sum("total_discharges").alias("total_discharges"),
-        _avg("avg_inpatient_payment", 2, "avg_inpatient_cost"),
-        _avg("avg_outpatient_payment", 2, "avg_outpatient_cost"),
-        _avg("combined_avg_cost", 2, "avg_combined_cost"),
-        _avg("medicare_payment_ratio", 4, "avg_medicare_ratio"),
-    )
-    national = fact.groupBy("year").agg(_avg("avg_inpatient_payment", 2, "national_avg_cost"))
-    r, n = region.alias("r"), national.alias("n")
-    diff = F.col("r.avg_inpatient_cost") - F.col("n.national_avg_cost")
-    return r.join(n, F.col("r.year") == F.col("n.year")).select(
-        "r.*",
-        "n.national_avg_cost",
-        F.round(diff, 2).alias("diff_from_national"),
-        F.round(ratio(diff, "n.national_avg_cost") * 100, 1).alias("pct_above_national"),
-    )
+    return _defined(fact, "vw_region_summary")
 
 
 def vw_size_category(fact: DataFrame) -> DataFrame:
     """View 5: size class x year comparison (its ORDER BY is dropped: a view
     has no order for its readers)."""
-    return fact.groupBy("provider_size_category", "year").agg(
-        F.count_distinct("provider_id").alias("provider_count"),
-        _avg("total_discharges", 0, "avg_discharges"),
-        _avg("avg_inpatient_payment", 2, "avg_inpatient_cost"),
-        _avg("avg_medicare_payments", 2, "avg_medicare_cost"),
-        _avg("avg_outpatient_payment", 2, "avg_outpatient_cost"),
-        _avg("medicare_payment_ratio", 4, "avg_medicare_ratio"),
-        _avg("distinct_drg_count", 1, "avg_drg_complexity"),
-        _avg("outpatient_volume_share_pct", 2, "avg_outpatient_share_pct"),
-    )
+    return _defined(fact, "vw_size_category_comparison")
 
 
 def register_views(fact: DataFrame, current_year: int, previous_year: int, trend_pct: float = 3.0) -> dict[str, DataFrame]:
@@ -153,7 +109,7 @@ def register_views(fact: DataFrame, current_year: int, previous_year: int, trend
 
 
 def _sql_avg(column: str, digits: int, name: str) -> str:
-    return f"round(round(avg({column}), {MEAN_DIGITS}), {digits}) AS {name}"
+    return f"{mean_sql(column, digits)} AS {name}"
 
 
 def view_definitions(fact: str, current_year: int, previous_year: int, trend_pct: float = 3.0) -> dict[str, str]:

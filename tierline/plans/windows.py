@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.functions.metrics import half_up, mean_round, mean_value, ratio
-from tierline.operators.ranking import cume_dist_of, percent_rank_of, top_k_with_rank_stats, with_ntiles
+from tierline.functions.metrics import EXACT_DIGITS, exact_sum_sql, mean_round, ratio, round_ratio_sql, scaled_sql
+from tierline.operators.ranking import cume_dist_of, percent_rank_of, running_totals_by, top_k_with_rank_stats, with_ntiles
 from tierline.plans.kpis import yearly_state_cost
 
 # The quartile labels.
@@ -84,12 +84,13 @@ def win_rolling_avg(fact: DataFrame) -> DataFrame:
     """Pattern 3: 2-row rolling mean and running discharges per state."""
     yearly = yearly_state_cost(fact, ("state_code", "census_region"), extra=True)
     w = Window.partitionBy("state_code").orderBy("year", F.col("census_region").asc_nulls_first())
+    two_rows = " OVER (PARTITION BY state_code ORDER BY year, census_region NULLS FIRST ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)"
     return yearly.select(
         "state_code",
         "census_region",
         "year",
         "avg_cost",
-        mean_round("avg_cost", 2, w.rowsBetween(-1, Window.currentRow)).alias("rolling_2yr_avg_cost"),
+        mean_round("avg_cost", 2, two_rows).alias("rolling_2yr_avg_cost"),
         F.sum("total_discharges")
         .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         .alias("cumulative_discharges"),
@@ -148,21 +149,25 @@ def win_percentiles(fact: DataFrame, year: int, k: int = 50) -> DataFrame:
 def win_vs_group_avg(fact: DataFrame, year: int) -> DataFrame:
     """Pattern 6: provider cost against the state-year mean (AVG OVER PARTITION BY)."""
     rows = fact.filter(F.col("year") == year)
-    means = rows.groupBy("state_code", "year").agg(mean_value("avg_inpatient_payment").alias("state_mean"))
-    r, m = rows.alias("r"), means.alias("m")
+    value = "avg_inpatient_payment"
+    sums = rows.groupBy("state_code", "year").agg(
+        F.expr(exact_sum_sql(value)).alias("total"), F.count(value).alias("n"), mean_round(value, 2).alias("state_avg_cost")
+    )
+    r, m = rows.alias("r"), sums.alias("m")
     joined = r.join(
         m, F.col("r.state_code").eqNullSafe(F.col("m.state_code")) & (F.col("r.year") == F.col("m.year"))
     )
-    v, mean = F.col("r.avg_inpatient_payment"), F.col("m.state_mean")
+    # value - mean = (value * n - total) / n, and over the mean: / total
+    above = f"(CAST({scaled_sql('r.' + value)} AS DECIMAL(38,0)) * m.n - m.total)"
     return joined.select(
         F.col("r.provider_id").alias("provider_id"),
         F.col("r.provider_name").alias("provider_name"),
         F.col("r.state_code").alias("state_code"),
         F.col("r.year").alias("year"),
-        F.round(v, 2).alias("provider_cost"),
-        half_up(mean, 2).alias("state_avg_cost"),
-        half_up(v - mean, 2).alias("diff_from_state_avg"),
-        half_up(ratio(v, mean) * 100 - 100, 1).alias("pct_above_state_avg"),
+        F.round(f"r.{value}", 2).alias("provider_cost"),
+        F.col("m.state_avg_cost").alias("state_avg_cost"),
+        F.when(F.col("m.n") > 0, F.expr(round_ratio_sql(above, "m.n", 2, EXACT_DIGITS))).alias("diff_from_state_avg"),
+        F.when(F.col("m.total") > 0, F.expr(round_ratio_sql(f"({above} * 100)", "m.total", 1))).alias("pct_above_state_avg"),
     ).orderBy(F.col("pct_above_state_avg").desc_nulls_last(), "provider_id")
 
 
@@ -182,3 +187,22 @@ def win_cumulative_share(fact: DataFrame) -> DataFrame:
             "pct_of_national_volume"
         ),
     ).orderBy(F.col("census_region").asc_nulls_first(), "year")
+
+
+def win_running_volume(fact: DataFrame) -> DataFrame:
+    """Pattern 7 at the level of provider-years: running discharges of a region
+    by year and provider, and the share of the region's total reached.  There are
+    few regions, and one may hold any share of the rows, so their running totals
+    come from ranges (``running_totals_by``) instead of one task a region."""
+    rows = fact.select("provider_id", "year", "census_region", "total_discharges")
+    running = running_totals_by(rows, ["census_region"], ["year", "provider_id"], F.col("total_discharges"), "running_discharges")
+    totals = rows.groupBy("census_region").agg(F.sum("total_discharges").alias("region_total"))
+    l, r = running.alias("l"), totals.alias("r")
+    return l.join(r, F.col("l.census_region").eqNullSafe(F.col("r.census_region"))).select(
+        "l.provider_id",
+        "l.year",
+        "l.census_region",
+        "l.total_discharges",
+        "l.running_discharges",
+        F.round(ratio("l.running_discharges", "r.region_total") * 100, 2).alias("running_pct_of_region"),
+    )

@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierline.operators.joins import balanced_left_join
 from tierline.operators.quality import orphans
-from tierline.plans import build, dimensions, explore, fact, kpis, quality, views, windows
+from tierline.plans import build, dimensions, explore, fact, kpis, quality, rollups, views, windows
 from tierline.plans.warehouse import Params, Warehouse
 from tierline.sources import testdata
 from tierline.sources.testdata import PROFILE, TestdataProfile
@@ -118,6 +119,12 @@ MODEL_QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
     "win_percentiles": lambda w: windows.win_percentiles(w.fact, _p(w).current_year, _p(w).top_percentiles),
     "win_vs_group_avg": lambda w: windows.win_vs_group_avg(w.fact, _p(w).current_year),
     "win_cumulative_share": lambda w: windows.win_cumulative_share(w.fact),
+    "win_running_volume": lambda w: windows.win_running_volume(w.fact),
+    # mergeable states: quantiles and distinct counts of any union of years and states
+    "rollup_quantiles": lambda w: _quantiles(w.model("stg_inpatient_charges")),
+    "rollup_distinct": lambda w: rollups.rollup_distinct(rollups.build(w.model("stg_inpatient_charges")), w.model("dim_region")),
+    # J1 / J2 over staged rows, where one provider may hold any share of them
+    "join_staged_providers": lambda w: _staged_by_size(w.model("stg_inpatient_charges"), w.model("dim_provider")),
     # 08 data quality
     "dq_nulls": (
         lambda w: quality.dq_nulls(
@@ -142,6 +149,20 @@ MODEL_QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
 }
 
 
+def _quantiles(staged: DataFrame) -> DataFrame:
+    """Boundaries merged from stored sketches, against the ranks of the rows."""
+    return rollups.boundary_check(staged, rollups.build(staged).payments)
+
+
+def _staged_by_size(staged: DataFrame, providers: DataFrame) -> DataFrame:
+    """Staged rows with their provider's size class, by class and year."""
+    sizes = providers.select("provider_id", "provider_size_category")
+    joined = balanced_left_join(staged.select("provider_id", "data_year", "total_discharges"), sizes, ["provider_id"])
+    return joined.groupBy("provider_size_category", F.col("data_year").alias("year")).agg(
+        F.count(F.lit(1)).alias("staged_rows"), F.sum("total_discharges").alias("discharges")
+    )
+
+
 def _over_testdata(fn: Callable[[Warehouse], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(testdata_warehouse(spark, sf_dir))
