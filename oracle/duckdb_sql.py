@@ -51,6 +51,7 @@ def _whole(x: str) -> str:
 
 def _rounded_quotient(a: str, b: str, digits: int, scale: int) -> str:
     """a / (b * 10^scale) of whole numbers, b positive, rounded half away from zero."""
+    b = f"CAST({b} AS HUGEINT)"
     return (
         f"(CASE WHEN {a} < 0 THEN -1 ELSE 1 END * "
         f"CAST((2 * abs({a}) * {10 ** max(0, digits - scale)} + {b} * {10 ** max(0, scale - digits)}) "
