@@ -30,20 +30,18 @@ PATTERNS = {
 NOTES = """
 ## Reading the table
 
-- `SinglePartition` exchanges carry only bounded rows: the partial results of
-  a global aggregate (one row per task; counts, null profiles, health
-  checks), the ranking block table (one row per range partition), the
-  quantile brackets' distinct values (at most `rows_per_bracket` per
-  bracket), and inputs the ranking counted at <= 10^6 rows (plain window in
-  one task; larger inputs take the distributed range sort).  No unbounded
+- `SinglePartition` exchanges (and windows over a constant) carry only bounded rows:
+  the partial results of a global aggregate (one row per task; counts, null profiles,
+  health checks), the ranking's sample keys and bucket totals (a fixed multiple of the
+  shuffle partitions), one row per group of a low-cardinality grouping.  No unbounded
   set of data rows passes through one.
-- `rangepartitioning` before a final `ORDER BY` sorts an aggregated result;
-  above 10^6 rows the ranking adds its own range sort over the data (bounds
-  sampled on value + tie-breaker).
-- Broadcast joins: fixed-size value maps, the ranking block table (size
-  checked), the top-k tie counts (at most k rows), per-year statistics, and
-  dimensions AQE measured as small at this scale; at 100 TB `dim_provider`
-  and the adapter's supplier / part joins become sort-merge joins.
+- `rangepartitioning` sorts a result for its final `ORDER BY`.
+- `BroadcastNestedLoopJoin` attaches one-row sides: the ranking's bounds, totals,
+  thresholds.
+- Broadcast joins: the ranking's bucket totals, keys that hold more than a two-hundredth
+  of the rows, the top-k tie counts (at most k rows), and whatever AQE measured as small
+  at this scale; at 100 TB `dim_provider` and the adapter's supplier / part joins become
+  sort-merge joins, or joins in place where the models are bucketed.
 - `WindowGroupLimit` (QUALIFY rank <= 5, latest row per provider) cuts each
   map task to the top rows per group before the shuffle.
 - Reports on the stored fact push `year = ...` into the Parquet scan.
