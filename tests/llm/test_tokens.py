@@ -58,6 +58,37 @@ def test_strings_of_special_tokens_are_what_the_library_makes_of_them(name):
         words.encode([" ".join(f"w{i}" for i in range(50))])
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_new_words_of_a_batch_go_to_the_model_together(name):
+    class Counting:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def __getattr__(self, name):
+            def method(*args, **kwargs):
+                self.calls += 1
+                return getattr(self.model, name)(*args, **kwargs)
+
+            return method
+
+    whole, words = library(name), tokens.WordEncoder(tokens.vocabulary(name))
+    words.model = counting = Counting(words.model)
+    texts = ["a " + " ".join(f"{x}{y}q{x}n" for x in "abcdeéжA" for y in "fghiößЯ漢"), "b fjord Émile, (ağ) \u0110a\u030a 漢字 Ωm\u03c3\u03c2"]
+    assert words.encode(texts) == [struct.pack(f"<{len(i)}I", *i) for i in map(whole, texts)]
+    assert counting.calls == 1  # 70 words
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_every_letter_in_words(name):
+    whole, words = library(name), tokens.WordEncoder(tokens.vocabulary(name))
+    letters = [chr(c) for c in (*range(0x600), *range(0x1100, 0x1180), *range(0x1E00, 0x2000), *range(0xAC00, 0xAC20)) if chr(c).isalpha()]
+    texts = ["x " + " ".join([f"a{a}", f"{a}b", f"{a}{b}", f"{a}{b}{a}", f"{a}{b},"]) for a, b in zip(letters, letters[1:] + letters[:1])]
+    assert words.mark is not None and words.by_word
+    for got, text in zip(words.encode(texts), texts):
+        ids = whole(text)
+        assert got == struct.pack(f"<{len(ids)}I", *ids), text
+
+
 @pytest.mark.parametrize("length", [1, 7, 2048])
 def test_packing_round_trip(spark, length):
     rows = ROWS + [(100 + i, f"word{i} " * (i % 9)) for i in range(50)]

@@ -13,6 +13,7 @@ that hold the string of a special token, which the library turns into that token
 
 from __future__ import annotations
 
+import os
 import re
 import string
 import sys
@@ -35,6 +36,8 @@ _SIGNS = string.punctuation + string.digits
 #: The sign that byte-level vocabularies write for each byte: itself where it is visible, else the next from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+#: How they write a line break, which UTF-8 has in no other character.
+_BREAK = chr(_BYTE_SIGNS[10])
 _LETTER_PROBE = "The ABC McD Straße été ÉTÉ İI ı 你好 ΑΣ ΣΑΣ ﬁn ǆ Å가 कख़ ﬞבּ ŉa ẞ Ω 𝐀b"
 _PROBE = (
     "It's we'll  two\n\nlines \n x\ty 12,345 éa ́b Straße İI 你好, (a) b!\n c  "
@@ -42,6 +45,21 @@ _PROBE = (
 )
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """``to_pylist`` of strings without nulls, by way of numpy, which is faster."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words one after the other, and how many each has."""
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _byte_signs(text: str) -> str:
+    """A text as byte-level vocabularies write it."""
+    return text.encode().decode("latin-1").translate(_BYTE_SIGNS)
+
+
 class WordEncoder:
     """``encode(texts)`` gives the little-endian unsigned 32-bit ids of texts."""
 
@@ -51,8 +69,14 @@ class WordEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # normalised ones are found in the normalised text, so in whatever case they stand
         self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        # what all of them start with, as far as it has one case: a text without it holds none
+        self.special_start = re.match("[\\x00-@\\[-`{-\\x7f]*", os.path.commonprefix(special)).group()
         self._forget()
-        self.model = self.tokenizer.model  # alone, for words that are normalised and cut already
+        # the model alone, for words that are normalised already, with breaks between them
+        self.model = tokenizers.Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = tokenizers.pre_tokenizers.Split(_BREAK, "isolated")
+        self.break_id = next(iter(self.model.encode(_BREAK, add_special_tokens=False).ids), None)
+        self._find_letters()
         self.cuts: dict[str, bool] = {}  # last letters: whether signs after them are pieces of their own
         self.mark = self._find_mark()
         whole = self._encode([_PROBE])[0]
@@ -66,47 +90,75 @@ class WordEncoder:
         # the ids by number: all in one array, where each starts and its length
         self.pool, self.first, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _keep(self, ids: list[bytes]) -> range:
-        """Numbers for new ids."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        numbers = range(self.size.size, self.size.size + len(ids))
+    def _keep(self, ids: np.ndarray, size: np.ndarray) -> range:
+        """Numbers for new words: their ids, one after the other, and how many each has."""
+        numbers = range(self.size.size, self.size.size + size.size)
         self.first = np.concatenate([self.first, self.pool.size + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.pool = np.concatenate([self.pool, ids])
         return numbers
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters after a space, by the model alone where
-        that is the same: normalised, in the vocabulary's byte signs, behind its
-        mark.  Words whose normal form has other signs go through the library."""
-        if self.mark is None:
-            return self._encode([" " + w for w in words])
-        normalizer, tokenize, mark, out, rest = self.tokenizer.normalizer, self.model.tokenize, self.mark, [], []
-        for i, word in enumerate(words):
-            if normalizer is not None and not (word.isascii() and word.islower()):
-                word = normalizer.normalize_str(word)
-            if not word.isascii():
-                if not word.isalpha():
-                    rest.append(i)
-                    out.append(b"")
-                    continue
-                word = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
-            out.append(array("I", [t.id for t in tokenize(mark + word)]).tobytes())
-        for i, ids in zip(rest, self._encode([" " + words[i] for i in rest]) if rest else []):
-            out[i] = ids
-        return out
+    def _find_letters(self) -> None:
+        """Learn how the vocabulary writes each letter below U+0500, none of
+        which melts with the next: normalised, in byte signs.  Letters that
+        become more than letters are left out."""
+        normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer is not None else str
+        letters = [chr(c) for c in range(0x500) if chr(c).isalpha()]
+        written = {c: normalize(c) for c in letters}
+        self.letters = str.maketrans({c: _byte_signs(n) for c, n in written.items() if n.isalpha()})
+        self.of_letters = re.compile(f"[{''.join(map(chr, self.letters))}]+").fullmatch
+
+    def _written(self, words: list[str]) -> tuple[list[str], list[str], list[str]]:
+        """Words of letters in another order, how the vocabulary writes them
+        (without its mark), and words whose normal form has other signs."""
+        plain, others, far, out, rest = [], [], [], [], []
+        for word in words:
+            (plain if word.isascii() else others if self.of_letters(word) else far).append(word)
+        for some in (plain, others):  # many at a time
+            if some:
+                out += "\n".join(some).translate(self.letters).split("\n")
+        normalizer, done = self.tokenizer.normalizer, plain + others
+        for word in far:
+            normal = normalizer.normalize_str(word) if normalizer is not None else word
+            if normal.isalpha():
+                done.append(word)
+                out.append(_byte_signs(normal))
+            else:
+                rest.append(word)
+        return done, out, rest
+
+    def _encode_written(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of written words by the model alone, one after the other, and
+        how many each has: the words are one text for the library, with a
+        break, which no letter has in it, after each."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        text = mark + f"{_BREAK}{mark}".join(words) + _BREAK
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        breaks = ids == self.break_id
+        return ids[~breaks], np.diff(np.flatnonzero(breaks), prepend=-1) - 1
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Keep words of letters after a space, by the model alone where that
+        is the same.  Words whose normal form has other signs go through the
+        library."""
+        if self.mark is not None:
+            done, written, words = self._written(words)
+            self.words.update(zip(done, self._keep(*self._encode_written(written, self.mark))))
+        self.words.update(zip(words, self._keep(*_flat(self._encode([" " + w for w in words])))))
 
     def _find_mark(self) -> str | None:
         """How the vocabulary writes a word after a space: behind this mark.
         None where the model alone does not give the library's ids."""
-        words = ["the", "thonti", "onwhed", "zebra", "q", "internationalisation", *_LETTER_PROBE.split()]
-        whole = self._encode([" " + w for w in words])
-        for self.mark in ("\u0120", "", "\u2581"):
-            if self._encode_letters(words) == whole:
-                return self.mark
+        done, written, _ = self._written(["the", "thonti", "onwhed", "zebra", "q", "internationalisation", *_LETTER_PROBE.split()])
+        ids, size = _flat(self._encode([" " + w for w in done]))
+        for mark in ("\u0120", "", "\u2581"):
+            got, sizes = self._encode_written(written, mark)
+            if np.array_equal(got, ids) and np.array_equal(sizes, size):
+                return mark
         return None
 
     def _cuts_after(self, letter: str) -> bool:
@@ -124,9 +176,9 @@ class WordEncoder:
 
     def _heads(self, words: pa.Array) -> np.ndarray:
         """Numbers of different first words or ends of words."""
-        names = words.to_pylist()
+        names = _strings(words)
         new = [w for w in names if w not in self.heads]
-        self.heads.update(zip(new, self._keep(self._encode(new))))
+        self.heads.update(zip(new, self._keep(*_flat(self._encode(new)))))
         return np.fromiter(map(self.heads.__getitem__, names), np.int64, len(names))
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,21 +192,20 @@ class WordEncoder:
         whole = pc.equal(core, words).to_numpy(zero_copy_only=False)
         plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False) & (cuts | whole)
         key = pc.if_else(pa.array(plain), core, words).dictionary_encode()
-        names = key.dictionary.to_pylist()
+        names = _strings(key.dictionary)
         numbers = np.array(list(map(self.words.get, names, repeat(0))), np.int64)
         missing = np.flatnonzero(numbers == 0)
         if missing.size:
             new = [names[i] for i in missing.tolist()]
-            letters = [w for w in new if w.isalpha()]
             other = [" " + w for w in new if not w.isalpha()]
-            self.words.update(zip(letters, self._keep(self._encode_letters(letters))))
-            self.words.update(zip((w[1:] for w in other), self._keep(self._encode(other))))
+            self._learn_letters([w for w in new if w.isalpha()] if other else new)
+            self.words.update(zip((w[1:] for w in other), self._keep(*_flat(self._encode(other)))))
             numbers[missing] = list(map(self.words.__getitem__, new))
         ends = np.zeros(len(words), np.int64)
         signed = np.flatnonzero(plain & ~whole)
         if signed.size:
             at = pa.array(signed)
-            tails = pa.array([w[n:] for w, n in zip(words.take(at).to_pylist(), pc.utf8_length(core.take(at)).to_pylist())], pa.large_string())
+            tails = pa.array([w[n:] for w, n in zip(_strings(words.take(at)), pc.utf8_length(core.take(at)).to_numpy().tolist())], pa.large_string())
             tails = tails.dictionary_encode()
             ends[signed] = self._heads(tails.dictionary)[tails.indices.to_numpy()]
         return numbers[key.indices.to_numpy()], ends
@@ -185,7 +236,7 @@ class WordEncoder:
             self._forget()
         whole, plain, careful = [], [], []
         for i, text in enumerate(texts):
-            if self.special is not None and self.special.search(text):
+            if self.special is not None and self.special_start in text and self.special.search(text):
                 whole.append(i)
             elif text[:1] == " " or text[-1:] == " " or _DOUBLE_SPACE.search(text):
                 careful.append(i)
