@@ -19,7 +19,7 @@ import string
 import sys
 import types
 from array import array
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,6 @@ _SIGNS = string.punctuation + string.digits
 #: The sign that byte-level vocabularies write for each byte: itself where it is visible, else the next from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
-#: How they write a line break, which UTF-8 has in no other character.
-_BREAK = chr(_BYTE_SIGNS[10])
 _LETTER_PROBE = "The ABC McD Straße été ÉTÉ İI ı 你好 ΑΣ ΣΑΣ ﬁn ǆ Å가 कख़ ﬞבּ ŉa ẞ Ω 𝐀b"
 _PROBE = (
     "It's we'll  two\n\nlines \n x\ty 12,345 éa ́b Straße İI 你好, (a) b!\n c  "
@@ -72,10 +70,7 @@ class WordEncoder:
         # what all of them start with, as far as it has one case: a text without it holds none
         self.special_start = re.match("[\\x00-@\\[-`{-\\x7f]*", os.path.commonprefix(special)).group()
         self._forget()
-        # the model alone, for words that are normalised already, with breaks between them
-        self.model = tokenizers.Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = tokenizers.pre_tokenizers.Split(_BREAK, "isolated")
-        self.break_id = next(iter(self.model.encode(_BREAK, add_special_tokens=False).ids), None)
+        self.model = self.tokenizer.model  # alone, for words that are normalised and cut already
         self._find_letters()
         self.cuts: dict[str, bool] = {}  # last letters: whether signs after them are pieces of their own
         self.mark = self._find_mark()
@@ -132,14 +127,11 @@ class WordEncoder:
 
     def _encode_written(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of written words by the model alone, one after the other, and
-        how many each has: the words are one text for the library, with a
-        break, which no letter has in it, after each."""
-        if not words:
-            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        text = mark + f"{_BREAK}{mark}".join(words) + _BREAK
-        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        breaks = ids == self.break_id
-        return ids[~breaks], np.diff(np.flatnonzero(breaks), prepend=-1) - 1
+        how many each has."""
+        tokenize = self.model.tokenize
+        ids = [[t.id for t in tokenize(mark + word)] for word in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum())), size
 
     def _learn_letters(self, words: list[str]) -> None:
         """Keep words of letters after a space, by the model alone where that

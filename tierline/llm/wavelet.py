@@ -38,6 +38,8 @@ END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 1_000_000
+#: Ids partitioned at a time, so that their places stay in the cache.
+PART_IDS = 1 << 13
 #: Bits between two kept counts.
 BLOCK_BITS = 512
 
@@ -67,9 +69,12 @@ class WaveletMatrix:
             planes.append(plane)
             counts.append(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4"))
             zeros.append(row.size - int(counts[-1][-1]))
-            parted = np.empty_like(row)
-            np.compress(~ones, row, out=parted[: zeros[-1]])
-            np.compress(ones, row, out=parted[zeros[-1] :])
+            parted, low, high = np.empty_like(row), 0, zeros[-1]
+            for at in range(0, row.size, PART_IDS):
+                part, up = row[at : at + PART_IDS], ones[at : at + PART_IDS]
+                down, up = np.flatnonzero(~up), np.flatnonzero(up)
+                parted[low : low + down.size], parted[high : high + up.size] = part[down], part[up]
+                low, high = low + down.size, high + up.size
             row = parted
         return cls(ids.size, np.array(zeros, "<u4"), planes, counts)
 
