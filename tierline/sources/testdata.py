@@ -17,7 +17,8 @@ The mapping (SURVEY §2.12) turns order lines into charge rows:
   place of service = order status.
 
 Every line is read: 'F' and 'O' lines of all years, and every order.  The
-dimension tables join by shuffle or, from measured sizes, as AQE sees fit.
+dimension tables join by shuffle or, from measured sizes, as AQE sees fit; the
+provider joins last, so that where it is shuffled the rows of one arrive together.
 """
 
 from __future__ import annotations
@@ -68,15 +69,20 @@ def _payments() -> tuple[Column, Column, Column]:
     return price, total, medicare
 
 
+def _lines_by_year(t: dict[str, DataFrame], status: str) -> DataFrame:
+    """The lines of a status; their joins carry the year, not the date."""
+    return t["lineitem"].filter(F.col("l_linestatus") == status).withColumn(YEAR, F.year("l_shipdate").cast("bigint")).drop("l_shipdate")
+
+
 def inpatient_raw(t: dict[str, DataFrame]) -> DataFrame:
-    lines = t["lineitem"].filter(F.col("l_linestatus") == "F")
+    lines = _lines_by_year(t, "F")
     price, total, medicare = _payments()
     return (
-        lines.join(_supplier_geo(t), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(
+        lines.join(
             t["part"].select("p_partkey", "p_brand", "p_type"),
             F.col("l_partkey") == F.col("p_partkey"),
         )
+        .join(_supplier_geo(t), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.col("l_suppkey").cast("string").alias("provider_id"),
             F.col("s_name").alias("provider_name"),
@@ -92,20 +98,20 @@ def inpatient_raw(t: dict[str, DataFrame]) -> DataFrame:
             price.alias("average_covered_charges"),
             total.alias("average_total_payments"),
             F.when(F.col("l_discount") != 0, medicare).alias("average_medicare_payments"),
-            F.year("l_shipdate").cast("bigint").alias(YEAR),
+            YEAR,
         )
     )
 
 
 def outpatient_raw(t: dict[str, DataFrame]) -> DataFrame:
-    lines = t["lineitem"].filter(F.col("l_linestatus") == "O")
+    lines = _lines_by_year(t, "O")
     price, total, _ = _payments()
     return (
-        lines.join(_supplier_geo(t), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(
+        lines.join(
             t["part"].select("p_partkey", "p_type"),
             F.col("l_partkey") == F.col("p_partkey"),
         )
+        .join(_supplier_geo(t), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.col("l_suppkey").cast("string").alias("provider_id"),
             F.col("s_name").alias("provider_name"),
@@ -118,13 +124,15 @@ def outpatient_raw(t: dict[str, DataFrame]) -> DataFrame:
             F.col("l_quantity").cast("bigint").alias("outpatient_services"),
             price.alias("average_estimated_submitted_charges"),
             total.alias("average_total_payments"),
-            F.year("l_shipdate").cast("bigint").alias(YEAR),
+            YEAR,
         )
     )
 
 
 def physicians_raw(t: dict[str, DataFrame]) -> DataFrame:
-    placed = t["orders"].select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
+    placed = t["orders"].select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("bigint").alias(YEAR)
+    )
     customers = t["customer"].select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").join(
         t["nation"].select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")
     )
@@ -153,14 +161,28 @@ def physicians_raw(t: dict[str, DataFrame]) -> DataFrame:
             price.alias("average_submitted_chrg_amt"),
             medicare.alias("average_medicare_payment_amt"),
             medicare.alias("average_medicare_standard_amt"),
-            F.year("o_orderdate").cast("bigint").alias(YEAR),
+            YEAR,
         )
     )
 
 
+#: Maker of each source, and the column that its slices are cut by: provider or order.
+_MAKERS = {
+    "inpatient": (inpatient_raw, "l_suppkey"),
+    "outpatient": (outpatient_raw, "l_suppkey"),
+    "physicians": (physicians_raw, "l_orderkey"),
+}
+
+
 def raw_sources(spark: SparkSession, sf_dir: str) -> RawSources:
     t = read_tables(spark, sf_dir)
-    return RawSources(inpatient=inpatient_raw(t), outpatient=outpatient_raw(t), physicians=physicians_raw(t))
+
+    def sliced(source: str, i: int, n: int) -> DataFrame:
+        """Every line is in one slice; the hash of a null key is not null."""
+        make, key = _MAKERS[source]
+        return make(t | {"lineitem": t["lineitem"].where(F.pmod(F.xxhash64(key), F.lit(n)) == i)})
+
+    return RawSources(**{source: make(t) for source, (make, _) in _MAKERS.items()}, sliced=sliced)
 
 
 def materialise_raw(raw: RawSources, out_dir: str) -> RawSources:
